@@ -8,6 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from almanack.llm.session import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from almanack.llm.substrings import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from almanack.llm.suffix_array import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from almanack.llm.packing import pack
 
@@ -50,7 +62,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = (op3_packing, op4_decontamination, op5_language_id, op6_token_counts, op7_byte_shards, op8_toxicity, op9_quality)
+QUERIES = (op1_substring_dedup, op2_suffix_array, op3_packing, op4_decontamination, op5_language_id, op6_token_counts, op7_byte_shards, op8_toxicity, op9_quality)
 
 
 def queries() -> dict:
