@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from almanack.llm.session import cut
+from almanack.llm.session import write
 from almanack.llm.textkit import BYTE_BASE, BYTE_VALUES, SPACES, U64, WORD_BASE, Rolling, WordHasher, row_starts, text_slices, word_bounds
 
 #: Bytes of contexts indexed together; a shard grows beyond it only to hold one anchor's contexts.
@@ -90,11 +90,11 @@ class Anchors:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key: _d, the id (null: least long), and _t, a hash of the text."""
-    return docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_t": F.xxhash64(F.col("text"))})
+    """docs with a key: _d, the id (null: least long), and _t, a hash of the text for rows that share an id."""
+    return docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_t": F.shiftright(F.xxhash64(F.col("text")), 32).cast("int")})
 
 
-_ANCHOR = "ah long, ch long, d long, t long, pos int, wins int"
+_ANCHOR = "ah long, ch long, d long, t int, pos int, wins int"
 
 
 def occurrences(docs: DataFrame, window: int, k: int, words: bool) -> DataFrame:
@@ -116,7 +116,7 @@ def occurrences(docs: DataFrame, window: int, k: int, words: bool) -> DataFrame:
 
     found = keyed(docs).where(F.col("text").isNotNull()).select("_d", "_t", "text").mapInArrow(run, _ANCHOR)
     twice = found.groupBy("ah").agg(F.count("*").alias("n")).where("n > 1").select("ah")
-    return cut(found.join(twice, "ah"))
+    return write(found.join(twice, "ah"))
 
 
 def contexts(docs: DataFrame, found: DataFrame, window: int, words: bool) -> DataFrame:
@@ -128,8 +128,6 @@ def contexts(docs: DataFrame, found: DataFrame, window: int, words: bool) -> Dat
     wanted = distinct.groupBy(F.col("x.d").alias("_d"), F.col("x.t").alias("_t")).agg(
         F.collect_list(F.struct("ah", "ch", "n", F.col("x.pos").alias("pos"), F.col("x.wins").alias("wins"))).alias("cs")
     )
-    texts = keyed(docs).select("_d", "_t", F.col("text").cast("binary").alias("text"))
-
     def run(batches):
         for batch, data, off in text_slices(batches):
             raw = data.tobytes()
@@ -150,7 +148,7 @@ def contexts(docs: DataFrame, found: DataFrame, window: int, words: bool) -> Dat
                     bodies.append(raw[off[r] + a : off[r] + b])
             yield pa.RecordBatch.from_arrays([ah, ch, n, batch.column("_d").take(pa.array(row)), pos, wins, pa.array(bodies, pa.binary())], ["ah", "ch", "n", "d", "pos", "wins", "body"])
 
-    return texts.join(wanted, ["_d", "_t"]).select("_d", "text", "cs").mapInArrow(run, "ah long, ch long, n long, d long, pos int, wins int, body binary")
+    return keyed(docs).select("_d", "_t", "text").join(wanted, ["_d", "_t"]).mapInArrow(run, "ah long, ch long, n long, d long, pos int, wins int, body binary")
 
 
 def by_shard(rows: DataFrame, solve: Callable[[dict], pa.RecordBatch], schema: str, limit: int = SHARD_BYTES) -> DataFrame:

@@ -62,7 +62,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = (op1_substring_dedup, op2_suffix_array, op3_packing, op4_decontamination, op5_language_id, op6_token_counts, op7_byte_shards, op8_toxicity, op9_quality)
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from almanack.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = (op1_substring_dedup, op2_suffix_array, op3_packing, op4_decontamination, op5_language_id, op6_token_counts, op7_byte_shards, op8_toxicity, op9_quality, op10_jaccard_join, pipeline)
 
 
 def queries() -> dict:

@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and read on from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, named in spark.checkpoint.dir.
 
-    The folder is the one named in spark.checkpoint.dir. Only where that setting is absent, as
-    in tests on one machine, a temporary folder is used.
+    Only where that setting is absent, as in tests on one machine, a temporary folder is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read on from there, without its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def write(df: DataFrame) -> DataFrame:
+    """Write df as a compressed table in the shared folder and read on from there.
+
+    Smaller than a checkpoint, but rows come back in any order. The shuffle files of what was written
+    are let go, so that a job's steps don't add up on disk.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    df = None
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -92,6 +92,7 @@ class Rolling:
 
     def __init__(self, base: int):
         self.base, self.inverse, self.size = base, pow(base, -1, 1 << 64), 0
+        self._grow(1)
 
     def _grow(self, n: int) -> None:
         if n > self.size:

@@ -36,23 +36,30 @@ def _entries(hasher: WordHasher, data: np.ndarray, starts: np.ndarray, ends: np.
 
 
 def learn_lexicon(texts: list[bytes], toxic: np.ndarray, least: int = 3, odds: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and weights (log-odds of occurrence in toxic texts) of words and prefixes."""
+    """Sorted hashes and weights (log-odds of occurrence in toxic texts) of words and prefixes.
+
+    An entry's occurrences, up to three a text, must be unlikely to fall in toxic texts by chance
+    given the number of candidates, so that a small sample yields a small lexicon.
+    """
     hasher, seen = WordHasher(), []
     for i, text in enumerate(texts):
         data = LOWER[np.frombuffer(text, np.uint8)]
         starts, ends, _ = word_bounds(data, np.array([0, len(data)]), NOT_ITEM_WORD)
-        found = np.unique(np.concatenate(_entries(hasher, data, starts, ends)))
-        seen.append((found[found != 0], i))
+        found, times = np.unique(np.concatenate(_entries(hasher, data, starts, ends)), return_counts=True)
+        seen.append((found[found != 0], np.minimum(times[found != 0], 3), i))
     if not seen:
         return np.zeros(0, U64), np.zeros(0)
-    hashes = np.concatenate([s for s, _ in seen])
-    rows = np.repeat([i for _, i in seen], [len(s) for s, _ in seen])
+    hashes, times = np.concatenate([s for s, _, _ in seen]), np.concatenate([x for _, x, _ in seen])
+    rows = np.repeat([i for _, _, i in seen], [len(s) for s, _, _ in seen])
     known, at = np.unique(hashes, return_inverse=True)
     a = np.bincount(at, toxic[rows], len(known))
     b = np.bincount(at, 1 - toxic[rows], len(known))
     n_a, n_b = toxic.sum(), len(toxic) - toxic.sum()
+    if not n_a or not n_b:
+        return np.zeros(0, U64), np.zeros(0)
+    evidence = np.bincount(at, toxic[rows] * times, len(known)) * np.log(len(toxic) / n_a) - 3 * np.bincount(at, (1 - toxic[rows]) * times, len(known))
     weight = np.log((a + 0.5) / (n_a + 1)) - np.log((b + 0.5) / (n_b + 1))
-    keep = (a >= max(least, 0.004 * n_a)) & (weight >= odds)
+    keep = (a >= max(least, 0.004 * n_a)) & (weight >= odds) & (evidence >= 0.8 * np.log(len(known)))
     return known[keep], weight[keep]
 
 
