@@ -545,3 +545,107 @@ def pricing_summary(t):
 @query("""SELECT epoch_ms(time_bucket(INTERVAL 5 MINUTE, ts)) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def tumbling_windows(t):
     return t.events.groupBy(F.window("ts", "5 minutes").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.unix_millis(F.col("w.start").cast("timestamp")).alias("window_start"), "event_type", "n")
+
+
+# more of the reference's operators ------------------------------------------------------------------
+
+@query(f"""WITH {ENTRIES} SELECT id FROM entries WHERE start <= 1999 AND coalesce("end", start) >= 1998 AND topic IN ('1-URGENT', '2-HIGH') AND status = 'F' OR fame IS NULL""")
+def faceted_filter(t):
+    years = D.overlaps(F.col("start"), F.col("end"), 1998, 1999)
+    return t.entries.where((years & F.col("topic").isin("1-URGENT", "2-HIGH") & (F.col("status") == "F")) | F.col("fame").isNull()).select("id")
+
+
+@query(f"""WITH {ENTRIES}, g AS (SELECT grp, list_sort(list(fame)) AS x FROM entries WHERE id % 7 <> 0 GROUP BY grp) SELECT id, round(CASE WHEN id % 7 = 0 THEN x[len(x) // 2 + 1] ELSE fame END, 2) AS fame FROM entries LEFT JOIN g USING (grp)""")
+def median_imputation(t):
+    known = F.when(F.col("id") % 7 != 0, F.col("fame"))
+    g = t.entries.select("grp", known.alias("f")).where("f IS NOT NULL").groupBy("grp").agg(F.sort_array(F.collect_list("f")).alias("x"))
+    return t.entries.join(g, "grp", "left").select("id", F.round(F.coalesce(known, F.get("x", F.floor(F.size("x") / 2).cast("int"))), 2).alias("fame"))
+
+
+@query(f"""WITH {ENTRIES} SELECT grp, count(*) FILTER ("end" < 1998) AS due, count(*) AS n, min("end") FILTER ("end" >= 1998) AS next_end FROM entries GROUP BY grp""")
+def due_summary(t):
+    return t.entries.groupBy("grp").agg(F.count_if(F.col("end") < 1998).alias("due"), F.count("*").alias("n"), F.min(F.when(F.col("end") >= 1998, F.col("end"))).alias("next_end"))
+
+
+@query("""SELECT text_len, count(*) AS n, CASE WHEN count(*) > 1 THEN 'reused' ELSE 'single' END AS verdict FROM (SELECT length(text) AS text_len FROM documents) GROUP BY text_len""")
+def reuse_verdicts(t):
+    return t.documents.groupBy(F.length("text").alias("text_len")).agg(F.count("*").alias("n")).select("text_len", "n", F.when(F.col("n") > 1, "reused").otherwise("single").alias("verdict"))
+
+
+@query(f"""WITH {ENTRIES}, g AS (SELECT grp, count(*) AS n FROM entries GROUP BY grp), q AS (SELECT grp, greatest(1, floor(0.3 * n + 0.5)) AS quota FROM g),
+r AS (SELECT e.id, e.grp, person, quota, row_number() OVER (PARTITION BY e.grp, person ORDER BY fame DESC, e.id) AS r, row_number() OVER (PARTITION BY e.grp ORDER BY fame DESC, e.id) AS o FROM entries e JOIN q USING (grp))
+SELECT id FROM r WHERE o <= quota AND (NOT person OR r <= greatest(1, floor(0.4 * quota)))""")
+def quota_selection(t):
+    e = t.entries
+    w = Window.partitionBy("grp")
+    quota = F.greatest(F.lit(1), F.floor(0.3 * F.col("n") + 0.5))
+    r = e.withColumn("n", F.count("*").over(w)).withColumn("quota", quota)
+    r = r.withColumn("r", F.row_number().over(Window.partitionBy("grp", "person").orderBy(F.desc("fame"), "id"))).withColumn("o", F.row_number().over(w.orderBy(F.desc("fame"), "id")))
+    return r.where((F.col("o") <= F.col("quota")) & (~F.col("person") | (F.col("r") <= F.greatest(F.lit(1), F.floor(0.4 * F.col("quota")))))).select("id")
+
+
+@query("""SELECT n_nationkey // 100 AS block, n_nationkey % 100 AS place, n_name FROM (SELECT row_number() OVER (ORDER BY n_name) - 1 AS n_nationkey, n_name FROM nation)""")
+def row_blocks(t):
+    r = F.row_number().over(Window.orderBy("n_name")) - 1
+    return t.nation.select(r.alias("r"), "n_name").select(F.floor(F.col("r") / 100).alias("block"), (F.col("r") % 100).alias("place"), "n_name")
+
+
+@query(f"""WITH {ENTRIES} SELECT 'a' AS side, id FROM entries WHERE status = 'F' UNION SELECT 'b', id FROM entries WHERE start >= 1998 EXCEPT SELECT 'b', id FROM entries WHERE person""")
+def set_operations(t):
+    e = t.entries
+    both = e.where("status = 'F'").select(F.lit("a").alias("side"), "id").unionByName(e.where("start >= 1998").select(F.lit("b").alias("side"), "id")).distinct()
+    return both.exceptAll(e.where("person").select(F.lit("b").alias("side"), "id").distinct())
+
+
+@query(f"""WITH {ENTRIES}, p AS (SELECT a.id, b.id AS other, least(a."end", b."end") - greatest(a.start, b.start) AS shared, b.fame FROM entries a JOIN entries b ON a.grp = b.grp AND a.id <> b.id AND a.start <= b."end" AND b.start <= a."end" WHERE a.kind = 'span' AND b.kind = 'span')
+SELECT id, arg_max(other, (100 * shared + fame / 1e6, -other)) AS best FROM p GROUP BY id""")
+def overlap_ranking(t):
+    s = t.entries.where("kind = 'span'")
+    a, b = s.select("id", "grp", "start", "end"), s.select(F.col("id").alias("other"), "grp", F.col("start").alias("s"), F.col("end").alias("e"), "fame")
+    p = a.join(b, "grp").where((F.col("id") != F.col("other")) & (F.col("start") <= F.col("e")) & (F.col("s") <= F.col("end")))
+    score = 100 * (F.least("end", "e") - F.greatest("start", "s")) + F.col("fame") / 1e6
+    return p.groupBy("id").agg(F.max_by("other", F.struct(score, -F.col("other"))).alias("best"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, value FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM e) SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY r) AS top_events FROM r WHERE r <= 6 GROUP BY user_id""")
+def attached_neighbours(t):
+    w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
+    r = t.events.withColumn("r", F.row_number().over(w)).where("r <= 6")
+    ordered = F.sort_array(F.collect_list(F.struct("r", F.col("event_id").cast("string").alias("e"))))
+    return r.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["e"]), ",").alias("top_events"))
+
+
+@query("""SELECT user_id, session, min(epoch(date_trunc('second', ts))::BIGINT) AS began, count(*) AS n FROM (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY ALL""")
+def sessions(t):
+    s = t.events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"), F.min("ts").alias("t0"))
+    r = F.row_number().over(Window.partitionBy("user_id").orderBy("t0")).cast("long")
+    return s.select("user_id", r.alias("session"), F.unix_timestamp(F.date_trunc("second", F.col("t0").cast("timestamp"))).alias("began"), "n")
+
+
+@query("""SELECT page_id, length(html) > 0 AS has_html, regexp_matches(html, '(?i)<script') AS has_script FROM pages""")
+def page_flags(t):
+    return t.pages.select("page_id", (F.length("html") > 0).alias("has_html"), F.col("html").rlike("(?i)<script").alias("has_script"))
+
+
+@query()
+def page_text(t):
+    from almanack.sources.text import clean_html
+
+    return t.pages.select("page_id", "url", clean_html(F.col("html")).alias("text"))
+
+
+@query()
+def found_dates(t):
+    years = F.regexp_extract_all("text", F.lit(r"\b(1\d{3}|20\d{2})\b"), F.lit(1))
+    return t.documents.select("doc_id", years.alias("y")).select("doc_id", F.size("y").alias("n"), F.array_min(F.transform("y", lambda x: x.cast("long"))).alias("first_year"))
+
+
+@query("""SELECT conv_id, count(*) AS turns, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, arg_min(text, turn) AS first_text FROM conversations GROUP BY conv_id""")
+def conversation_summary(t):
+    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"), F.min_by("text", "turn").alias("first_text"))
+
+
+@query(f"""WITH {ENTRIES} SELECT id, CASE WHEN start < 1996 THEN 'early' WHEN start < 1999 THEN 'middle' ELSE 'late' END AS era, CASE WHEN person THEN 20 ELSE 0 END + CASE WHEN kind = 'point' THEN 3 ELSE 0 END AS bonus FROM entries""")
+def era_and_score(t):
+    era = F.when(F.col("start") < 1996, "early").when(F.col("start") < 1999, "middle").otherwise("late")
+    return t.entries.select("id", era.alias("era"), (F.when(F.col("person"), 20).otherwise(0) + F.when(F.col("kind") == "point", 3).otherwise(0)).alias("bonus"))
