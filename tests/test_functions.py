@@ -115,3 +115,26 @@ def test_progress(spark):
     assert got == {1: (2, 1, 1, 30 + 86_400_000), 2: (0, 1, 0, 5 + 600_000), 3: (9, 0, 6, 8 + 90 * 86_400_000)}
     a, b = spark.createDataFrame([(1, 5), (2, 5)], "key int, at long"), spark.createDataFrame([(1, 5), (2, 6), (3, 1)], "key int, at long")
     assert {r.key: (r.at, r.side) for r in merge_latest(a, b).collect()} == {1: (5, "local"), 2: (6, "remote"), 3: (1, "remote")}
+
+
+def test_layout_and_tables():
+    from almanack.operators.layout import first_fit, next_fit
+    from almanack.operators.tables import grids, table_events
+
+    assert first_fit([(0, 10), (5, 10), (10, 5), (6, 2)], 2) == [0, 1, 0, None]
+    assert next_fit([100, 90, 20, 250, 1], 200) == [0, 0, 1, 2, 3]
+    html = "<table><tr><th>Year</th><th>Event</th></tr><tr><td rowspan=2>1914</td><td>War begins &amp; spreads</td></tr><tr><td>A second thing</td></tr><tr><td>44 BC</td><td>Caesar dies</td></tr></table>"
+    assert grids(html) == [[["Year", "Event"], ["1914", "War begins & spreads"], ["1914", "A second thing"], ["44 BC", "Caesar dies"]]]
+    assert table_events(html) == [(1914, 1914, "War begins & spreads"), (1914, 1914, "A second thing"), (-44, -44, "Caesar dies")]
+    assert table_events("") == [] and grids("<table><tr><td>a<table><tr><td>b</td></tr></table></td></tr></table>")
+
+
+def test_samples(spark):
+    from almanack.operators import ranking as K
+    from pyspark.sql import functions as F
+
+    rows = spark.range(100).withColumns({"w": F.when(F.col("id") < 5, 1000.0).otherwise(0.001), "g": F.col("id") % 2})
+    assert {r.id for r in K.weighted_sample(rows, "id", "w", 5).collect()} == set(range(5))
+    assert [r.id for r in K.stride_sample(rows, "g", ["id"], 5).where("g = 0").orderBy("id").collect()] == [0, 20, 40, 60, 80]
+    named = spark.createDataFrame([(1000,), (1240,), (3000,)], "y int").select(K.chapter_of(F.col("y"), [("a", 900, 1100), ("b", 1100, 1200)]).alias("c"))
+    assert [r.c for r in named.collect()] == ["a", None, None]
