@@ -97,11 +97,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 _ANCHOR = "ah long, ch long, d long, t int, pos int, wins int"
 
 
-def occurrences(docs: DataFrame, window: int, k: int, words: bool) -> DataFrame:
+def occurrences(docs: DataFrame, window: int, k: int, words: bool, keep: bool) -> DataFrame:
     """Anchors that occur at least twice: ah, ch, d, t, pos, wins. Written to the shared folder.
 
     Anchor counts are summed before their shuffle; the join on the anchor is one that Spark can
-    split where an anchor is frequent.
+    split where an anchor is frequent. keep: write all anchors once instead of finding them again
+    for the join, which pays where they are few.
     """
 
     def run(batches):
@@ -115,6 +116,7 @@ def occurrences(docs: DataFrame, window: int, k: int, words: bool) -> DataFrame:
             )
 
     found = keyed(docs).where(F.col("text").isNotNull()).select("_d", "_t", "text").mapInArrow(run, _ANCHOR)
+    found = write(found) if keep else found
     twice = found.groupBy("ah").agg(F.count("*").alias("n")).where("n > 1").select("ah")
     return write(found.join(twice, "ah"))
 
@@ -151,6 +153,16 @@ def contexts(docs: DataFrame, found: DataFrame, window: int, words: bool) -> Dat
     return keyed(docs).select("_d", "_t", "text").join(wanted, ["_d", "_t"]).mapInArrow(run, "ah long, ch long, n long, d long, pos int, wins int, body binary")
 
 
+def unlike(shard: dict) -> np.ndarray:
+    """Contexts whose anchor has other contexts too; all windows of the rest occur in equal contexts only."""
+    _, at, n = np.unique(shard["ah"], return_inverse=True, return_counts=True)
+    return n[at] > 1
+
+
+def part(shard: dict, chosen: np.ndarray) -> dict:
+    return {c: [b for b, x in zip(v, chosen) if x] if c == "body" else v[chosen] for c, v in shard.items()}
+
+
 def by_shard(rows: DataFrame, solve: Callable[[dict], pa.RecordBatch], schema: str, limit: int = SHARD_BYTES) -> DataFrame:
     """solve() over shards of whole anchors, of about `limit` bytes of contexts each.
 

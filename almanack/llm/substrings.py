@@ -10,14 +10,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from almanack.llm.fm_index import FMIndex
-from almanack.llm.passages import by_shard, contexts, keyed, occurrences
+from almanack.llm.passages import by_shard, contexts, keyed, occurrences, part, unlike
+from almanack.llm.session import write
 from almanack.llm.textkit import SPACES, covered, text_slices, word_bounds
 
 WINDOW, K = 20, 10
 
 
 def earliest(shard: dict, window: int) -> pa.RecordBatch:
-    """For each window of each context: the least (d, start) of an equal window in the shard."""
+    """For each window of each context: the least (d, start) of an equal window.
+
+    A context is merged from its equals with the least of their places, so those that are alone with
+    their anchor are done; the others are searched for in the index of the shard.
+    """
+    wins = shard["wins"].astype(np.int64)
+    owner = np.repeat(np.arange(len(wins)), wins)
+    first_d = shard["d"][owner]
+    first_p = (shard["pos"][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(wins) - wins, wins)).astype(np.int32)
+    chosen = unlike(shard)
+    if chosen.any():
+        first_d[chosen[owner]], first_p[chosen[owner]] = _search(part(shard, chosen), window)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(wins))), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (first_d, first_p)]
+    return pa.RecordBatch.from_arrays([pa.array(shard["ah"]), pa.array(shard["ch"]), *lists], ["ah", "ch", "fd", "fp"])
+
+
+def _search(shard: dict, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(d, start) of the earliest equal of each window, by backward search."""
     sizes = shard["wins"].astype(np.int64) + window - 1
     words = b" ".join(shard["body"]).split()
     codes, _ = pd.factorize(np.array(words, object))
@@ -44,17 +63,13 @@ def earliest(shard: dict, window: int) -> pa.RecordBatch:
         ends[at] = high
         ordered = np.append(key[index.suffixes], 0)
         best[which] = np.minimum.reduceat(ordered, np.column_stack((spans, ends)).ravel())[::2][at]
-    offsets = pa.array(np.concatenate(([0], np.cumsum(wins))), pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(shard["ah"]), pa.array(shard["ch"]), pa.ListArray.from_arrays(offsets, pa.array(ids[best >> 32])), pa.ListArray.from_arrays(offsets, pa.array((best & 0xFFFFFFFF).astype(np.int32)))],
-        ["ah", "ch", "fd", "fp"],
-    )
+    return ids[best >> 32], (best & 0xFFFFFFFF).astype(np.int32)
 
 
 def repeated_starts(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """_d, _t and the starts (word numbers) of windows that also start earlier."""
-    found = occurrences(docs, window, k, words=True)
-    first = by_shard(contexts(docs, found, window, words=True), lambda shard: earliest(shard, window), "ah long, ch long, fd array<long>, fp array<int>")
+    found = occurrences(docs, window, k, words=True, keep=False)
+    first = write(by_shard(contexts(docs, found, window, words=True), lambda shard: earliest(shard, window), "ah long, ch long, fd array<long>, fp array<int>"))
     late = F.filter(F.sequence(F.lit(0), F.col("wins") - 1), lambda i: (F.get("fd", i) < F.col("d")) | ((F.get("fd", i) == F.col("d")) & (F.get("fp", i) < F.col("pos") + i)))
     joined = found.join(first, ["ah", "ch"]).select("d", "t", F.transform(late, lambda i: F.col("pos") + i).alias("s")).where(F.size("s") > 0)
     return joined.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.flatten(F.collect_list("s")).alias("_starts"))
