@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from almanack.llm.passages import by_shard, contexts, keyed, occurrences
+from almanack.llm.passages import by_shard, contexts, keyed, occurrences, part, unlike
+from almanack.llm.session import write
 from almanack.llm.textkit import BYTE_BASE, BYTE_VALUES, Rolling, covered, text_slices
 
 WINDOW, K = 400, 128
@@ -112,7 +113,24 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def repeated_windows(shard: dict, window: int) -> pa.RecordBatch:
-    """Runs (first, last) of starts, in each context, of windows found at two places or more."""
+    """Runs (first, last) of starts, in each context, of windows found at two places or more.
+
+    All windows of a context that was merged from several are; so are those of one that is alone with
+    its anchor, which occurs twice. The others' contexts are sorted.
+    """
+    chosen = unlike(shard)
+    wins = shard["wins"].astype(np.int32)
+    firsts, lasts = [np.zeros(1, np.int32)] * len(wins), [np.array([w - 1], np.int32) for w in wins]
+    if chosen.any():
+        for i, (a, b) in zip(np.flatnonzero(chosen), _sorted_runs(part(shard, chosen), window)):
+            firsts[i], lasts[i] = a, b
+    offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in firsts]))), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(np.int32))) for x in (firsts, lasts)]
+    return pa.RecordBatch.from_arrays([pa.array(shard["ah"]), pa.array(shard["ch"]), *lists], ["ah", "ch", "lo", "hi"])
+
+
+def _sorted_runs(shard: dict, window: int):
+    """The runs of each context, from the suffix array of all of them."""
     sizes = np.fromiter(map(len, shard["body"]), np.int64, len(shard["body"]))
     text = np.frombuffer(b"".join(b + bytes([END]) for b in shard["body"]), np.uint8)
     begins = np.cumsum(sizes + 1) - sizes - 1
@@ -132,15 +150,15 @@ def repeated_windows(shard: dict, window: int) -> pa.RecordBatch:
     edge = np.diff(np.concatenate(([0], (repeated & room).astype(np.int8), [0])))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
     whose = owner[first]  # a run never crosses a context: its last places have no room
-    offsets = np.searchsorted(whose, np.arange(len(sizes) + 1)).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array((x - begins[whose]).astype(np.int32))) for x in (first, last)]
-    return pa.RecordBatch.from_arrays([pa.array(shard["ah"]), pa.array(shard["ch"]), *lists], ["ah", "ch", "lo", "hi"])
+    at = np.searchsorted(whose, np.arange(len(sizes) + 1))
+    first, last = first - begins[whose], last - begins[whose]
+    return [(first[a:b], last[a:b]) for a, b in zip(at[:-1], at[1:])]
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """_d, _t and the runs (first, last) of starts of windows that also start elsewhere."""
-    found = occurrences(docs, window, k, words=False)
-    runs = by_shard(contexts(docs, found, window, words=False), lambda shard: repeated_windows(shard, window), "ah long, ch long, lo array<int>, hi array<int>")
+    found = occurrences(docs, window, k, words=False, keep=True)
+    runs = write(by_shard(contexts(docs, found, window, words=False), lambda shard: repeated_windows(shard, window), "ah long, ch long, lo array<int>, hi array<int>"))
     shift = lambda c: F.transform(c, lambda x: x + F.col("pos"))
     joined = found.join(runs.where(F.size("lo") > 0), ["ah", "ch"]).select("d", "t", shift("lo").alias("lo"), shift("hi").alias("hi"))
     return joined.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.flatten(F.collect_list("lo")).alias("_lo"), F.flatten(F.collect_list("hi")).alias("_hi"))
