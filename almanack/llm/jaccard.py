@@ -16,7 +16,7 @@ from almanack.llm.session import write
 from almanack.llm.textkit import LOWER, SPACES, U64, WordHasher, mix, row_starts, text_slices, word_bounds
 
 #: Documents, by a hash of their ids, from which frequent shingles and the size boundary are taken.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 5_000
 #: A shingle in this share of the sample's documents goes to the end of the order of shingles.
 FREQUENT = 0.002
 #: Members of a list, or of a candidate group, that are compared in one block.
@@ -66,8 +66,12 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, hasher: WordHasher, size: in
 
 
 def _set_hash(s: np.ndarray) -> int:
-    total = mix(np.array([np.bitwise_xor.reduce(mix(s)) + U64(len(s)) * U64(0x9E3779B97F4A7C15) if len(s) else 0, s.sum() if len(s) else 0], U64))
-    return int((total[0] * U64(31) + total[1]).view(np.int64))
+    """A 64-bit fingerprint of a set: of its size, sum and mixed parity."""
+    if not len(s):
+        return 0
+    parts = np.array([np.bitwise_xor.reduce(mix(s)), s.sum(), len(s)], U64)
+    tags = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], U64)
+    return int(mix(np.bitwise_xor.reduce(mix(parts * tags), keepdims=True))[0].view(np.int64))
 
 
 def _bitmap(s: np.ndarray) -> bytes:
@@ -165,6 +169,21 @@ class _Links:
         return node[at], node[self.label[at]]
 
 
+def _may_be_similar(n: int, m: int, a: bytes, b: bytes, t: Threshold) -> bool:
+    """Whether two bitmaps allow similarity; the wider is folded."""
+    least = t.overlap(n, m)
+    if min(n, m) < least:
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    bits = 8 * len(b)
+    while bits > 8 * len(a):
+        bits //= 2
+        y = (y >> bits) ^ (y & ((1 << bits) - 1))
+    return (x ^ y).bit_count() <= n + m - 2 * least
+
+
 def _bitmap_links(n: np.ndarray, maps: list[bytes], t: Threshold) -> _Links:
     """Links pairs whose bitmaps allow similarity. The bits that differ are at most the elements that do."""
     links, width = _Links(len(n)), np.fromiter(map(len, maps), np.int64, len(maps))
@@ -270,25 +289,32 @@ def similar_sets(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100)
 
     rows = write(docs.mapInArrow(describe, "_d long, _t int, n int, sh long, bits binary, sigs array<long>, toks array<long>"))
 
+    sets_once = write(rows.select("sh", "n", "bits", "sigs", "toks").dropDuplicates(["sh"]))
+
     # small sets: all that share a subset of the size that decides are similar
-    sigs = rows.select("sh", "n", F.explode("sigs").alias("sig")).distinct()
+    sigs = sets_once.select("sh", "n", F.explode(F.array_distinct("sigs")).alias("sig"))
     groups = sigs.groupBy("sig").agg(F.min("sh").alias("b"), F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     groups = groups.where("c > 1 AND (sig % 2 = 0 OR lo < hi)").select("sig", "b")
     light = sigs.join(groups, "sig").select(F.col("sh").alias("a"), "b").where("a <> b").distinct()
 
     # others: lists of at least two distinct sets
-    tokens = rows.select("sh", F.explode("toks").alias("tok")).distinct()
+    tokens = sets_once.select("sh", F.explode("toks").alias("tok"))
     counts = tokens.groupBy("tok").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sh")).alias("x")).where("c > 1")
     lists = write(counts.groupBy("c", "x").agg(F.min("tok").alias("tok")).select("tok", "c"))
-    bitmaps = rows.where("bits IS NOT NULL").groupBy("sh").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    bitmaps = sets_once.where("bits IS NOT NULL").select("sh", "n", "bits")
     members = _blocked(tokens.join(lists, "tok").join(bitmaps, "sh"), "tok", "c", LIST_BLOCK)
 
     def candidates(batches):
         for table in _by_key(batches, 4 << 20):
             sh, n, maps, pairs = table.column("sh").to_numpy(), table.column("n").to_numpy().astype(np.int64), table.column("bits").to_pylist(), []
+            two = []
             for a, b in _groups(table):
-                pairs.append(_bitmap_links(n[a:b], maps[a:b], t).edges(sh[a:b]))
-            yield _emit(pairs)
+                if b - a > 2:
+                    pairs.append(_bitmap_links(n[a:b], maps[a:b], t).edges(sh[a:b]))
+                elif b - a == 2 and _may_be_similar(int(n[a]), int(n[a + 1]), maps[a], maps[a + 1], t):
+                    two.append(a)
+            two = np.array(two, np.int64)
+            yield _emit([*pairs, (sh[two], sh[two + 1])])
 
     possible = members.select("key", "sh", "n", "bits").repartition("key").sortWithinPartitions("key").mapInArrow(candidates, "a long, b long").distinct()
     group = components(possible)
