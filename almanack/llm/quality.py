@@ -6,13 +6,16 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from almanack.llm.session import write
+
 #: Buckets that word unigrams and bigrams are hashed to; what reaches the driver is one row for each.
 BUCKETS = 8192
-#: Trusted documents, by the order of a hash of their ids, from which the target is learned.
-TRUSTED = 20_000
 #: Share of the trusted documents that the threshold lets go.
 TRUSTED_LOSS = 0.002
 
+#: Intervals that a column's range is cut into in search of a quantile, and rows that the driver may sort.
+INTERVALS, SORTED_ROWS = 1024, 10_000
+
 _SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -86,9 +89,10 @@ def statistics(docs: DataFrame, ratios: list[float]) -> DataFrame:
 
 def _ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> list[float]:
     """log p(bucket | target) / p(bucket | corpus), from the bucket counts of all documents."""
-    marked = docs.join(F.broadcast(trusted), "doc_id", "left").select(
-        F.coalesce("trusted", F.lit(0)).alias("t"), F.explode(_grams(_words(F.coalesce(F.col("text"), F.lit(""))), buckets)).alias("b")
-    )
+    # the build side has ids only; null ids are never trusted and stay where they are
+    known = docs.where("doc_id IS NOT NULL").join(trusted.withColumn("t", F.lit(1)).hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("t", F.lit(0)).alias("t"))
+    marked = known.unionByName(docs.where("doc_id IS NULL").select("text", F.lit(0).alias("t")))
+    marked = marked.select("t", F.explode(_grams(_words(F.coalesce(F.col("text"), F.lit(""))), buckets)).alias("b"))
     target, raw = [0.0] * buckets, [0.0] * buckets
     for r in marked.groupBy("b").agg(F.sum("t").alias("target"), F.count("*").alias("raw")).collect():
         target[r.b], raw[r.b] = float(r.target), float(r.raw)
@@ -98,15 +102,42 @@ def _ratios(docs: DataFrame, trusted: DataFrame, buckets: int) -> list[float]:
     return [math.log((t + buckets * p) / (n_target + buckets)) - math.log(p) for t, p in zip(target, prior)]
 
 
-def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED, loss: float = TRUSTED_LOSS) -> DataFrame:
+def _quantile(rows: DataFrame, share: float) -> float | None:
+    """The exact quantile of column x, between neighbours in proportion, by counts over ever smaller
+    intervals: the driver gets INTERVALS or SORTED_ROWS rows at once, and no task gets all. None without rows."""
+    ends = rows.agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if not ends.n:
+        return None
+
+    def value(rank: int) -> float:
+        n, lo, hi = ends.n, ends.lo, ends.hi
+        while lo < hi:
+            inside = rows.where(F.col("x").between(lo, hi))
+            if n <= SORTED_ROWS:
+                return sorted(r.x for r in inside.collect())[rank]
+            part = F.least(F.floor((F.col("x") - lo) / F.lit(hi - lo) * INTERVALS), F.lit(INTERVALS - 1)).alias("part")
+            for r in sorted(inside.groupBy(part).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()):
+                if rank < r.n:
+                    n, lo, hi = r.n, r.lo, r.hi
+                    break
+                rank -= r.n
+        return lo
+
+    place = (ends.n - 1) * share
+    low = value(math.floor(place))
+    return low if place == math.floor(place) else low + (place - math.floor(place)) * (value(math.ceil(place)) - low)
+
+
+def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, loss: float = TRUSTED_LOSS) -> DataFrame:
     """Statistics, base rules and verdict of every document.
 
-    Target: the multinomial of hashed word unigrams and bigrams of at most trusted_rows documents
-    labelled quality 1, those with the least hashes of their ids (a bounded broadcast). Raw: that of
-    all documents. A document's score is the mean log ratio of its n-grams; it is kept if the score
-    is not under the `loss` quantile of the trusted documents' scores, lowered by three standard
-    errors, so that short texts aren't judged by chance, and it passes the base rules. Only
-    DataFrame functions are used; texts are never shuffled, and the driver gets one row a bucket.
+    Target: the multinomial of hashed word unigrams and bigrams of all documents labelled quality 1.
+    Raw: that of all documents. A document's score is the mean log ratio of its n-grams; it is kept
+    if the score is not under the `loss` quantile of all trusted documents' scores, lowered by three
+    standard errors, so that short texts aren't judged by chance, and it passes the base rules. Only
+    DataFrame functions are used; texts are shuffled once, to be joined with the trusted ids, and
+    the driver gets one row a bucket. Statistics and scores are written to the shared folder, where
+    the quantile is read from them.
 
     Null text has no words and fails. Without any trusted document the ratios are 0 and the base
     rules decide. Null ids are never trusted; equal rows each get their row; several labels of one
@@ -114,15 +145,14 @@ def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_
     """
     docs = docs.select("doc_id", "text")
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    trusted = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows).withColumn("trusted", F.lit(1))
     ratios = _ratios(docs, trusted, buckets)
     grams = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
     # spread of one n-gram's ratio over the corpus' buckets
     spread = math.sqrt(sum(x * x for x in ratios) / len(ratios))
     eased = F.col("score") + 3 * spread / F.sqrt(grams)
-    known = docs.join(F.broadcast(trusted), "doc_id").select(_let(_words(F.coalesce(F.col("text"), F.lit(""))), lambda w: F.struct(F.size(w).alias("n_words"), _mean_ratio(w, ratios).alias("score"))).alias("w")).select("w.*")
-    limit = known.where("n_words >= 10").agg(F.percentile(eased, F.lit(loss)).alias("x")).first().x
-    scored = statistics(docs, ratios)
+    scored = write(statistics(docs, ratios))
+    known = scored.where("n_words >= 10").select("doc_id", eased.alias("x")).join(trusted.hint("shuffle_hash"), "doc_id")
+    limit = _quantile(write(known.select("x")), loss)
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (eased >= F.lit(limit if limit is not None else -1e300))).alias("kept"), "score",

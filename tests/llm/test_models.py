@@ -130,6 +130,57 @@ def test_quality_against_brute_force(spark, tables):
     assert q.quality(docs.limit(0), labels).count() == 0 and q.quality(odd(spark), labels.limit(0)).count() == len(ODD)
 
 
+def test_quality_target_of_all_trusted_documents(spark):
+    import math
+
+    import numpy as np
+
+    from almanack.llm import quality as q
+
+    # more than 20,000 trusted documents, one in 25 of another kind, and others that nobody trusts
+    kinds = ["one two three four five six seven eight nine ten eleven", "red green blue black white grey pink brown gold teal lime mint", "buy now cheap pills click here win cash fast free money today"]
+    kind = lambda i: 2 if i >= 25000 else int(i % 25 == 0)
+    docs = spark.createDataFrame([(i, kinds[kind(i)]) for i in range(26000)], "doc_id long, text string")
+    labels = spark.range(25000).selectExpr("id AS doc_id", "1 AS quality")
+    got = q.quality(docs, labels).collect()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split()]
+        two = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(h, h[1:])]
+        return [signed(x) % q.BUCKETS for x in h + two]
+
+    raw, target, bags, b = Counter(), Counter(), [grams(k) for k in kinds], q.BUCKETS
+    for bag, n, n_trusted in zip(bags, (24000, 1000, 1000), (24000, 1000, 0)):
+        for g in bag:
+            raw[g] += n
+            target[g] += n_trusted
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    prior = [(raw[i] + 1) / (n_raw + b) for i in range(b)]
+    ratio = [math.log((target[i] + b * prior[i]) / (n_target + b)) - math.log(prior[i]) for i in range(b)]
+    score = [sum(ratio[g] for g in bag) / len(bag) for bag in bags]
+    spread = math.sqrt(sum(x * x for x in ratio) / b)
+    eased = [s + 3 * spread / math.sqrt(len(bag)) for s, bag in zip(score, bags)]
+    limit = np.quantile([eased[kind(i)] for i in range(25000)], 0.002)
+    assert len(got) == 26000
+    for r in got:
+        assert abs(r.score - score[kind(r.doc_id)]) < 1e-5 and r.kept == (eased[kind(r.doc_id)] >= limit - 1e-6)
+
+
+def test_quantile(spark):
+    import random
+
+    import numpy as np
+
+    from almanack.llm.quality import _quantile
+
+    draw = random.Random(5)
+    for values in ([1.5], [2.0] * 30000, [draw.gauss(0, 1) for _ in range(25000)] + [-1e9, 1e9] + [0.25] * 12000):
+        rows = spark.createDataFrame([(v,) for v in values], "x double")
+        assert all(abs(_quantile(rows, p) - np.quantile(values, p)) < 1e-9 * max(1, abs(np.quantile(values, p))) for p in (0, 0.002, 0.5, 1))
+    assert _quantile(rows.limit(0), 0.5) is None
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
