@@ -6,11 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from almanack.llm.session import write
 from almanack.llm.textkit import LOWER, NOT_ITEM_WORD, SLICE_BYTES, U64, WordHasher, byte_set, row_starts, text_slices, word_bounds
 
-#: Labelled texts of each class, by the order of a hash of their ids, that the model is fitted on;
-#: the driver holds no more than these, each cut to TEXT_BYTES for fitting only.
-ROWS_PER_CLASS, TEXT_BYTES = 4000, 1 << 16
+#: Labelled texts of each class, by the order of a hash of their ids, that the model is fitted on.
+#: They stay whole in the tasks; the driver holds their distinct entries and features.
+ROWS_PER_CLASS = 4000
 #: Bytes of the word prefixes that may enter the lexicon; 0 is the whole word.
 PREFIXES = (0, 4, 5, 6)
 #: Fixed list: second-person pronouns of common languages.
@@ -35,18 +36,21 @@ def _entries(hasher: WordHasher, data: np.ndarray, starts: np.ndarray, ends: np.
     return out
 
 
-def learn_lexicon(texts: list[bytes], toxic: np.ndarray, least: int = 3, odds: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
+def text_entries(data: np.ndarray, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct entries of one whole text, and how often each occurs, up to three times."""
+    data = LOWER[data]
+    starts, ends, _ = word_bounds(data, np.array([0, len(data)]), NOT_ITEM_WORD)
+    found, times = np.unique(np.concatenate(_entries(hasher, data, starts, ends)), return_counts=True)
+    return found[found != 0], np.minimum(times[found != 0], 3)
+
+
+def learn_lexicon(entries: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, least: int = 3, odds: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and weights (log-odds of occurrence in toxic texts) of words and prefixes.
 
     An entry's occurrences, up to three a text, must be unlikely to fall in toxic texts by chance
     given the number of candidates, so that a small sample yields a small lexicon.
     """
-    hasher, seen = WordHasher(), []
-    for i, text in enumerate(texts):
-        data = LOWER[np.frombuffer(text, np.uint8)]
-        starts, ends, _ = word_bounds(data, np.array([0, len(data)]), NOT_ITEM_WORD)
-        found, times = np.unique(np.concatenate(_entries(hasher, data, starts, ends)), return_counts=True)
-        seen.append((found[found != 0], np.minimum(times[found != 0], 3), i))
+    seen = [(found, times, i) for i, (found, times) in enumerate(entries)]
     if not seen:
         return np.zeros(0, U64), np.zeros(0)
     hashes, times = np.concatenate([s for s, _, _ in seen]), np.concatenate([x for _, x, _ in seen])
@@ -186,35 +190,28 @@ def isotonic(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarra
 
 
 class ToxicityModel:
-    """Lexicon, trees and calibration from labelled texts; `rate` is the share of label 1 in all labels."""
+    """Lexicon, trees and calibration from labelled texts; `rate` is the share of label 1 in all labels.
+
+    entries has each text's text_entries; measure(lexicons) gives a texts x lexicons x FEATURES array.
+    """
 
-    def __init__(self, texts: list[bytes], toxic: np.ndarray, folds: np.ndarray, rate: float):
+    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, folds: np.ndarray, rate: float, measure):
         self.rate, self.model = rate, None
-        if len(texts) < 10 or not 0 < toxic.mean() < 1:
+        if len(entries) < 10 or not 0 < toxic.mean() < 1:
             return
         w = np.where(toxic == 1, rate / toxic.mean(), (1 - rate) / (1 - toxic.mean()))
-        x, raw = np.zeros((len(texts), FEATURES)), np.zeros(len(texts))
+        raw = np.zeros(len(entries))
         # the lexicon that a row's features come from, and the trees that its calibration score
         # comes from, have not seen its label
-        for fold in (0, 1):
-            lexicon = learn_lexicon([t for t, f in zip(texts, folds) if f != fold], toxic[folds != fold])
-            rows = np.flatnonzero(folds == fold)
-            x[rows] = self._features([texts[i] for i in rows], lexicon)
+        lexicons = [learn_lexicon([e for e, f in zip(entries, folds) if f != fold], toxic[folds != fold]) for fold in (0, 1)]
+        x = measure(lexicons)[np.arange(len(entries)), folds]
         for fold in (0, 1):
             m = BoostedTrees().fit(x[folds != fold], toxic[folds != fold], w[folds != fold])
             raw[folds == fold] = m.raw(x[folds == fold])
         self.knots = isotonic(raw, toxic, w)
-        self.lexicon = learn_lexicon(texts, toxic)
+        self.lexicon = learn_lexicon(entries, toxic)
         self.model = BoostedTrees().fit(x, toxic, w)
 
-    @staticmethod
-    def _features(texts: list[bytes], lexicon) -> np.ndarray:
-        hasher, out = WordHasher(), [np.zeros((0, FEATURES))]
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
-        for _, raw, off in text_slices(iter([batch])):
-            out.append(features(raw, off, lexicon, hasher))
-        return np.concatenate(out)
-
     def scores(self, data: np.ndarray, off: np.ndarray, hasher: WordHasher) -> np.ndarray:
         if self.model is None:
             return np.full(len(off) - 1, self.rate)
@@ -228,11 +225,35 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     share = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = [marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for y in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])
-    text = F.substring(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 1, TEXT_BYTES)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", text.alias("text"))
-    sample = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    texts, toxic = sample.column("text").to_pylist(), sample.column("toxic").to_numpy().astype(float)
-    return ToxicityModel([bytes(t) for t in texts], toxic, np.arange(len(texts)) % 2, share.get(1, 0) / max(1, sum(share.values())))
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", text.alias("text"))
+    # whole texts, read twice by the tasks
+    sample = write(sample.withColumn("hash", F.xxhash64("text")))
+    kind, order = dict(sample.dtypes)["doc_id"], [("doc_id", "ascending"), ("hash", "ascending")]
+
+    def listed(values: list[np.ndarray], dtype) -> pa.ListArray:
+        return pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, values)]), pa.array(np.concatenate(values).astype(dtype))).cast(pa.list_(pa.from_numpy_dtype(dtype)))
+
+    def count(batches):
+        hasher = WordHasher()
+        for batch, raw, off in text_slices(batches):
+            entries = [text_entries(raw[a:b], hasher) for a, b in zip(off[:-1], off[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), batch.column("toxic").cast(pa.int32()), listed([e.view(np.int64) for e, _ in entries], np.int64), listed([n for _, n in entries], np.int8)], ["doc_id", "hash", "toxic", "entries", "times"])
+
+    def measure(lexicons) -> np.ndarray:
+        def run(batches):
+            hasher = WordHasher()
+            for batch, raw, off in text_slices(batches):
+                x = np.column_stack([features(raw, off, lexicon, hasher) for lexicon in lexicons])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), listed(list(x), np.float64)], ["doc_id", "hash", "x"])
+
+        found = sample.mapInArrow(run, f"doc_id {kind}, hash long, x array<double>").toArrow().sort_by(order)
+        return np.array(found.column("x").combine_chunks().flatten()).reshape(found.num_rows, len(lexicons), FEATURES)
+
+    found = sample.mapInArrow(count, f"doc_id {kind}, hash long, toxic int, entries array<long>, times array<tinyint>").toArrow().sort_by(order)
+    lists = [[np.array(x.values) for x in found.column(c)] for c in ("entries", "times")]
+    entries = [(e.view(U64), n.astype(np.int64)) for e, n in zip(*lists)]
+    return ToxicityModel(entries, found.column("toxic").to_numpy().astype(float), np.arange(len(entries)) % 2, share.get(1, 0) / max(1, sum(share.values())), measure)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep_clean: bool = False) -> DataFrame:

@@ -67,6 +67,16 @@ def test_toxicity(spark, tables):
     assert toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    from almanack.llm.toxicity import toxicity
+
+    # what tells the labels apart stands after 80,000 bytes
+    docs = spark.range(120).selectExpr("id AS doc_id", "concat(repeat('plain words of no note ', 3500), IF(id % 3 = 0, 'grobian lout grobian', 'gentle host gentle')) AS text")
+    labels = spark.range(120).selectExpr("id AS doc_id", "IF(id % 3 = 0, 1, 0) AS toxic")
+    rows = toxicity(docs, labels).collect()
+    assert len(rows) == 120 and all(r.predicted == (r.doc_id % 3 == 0) for r in rows)
+
+
 def test_trees_and_isotonic_regression():
     import numpy as np
 
