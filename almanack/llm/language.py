@@ -10,8 +10,8 @@ from almanack.llm.textkit import text_slices
 
 #: Hash bins of byte trigrams.
 BINS = 1 << 14
-#: Labelled documents (about) and languages that the model is learned from.
-ROWS_PER_LANGUAGE, LANGUAGES = 2000, 200
+#: Labelled documents (about) of each language that the model is learned from.
+ROWS_PER_LANGUAGE = 2000
 #: Lower-cased letters and bytes of longer characters stay; all else is a space.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
 
@@ -25,13 +25,14 @@ def _bins(folded: np.ndarray) -> np.ndarray:
 
 
 def _learn(docs: DataFrame, rows_per_language: int) -> tuple[list[str], np.ndarray]:
-    """Languages and log-likelihood table (BINS x languages) from a hash sample of labelled rows."""
+    """All languages and log-likelihood table (BINS x languages) from a hash sample of labelled rows."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return [], np.zeros((BINS, 0))
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows_per_language / n))))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.coalesce(F.get(F.map_values(F.map_filter(share, lambda k, _: k == F.col("lang"))), F.lit(0)), F.lit(0.0)) * 1_000_003)
+    share = docs.sparkSession.createDataFrame([(lang, min(1.0, rows_per_language / n)) for lang, n in sorted(sizes.items())], "lang string, share double")
+    # one row a language, as the table of likelihoods has one column a language
+    sample = labelled.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}
@@ -96,8 +97,8 @@ def languages(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, penal
     """The main language of every whole text, and its share.
 
     Learns byte-trigram likelihoods from text and lang of rows whose crc32(doc_id as text) mod 3 is
-    not 1: about rows_per_language rows of each of the LANGUAGES most frequent languages, by a hash
-    of the id. Each text's proportions are fitted by EM over its trigram counts, and languages
+    not 1: about rows_per_language rows of each lang, by a hash of the id. The table takes 128 KB a
+    language and EM's time grows with the square of their number. Each text's proportions are fitted by EM over its trigram counts, and languages
     dropped while the penalised likelihood allows. Returns doc_id, held_out, lang_pred (largest
     share, least name on ties) and score (that share); with mixtures=True also the map of shares.
 

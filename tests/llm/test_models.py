@@ -40,6 +40,20 @@ def test_language(spark, tables):
     assert languages(docs.limit(0)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    import random
+
+    from almanack.llm.language import languages
+
+    draw = random.Random(3)
+    texts = [" ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)) for _ in range(206)]
+    rows = [(206 * j + i, t, f"l{i:03d}") for i, t in enumerate(texts) for j in range(9)]
+    got = languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {d: lang for d, _, lang in rows}
+    assert {want[r.doc_id] for r in got if not r.held_out} == set(want.values())
+    assert len(got) == len(rows) and all(r.lang_pred == want[r.doc_id] for r in got)
+
+
 def test_mixture_of_two_languages():
     import numpy as np
 
