@@ -23,8 +23,8 @@ PACK_BYTES = 16 << 20
 class ChunkEncoder:
     """Ids of whole texts from remembered ids of space-delimited chunks.
 
-    Right for vocabularies that drop white space and never join across it. A chunk of letters with
-    one closing mark is looked up without it, so that "word" and "word." share an entry.
+    Right for vocabularies that drop white space and never join across it. A chunk of ASCII letters
+    with one closing mark is looked up without it, so that "word" and "word." share an entry.
     """
 
     MARKS = b".,;:!?"
@@ -44,15 +44,21 @@ class ChunkEncoder:
             self.cores.clear()
             new = chunks
         split: dict[bytes, tuple[str, str]] = {}
+        whole: dict[bytes, str] = {}
         for chunk in new:
             text = chunk.decode("utf-8", "replace")
             core, mark = (text[:-1], text[-1]) if text[-1:] in ".,;:!?" else (text, "")
-            # letters only and alike when lowered: one word whatever stands after it
-            split[chunk] = (core.lower(), mark) if core.isascii() and core.isalpha() else (core, mark) if core.isalpha() else (text, "")
+            # ASCII letters only: one word whatever stands after it; the vocabulary's normaliser may
+            # turn other letters into some that end in a combining mark, which joins what follows
+            if core.isascii() and core.isalpha():
+                split[chunk] = (core.lower(), mark)
+            else:
+                whole[chunk] = text
         wanted = list({x for pair in split.values() for x in pair if x} - self.cores.keys())
         self.cores.update(zip(wanted, self._ids(wanted)))
         self.cores[""] = b""
         self.known.update((chunk, self.cores[core] + self.cores[mark]) for chunk, (core, mark) in split.items())
+        self.known.update(zip(whole, self._ids(list(whole.values()))))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         chunks = [t.split() for t in texts]

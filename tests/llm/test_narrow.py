@@ -46,6 +46,18 @@ def test_packing_round_trip(spark, docs):
         assert at == total <= 2048 and at & (at - 1) == 0
 
 
+def test_packing_letters_that_become_marks(spark):
+    from almanack.llm.packing import pack
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = [f"ab{c}{mark} {c}{mark}" for c in ("\u0130", "\u0958", "\u00e9", "\u1e9e") for mark in ".,;:!?"]
+    got = defaultdict(list)
+    for r in sorted(pack(frame(spark, texts), path, tokens=True).collect(), key=lambda r: (r.doc_id, r.start)):
+        got[r.doc_id] += r.ids
+    assert got == {i: library.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+
+
 def test_packing_plan_keeps_every_token():
     from almanack.llm.packing import plan
 
