@@ -16,7 +16,7 @@ WINDOW = 13
 BLOCK_BYTES = 16 << 20
 
 
-def _windows_of(items: list[tuple[str, bytes]], window: int) -> dict[int, dict[int, list[tuple[bytes, tuple[str, ...]]]]]:
+def _windows_of(items: list[tuple[str | None, bytes]], window: int) -> dict[int, dict[int, list[tuple[bytes, tuple[str, ...]]]]]:
     """{words in the window: {hash: [(its words joined by a space, ids of its items)]}}."""
     owners: dict[bytes, set[str]] = defaultdict(set)
     lengths: dict[bytes, int] = {}
@@ -28,7 +28,7 @@ def _windows_of(items: list[tuple[str, bytes]], window: int) -> dict[int, dict[i
         size = min(window, len(words))
         for i in range(len(words) - size + 1 if size else 0):
             joined = b" ".join(words[i : i + size])
-            owners[joined].add(item_id)
+            owners[joined].update(() if item_id is None else (item_id,))
             lengths[joined] = size
     hasher, by_length = WordHasher(), defaultdict(lambda: defaultdict(list))
     for joined, ids in owners.items():
@@ -42,7 +42,7 @@ def _windows_of(items: list[tuple[str, bytes]], window: int) -> dict[int, dict[i
 def _blocks(benchmark: DataFrame, limit: int):
     """Lists of (id, text bytes) of at most limit bytes, or one item, streamed to the driver."""
     block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).where("t IS NOT NULL")
     for row in rows.toLocalIterator():
         if block and size + len(row.t) > limit:
             yield block
@@ -62,8 +62,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
 
     Adds n_words, n_hit, n_items, items_sha256 and contaminated. With clean="spans" it instead
     returns docs with hit words cut out of contaminated rows' texts, with clean="documents" docs
-    without contaminated rows; both keep all columns. Null text has no words; null ids of items
-    and null items are ignored; equal rows each get their result; an empty benchmark hits nothing.
+    without contaminated rows; both keep all columns. Null text has no words; words of an
+    item without an id are hits, but it is in neither n_items nor items_sha256; null items are ignored;
+    equal rows each get their result; an empty benchmark hits nothing.
     """
     columns = docs.columns
     if clean is None:

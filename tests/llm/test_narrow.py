@@ -131,6 +131,19 @@ def test_decontamination_against_brute_force(spark, block):
     assert scan(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 1 << 20])
+def test_decontamination_by_items_without_an_id(spark, block):
+    from almanack.llm.decontaminate import scan
+
+    words = " ".join(f"w{i}" for i in range(20))
+    docs = frame(spark, [words, "short one", "other words", "known item"])
+    bench = spark.createDataFrame([(None, words), (None, "short one"), (7, "known item"), (None, "known item"), (None, None)], "item_id long, text string")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    got = {r.doc_id: tuple(r)[1:] for r in scan(docs, bench, block_bytes=block).collect()}
+    assert got == {0: (20, 20, 0, sha(""), True), 1: (2, 2, 0, sha(""), True), 2: (2, 0, 0, sha(""), False), 3: (2, 2, 1, sha("7"), True)}
+    assert [r.doc_id for r in scan(docs, bench, block_bytes=block, clean="documents").collect()] == [2]
+
+
 def test_byte_shards(spark):
     from almanack.llm.shards import byte_shards
 
