@@ -100,19 +100,39 @@ def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
 def spherical_kmeans(rows: DataFrame, k: int, rounds: int = 25, seed: int = 1) -> DataFrame:
     """(id, cluster, sim) by cosine k-means; centres, k vectors, are kept on the driver.
 
-    Seeds are k-means++ choices over a hash-ordered sample of 1,000 rows; each round sums vectors by
+    Seeds are k-means++ choices over all rows, one pass a seed: the row of least -ln(u) / distance,
+    u by a hash of its id, which draws in proportion to the distance. Each round sums vectors by
     cluster where they lie and stops when every centre moves by a cosine of 0.999999 or more.
     """
-    sample = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(1000).select("vector").collect()
-    x = np.array([r.vector for r in sample], np.float64)
-    if not len(x):
+    first = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").select("vector").first()
+    if first is None:
         return rows.select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("sim"))
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rng, centres = np.random.default_rng(seed), [x[0]]
-    while len(centres) < min(k, len(x)):
-        far = np.maximum(0, 1 - (x @ np.array(centres).T).max(1))
-        centres.append(x[rng.choice(len(x), p=far / far.sum())] if far.sum() > 1e-12 else x[rng.integers(len(x))])
-    centres = np.array(centres)
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
+    centres = unit(np.array(first.vector, np.float64))[None]
+
+    def draw(c):
+        def run(batches):
+            best = None
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                v = unit(np.stack(pdf["vector"].to_numpy()).astype(np.float64))
+                far = np.maximum(0, 1 - (v @ c.T).max(1))
+                key = np.where(far > 1e-12, -np.log(pdf["u"].to_numpy()) / np.maximum(far, 1e-12), np.inf)
+                i = np.lexsort((pdf["id"].to_numpy(), key))[0]
+                if np.isfinite(key[i]) and (best is None or (key[i], pdf["id"].iloc[i]) < best[:2]):
+                    best = (key[i], pdf["id"].iloc[i], v[i])
+            if best:
+                yield pd.DataFrame({"key": [best[0]], "id": [best[1]], "v": [best[2]]})
+
+        return run
+
+    while len(centres) < k:
+        u = (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(len(centres))), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        row = rows.select("id", "vector", u.alias("u")).mapInPandas(draw(centres), f"key double, id {dict(rows.dtypes)['id']}, v array<double>").orderBy("key", "id").first()
+        if row is None:  # every row lies on a centre
+            break
+        centres = np.vstack([centres, row.v])
 
     def assign(c):
         def run(batches):

@@ -138,3 +138,14 @@ def test_samples(spark):
     assert [r.id for r in K.stride_sample(rows, "g", ["id"], 5).where("g = 0").orderBy("id").collect()] == [0, 20, 40, 60, 80]
     named = spark.createDataFrame([(1000,), (1240,), (3000,)], "y int").select(K.chapter_of(F.col("y"), [("a", 900, 1100), ("b", 1100, 1200)]).alias("c"))
     assert [r.c for r in named.collect()] == ["a", None, None]
+
+
+def test_kmeans_seeds_over_all_rows(spark):
+    from almanack.operators.vectors import spherical_kmeans
+
+    # four rows of 5,000 point elsewhere
+    rows = spark.range(5000).selectExpr("id", "IF(id % 1250 = 7, array(0d, 1d, 0d), array(1d, 0d, 0d)) AS vector")
+    got = spherical_kmeans(rows, 2).collect()
+    far = {r.cluster for r in got if r.id % 1250 == 7}
+    assert len(got) == 5000 and len(far) == 1 and not far & {r.cluster for r in got if r.id % 1250 != 7}
+    assert all(r.sim > 0.999999 for r in got)
