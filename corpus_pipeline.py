@@ -53,7 +53,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Trees, components and a tokenizer's ids aren't SQL; tests/llm compares run() with a brute-force version.
+#: Trees, components and a tokenizer's ids aren't SQL; tests/llm compares run() with its stages applied one by
+#: one, and each stage's operator, not run() as a whole, with brute force or held-out rows.
 ORACLE_SQL = None
 
 
