@@ -122,6 +122,14 @@ def find_date_text(text: str | None, mode: str = "default") -> str | None:
     return None
 
 
+def text_dates(text: str | None) -> list[tuple[str, int, int]] | None:
+    """(date, start, end) of every sentence of a whole text that has a plausible date; null text: None."""
+    if text is None:
+        return None
+    found = [find_date_text(s, "loose") for s in re.split(r"\n+|(?<=[.!?])\s+(?=[A-ZÀ-ÖØ-Þ])", text)]
+    return [(f, *span) for f in found if f and (span := parse_years_text(f))]
+
+
 def year_label(y: Column) -> Column:
     """1914; 44 BC; 66 million years ago (three significant figures)."""
     age = -y.cast("double")

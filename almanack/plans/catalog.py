@@ -636,8 +636,9 @@ def page_text(t):
 
 @query()
 def found_dates(t):
-    years = F.regexp_extract_all("text", F.lit(r"\b(1\d{3}|20\d{2})\b"), F.lit(1))
-    return t.documents.select("doc_id", years.alias("y")).select("doc_id", F.size("y").alias("n"), F.array_min(F.transform("y", lambda x: x.cast("long"))).alias("first_year"))
+    spans = F.udf(D.text_dates, "array<struct<found: string, start: bigint, end: bigint>>")
+    found = t.documents.select("doc_id", spans("text").alias("spans"))
+    return found.select("doc_id", F.size("spans").alias("n"), F.array_min(F.transform("spans", lambda x: x["start"])).alias("first_year"), "spans")
 
 
 @query("""SELECT conv_id, count(*) AS turns, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, arg_min(text, turn) AS first_text FROM conversations GROUP BY conv_id""")

@@ -149,3 +149,17 @@ def test_kmeans_seeds_over_all_rows(spark):
     far = {r.cluster for r in got if r.id % 1250 == 7}
     assert len(got) == 5000 and len(far) == 1 and not far & {r.cluster for r in got if r.id % 1250 != 7}
     assert all(r.sim > 0.999999 for r in got)
+
+
+def test_found_dates_over_documents(spark, tmp_path):
+    from almanack.plans import catalog
+
+    texts = ["Rome was founded in 753 BC by two. It held 1500 people. The war of 1914 began.\nIt ended in 1918.", "Nothing here", None, "Life began 3 million years ago."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n, r.first_year, r.spans) for r in catalog.QUERIES["found_dates"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts[:2]):
+        found = [find_date_text(s, "loose") for s in text.replace("\n", " ").replace(". ", ".|").split("|")]
+        want = [(f, *parse_years_text(f)) for f in found if f]
+        assert [tuple(x) for x in got[i][2]] == want and got[i][0] == len(want)
+    assert got[0][:2] == (3, -753) and [x.start for x in got[0][2]] == [-753, 1914, 1918]
+    assert got[3][0] == 1 and got[3][1] < -2_900_000 and got[2][1] is None
