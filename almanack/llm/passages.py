@@ -13,9 +13,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from almanack.llm.session import write
+from almanack.llm.session import drop, write
 from almanack.llm.textkit import BYTE_BASE, BYTE_VALUES, SPACES, U64, WORD_BASE, Rolling, WordHasher, row_starts, text_slices, word_bounds
 
 #: Bytes of contexts indexed together; a shard grows beyond it only to hold one anchor's contexts.
@@ -89,8 +89,26 @@ class Anchors:
         return row, low - first[row], high - low + 1, mine.view(np.int64), context.view(np.int64)
 
 
+def sealed(docs: DataFrame) -> DataFrame:
+    """docs as doc_id, text and rest, a struct of all other columns, whose names can't clash with any."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    at = {name: docs.columns.index(name) for name in ("doc_id", "text")}
+    rest = [f"c{i}" for i in range(len(docs.columns)) if i not in at.values()]
+    return plain.select(*(F.col(f"c{i}").alias(name) for name, i in at.items()), F.struct(F.lit(0).alias("none"), *rest).alias("rest"))
+
+
+def unsealed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, under their names and in their order."""
+    own = ("doc_id", "text")
+    found = [F.col(c) if c in own and docs.columns.index(c) == i else F.col(f"rest.c{i}") for i, c in enumerate(docs.columns)]
+    return rows.select(*(c.alias(f"c{i}") for i, c in enumerate(found))).toDF(*docs.columns)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with a key: _d, the id (null: least long), and _t, a hash of the text for rows that share an id."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"doc_id must be a whole number, not {kind.simpleString()}: number the rows first")
     return docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_t": F.shiftright(F.xxhash64(F.col("text")), 32).cast("int")})
 
 
@@ -100,9 +118,10 @@ _ANCHOR = "ah long, ch long, d long, t int, pos int, wins int"
 def occurrences(docs: DataFrame, window: int, k: int, words: bool, keep: bool) -> DataFrame:
     """Anchors that occur at least twice: ah, ch, d, t, pos, wins. Written to the shared folder.
 
-    Anchor counts are summed before their shuffle; the join on the anchor is one that Spark can
-    split where an anchor is frequent. keep: write all anchors once instead of finding them again
-    for the join, which pays where they are few.
+    Anchor counts are summed before their shuffle. Anchors that occur twice are written, so that both
+    sides of the join on the anchor are plain tables and Spark can split it where one is frequent.
+    keep: write all anchors once instead of finding them again for the join, which pays where they
+    are few.
     """
 
     def run(batches):
@@ -115,10 +134,15 @@ def occurrences(docs: DataFrame, window: int, k: int, words: bool, keep: bool) -
                 ["ah", "ch", "d", "t", "pos", "wins"],
             )
 
-    found = keyed(docs).where(F.col("text").isNotNull()).select("_d", "_t", "text").mapInArrow(run, _ANCHOR)
-    found = write(found) if keep else found
-    twice = found.groupBy("ah").agg(F.count("*").alias("n")).where("n > 1").select("ah")
-    return write(found.join(twice, "ah"))
+    texts = keyed(docs.select("doc_id", "text")).where(F.col("text").isNotNull()).select("_d", "_t", "text")
+    find = lambda: texts.mapInArrow(run, _ANCHOR)
+    found = write(find()) if keep else find()
+    twice = write(found.groupBy("ah").agg(F.count("*").alias("n")).where("n > 1").select("ah"))
+    repeated = write((found if keep else find()).join(twice.hint("merge"), "ah"))
+    drop(twice)
+    if keep:
+        drop(found)
+    return repeated
 
 
 def contexts(docs: DataFrame, found: DataFrame, window: int, words: bool) -> DataFrame:
@@ -150,7 +174,7 @@ def contexts(docs: DataFrame, found: DataFrame, window: int, words: bool) -> Dat
                     bodies.append(raw[off[r] + a : off[r] + b])
             yield pa.RecordBatch.from_arrays([ah, ch, n, batch.column("_d").take(pa.array(row)), pos, wins, pa.array(bodies, pa.binary())], ["ah", "ch", "n", "d", "pos", "wins", "body"])
 
-    return keyed(docs).select("_d", "_t", "text").join(wanted, ["_d", "_t"]).mapInArrow(run, "ah long, ch long, n long, d long, pos int, wins int, body binary")
+    return keyed(docs.select("doc_id", "text")).select("_d", "_t", "text").join(wanted, ["_d", "_t"]).mapInArrow(run, "ah long, ch long, n long, d long, pos int, wins int, body binary")
 
 
 def unlike(shard: dict) -> np.ndarray:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -12,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, named in spark.checkpoint.dir.
 
-    Only where that setting is absent, as in tests on one machine, a temporary folder is made.
+    Only where that setting is absent on one machine, as in tests, a temporary folder is made.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -26,19 +28,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Spark's own setting that removes an execution's shuffle files when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write(df: DataFrame) -> DataFrame:
     """Write df as a compressed table in the shared folder and read on from there.
 
-    Smaller than a checkpoint, but rows come back in any order. The shuffle files of what was written
-    are let go, so that a job's steps don't add up on disk.
+    Smaller than a checkpoint, but rows come back in any order. Spark removes the shuffle files of
+    this execution when it ends, so that a job's steps don't add up on disk; df itself must not be
+    used again, but for what is derived from its sources anew.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    df = None
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    written = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    written.almanack_path = path
+    return written
+
+
+def drop(written: DataFrame) -> None:
+    """Delete a table that write() returned and that nothing will read again."""
+    context = written.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(written.almanack_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

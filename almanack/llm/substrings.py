@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from almanack.llm.fm_index import FMIndex
-from almanack.llm.passages import by_shard, contexts, keyed, occurrences, part, unlike
-from almanack.llm.session import write
+from almanack.llm.passages import by_shard, contexts, keyed, occurrences, part, sealed, unlike, unsealed
+from almanack.llm.session import drop, write
 from almanack.llm.textkit import SPACES, covered, text_slices, word_bounds
 
 WINDOW, K = 20, 10
@@ -72,7 +72,10 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFr
     first = write(by_shard(contexts(docs, found, window, words=True), lambda shard: earliest(shard, window), "ah long, ch long, fd array<long>, fp array<int>"))
     late = F.filter(F.sequence(F.lit(0), F.col("wins") - 1), lambda i: (F.get("fd", i) < F.col("d")) | ((F.get("fd", i) == F.col("d")) & (F.get("fp", i) < F.col("pos") + i)))
     joined = found.join(first, ["ah", "ch"]).select("d", "t", F.transform(late, lambda i: F.col("pos") + i).alias("s")).where(F.size("s") > 0)
-    return joined.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.flatten(F.collect_list("s")).alias("_starts"))
+    starts = write(joined.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.flatten(F.collect_list("s")).alias("_starts")))
+    drop(found)
+    drop(first)
+    return starts
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, texts: bool = False) -> DataFrame:
@@ -88,13 +91,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, texts: bo
     the words cut out of text, each with the white space after it, in all columns; texts that lose
     nothing stay as they are.
 
-    Null text has no words. Null ids come before all others. Rows of one id and equal texts count as
+    Ids are whole numbers of any width. Null text has no words. Null ids come before all others. Rows of one id and equal texts count as
     one place and get equal results; rows of one id with different texts are ordered by word number
     alone. Texts of fewer words than a window lose nothing; an empty table gives no rows.
     """
     starts = repeated_starts(docs, window, k)
-    joined = keyed(docs if texts else docs.select("doc_id", "text")).join(starts, ["_d", "_t"], "left").drop("_d", "_t")
-    names = [c for c in joined.columns if c != "_starts"]
+    rows = sealed(docs) if texts else docs.select("doc_id", "text")
+    joined = keyed(rows).join(starts, ["_d", "_t"], "left").drop("_d", "_t")
+    names = rows.columns
 
     def removals(batches):
         for batch, data, off in text_slices(batches):
@@ -131,6 +135,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, texts: bo
             yield pa.RecordBatch.from_arrays([pa.array(out, batch.column("text").type) if c == "text" else batch.column(c) for c in names], names)
 
     if texts:
-        return joined.mapInArrow(cleaned, docs.schema)
+        return unsealed(joined.mapInArrow(cleaned, rows.schema), docs)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     return joined.mapInArrow(digest, schema)

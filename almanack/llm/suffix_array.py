@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from almanack.llm.passages import by_shard, contexts, keyed, occurrences, part, unlike
-from almanack.llm.session import write
+from almanack.llm.passages import by_shard, contexts, keyed, occurrences, part, sealed, unlike, unsealed
+from almanack.llm.session import drop, write
 from almanack.llm.textkit import BYTE_BASE, BYTE_VALUES, Rolling, covered, text_slices
 
 WINDOW, K = 400, 128
@@ -161,7 +161,10 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFram
     runs = write(by_shard(contexts(docs, found, window, words=False), lambda shard: repeated_windows(shard, window), "ah long, ch long, lo array<int>, hi array<int>"))
     shift = lambda c: F.transform(c, lambda x: x + F.col("pos"))
     joined = found.join(runs.where(F.size("lo") > 0), ["ah", "ch"]).select("d", "t", shift("lo").alias("lo"), shift("hi").alias("hi"))
-    return joined.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.flatten(F.collect_list("lo")).alias("_lo"), F.flatten(F.collect_list("hi")).alias("_hi"))
+    spans = write(joined.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.flatten(F.collect_list("lo")).alias("_lo"), F.flatten(F.collect_list("hi")).alias("_hi")))
+    drop(found)
+    drop(runs)
+    return spans
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, texts: bool = False) -> DataFrame:
@@ -176,11 +179,12 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, texts: bool
     docs. With texts=True: docs with the bytes cut out of text (a character that is cut in two goes
     as a whole), in all columns.
 
-    Null text is empty. Rows of one id and equal texts are two places, as any other equal texts are.
+    Ids are whole numbers of any width; null ids stay. Null text is empty. Rows of one id and equal texts are two places, as any other equal texts are.
     Texts shorter than the window lose nothing; an empty table gives no rows.
     """
-    joined = keyed(docs if texts else docs.select("doc_id", "text")).join(repeated_runs(docs, window, k), ["_d", "_t"], "left").drop("_d", "_t")
-    names = [c for c in joined.columns if c not in ("_lo", "_hi")]
+    rows = sealed(docs) if texts else docs.select("doc_id", "text")
+    joined = keyed(rows).join(repeated_runs(docs, window, k), ["_d", "_t"], "left").drop("_d", "_t")
+    names = rows.columns
 
     def kept(batches):
         for batch, data, off in text_slices(batches):
@@ -215,6 +219,6 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, k: int = K, texts: bool
             yield pa.RecordBatch.from_arrays([pa.array(out, batch.column("text").type) if c == "text" else batch.column(c) for c in names], names)
 
     if texts:
-        return joined.mapInArrow(cleaned, docs.schema)
+        return unsealed(joined.mapInArrow(cleaned, rows.schema), docs)
     longs = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     return joined.mapInArrow(digest, T.StructType([docs.schema["doc_id"], *longs, T.StructField("kept_sha256", T.StringType())]))

@@ -6,6 +6,7 @@ the slice limit is processed alone and in full.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator
 
@@ -24,6 +25,14 @@ def worker_state() -> dict:
     return sys.__dict__.setdefault("_almanack_state", {})
 
 
+def release() -> None:
+    """Give freed memory back to the system; Python workers are used again for other work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES):
     """Yield (batch slice, bytes as uint8, offsets from 0) of at most `limit` bytes or one row. Null: empty."""
     for batch in batches:
@@ -44,6 +53,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             hi = min(n, max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1))
             yield batch.slice(lo, hi - lo), raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             lo = hi
+    release()
 
 
 def byte_set(expr) -> np.ndarray:
