@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from almanack.llm.components import components
-from almanack.llm.passages import keyed
-from almanack.llm.session import write
+from almanack.llm.passages import keyed, sealed, unsealed
+from almanack.llm.session import drop, write
 from almanack.llm.textkit import LOWER, SPACES, U64, WordHasher, mix, row_starts, text_slices, word_bounds
 
 #: Documents, by a hash of their ids, from which frequent shingles and the size boundary are taken.
@@ -75,8 +75,8 @@ def _set_hash(s: np.ndarray) -> int:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """Parities of the elements by their low bits, in a power of two bits, two for each element or more."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    """Parities of the elements by their low bits, in a power of two bits, one for each element or more."""
+    bits = max(64, 1 << int(len(s) - 1).bit_length())
     return np.packbits((np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -269,7 +269,7 @@ def similar_sets(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100)
        Members are compared by bitmaps, in blocks, and what may be similar is joined to groups.
     4. Within a group, the sets themselves are compared, in blocks, by scanning inverted lists.
     """
-    t, docs = Threshold(num, den), keyed(docs).select("_d", "_t", "text")
+    t, docs = Threshold(num, den), keyed(docs.select("doc_id", "text")).select("_d", "_t", "text")
     frequent, top = _sample(docs, size, t)
 
     def describe(batches):
@@ -297,12 +297,13 @@ def similar_sets(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100)
     groups = groups.where("c > 1 AND (sig % 2 = 0 OR lo < hi)").select("sig", "b")
     light = sigs.join(groups, "sig").select(F.col("sh").alias("a"), "b").where("a <> b").distinct()
 
-    # others: lists of at least two distinct sets
-    tokens = sets_once.select("sh", F.explode("toks").alias("tok"))
-    counts = tokens.groupBy("tok").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sh")).alias("x")).where("c > 1")
+    # others: lists of at least two distinct sets; two whose sizes are too far apart make none
+    tokens = sets_once.select("sh", "n", F.explode("toks").alias("tok"))
+    counts = tokens.groupBy("tok").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sh")).alias("x"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    counts = counts.where((F.col("c") > 2) | ((F.col("c") == 2) & (den * F.col("lo") >= num * F.col("hi"))))
     lists = write(counts.groupBy("c", "x").agg(F.min("tok").alias("tok")).select("tok", "c"))
     bitmaps = sets_once.where("bits IS NOT NULL").select("sh", "n", "bits")
-    members = _blocked(tokens.join(lists, "tok").join(bitmaps, "sh"), "tok", "c", LIST_BLOCK)
+    members = _blocked(tokens.select("sh", "tok").join(lists, "tok").join(bitmaps, "sh"), "tok", "c", LIST_BLOCK)
 
     def candidates(batches):
         for table in _by_key(batches, 4 << 20):
@@ -344,7 +345,10 @@ def similar_sets(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100)
             yield _emit(pairs)
 
     heavy = full.select("key", "sh", "side", "s").repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
-    return rows.select("_d", "_t", "n", "sh"), components(light.unionByName(heavy))
+    links = write(light.unionByName(heavy))
+    for used in (sets_once, lists, group):
+        drop(used)
+    return rows.select("_d", "_t", "n", "sh"), components(links)
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, keep_one: bool = False) -> DataFrame:
@@ -360,26 +364,26 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     docs. With keep_one=True: the rows of docs with the least id of each component, in all columns;
     of rows of that id, the one of the least text hash.
 
-    Null and empty texts have no shingles and link with nothing; with keep_one they all stay. Null ids
+    Ids are whole numbers of any width. Null and empty texts have no shingles and link with nothing; with keep_one they all stay. Null ids
     come before all others. Equal rows are linked and keep_one keeps one; an empty table gives no rows.
     """
     rows, labels = similar_sets(docs, size, num, den)
-    named = rows.join(labels.withColumnRenamed("node", "sh"), "sh", "left").select("_d", "_t", "n", F.coalesce("label", "sh").alias("label"))
-    linked = named.where("n > 0")
-    least = linked.groupBy("label").agg(F.min(F.struct("_d", "_t")).alias("first"))
-    own = linked.join(least, "label").select("_d", "_t", "n", "first").unionByName(named.where("n = 0").select("_d", "_t", "n", F.struct("_d", "_t").alias("first")))
+    # the first document of each set, then of each component: few rows, both sides of each join plain tables
+    sets = rows.where("n > 0").groupBy("sh").agg(F.min(F.struct("_d", "_t")).alias("first"))
+    named = write(sets.join(labels.withColumnRenamed("node", "sh"), "sh", "left").select("sh", "first", F.coalesce("label", "sh").alias("label")))
+    least = write(named.groupBy("label").agg(F.min("first").alias("first")))
+    firsts = write(named.join(least.hint("merge"), "label").select("sh", least["first"]))
+    drop(named)
+    drop(least)
+    own = rows.where("n > 0").join(firsts.hint("merge"), "sh").select("_d", "_t", "n", "first").unionByName(rows.where("n = 0").select("_d", "_t", "n", F.struct("_d", "_t").alias("first")))
     if not keep_one:
         null = F.lit(-(1 << 63))
         back = lambda c: F.when(F.col(c) != null, F.col(c)).cast(docs.schema["doc_id"].dataType)
         return own.select(back("_d").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), back("first._d").alias("component_id"))
     kept = own.where((F.col("n") == 0) | ((F.col("_d") == F.col("first._d")) & (F.col("_t") == F.col("first._t"))))
-    kept = kept.groupBy("_d", "_t").agg(F.max("n").alias("_n"))
-    joined = keyed(docs).join(kept, ["_d", "_t"])
-    # equal rows of one id: one of them, but all without shingles
-    twice = joined.groupBy("_d", "_t").agg(F.count("*").alias("_c")).where("_c > 1")
-    if twice.limit(1).count():
-        from pyspark.sql import Window
-
-        order = Window.partitionBy("_d", "_t").orderBy(F.lit(0))
-        joined = joined.withColumn("_r", F.when(F.col("_n") > 0, F.row_number().over(order)).otherwise(1)).where("_r = 1")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # rows that share an id and a text hash: one of them, but all without shingles
+    kept = kept.groupBy("_d", "_t").agg(F.max("n").alias("_n"), F.count("*").alias("_c"))
+    joined = keyed(sealed(docs)).join(kept, ["_d", "_t"])
+    once = joined.where("_c = 1 OR _n = 0")
+    twice = joined.where("_c > 1 AND _n > 0").groupBy("_d", "_t").agg(F.first(F.struct("doc_id", "text", "rest")).alias("x"))
+    return unsealed(once.select("doc_id", "text", "rest").unionByName(twice.select("x.*")), docs)
