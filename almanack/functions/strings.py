@@ -7,10 +7,21 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-# Fixed list: words that carry no meaning in a search.
-STOP_WORDS = "a an and are as at be by for from has he in is it its of on or that the to was were will with".split()
-# Fixed list: letters that decomposition leaves whole, and how they are written in ASCII.
-TRANSLITERATED = {"ł": "l", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i"}
+# Words that a keyword search leaves out.
+SEARCH_STOP = (
+    "a an and are as at be by for from has have he her his in is it its of on or that the their this to was were which who "
+    "with what when where how did does do about into than then there these those after before during between over under"
+).split()
+# Words that the stored index leaves out.
+INDEX_STOP = (
+    "a an and are as at be by for from has have in is it its of on or that the to was were which with his her their he she "
+    "they this these those not but also into than then there after before over under who whom whose de la le el di da von van der"
+).split()
+# Words that two titles may share by chance, and capitalised words that are no names.
+TITLE_STOP = "the and of in at on for with from into his her its their by to a an as is was are were first second after".split()
+NOT_NAMES = "Battle Death Birth Siege Treaty War King Queen Emperor Empire Execution Capital".split()
+# Letters that decomposition leaves whole, and how they are written in ASCII.
+TRANSLITERATED = {"ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ı": "i", "ð": "d", "þ": "th", "ß": "ss", "æ": "ae", "œ": "oe"}
 
 
 def _folding() -> tuple[str, str, list[tuple[str, str]]]:
@@ -43,8 +54,8 @@ def fold(c: Column, transliterate: bool = True) -> Column:
 
 def slugify(c: Column, limit: int = 72) -> Column:
     s = F.regexp_replace(fold(c), r"['’]", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
-    s = F.regexp_replace(F.left(s, F.lit(limit)), r"-+$", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9]+", "-"), r"^-+|-+\z", "")
+    s = F.regexp_replace(F.left(s, F.lit(limit)), r"-+\z", "")
     return F.when(s == "", "x").otherwise(s)
 
 
@@ -64,7 +75,7 @@ def stem(w: Column) -> Column:
     n = F.length(w)
     return (
         F.when((n > 4) & w.endswith("ies"), F.concat(F.left(w, n - 3), F.lit("y")))
-        .when((n > 3) & w.endswith("s") & ~w.rlike("(ss|us|is)$"), F.left(w, n - 1))
+        .when((n > 3) & w.endswith("s") & ~w.rlike(r"(ss|us|is)\z"), F.left(w, n - 1))
         .otherwise(w)
     )
 
@@ -72,14 +83,14 @@ def stem(w: Column) -> Column:
 def tokenize(c: Column) -> Column:
     """Search terms: folded, longer than a letter or with a digit, without stop words, stemmed."""
     parts = F.split(fold(c), r"[^a-z0-9]+")
-    kept = F.filter(parts, lambda w: ((F.length(w) > 1) | w.rlike("[0-9]")) & ~w.isin(*STOP_WORDS))
+    kept = F.filter(parts, lambda w: ((F.length(w) > 1) | w.rlike("[0-9]")) & ~w.isin(*SEARCH_STOP))
     return F.transform(kept, stem)
 
 
 def index_tokens(c: Column) -> Column:
     """Terms of the inverted index: two letters or more, no transliteration."""
     parts = F.split(fold(c, transliterate=False), r"[^a-z0-9]+")
-    return F.transform(F.filter(parts, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS)), stem)
+    return F.transform(F.filter(parts, lambda w: (F.length(w) > 1) & ~w.isin(*INDEX_STOP)), stem)
 
 
 def shard_of(token: Column) -> Column:
@@ -87,8 +98,9 @@ def shard_of(token: Column) -> Column:
 
 
 def content_words(c: Column) -> Column:
-    parts = F.filter(F.split(fold(c), r"[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
-    plural = lambda w: F.when(w.endswith("s") & ~w.endswith("ss"), F.left(w, F.length(w) - 1)).otherwise(w)
+    """Distinct words of three letters or more, without those that titles share by chance, plurals folded."""
+    parts = F.filter(F.split(fold(c), r"[^a-z0-9_]+"), lambda w: (F.length(w) > 2) & ~w.isin(*TITLE_STOP))
+    plural = lambda w: F.when((F.length(w) > 4) & w.endswith("s") & ~w.endswith("ss"), F.left(w, F.length(w) - 1)).otherwise(w)
     return F.array_distinct(F.transform(parts, plural))
 
 
@@ -110,17 +122,19 @@ def title_similarity(a: Column, b: Column) -> Column:
 
 
 def proper_names(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b([A-Z][a-z]{2,})\b"), F.lit(1)))
+    """Distinct capitalised words of three letters or more that can be names."""
+    found = F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-z]{2,})(?![A-Za-z0-9_])"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda w: ~w.isin(*NOT_NAMES) & ~F.lower(w).isin(*TITLE_STOP)))
 
 
 def clip(c: Column, n: int) -> Column:
     """At most n characters, cut before a word."""
-    return F.when(F.length(c) <= n, c).otherwise(F.regexp_replace(F.left(c, F.lit(n)), r"\s+\S*$", ""))
+    return F.when(F.length(c) <= n, c).otherwise(F.regexp_replace(F.left(c, F.lit(n)), r"\s+\S*\z", ""))
 
 
 def first_sentence(c: Column, n: int = 160) -> Column:
     one = F.split(F.trim(c), r"(?<=[.!?])\s+(?=[A-Z“\"(])", 2)[0]
-    return F.when(F.length(one) <= n, one).otherwise(F.concat(F.regexp_replace(F.left(one, F.lit(n)), r"\s+\S*$", ""), F.lit("…")))
+    return F.when(F.length(one) <= n, one).otherwise(F.concat(F.regexp_replace(F.left(one, F.lit(n)), r"\s+\S*\z", ""), F.lit("…")))
 
 
 def summary(c: Column, n: int) -> Column:
@@ -129,7 +143,7 @@ def summary(c: Column, n: int) -> Column:
     back = F.reverse(head)
     ends = F.least(*(F.when(F.locate(p, back) > 0, F.locate(p, back)).otherwise(F.lit(n + 1)) for p in (" .", " ?")))
     at = F.length(head) - ends  # characters up to and with the mark
-    return F.when(F.length(c) <= n, c).when(at > 80, F.left(head, at)).otherwise(F.concat(F.regexp_replace(head, r"\s+\S*$", ""), F.lit("…")))
+    return F.when(F.length(c) <= n, c).when(at > 80, F.left(head, at)).otherwise(F.concat(F.regexp_replace(head, r"\s+\S*\z", ""), F.lit("…")))
 
 
 def unescape_excerpt(c: Column) -> Column:

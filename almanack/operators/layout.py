@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def first_fit(cards: list[tuple[float, float]], rows: int, gap: float = 0.0) -> list[int | None]:
@@ -50,3 +50,141 @@ def axis(points: DataFrame, group: str, at: str, gap: float, break_px: float = 2
     step = F.col(at) - F.lag(at).over(w)
     width = F.when(step.isNull(), 0.0).when(step > gap, break_px).otherwise(step * px)
     return points.withColumn("_w", width).withColumn("x", F.sum("_w").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_w")
+
+
+def pack_cards(cards: list[dict], rows: int | None = None, optional: list[dict] = (), pad: float = 4.0) -> dict:
+    """{id: row} of cards (id, left, right, height in rows, line: a stretch above it or None), in the order given: each in the first row
+    where all its rows are free and its line crosses neither another line nor the inside of a taller card. Optional cards come
+    last, within `rows` rows, or not at all."""
+    taken: dict[int, list[tuple[float, float]]] = {}
+    lines: dict[int, list[tuple[float, float]]] = {}
+    out: dict = {}
+
+    def free(held, row, a, b):
+        return all(b <= x or y <= a for x, y in held.get(row, ()))
+
+    def place(c, last):
+        row, (a, b), line = 0, (c["left"], c["right"]), c.get("line")
+        while last is None or row + c["height"] <= last:
+            inner = range(row + 1, row + c["height"])
+            if all(free(taken, r, a, b) for r in range(row, row + c["height"])) and all(free(lines, r, a, b) for r in inner) and (not line or free(lines, row, line[0] - pad, line[1] + pad)):
+                for r in range(row, row + c["height"]):
+                    taken.setdefault(r, []).append((a, b))
+                for r in inner:
+                    lines.setdefault(r, []).append((a, b))
+                if line:
+                    lines.setdefault(row, []).append(tuple(line))
+                out[c["id"]] = row
+                return
+            row += 1
+
+    for c in cards:
+        place(c, None)
+    for c in optional:
+        place(c, rows)
+    return out
+
+
+def pack_bars(bars: DataFrame, group: str, lo: str, hi: str, view: tuple[float, float], rows: int = 3, width: float = 1000.0, gap: float = 3.0, least: float = 6.0) -> DataFrame:
+    """(group, id, row, x0, x1, clipped) of spans (id, lo, hi, is_key, importance) drawn in a view: key ones and the important first; spans over more
+    than twice the view, all of it, are context and left out, as are stubs and what finds no row. A group is one page that is drawn."""
+    a, b = view
+    px = width / max(1e-9, b - a)
+    umbrella = (F.col(lo) <= a) & (F.col(hi) >= b) & (F.col(hi) - F.col(lo) > 2 * (b - a))
+    at = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(width), (F.col(c) - a) * px))
+    drawn = bars.where(~umbrella).select(group, "id", "is_key", "importance", F.col(lo).alias("_s"), at(lo).alias("x0"), at(hi).alias("x1"), ((F.col(lo) < a) | (F.col(hi) > b)).alias("clipped"))
+    drawn = drawn.where(F.col("x1") - F.col("x0") >= least)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["is_key", "importance", "_s", "id"], ascending=[False, False, True, True])
+        pdf["row"] = pd.array(first_fit(list(zip(pdf["x0"], pdf["x1"] - pdf["x0"])), rows, gap), "Int32")
+        return pdf[pdf["row"].notna()][[group, "id", "row", "x0", "x1", "clipped"]]
+
+    kinds = dict(bars.dtypes)
+    return drawn.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, id {kinds['id']}, row int, x0 double, x1 double, clipped boolean")
+
+
+def lane_rows(marks: DataFrame, caps: dict[str, int], cell: float = 4.0) -> DataFrame:
+    """(lane, kind, id, row) of marks (lane, kind, id, left, right, priority): each lane's kind has so many rows of cells; a mark takes the first
+    row whose cells are all free, by priority, and none if there is no such row. A lane's marks are what one screen may show."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["priority", "id"], ascending=[False, True])
+        used: list[int] = [0] * caps[pdf["kind"].iloc[0]]  # a bit a cell
+        row = []
+        for a, b in zip(pdf["left"], pdf["right"]):
+            i, j = max(0, int(a // cell)), max(0, int(b // cell))
+            mask = ((1 << (j - i + 1)) - 1) << i
+            at = next((r for r, bits in enumerate(used) if not bits & mask), None)
+            if at is not None:
+                used[at] |= mask
+            row.append(at)
+        out = pdf[["lane", "kind", "id"]].copy()
+        out["row"] = pd.array(row, "Int32")
+        return out[out["row"].notna()]
+
+    k = dict(marks.dtypes)
+    return marks.groupBy("lane", "kind").applyInPandas(run, f"lane {k['lane']}, kind string, id {k['id']}, row int")
+
+
+def stack_lanes(lanes: DataFrame, section: float = 22.0, label: float = 14.0, row: float = 18.0, gap: float = 6.0) -> DataFrame:
+    """lanes (section, seq, rows, folded) with y, the top of each below all before it: a header a section, then a label, rows and a gap a lane."""
+    order = Window.orderBy("section", "seq")
+    first = F.row_number().over(Window.partitionBy("section").orderBy("seq")) == 1
+    height = F.when(F.col("folded"), 0.0).otherwise(label + row * F.col("rows") + gap)
+    l = lanes.withColumns({"_h": height, "_s": F.when(first, section).otherwise(0.0)})
+    return l.withColumn("y", F.sum(F.col("_h") + F.col("_s")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_h")).drop("_h", "_s")
+
+
+def grid_cells(rows: DataFrame, x0: float, x1: float, size: int = 128) -> DataFrame:
+    """(cell_x, cell_y, id, ...) of rows (id, start, end, y in [0, 1]): a row of the grid for each column that a span occupies."""
+    at = lambda c: F.greatest(F.lit(0), F.least(F.lit(size - 1), F.floor((F.col(c) - x0) / (x1 - x0) * size))).cast("int")
+    y = F.least(F.lit(size - 1), F.floor(F.col("y") * size)).cast("int")
+    return rows.select("id", "start", "end", "y", y.alias("cell_y"), F.explode(F.sequence(at("start"), F.greatest(at("start"), at("end")))).alias("cell_x"))
+
+
+def grid_query(cells: DataFrame, x0: float, x1: float, box: tuple[float, float, float, float], size: int = 128) -> DataFrame:
+    """(id): rows that meet a box (from, to, low, high): only its cells are looked at, then the rows themselves, each once."""
+    a, b, lo, hi = box
+    at = lambda v: max(0, min(size - 1, int((v - x0) / (x1 - x0) * size // 1)))
+    near = cells.where(F.col("cell_x").between(at(a), at(b)) & F.col("cell_y").between(int(lo * size), min(size - 1, int(hi * size))))
+    return near.where((F.col("start") <= b) & (F.col("end") >= a) & F.col("y").between(lo, hi)).select("id").distinct()
+
+
+def default_zoom(anchors: DataFrame, group: str, at: str, card: float = 180.0, share: float = 0.4) -> DataFrame:
+    """(group, px): pixels a year at which the gap of that share of all gaps between neighbours holds a card."""
+    from almanack.operators.ranking import at_ranks, middle
+
+    gaps = anchors.withColumn("_g", F.col(at) - F.lag(at).over(Window.partitionBy(group).orderBy(at))).where("_g > 0")
+    return at_ranks(gaps, group, "_g", gap=middle(share)).select(group, (card / F.col("gap")).alias("px"))
+
+
+def track_of(kind: Column, start: Column, end: Column, open_ended: Column, dataset: Column) -> Column:
+    """Where a span is drawn: a closed period in the eras' track, a ruler's in the reigns', else a card."""
+    era = (kind == "period") & (end > start) & ~F.coalesce(open_ended, F.lit(False))
+    return F.when(F.coalesce(era, F.lit(False)), "eras").when(F.coalesce((dataset == "leaders") & (end > start), F.lit(False)), "reigns").otherwise("cards")
+
+
+def warp(y: Column, folded: list[tuple[float, float]], height: float, strip: float = 18.0, inverse: bool = False) -> Column:
+    """y in [0, 1] with folded bands squeezed to strips of so many pixels, together 0.6 of the axis at most, and the rest stretched."""
+    bands = sorted((max(0.0, a), min(1.0, b)) for a, b in folded if min(1.0, b) > max(0.0, a))
+    if not bands:
+        return y
+    k, shut = len(bands), sum(b - a for a, b in bands)
+    share, open_ = min(max(strip / max(1.0, height), 0.0), 0.6 / k), max(0.0, 1 - shut)
+    each = share * open_ / (1 - share * k) if open_ > 1e-9 and share * k < 0.999 else 1.0
+    cuts, at, to = [], 0.0, 0.0
+    for a, b in bands:
+        if a > at:
+            cuts.append((at, a, to, to + a - at))
+            to += a - at
+        cuts.append((a, b, to, to + each))
+        at, to = b, to + each
+    if at < 1:
+        cuts.append((at, 1.0, to, to + 1 - at))
+    total = open_ + k * each
+    out = F.lit(None).cast("double")
+    for a, b, c, d in reversed(cuts):
+        (x0, x1), (y0, y1) = ((c / total, d / total), (a, b)) if inverse else ((a, b), (c / total, d / total))
+        out = F.when(y <= x1, F.lit(y0) + (y - x0) / max(x1 - x0, 1e-12) * (y1 - y0)).otherwise(out)
+    return F.when(y <= 0, 0.0).when(y >= 1, 1.0).otherwise(out)

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Fixed list: how much an entry's type counts.
-TYPE_WEIGHT = {"event": 1.0, "person": 0.9, "work": 0.8, "period": 0.7, "place": 0.6, "group": 0.6}
+# How much an entry's type counts.
+TYPE_WEIGHT = {"event": 1.0, "person": 0.9, "period": 0.6, "work": 0.75, "place": 0.5, "group": 0.5, "concept": 0.3}
 
 
-def importance(mentions: Column, most_mentions: Column, fame: Column, kind: Column, umbrella: Column, lead: Column) -> Column:
-    """0.5 of the log share of mentions and 0.35 of fame, by type, less for umbrella entries, more in the lead."""
-    weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_WEIGHT.items() for x in kv]), kind), F.lit(0.5))
-    base = (0.5 * F.log1p(mentions) / F.log1p(F.greatest(most_mentions, F.lit(1))) + 0.35 * fame) * weight
-    return base * F.when(umbrella, 0.55).otherwise(1.0) + F.when(lead, 0.1).otherwise(0.0)
+def importance(weight: Column, most: Column, fame: Column, kind: Column, umbrella: Column, lead: Column, headed: Column) -> Column:
+    """0.5 of the mentions and 0.35 of fame, more than half of it whatever the type, 0.55 of it for umbrella entries.
+
+    Mentions are the log share of an entry's weight, and more for entries of the lead or with a section of their own.
+    """
+    of_type = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_WEIGHT.items() for x in kv]), kind), F.lit(0.5))
+    mention = F.log1p(weight) / F.log1p(F.greatest(most, F.lit(1.0))) + F.when(headed, 0.25).otherwise(0.0) + F.when(lead, 0.15).otherwise(0.0)
+    return (0.5 * mention + 0.35 * fame) * (0.55 + 0.45 * of_type) * F.when(umbrella, 0.55).otherwise(1.0)
 
 
 def uniform(*keys: Column, seed: int = 0) -> Column:
@@ -44,3 +47,53 @@ def chapter_of(years: Column, chapters: list[tuple[str, int, int]], slack: float
     for name, lo, hi in reversed(chapters):
         exact = F.when((years >= lo) & (years <= hi), F.lit(name)).otherwise(exact)
     return F.coalesce(exact, out)
+
+
+def at_ranks(rows: DataFrame, group: str, value: str, **index: Column) -> DataFrame:
+    """(group, n, a column for each index): values at places of a group's order, places as expressions of the count `n`.
+
+    Ranks come from a window that spills, so no group is gathered into a row.
+    """
+    w = Window.partitionBy(group)
+    known = rows.where(F.col(value).isNotNull()).select(group, value)
+    ranked = known.withColumns({"_r": F.row_number().over(w.orderBy(value)) - 1, "n": F.count("*").over(w)})
+    picked = [F.max(F.when(F.col("_r") == at, F.col(value))).alias(name) for name, at in index.items()]
+    return ranked.groupBy(group).agg(F.max("n").alias("n"), *picked)
+
+
+def middle(share: float) -> Column:
+    """The place floor(share * (n - 1))."""
+    return F.floor(F.lit(share) * (F.col("n") - 1))
+
+
+def key_selection(rows: DataFrame, share: Column) -> DataFrame:
+    """rows (id, chapter, type, title, importance) of each chapter's quota, max(4, half up of share): first events, up to
+    half of it; then by importance, people up to 0.4 of it; then whatever is left.
+
+    Places, groups and ideas take part only where `headed`; a chapter of nothing else keeps its best two.
+    """
+    order = [F.desc("importance"), "id"]
+    w = Window.partitionBy("chapter")
+    context = F.col("type").isin("place", "group", "concept") & ~F.col("headed")
+    r = rows.withColumn("quota", F.greatest(F.lit(4), F.floor(share + 0.5))).withColumn("_usable", F.count_if(~context).over(w))
+    r = r.withColumn("_o", F.row_number().over(w.orderBy(*order)))
+    r = r.where(~context | ((F.col("_usable") == 0) & (F.col("_o") <= 2)))
+    happened = (F.col("type") == "event") & ~F.lower("title").rlike(r"^(?:birth|death) of\b")
+    r = r.withColumn("_e", F.when(happened, F.row_number().over(Window.partitionBy("chapter", happened).orderBy(*order))))
+    first = F.coalesce(F.col("_e") <= F.ceil(F.col("quota") * 0.5), F.lit(False))
+    person = F.col("type") == "person"
+    r = r.withColumn("_first", first).withColumn("_p", F.row_number().over(Window.partitionBy("chapter", person).orderBy(*order)))
+    late = person & (F.col("_p") > F.ceil(F.col("quota") * 0.4))
+    stage = F.when(F.col("_first"), 0).when(~late, 1).otherwise(2)
+    r = r.withColumn("_s", stage).withColumn("_k", F.row_number().over(w.orderBy("_s", *order)))
+    return r.where(F.col("_k") <= F.col("quota")).select(*rows.columns)
+
+
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with n, their place from 0 in an order that is total: ranges of it are numbered where they lie, and each
+    adds the rows of the ranges before it, of which there is one number a partition."""
+    dealt = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()  # read twice, by the same ranges
+    dealt = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
+    totals = dealt.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = totals.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_b"))
+    return dealt.join(F.broadcast(before), "_p").withColumn("n", F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from almanack.functions import strings as S
+from almanack.session import cut
+
 
 def keep_richest(rows: DataFrame, key: str, *order) -> tuple[DataFrame, DataFrame]:
     """(kept rows, aliases (id, kept_id)): the first by order of each key; rows without a key stay."""
@@ -20,12 +23,17 @@ def number_collisions(rows: DataFrame, id_col: str, *order) -> DataFrame:
 
 
 def resolve_aliases(aliases: DataFrame, hops: int = 20) -> DataFrame:
-    """(src, dst): every chain a -> b -> c leads to its end, in as many doublings as 2^n >= hops needs."""
-    out, reach = aliases.select("src", "dst"), 1
+    """(src, dst): every chain a -> b -> c leads to its end, in as many doublings as 2^n >= hops needs.
+
+    Each doubling is cut off in the shared folder, and the last is the one that changes nothing.
+    """
+    out, reach = cut(aliases.select("src", "dst")), 1
     while reach < hops:
         nxt = out.select(F.col("src").alias("dst"), F.col("dst").alias("_end"))
-        out = out.join(nxt, "dst", "left").select("src", F.coalesce("_end", "dst").alias("dst"))
-        reach *= 2
+        step = cut(out.join(nxt, "dst", "left").select("src", F.coalesce("_end", "dst").alias("dst"), F.col("_end").isNotNull().alias("_moved")))
+        out, reach = step.select("src", "dst"), 2 * reach
+        if not step.where("_moved").limit(1).count():
+            break
     return out
 
 
@@ -42,7 +50,7 @@ def tree_paths(nodes: DataFrame, depth: int = 50) -> DataFrame:
     level = nodes.where(F.col("parent").isNull()).select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.array("id").alias("path"))
     out = level
     for d in range(1, depth + 1):
-        level = nodes.join(level.select(F.col("id").alias("parent"), "root", "path"), "parent").select("id", "root", F.lit(d).alias("depth"), F.concat("path", F.array("id")).alias("path"))
+        level = cut(nodes.join(level.select(F.col("id").alias("parent"), "root", "path"), "parent").select("id", "root", F.lit(d).alias("depth"), F.concat("path", F.array("id")).alias("path")))
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -56,3 +64,101 @@ def first_lookup(rows: DataFrame, tables: list[tuple[str, DataFrame]], seq: str
         rows = rows.join(once.withColumnRenamed("key", key), key, "left")
     names = [f"_t{i}" for i in range(len(tables))]
     return rows.withColumn("target", F.coalesce(*names)).drop(*names)
+
+
+def miss_verdicts(misses: DataFrame) -> DataFrame:
+    """misses (id, title of the proposed page, creator) with verdict: no-source, reused-page, creator-page, index-page or review."""
+    used = misses.where("title IS NOT NULL").groupBy("title").agg(F.count("*").alias("_n"))
+    index = r"(?i)^(?:list|index|outline|timeline) of\b|\(disambiguation\)"
+    verdict = (
+        F.when(F.col("title").isNull(), "no-source").when(F.col("_n") > 1, "reused-page")
+        .when(F.col("creator").isNotNull() & (S.title_similarity(F.col("creator"), F.col("title")) >= 0.5), "creator-page").when(F.col("title").rlike(index), "index-page").otherwise("review")
+    )
+    return misses.join(used, "title", "left").withColumn("verdict", verdict).drop("_n")
+
+
+def duplicate_candidates(events: DataFrame, within: int = 1, least: float = 0.25, names: int = 2) -> DataFrame:
+    """(a, b, similarity), a < b, of events (id, title, start) at most `within` years apart that share `least` of their
+    words or `names` names.
+
+    Both need a word or a name in common, so pairs meet by (word, year) and no year is joined with itself.
+    """
+    e = events.select("id", "start", S.content_words(F.col("title")).alias("ws"), S.proper_names(F.col("title")).alias("ns"))
+    keys = e.withColumn("k", F.explode(F.array_distinct(F.concat("ws", F.transform("ns", lambda x: F.concat(F.lit("^"), x))))))
+    left = keys.withColumn("y", F.explode(F.sequence(F.col("start") - within, F.col("start") + within)))
+    right = keys.select(F.col("id").alias("b"), F.col("start").alias("y"), "k")
+    met = left.join(right, ["k", "y"]).where("id < b").select(F.col("id").alias("a"), "b").distinct()
+    x, y = (e.select(F.col("id").alias(c), F.col("ws").alias(f"w{c}"), F.col("ns").alias(f"n{c}")) for c in "ab")
+    scored = met.join(x, "a").join(y, "b").withColumn("similarity", S.jaccard(F.col("wa"), F.col("wb")))
+    alike = (F.col("similarity") >= least) | (F.size(F.array_intersect("na", "nb")) >= names)
+    return scored.where(alike).select("a", "b", "similarity")
+
+
+def merge_duplicates(events: DataFrame, judged: DataFrame, least: float = 0.6) -> DataFrame:
+    """One row for each happening of events (id, title, start, prose, importance, excerpt, image), with also_told.
+
+    Candidates judged the same (a, b, same), or not judged and at least `least` alike, are one. The survivor is a
+    timeline's line before a sentence of prose, then the more important, then the one with a picture; it takes
+    what it lacks from the others in that order, and a tenth more importance for each, up to 1.
+    """
+    from almanack.operators.graphs import components
+
+    found = duplicate_candidates(events).join(judged.select("a", "b", "same"), ["a", "b"], "left")
+    groups = components(found.where(F.coalesce("same", F.col("similarity") >= least)).select("a", "b"))
+    e = events.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("_g", F.coalesce("label", "id"))
+    rank = F.struct(F.col("prose"), -F.col("importance"), F.col("image").isNull(), F.col("id"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c)
+    n = F.count("*") - 1
+    merged = e.groupBy("_g").agg(
+        *[F.min_by(c, rank).alias(c) for c in ("id", "title", "start", "prose")], F.least(F.lit(1.0), F.max("importance") * (1 + 0.1 * n)).alias("importance"),
+        first("excerpt"), first("image"), n.alias("also_told"),
+    )
+    return merged.drop("_g")
+
+
+def first_told(mined: DataFrame) -> DataFrame:
+    """mined (id, start, title, tier, ...) once for each start and title in any case: the strict tier (0) before prose (1)."""
+    w = Window.partitionBy("start", F.lower("title")).orderBy("tier", "id")
+    return mined.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def same_span(a0: Column, a1: Column, b0: Column, b1: Column, share: float = 0.8, differ: float = 0.35) -> Column:
+    """Whether two spans are nearly one: 0.8 of the shorter shared, lengths at most 0.35 of the longer apart."""
+    a, b = a1 - a0, b1 - b0
+    return (F.least(a1, b1) - F.greatest(a0, b0) >= share * F.least(a, b)) & (F.abs(a - b) <= differ * F.greatest(a, b))
+
+
+# Words that two spans may share without being one.
+SPAN_WORDS = "period empire kingdom dynasty state republic era history".split()
+
+
+def once_told_spans(spans: DataFrame) -> DataFrame:
+    """spans (id, title, start, end, importance) without those nearly the same as a more important one that shares a word
+    of its title. A span blocks others whether or not it is itself left out."""
+    words = F.filter(F.regexp_extract_all(F.lower("title"), F.lit("([a-zà-ÿ]{4,})"), F.lit(1)), lambda w: ~w.isin(SPAN_WORDS))
+    s = spans.select("id", "start", "end", "importance", F.explode(F.array_distinct(words)).alias("w"), F.floor(F.log2(F.greatest(F.lit(1.0), F.col("end") - F.col("start")))).alias("b"))
+    other = s.select("w", *[F.col(c).alias(f"o_{c}") for c in ("id", "start", "end", "importance")], F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
+    before = F.struct(-F.col("o_importance"), F.col("o_start"), F.col("o_id")) < F.struct(-F.col("importance"), F.col("start"), F.col("id"))
+    met = s.join(other, ["w", "b"]).where(before & same_span(F.col("start"), F.col("end"), F.col("o_start"), F.col("o_end")))
+    return spans.join(met.select("id").distinct(), "id", "left_anti")
+
+
+def twins(mined: DataFrame, linked: DataFrame, judged: DataFrame, within: int = 1, least: float = 0.75) -> DataFrame:
+    """(id, twin): for mined events (id, title, start) the first of linked ones at most `within` years away that shares
+    `least` of the shorter title's words or was judged the same (a, b, same)."""
+    prepared = lambda d: d.select("id", "start", S.content_words(F.col("title")).alias("ws"))
+    m, k = prepared(mined), prepared(linked)
+    near = m.withColumn("w", F.explode("ws")).withColumn("y", F.explode(F.sequence(F.col("start") - within, F.col("start") + within)))
+    other = k.select(F.col("id").alias("twin"), F.col("start").alias("y"), F.col("ws").alias("wt"), F.explode("ws").alias("w"))
+    met = near.join(other, ["w", "y"]).where(S.overlap_coefficient(F.col("ws"), F.col("wt")) >= least).select("id", "twin")
+    both = judged.where("same").select("a", "b").union(judged.where("same").select("b", "a")).toDF("id", "twin")
+    said = both.join(m.select("id", "start"), "id").join(k.select(F.col("id").alias("twin"), F.col("start").alias("y")), "twin").where(F.abs(F.col("start") - F.col("y")) <= within)
+    return met.unionByName(said.select("id", "twin")).groupBy("id").agg(F.min("twin").alias("twin"))
+
+
+def unanswered(rows: DataFrame, answers: DataFrame, batch: int = 25) -> DataFrame:
+    """rows (id, ...) that have no answer yet, in numbered batches to be asked together."""
+    from almanack.operators.ranking import numbered
+
+    left = numbered(rows.join(answers.select("id"), "id", "left_anti"), F.asc("id"))
+    return left.withColumn("batch", F.floor(F.col("n") / batch)).drop("n")

@@ -13,19 +13,24 @@ def term_frequencies(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
 def bm25(docs: DataFrame, id_col: str, tokens: Column, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of documents with enough of the query's distinct terms: all of two, else 60 %, rounded up.
 
-    Document length and frequency come from one pass; only the query's terms are exploded, so the
-    shuffle carries hits, not the corpus.
+    One narrow pass sums lengths and document frequencies of the query's terms to one row; a second scores
+    each document where it lies. Nothing but that row is shuffled or broadcast.
     """
     terms = list(dict.fromkeys(query))
     need = len(terms) if len(terms) <= 2 else -(-6 * len(terms) // 10)
-    sized = docs.select(F.col(id_col).alias("id"), tokens.alias("t")).withColumn("dl", F.size("t"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = sized.select("id", "dl", F.explode(F.filter("t", lambda x: x.isin(terms))).alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(stats)).select("id", weight.alias("w"))
-    return scored.groupBy("id").agg(F.sum("w").alias("score"), F.count("*").alias("have")).where(F.col("have") >= need).select("id", "score")
+    counts = F.transform(F.array(*map(F.lit, terms)), lambda q: F.size(F.filter("t", lambda x: x == q)))
+    sized = docs.select(F.col(id_col).alias("id"), tokens.alias("t")).select("id", F.size("t").alias("dl"), counts.alias("tf"))
+    tf = [F.get("tf", F.lit(i)) for i in range(len(terms))]
+    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.array(*[F.count_if(c > 0) for c in tf]).alias("df"))
+    have = sum((F.when(c > 0, 1).otherwise(0) for c in tf), F.lit(0))
+    hits = sized.where(have >= need).join(F.broadcast(stats))
+
+    def part(i):
+        df = F.get("df", F.lit(i))
+        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+        return F.when(tf[i] > 0, idf * tf[i] * (k1 + 1) / (tf[i] + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
+
+    return hits.select("id", sum((part(i) for i in range(len(terms))), F.lit(0.0)).alias("score"))
 
 
 def prune_to_best(hits: DataFrame, share: float = 0.3, score: str = "score") -> DataFrame:
@@ -33,10 +38,11 @@ def prune_to_best(hits: DataFrame, share: float = 0.3, score: str = "score") ->
     return hits.join(F.broadcast(hits.agg(F.max(score).alias("_best")))).where(F.col(score) >= share * F.col("_best")).drop("_best")
 
 
-def cut_semantic(hits: DataFrame, floor: float, window: float, least: float, sim: str = "sim") -> DataFrame:
-    """Hits within `window` of the best and at least `least`; none at all if the best is under `floor`."""
+def cut_semantic(hits: DataFrame, floor: float = 0.40, window: float = 0.16, least: float | None = None, limit: int = 200, sim: str = "sim") -> DataFrame:
+    """At most `limit` hits within `window` of the best and at least `least` (else floor); none at all if the best is under `floor`."""
     best = F.broadcast(hits.agg(F.max(sim).alias("_best")))
-    return hits.join(best).where((F.col("_best") >= floor) & (F.col(sim) >= F.greatest(F.lit(least), F.col("_best") - window))).drop("_best")
+    near = (F.col("_best") >= floor) & (F.col(sim) >= F.greatest(F.lit(floor if least is None else least), F.col("_best") - window))
+    return hits.join(best).where(near).drop("_best").orderBy(F.desc(sim), "id").limit(limit)
 
 
 def veto(keyword: DataFrame, semantic: DataFrame, least: float = 0.26) -> DataFrame:
@@ -69,19 +75,50 @@ def semantic_scan(vectors: DataFrame, id_col: str, vector_col: str, query: list[
     return vectors.select(F.col(id_col).alias("id"), cosine(F.col(vector_col), q).alias("sim"))
 
 
-def hybrid(keyword: DataFrame, semantic: DataFrame | None, limit: int = 50) -> DataFrame:
-    """Pruned keyword hits and cut semantic hits, vetoed and fused; keyword hits alone without vectors."""
-    keyword = prune_to_best(keyword)
+def hybrid(keyword: DataFrame, semantic: DataFrame | None, scope: DataFrame | None = None, limit: int = 200, keywords: int = 2000) -> DataFrame:
+    """The best `limit` of pruned keyword hits and cut semantic hits, vetoed and fused; keyword hits alone without vectors.
+
+    With a scope (id) only its rows are searched, and once the best meaning match is good enough the next dozen
+    may be less so.
+    """
+    keyword = keyword.orderBy(F.desc("score"), "id").limit(keywords)
+    if scope is not None:
+        keyword = keyword.join(scope.select("id"), "id", "left_semi")
+    keyword = prune_to_best(keyword).orderBy(F.desc("score"), "id").limit(limit)
     if semantic is None:
-        return keyword.orderBy(F.desc("score"), "id").limit(limit)
-    near = cut_semantic(semantic, 0.3, 0.2, 0.3)
-    return fuse(veto(keyword, semantic), near).orderBy(F.desc("score"), "id").limit(limit)
+        return keyword
+    if scope is None:
+        near = cut_semantic(semantic, limit=limit)
+    else:
+        semantic = semantic.join(scope.select("id"), "id", "left_semi")
+        near = cut_semantic(semantic, window=0.2, least=0.30, limit=min(limit, 12))
+    return fuse(veto(keyword, semantic), near, limit=limit).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def weighted_terms(rows: DataFrame, fields: list[tuple[Column, float]], boost: Column, short: Column) -> DataFrame:
+    """(id, term, weight) of rows (id, ...): term counts, each field's by its weight, saturated and boosted; a title of
+    three words or fewer counts 1.15 times."""
+    weighed = lambda tokens, weight: F.transform(tokens, lambda x: F.struct(x.alias("term"), F.lit(float(weight)).alias("w")))
+    each = F.flatten(F.array(*[weighed(tokens, weight) for tokens, weight in fields]))
+    tf = rows.select("id", (boost * F.when(short, 1.15).otherwise(1.0)).alias("boost"), F.explode(each).alias("x"))
+    summed = tf.groupBy("id", "boost", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("f"))
+    return summed.select("id", "term", F.round(F.col("f") / (F.col("f") + 1.2) * F.col("boost"), 3).alias("weight"))
+
+
+def index_or_title(index_hits: DataFrame, rows: DataFrame, title: Column, words: list[str]) -> DataFrame:
+    """(id): rows that the index found, and rows whose title holds all words."""
+    lower, every = F.lower(title), F.lit(True)
+    for w in words:
+        every = every & F.contains(lower, F.lit(w.lower()))
+    return index_hits.select("id").union(rows.where(every).select("id")).distinct()
 
 
 def inverted_index(weighted: DataFrame, shard: Column, postings: int | None = 400) -> DataFrame:
-    """(shard, term, df, id, weight) from (id, term, boost, tf): the best `postings` of each term, or all."""
-    rows = weighted.groupBy("id", "term").agg(F.max("boost").alias("boost"), F.sum("tf").alias("tf"))
-    rows = rows.select("id", "term", F.round(F.col("boost") * F.col("tf") / (F.col("tf") + 1.2), 3).alias("weight"))
+    """(shard, term, df, id, weight) from (id, term, boost, tf) or (id, term, weight): the best `postings` of each term, or all."""
+    rows = weighted
+    if "weight" not in weighted.columns:
+        rows = weighted.groupBy("id", "term").agg(F.max("boost").alias("boost"), F.sum("tf").alias("tf"))
+        rows = rows.select("id", "term", F.round(F.col("boost") * F.col("tf") / (F.col("tf") + 1.2), 3).alias("weight"))
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
     if postings is not None:
         order = Window.partitionBy("term").orderBy(F.desc("weight"), "id")
@@ -97,3 +134,10 @@ def rank_index(index: DataFrame, n_docs: int, query: list[str], all_at: int = 10
     scored = scored.join(F.broadcast(known))
     full = F.broadcast(scored.agg(F.count_if(F.col("have") == F.col("known")).alias("full")))
     return scored.join(full).where((F.col("known") <= 1) | (F.col("full") < all_at) | (F.col("have") == F.col("known"))).select("id", "score", "have")
+
+
+def suggest(neighbours: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """(title, n): titles near seeds (seed, title) that aren't known, by the number of seeds; twice as many as are wanted, since some
+    will be of no use."""
+    fresh = neighbours.join(known.select("title"), "title", "left_anti")
+    return fresh.groupBy("title").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "title").limit(2 * most)

@@ -79,3 +79,13 @@ def span_buckets(spans: DataFrame, buckets: DataFrame, lo: Column, hi: Column, m
     met = spans.join(F.broadcast(buckets), (lo <= F.col("b_hi")) & (hi >= F.col("b_lo")))
     ids = met.groupBy("id").agg(F.collect_set("bucket").alias("bs"))
     return ids.select("id", F.explode(F.when(F.size("bs") > most, F.array(F.lit(-1).cast("long"))).otherwise(F.col("bs"))).alias("bucket"))
+
+
+def era_fence(own: Column, q1: Column, q3: Column) -> Column:
+    """struct(lo, hi) of plausible years: about the topic's own span (start, end), wider before than after it, if it
+    has one, else 1.5 times the distance of the quartiles beyond them."""
+    a, b = own["start"], own["end"]
+    has, length = (own.isNotNull() & (b > a)), b - a
+    lo = F.when(has, a - F.least(length, F.lit(1000)) - 200).otherwise(q1 - 1.5 * (q3 - q1))
+    hi = F.when(has, b + F.least(0.25 * length, F.lit(200)) + 50).otherwise(q3 + 1.5 * (q3 - q1))
+    return F.struct(lo.alias("lo"), hi.alias("hi"))

@@ -6,8 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Bytes of vectors that are sent to the tasks at once in the neighbour search.
-BLOCK_BYTES = 64 << 20
+#: Rows of either side of the neighbour search that meet in one task.
+BLOCK_ROWS = 8192
 
 
 def quantise(v: Column) -> Column:
@@ -32,51 +32,68 @@ def truncate(v: Column, dim: int) -> Column:
     return normalise(F.slice(v, 1, dim))
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
+
+
+def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int):
+    """(query, neighbour, sim) of the k nearest of a block, by parts of at most 16 MB of similarities."""
+    step = max(1, (2 << 20) // max(1, len(ids)))
+    for lo in range(0, len(q), step):
+        some = q_ids[lo : lo + step]
+        sims = q[lo : lo + step] @ matrix.T
+        sims[some[:, None] == ids[None, :]] = -np.inf
+        order = np.lexsort((np.broadcast_to(ids, sims.shape), -np.round(sims, 9)), axis=1)[:, :k]
+        found = np.take_along_axis(sims, order, 1)
+        row, col = np.nonzero(np.isfinite(found))
+        yield some[row], ids[order[row, col]], found[row, col]
+
+
+def knn(queries: DataFrame, base: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, neighbour, sim, rank): the k nearest of base (id, vector) to each query, by exact cosine, itself excluded.
 
-    The base is read in blocks of bounded bytes, each multiplied with batches of queries by numpy; the
-    k best of each block are merged by a window whose input is k rows a block and query.
+    Queries and base are dealt into blocks of about block_rows rows by a hash of their ids; each pair of blocks meets in
+    one task, which multiplies them and keeps k rows a query; a window merges them. Nothing passes the driver but the
+    two counts, and no task holds more than two blocks.
     """
-    parts = []
-
-    def against(ids: np.ndarray, matrix: np.ndarray):
-        def run(batches):
-            for pdf in batches:
-                q = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-                # at most 16 MB of similarities at once
-                for lo in range(0, len(q), max(1, (2 << 20) // max(1, len(ids)))):
-                    some = pdf["id"].to_numpy()[lo : lo + max(1, (2 << 20) // max(1, len(ids)))]
-                    sims = q[lo : lo + len(some)] @ matrix.T
-                    sims[some[:, None] == ids[None, :]] = -np.inf
-                    order = np.lexsort((np.broadcast_to(ids, sims.shape), -np.round(sims, 9)), axis=1)[:, :k]
-                    found = np.take_along_axis(sims, order, 1)
-                    row, col = np.nonzero(np.isfinite(found))
-                    yield pd.DataFrame({"id": some[row], "neighbour": ids[order[row, col]], "sim": found[row, col]})
-
-        return queries.select("id", "vector").mapInPandas(run, "id long, neighbour long, sim double")
-
-    ids, rows, size = [], [], 0
-    for r in base.select("id", "vector").toLocalIterator():
-        ids.append(r.id)
-        rows.append(np.asarray(r.vector, np.float64))
-        size += rows[-1].nbytes
-        if size >= block_bytes:
-            parts.append(against(np.array(ids), np.stack(rows)))
-            ids, rows, size = [], [], 0
-    if rows or not parts:
-        parts.append(against(np.array(ids, np.int64), np.stack(rows) if rows else np.zeros((0, 1))))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    n_q, n_b = (max(1, -(-d.count() // block_rows)) for d in (queries, base))
+    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("id", "vector", block(n_q, 1).alias("_q"), every(n_b).alias("_b"))
+    b = base.select(F.col("id").alias("other"), F.col("vector").alias("against"), every(n_q).alias("_q"), block(n_b, 2).alias("_b"))
+    matrix = lambda c: np.stack(c.to_numpy()).astype(np.float64)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = list(_nearest(left["id"].to_numpy(), matrix(left["vector"]), right["other"].to_numpy(), matrix(right["against"]), k)) if len(left) and len(right) else []
+        a, c, s = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame({"id": a, "neighbour": c, "sim": s})
+
+    found = q.groupBy("_q", "_b").cogroup(b.groupBy("_q", "_b")).applyInPandas(meet, "id long, neighbour long, sim double")
     order = Window.partitionBy("id").orderBy(F.desc(F.round("sim", 9)), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def update_neighbours(cached: DataFrame, rows: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, neighbour, sim, rank) of rows (id, vector) from cached lists (id, neighbour, sim) of an earlier state.
+
+    Rows that are new, or that lost a neighbour, are compared with all; the others keep their lists and are compared with
+    the new rows only. The result is that of knn over all rows.
+    """
+    live = rows.select("id")
+    gone = cached.join(live.select(F.col("id").alias("neighbour")), "neighbour", "left_anti").select("id").distinct()
+    kept = cached.join(live, "id", "left_semi").join(gone, "id", "left_anti")
+    known = kept.select("id").distinct()
+    stale = rows.join(known, "id", "left_anti")
+    new = rows.join(cached.select("id").distinct(), "id", "left_anti")
+    fresh = knn(stale, rows, k, block_rows).select("id", "neighbour", "sim")
+    near = knn(rows.join(known, "id", "left_semi"), new, k, block_rows).select("id", "neighbour", "sim")
+    return merge_neighbours(kept.unionByName(near), fresh, k)
+
+
 def merge_neighbours(cached: DataFrame, fresh: DataFrame, k: int) -> DataFrame:
     """The k best of old and new neighbour rows (id, neighbour, sim), each neighbour once."""
     both = cached.select("id", "neighbour", "sim").unionByName(fresh.select("id", "neighbour", "sim")).groupBy("id", "neighbour").agg(F.max("sim").alias("sim"))
-    order = Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour")
+    order = Window.partitionBy("id").orderBy(F.desc(F.round("sim", 9)), "neighbour")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -97,8 +114,8 @@ def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
     return mean.join(norm, group).select(group, "dim", F.try_divide("m", "norm").alias("value"))
 
 
-def spherical_kmeans(rows: DataFrame, k: int, rounds: int = 25, seed: int = 1) -> DataFrame:
-    """(id, cluster, sim) by cosine k-means; centres, k vectors, are kept on the driver.
+def spherical_kmeans(rows: DataFrame, k: int, rounds: int = 25, seed: int = 1, centres_only: bool = False) -> DataFrame | np.ndarray:
+    """(id, cluster, sim) by cosine k-means, or the centres alone; centres, k vectors, are kept on the driver.
 
     Seeds are k-means++ choices over all rows, one pass a seed: the row of least -ln(u) / distance,
     u by a hash of its id, which draws in proportion to the distance. Each round sums vectors by
@@ -106,8 +123,9 @@ def spherical_kmeans(rows: DataFrame, k: int, rounds: int = 25, seed: int = 1) -
     """
     first = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").select("vector").first()
     if first is None:
+        if centres_only:
+            return np.zeros((0, 1))
         return rows.select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("sim"))
-    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
     centres = unit(np.array(first.vector, np.float64))[None]
 
     def draw(c):
@@ -164,4 +182,6 @@ def spherical_kmeans(rows: DataFrame, k: int, rounds: int = 25, seed: int = 1) -
         centres = new
         if ((new * old).sum(1) >= 0.999999).all():
             break
-    return rows.select("id", "vector").mapInPandas(assign(centres), "id long, cluster int, sim double")
+    if centres_only:
+        return centres
+    return rows.select("id", "vector").mapInPandas(assign(centres), f"id {dict(rows.dtypes)['id']}, cluster int, sim double")

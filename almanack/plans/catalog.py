@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from almanack.functions import dates as D, strings as S
-from almanack.operators import resolve as R, search as X, temporal as T, vectors as V
+from almanack.operators import ranking as K, resolve as R, search as X, temporal as T, vectors as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,9 +92,9 @@ def semantic_scan(t):
     return X.semantic_scan(t.embeddings, "vec_id", "embedding", _QUERY).select("id", F.round("sim", 6).alias("sim"))
 
 
-@query(f"WITH {_SEM}, b AS (SELECT max(sim) AS m FROM sem) SELECT id, round(sim, 6) AS sim FROM sem, b WHERE m >= 0.1 AND sim >= greatest(0.05, m - 0.2)")
+@query(f"WITH {_SEM}, b AS (SELECT max(sim) AS m FROM sem) SELECT id, round(sim, 6) AS sim FROM sem, b WHERE m >= 0.1 AND sim >= greatest(0.05, m - 0.2) ORDER BY sim DESC, id LIMIT 200")
 def semantic_cut(t):
-    return X.cut_semantic(X.semantic_scan(t.embeddings, "vec_id", "embedding", _QUERY), 0.1, 0.2, 0.05).select("id", F.round("sim", 6).alias("sim"))
+    return X.cut_semantic(X.semantic_scan(t.embeddings, "vec_id", "embedding", _QUERY), 0.1, 0.2, 0.05, 200).select("id", F.round("sim", 6).alias("sim"))
 
 
 @query(_BM25 + f", {_SEM} SELECT bm.id, round(score, 6) AS score FROM bm LEFT JOIN sem USING (id) WHERE coalesce(sim, 1) >= 0.02")
@@ -109,9 +109,28 @@ def rank_fusion(t):
     return X.fuse(_keyword(t).select("id", F.round("score", 9).alias("score")), sem).select("id", F.round("score", 9).alias("score"))
 
 
-@query()
+_HYBRID = """kw AS (SELECT id, score FROM (SELECT * FROM bm {scope} ORDER BY round(score, 9) DESC, id LIMIT 2000) WHERE score >= 0.3 * (SELECT max(score) FROM bm {scope}) ORDER BY round(score, 9) DESC, id LIMIT 200),
+ss AS (SELECT * FROM sem {scope}), kv AS (SELECT kw.id, row_number() OVER (ORDER BY round(score, 9) DESC, kw.id) - 1 AS r FROM kw LEFT JOIN ss USING (id) WHERE coalesce(sim, 1) >= 0.26),
+sc AS (SELECT id, row_number() OVER (ORDER BY round(sim, 9) DESC, id) - 1 AS r FROM ss WHERE (SELECT max(sim) FROM ss) >= 0.4 AND sim >= greatest({least}, (SELECT max(sim) FROM ss) - {window}) QUALIFY r < {limit})
+SELECT id, round(coalesce(0.9 / (60 + kv.r), 0) + coalesce(1.0 / (60 + sc.r), 0), 9) AS score FROM kv FULL JOIN sc USING (id) ORDER BY score DESC, id LIMIT 200"""
+_NEAR = """q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 3), sem AS (SELECT vec_id AS id, list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), q) / sqrt((SELECT list_sum(list_transform(q, lambda x: x * x)) FROM q)) AS sim FROM embeddings, q)"""
+
+
+def _hybrid(t: Tables, scope: DataFrame | None) -> DataFrame:
+    query = [float(x) for x in t.embeddings.where("vec_id = 3").first().embedding]
+    keyword = _keyword(t).select("id", F.round("score", 9).alias("score"))
+    sem = X.semantic_scan(t.embeddings, "vec_id", "embedding", query).select("id", F.round("sim", 9).alias("sim"))
+    return X.hybrid(keyword, sem, scope).select("id", F.round("score", 9).alias("score"))
+
+
+@query(_BM25 + f", {_NEAR}, " + _HYBRID.format(scope="", least=0.4, window=0.16, limit=200))
 def hybrid_search(t):
-    return X.hybrid(_keyword(t), X.semantic_scan(t.embeddings, "vec_id", "embedding", _QUERY))
+    return _hybrid(t, None)
+
+
+@query(_BM25 + f", {_NEAR}, " + _HYBRID.format(scope="WHERE id % 3 = 0", least=0.3, window=0.2, limit=12))
+def scoped_search(t):
+    return _hybrid(t, t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id")))
 
 
 _INDEX = f"""WITH {TOKENS}, t AS (SELECT id, w AS term, count(*) AS tf FROM words WHERE length(w) > 1 GROUP BY ALL),
@@ -228,7 +247,8 @@ def gap_segments(t):
     return g.groupBy("user_id", "segment").agg(F.count("*").alias("n"), (F.max("s") - F.min("s")).alias("seconds"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n, row_number() OVER (ORDER BY strftime(o_orderdate, '%Y-%m-%d')) AS r FROM orders GROUP BY 1),
+w AS (SELECT day, r, 0::BIGINT AS bucket, n AS held FROM d WHERE r = 1 UNION ALL SELECT d.day, d.r, w.bucket + CASE WHEN w.held >= 500 THEN 1 ELSE 0 END, CASE WHEN w.held >= 500 THEN d.n ELSE w.held + d.n END FROM w JOIN d ON d.r = w.r + 1) SELECT day, bucket FROM w""")
 def equal_time_buckets(t):
     counts = t.orders.groupBy(F.to_date("o_orderdate").cast("string").alias("day")).agg(F.count("*").alias("n"))
     return T.equal_buckets(counts, "day", "n", 500)
@@ -275,9 +295,9 @@ x AS (SELECT lang, term, n / sum(n) OVER (PARTITION BY lang) * ln(1 + sum(n) OVE
 SELECT lang, term, round(score, 6) AS score FROM x QUALIFY row_number() OVER (PARTITION BY lang ORDER BY round(score, 9) DESC, term) <= 20""")
 def class_tfidf(t):
     g = t.documents.select("lang", F.explode(plain_tokens(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
-    per_lang, per_term = g.groupBy("lang").agg(F.sum("n").alias("ln")), g.groupBy("term").agg(F.sum("n").alias("tn"))
-    total = g.agg(F.sum("n").alias("total"))
-    x = g.join(per_lang, "lang").join(per_term, "term").join(F.broadcast(total)).withColumn("score", F.col("n") / F.col("ln") * F.log(1 + F.col("total") / F.col("tn")))
+    per_lang = g.groupBy("lang").agg(F.sum("n").alias("ln")).withColumn("total", F.sum("ln").over(Window.partitionBy()))  # a row for each language
+    per_term = F.sum("n").over(Window.partitionBy("term"))
+    x = g.withColumn("tn", per_term).join(F.broadcast(per_lang), "lang").withColumn("score", F.col("n") / F.col("ln") * F.log(1 + F.col("total") / F.col("tn")))
     w = Window.partitionBy("lang").orderBy(F.desc(F.round("score", 9)), "term")
     return x.withColumn("r", F.row_number().over(w)).where("r <= 20").select("lang", "term", F.round("score", 6).alias("score"))
 
@@ -302,18 +322,17 @@ def log_fame(t):
 
 @query("""WITH g AS (SELECT p_brand, list_sort(list(p_retailprice)) AS x FROM part GROUP BY p_brand) SELECT p_brand, x[len(x) // 2 + 1] AS median, x[floor(0.25 * (len(x) - 1))::INT + 1] AS q1, x[floor(0.75 * (len(x) - 1))::INT + 1] AS q3 FROM g""")
 def index_quantiles(t):
-    g = t.part.groupBy("p_brand").agg(F.sort_array(F.collect_list("p_retailprice")).alias("x"))
-    at = lambda f: F.get("x", F.floor(F.lit(f) * (F.size("x") - 1)).cast("int"))
-    return g.select("p_brand", F.get("x", F.floor(F.size("x") / 2).cast("int")).alias("median"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    return K.at_ranks(t.part, "p_brand", "p_retailprice", median=F.floor(F.col("n") / 2), q1=K.middle(0.25), q3=K.middle(0.75)).drop("n")
 
 
-@query("""WITH g AS (SELECT p_brand, list_sort(list(p_retailprice)) AS x FROM part GROUP BY p_brand), q AS (SELECT p_brand, x[floor(0.25 * (len(x) - 1))::INT + 1] AS q1, x[floor(0.75 * (len(x) - 1))::INT + 1] AS q3 FROM g WHERE len(x) >= 8)
-SELECT p_partkey FROM part JOIN q USING (p_brand) WHERE p_retailprice BETWEEN q1 - 0.5 * (q3 - q1) AND q3 + 0.5 * (q3 - q1)""")
+@query("""WITH g AS (SELECT p_brand, list_sort(list(p_retailprice)) AS x FROM part GROUP BY p_brand), q AS (SELECT p_brand, x[floor(0.25 * (len(x) - 1))::INT + 1] AS q1, x[floor(0.75 * (len(x) - 1))::INT + 1] AS q3 FROM g WHERE len(x) >= 8),
+o AS (SELECT p_brand, CASE WHEN p_brand LIKE '%1' THEN 920 - least(60, 1000) - 200 ELSE q1 - 1.5 * (q3 - q1) END AS lo, CASE WHEN p_brand LIKE '%1' THEN 980 + least(0.25 * 60, 200) + 50 ELSE q3 + 1.5 * (q3 - q1) END AS hi FROM q)
+SELECT p_partkey FROM part JOIN o USING (p_brand) WHERE p_retailprice + p_size * 20 BETWEEN lo AND hi""")
 def tukey_fence(t):
-    g = t.part.groupBy("p_brand").agg(F.sort_array(F.collect_list("p_retailprice")).alias("x")).where(F.size("x") >= 8)
-    at = lambda f: F.get("x", F.floor(F.lit(f) * (F.size("x") - 1)).cast("int"))
-    q = g.select("p_brand", at(0.25).alias("q1"), at(0.75).alias("q3"))
-    return t.part.join(q, "p_brand").where("p_retailprice BETWEEN q1 - 0.5 * (q3 - q1) AND q3 + 0.5 * (q3 - q1)").select("p_partkey")
+    own = F.when(F.endswith("p_brand", F.lit("1")), F.struct(F.lit(920.0).alias("start"), F.lit(980.0).alias("end")))
+    q = K.at_ranks(t.part, "p_brand", "p_retailprice", q1=K.middle(0.25), q3=K.middle(0.75)).where("n >= 8")
+    q = q.select("p_brand", T.era_fence(own, F.col("q1"), F.col("q3")).alias("f"))
+    return t.part.join(q, "p_brand").where((F.col("p_retailprice") + F.col("p_size") * 20).between(F.col("f.lo"), F.col("f.hi"))).select("p_partkey")
 
 
 @query("""WITH m AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) SELECT l_partkey, list_sort(list(l_suppkey))::VARCHAR AS suppliers FROM m GROUP BY l_partkey HAVING count(*) >= 2""")
@@ -351,10 +370,10 @@ def trimmed_extent(t):
     return r.where("r > floor(0.04 * n) AND r <= n - floor(0.04 * n)").groupBy("p_type").agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"))
 
 
-@query("""SELECT n_name, count(*) AS n, count(DISTINCT c_mktsegment) AS segments, round(max(c) * 1.0 / sum(c), 6) AS purity FROM (SELECT n_name, c_mktsegment, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) GROUP BY n_name""")
+@query("""SELECT n_name, sum(c)::BIGINT AS n, count(DISTINCT c_mktsegment) AS segments, round(max(c) * 1.0 / sum(c), 6) AS purity FROM (SELECT n_name, c_mktsegment, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) GROUP BY n_name""")
 def group_purity(t):
     c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("c"))
-    return c.groupBy("n_name").agg(F.count("*").alias("n"), F.count("*").alias("segments"), F.round(F.max("c") / F.sum("c"), 6).alias("purity"))
+    return c.groupBy("n_name").agg(F.sum("c").alias("n"), F.count("*").alias("segments"), F.round(F.max("c") / F.sum("c"), 6).alias("purity"))
 
 
 # windows and ranks -------------------------------------------------------------------------------
@@ -515,7 +534,9 @@ def data_quality(t):
 
 # state ---------------------------------------------------------------------------------------------
 
-@query()
+@query("""WITH e AS (SELECT user_id AS "user", event_type AS entry, epoch_ms(date_trunc('second', ts)) AS "at", event_id, CASE WHEN value > 20 THEN 1 ELSE 0 END AS ok FROM events),
+g AS (SELECT "user", entry, sum(ok)::BIGINT AS right_n, (count(*) - sum(ok))::BIGINT AS wrong_n, list_reduce(list(ok ORDER BY "at", event_id), lambda box, x: CASE WHEN x = 1 THEN least(6, box + 1) ELSE 0 END, 0)::INT AS box, max("at") AS "at" FROM e GROUP BY ALL)
+SELECT *, "at" + [600000, 86400000, 259200000, 604800000, 1382400000, 3024000000, 7776000000][box + 1] AS due FROM g""")
 def leitner_state(t):
     from almanack.streaming.progress import fold_reviews
 
@@ -549,17 +570,11 @@ def tumbling_windows(t):
 
 # more of the reference's operators ------------------------------------------------------------------
 
-@query(f"""WITH {ENTRIES} SELECT id FROM entries WHERE start <= 1999 AND coalesce("end", start) >= 1998 AND topic IN ('1-URGENT', '2-HIGH') AND status = 'F' OR fame IS NULL""")
-def faceted_filter(t):
-    years = D.overlaps(F.col("start"), F.col("end"), 1998, 1999)
-    return t.entries.where((years & F.col("topic").isin("1-URGENT", "2-HIGH") & (F.col("status") == "F")) | F.col("fame").isNull()).select("id")
-
-
 @query(f"""WITH {ENTRIES}, g AS (SELECT grp, list_sort(list(fame)) AS x FROM entries WHERE id % 7 <> 0 GROUP BY grp) SELECT id, round(CASE WHEN id % 7 = 0 THEN x[len(x) // 2 + 1] ELSE fame END, 2) AS fame FROM entries LEFT JOIN g USING (grp)""")
 def median_imputation(t):
-    known = F.when(F.col("id") % 7 != 0, F.col("fame"))
-    g = t.entries.select("grp", known.alias("f")).where("f IS NOT NULL").groupBy("grp").agg(F.sort_array(F.collect_list("f")).alias("x"))
-    return t.entries.join(g, "grp", "left").select("id", F.round(F.coalesce(known, F.get("x", F.floor(F.size("x") / 2).cast("int"))), 2).alias("fame"))
+    e = t.entries.withColumn("known", F.when(F.col("id") % 7 != 0, F.col("fame")))
+    g = K.at_ranks(e, "grp", "known", middle=F.floor(F.col("n") / 2))
+    return e.join(g, "grp", "left").select("id", F.round(F.coalesce("known", "middle"), 2).alias("fame"))
 
 
 @query(f"""WITH {ENTRIES} SELECT grp, count(*) FILTER ("end" < 1998) AS due, count(*) AS n, min("end") FILTER ("end" >= 1998) AS next_end FROM entries GROUP BY grp""")
@@ -567,27 +582,29 @@ def due_summary(t):
     return t.entries.groupBy("grp").agg(F.count_if(F.col("end") < 1998).alias("due"), F.count("*").alias("n"), F.min(F.when(F.col("end") >= 1998, F.col("end"))).alias("next_end"))
 
 
-@query("""SELECT text_len, count(*) AS n, CASE WHEN count(*) > 1 THEN 'reused' ELSE 'single' END AS verdict FROM (SELECT length(text) AS text_len FROM documents) GROUP BY text_len""")
+@query("""WITH m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'Unique ' || o_orderkey WHEN o_orderkey % 7 = 0 THEN 'List of ' || o_orderkey ELSE 'Page ' || o_custkey END END AS title FROM orders), n AS (SELECT title, count(*) AS n FROM m WHERE title IS NOT NULL GROUP BY title)
+SELECT id, CASE WHEN m.title IS NULL THEN 'no-source' WHEN n > 1 THEN 'reused-page' WHEN m.title LIKE 'List of%' THEN 'index-page' ELSE 'review' END AS verdict FROM m LEFT JOIN n USING (title)""")
 def reuse_verdicts(t):
-    return t.documents.groupBy(F.length("text").alias("text_len")).agg(F.count("*").alias("n")).select("text_len", "n", F.when(F.col("n") > 1, "reused").otherwise("single").alias("verdict"))
+    title = F.expr("CASE WHEN o_orderkey % 5 <> 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'Unique ' || o_orderkey WHEN o_orderkey % 7 = 0 THEN 'List of ' || o_orderkey ELSE 'Page ' || o_custkey END END")
+    return R.miss_verdicts(t.orders.select(F.col("o_orderkey").alias("id"), title.alias("title"), F.lit(None).cast("string").alias("creator"))).select("id", "verdict")
 
 
-@query(f"""WITH {ENTRIES}, g AS (SELECT grp, count(*) AS n FROM entries GROUP BY grp), q AS (SELECT grp, greatest(1, floor(0.3 * n + 0.5)) AS quota FROM g),
-r AS (SELECT e.id, e.grp, person, quota, row_number() OVER (PARTITION BY e.grp, person ORDER BY fame DESC, e.id) AS r, row_number() OVER (PARTITION BY e.grp ORDER BY fame DESC, e.id) AS o FROM entries e JOIN q USING (grp))
-SELECT id FROM r WHERE o <= quota AND (NOT person OR r <= greatest(1, floor(0.4 * quota)))""")
+@query(f"""WITH {ENTRIES}, r AS (SELECT id, grp, fame, CASE id % 6 WHEN 0 THEN 'event' WHEN 1 THEN 'person' WHEN 2 THEN 'place' WHEN 3 THEN 'work' WHEN 4 THEN 'event' ELSE 'person' END AS type, id % 12 = 2 AS headed FROM entries),
+g AS (SELECT *, greatest(4, floor(0.3 * count(*) OVER (PARTITION BY grp) + 0.5)) AS quota, count(*) FILTER (type <> 'place' OR headed) OVER (PARTITION BY grp) AS usable, row_number() OVER (PARTITION BY grp ORDER BY fame DESC, id) AS o FROM r),
+e AS (SELECT * FROM g WHERE type <> 'place' OR headed OR (usable = 0 AND o <= 2)),
+s AS (SELECT *, CASE WHEN type = 'event' AND row_number() OVER (PARTITION BY grp, type = 'event' ORDER BY fame DESC, id) <= ceil(quota * 0.5) THEN 0 WHEN type = 'person' AND row_number() OVER (PARTITION BY grp, type = 'person' ORDER BY fame DESC, id) > ceil(quota * 0.4) THEN 2 ELSE 1 END AS stage FROM e)
+SELECT id FROM s QUALIFY row_number() OVER (PARTITION BY grp ORDER BY stage, fame DESC, id) <= quota""")
 def quota_selection(t):
-    e = t.entries
-    w = Window.partitionBy("grp")
-    quota = F.greatest(F.lit(1), F.floor(0.3 * F.col("n") + 0.5))
-    r = e.withColumn("n", F.count("*").over(w)).withColumn("quota", quota)
-    r = r.withColumn("r", F.row_number().over(Window.partitionBy("grp", "person").orderBy(F.desc("fame"), "id"))).withColumn("o", F.row_number().over(w.orderBy(F.desc("fame"), "id")))
-    return r.where((F.col("o") <= F.col("quota")) & (~F.col("person") | (F.col("r") <= F.greatest(F.lit(1), F.floor(0.4 * F.col("quota")))))).select("id")
+    kind = F.element_at(F.array(*map(F.lit, ["event", "person", "place", "work", "event", "person"])), (F.col("id") % 6 + 1).cast("int"))
+    rows = t.entries.select("id", F.col("grp").alias("chapter"), kind.alias("type"), F.lit("Thing").alias("title"), F.col("fame").alias("importance"), (F.col("id") % 12 == 2).alias("headed"))
+    n = F.count("*").over(Window.partitionBy("chapter"))
+    return K.key_selection(rows.withColumn("n", n), 0.3 * F.col("n")).select("id")
 
 
-@query("""SELECT n_nationkey // 100 AS block, n_nationkey % 100 AS place, n_name FROM (SELECT row_number() OVER (ORDER BY n_name) - 1 AS n_nationkey, n_name FROM nation)""")
+@query("""SELECT r // 100 AS block, r % 100 AS place, o_orderkey AS id FROM (SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS r, o_orderkey FROM orders)""")
 def row_blocks(t):
-    r = F.row_number().over(Window.orderBy("n_name")) - 1
-    return t.nation.select(r.alias("r"), "n_name").select(F.floor(F.col("r") / 100).alias("block"), (F.col("r") % 100).alias("place"), "n_name")
+    rows = K.numbered(t.orders.select(F.col("o_orderkey").alias("id"), "o_totalprice"), F.desc("o_totalprice"), F.asc("id"))
+    return rows.select(F.floor(F.col("n") / 100).alias("block"), (F.col("n") % 100).alias("place"), "id")
 
 
 @query(f"""WITH {ENTRIES} SELECT 'a' AS side, id FROM entries WHERE status = 'F' UNION SELECT 'b', id FROM entries WHERE start >= 1998 EXCEPT SELECT 'b', id FROM entries WHERE person""")

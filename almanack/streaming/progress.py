@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 # Fixed list: the wait in each box, in milliseconds: 10 minutes, then 1, 3, 7, 16, 35 and 90 days.
@@ -31,23 +32,84 @@ def merge_latest(local: DataFrame, remote: DataFrame) -> DataFrame:
     return both.select("key", F.when(wins, F.col("_r")).otherwise(F.col("_l")).alias("at"), F.when(wins, "remote").otherwise("local").alias("side"))
 
 
+def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
+    """States (user, entry, right_n, wrong_n, box, at, ...) after the reviews of `new`, folded by themselves, that came after those of `old`.
+
+    A state is two counts, a box and a time: a batch without a wrong answer adds its right ones to the box, one with a wrong
+    answer brings its own.
+    """
+    key = ["user", "entry"]
+    o = old.select(*key, *[F.col(c).alias(f"_{c}") for c in ("right_n", "wrong_n", "box", "at")])
+    both = new.join(o, key, "full")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    box = F.when(zero("wrong_n") > 0, F.col("box")).otherwise(F.least(F.lit(6), zero("_box") + zero("right_n"))).cast("int")
+    at = F.greatest("at", "_at")
+    due = at + F.element_at(F.array(*[F.lit(w) for w in WAITS]), box + 1)
+    return both.select(*key, (zero("right_n") + zero("_right_n")).alias("right_n"), (zero("wrong_n") + zero("_wrong_n")).alias("wrong_n"), box.alias("box"), at.alias("at"), due.alias("due"))
+
+
 def stream_reviews(reviews: DataFrame, path: str, checkpoint: str):
-    """Start a stream that folds review batches into Parquet states under path/<batch>.
+    """Start a stream that folds review batches (user, entry, at, event_id, right), in order of time, into states under path/<batch>.
 
-    A state is replaced, not edited: batch n reads batch n - 1 and writes its own folder, so a batch
-    that is run again gives the same result.
+    Each batch is folded by itself and merged with the states of the batch before, so its cost is that of the states and of
+    its own reviews, however many there were. A batch that is run again reads the same states and writes its folder
+    again, with the same result. Two states before the last are deleted.
     """
+    from almanack.sources.store import delete, exists
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/reviews")
-            seen = old.where(F.col("_batch") < number).drop("_batch").unionByName(batch)
-        except Exception as e:  # only the first batch has nothing before it
-            if number:
-                raise e
-            seen = batch
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{path}/reviews")
-        fold_reviews(seen).write.mode("overwrite").parquet(f"{path}/state/{number}")
+        state = fold_reviews(batch)
+        if number and exists(spark, f"{path}/{number - 1}"):
+            state = merge_states(spark.read.parquet(f"{path}/{number - 1}"), state)
+        state.write.mode("overwrite").parquet(f"{path}/{number}")
+        if number > 1:
+            delete(spark, f"{path}/{number - 2}")
 
     return reviews.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def merge_records(local: DataFrame, remote: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(merged, to push) of records (id, at, topics) of two sides: the later of each id wins, a tie stays local, topics are those of
+    both, in order of the winner's first; ids move along aliases (src, dst). To push: what the other side hasn't, or has older."""
+    from almanack.operators.lookup import rewrite_keys
+
+    moved = rewrite_keys(remote, aliases, "id", F.desc("at"))
+    r = moved.select("id", F.col("at").alias("_at"), F.col("topics").alias("_topics"))
+    both = local.join(r, "id", "full")
+    wins = F.col("at").isNull() | (F.col("_at") > F.col("at"))
+    none = F.array().cast(dict(local.dtypes)["topics"])
+    mine, theirs = F.coalesce("topics", none), F.coalesce("_topics", none)
+    merged = both.select("id", F.when(wins, F.col("_at")).otherwise(F.col("at")).alias("at"), F.when(wins, F.array_union(theirs, mine)).otherwise(mine).alias("topics"), "_at")
+    return merged.drop("_at"), merged.where(F.col("_at").isNull() | (F.col("at") > F.col("_at"))).drop("_at")
+
+
+# jobs --------------------------------------------------------------------------------------------------------
+
+
+def unfinished(jobs: DataFrame, log: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """jobs (id, ...) that no log of done ones has, and that were never refused."""
+    out = jobs.join(log.select("id").distinct(), "id", "left_anti")
+    return out if refused is None else out.join(refused.select("id").distinct(), "id", "left_anti")
+
+
+def stale_caches(caches: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, stale) of caches (name, newest, n_files) against the files (name, modified) they were made from: a newer file, or another number."""
+    now = files.groupBy("name").agg(F.max("modified").alias("m"), F.count("*").alias("c"))
+    joined = caches.join(now, "name", "left")
+    return joined.select("name", (~F.coalesce((F.col("m") == F.col("newest")) & (F.col("c") == F.col("n_files")), F.lit(False))).alias("stale"))
+
+
+def push_pages(rows: DataFrame, send, size: int = 500) -> DataFrame:
+    """(id, sent) of rows after pages of at most `size` of them were given to send(list of ids); a page that fails is asked for again once, and
+    its rows come back unsent for the next time."""
+    kind = dict(rows.dtypes)["id"]
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), size):
+                ids = pdf["id"].iloc[at : at + size].tolist()
+                ok = bool(send(ids)) or bool(send(ids))
+                yield pd.DataFrame({"id": ids, "sent": [ok] * len(ids)})
+
+    return rows.select("id").mapInPandas(run, f"id {kind}, sent boolean")
