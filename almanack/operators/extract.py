@@ -7,7 +7,7 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from almanack.functions.when import season_year
 
@@ -121,10 +121,12 @@ def sections_text(html: str | None) -> list[dict]:
     return out
 
 
-_SECTION = "struct<level: int, title: string, links: array<struct<target: string, weight: int>>, paras: array<struct<tag: string, text: string, links: array<struct<target: string, at: int>>>>>"
+_LINKS = lambda kind: T.ArrayType(T.StructType([T.StructField("target", T.StringType()), T.StructField(kind, T.IntegerType())]))
+_PARAS = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("text", T.StringType()), T.StructField("links", _LINKS("at"))]))
+_SECTION = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("links", _LINKS("weight")), T.StructField("paras", _PARAS)])
 
 
-@F.pandas_udf(f"array<{_SECTION}>")
+@F.pandas_udf(T.ArrayType(_SECTION))
 def sections(html: pd.Series) -> pd.Series:
     return html.map(sections_text)
 

@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from almanack.functions.strings import first_sentence, index_tokens, shard_of
 from almanack.functions.text import short_picture, strip_apparatus
@@ -75,7 +75,7 @@ def write_csv(rows: DataFrame, path: str) -> None:
     swap(spark, staged, path)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def csv_line(cells: pd.Series) -> pd.Series:
     """A line of minimal quotes from an array of strings."""
 
@@ -125,7 +125,7 @@ def lite_rows(entries: DataFrame, members: DataFrame, prefix: str) -> DataFrame:
 def packed(v: Column) -> Column:
     """Bytes of a vector: its scale as a little-endian float, then its values in one byte each."""
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def pack(scale: pd.Series, q: pd.Series) -> pd.Series:
         return pd.Series([np.float32(s).astype("<f4").tobytes() + np.asarray(x, np.int8).tobytes() for s, x in zip(scale, q)])
 
@@ -133,7 +133,7 @@ def packed(v: Column) -> Column:
     return pack(q["scale"], q["q"])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def unpacked(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: np.frombuffer(b, np.int8, offset=4).astype(float) * float(np.frombuffer(b, "<f4", count=1)[0]))
 
