@@ -18,9 +18,9 @@ def bm25(docs: DataFrame, id_col: str, tokens: Column, query: list[str], k1: flo
     """
     terms = list(dict.fromkeys(query))
     need = len(terms) if len(terms) <= 2 else -(-6 * len(terms) // 10)
-    counts = F.transform(F.array(*map(F.lit, terms)), lambda q: F.size(F.filter("t", lambda x: x == q)))
-    sized = docs.select(F.col(id_col).alias("id"), tokens.alias("t")).select("id", F.size("t").alias("dl"), counts.alias("tf"))
-    tf = [F.get("tf", F.lit(i)) for i in range(len(terms))]
+    counts = [(F.size("t") - F.size(F.array_remove("t", q))).alias(f"tf{i}") for i, q in enumerate(terms)]
+    sized = docs.select(F.col(id_col).alias("id"), tokens.alias("t")).select("id", F.size("t").alias("dl"), *counts)
+    tf = [F.col(f"tf{i}") for i in range(len(terms))]
     stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.array(*[F.count_if(c > 0) for c in tf]).alias("df"))
     have = sum((F.when(c > 0, 1).otherwise(0) for c in tf), F.lit(0))
     hits = sized.where(have >= need).join(F.broadcast(stats))

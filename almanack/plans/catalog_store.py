@@ -145,6 +145,12 @@ def served_words(t):
     return T.find_rows(t.spark, _layout(t), "12 of the unknownword", 10_000).select("n", F.round("score", 6).alias("score"))
 
 
+@query("""WITH b AS (SELECT n_nationkey AS bucket, n_nationkey * 100 AS lo, n_nationkey * 100 + 99 AS hi FROM nation WHERE n_nationkey NOT IN (10, 11)) SELECT bucket FROM b WHERE lo <= 2000 AND hi >= 500 ORDER BY abs((lo + hi) / 2.0 - 1250), bucket LIMIT 10""")
+def buckets_to_load(t):
+    bounds = t.nation.select(F.col("n_nationkey").alias("bucket"), (F.col("n_nationkey") * 100).alias("lo"), (F.col("n_nationkey") * 100 + 99).alias("hi"))
+    return T.buckets_to_load(bounds, bounds.where("bucket IN (10, 11)"), 500, 2000).select("bucket")
+
+
 @query("""WITH r AS (SELECT p_partkey AS id, p_type AS leaf, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS r FROM part), p AS (SELECT leaf, r // 30 AS part, count(*) AS c FROM r GROUP BY ALL), f AS (SELECT leaf, part, ((sum(c) OVER (ORDER BY leaf, part) - c) // 100)::BIGINT AS file FROM p) SELECT id, r.leaf, part, file FROM r JOIN f ON f.leaf = r.leaf AND f.part = r.r // 30""")
 def detail_groups(t):
     return T.detail_groups(t.part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("leaf"), F.col("p_partkey").alias("seq")), 30, 100)

@@ -224,6 +224,12 @@ def rows_between(spark: SparkSession, path: str, lo: int, hi: int, now: int, mos
     return rows.where((F.col("start") <= hi) & (last >= lo)).drop("bucket").dropDuplicates(["id"]), n > most
 
 
+def buckets_to_load(bounds: DataFrame, loaded: DataFrame, lo: int, hi: int, most: int = 10) -> DataFrame:
+    """The buckets (bucket, lo, hi) that a view of [lo, hi] lacks: those nearest its middle first, at most `most` at once."""
+    met = bounds.where((F.col("lo") <= hi) & F.coalesce(F.col("hi") >= lo, F.lit(True))).join(loaded.select("bucket"), "bucket", "left_anti")
+    return met.orderBy(F.abs((F.col("lo") + F.coalesce("hi", "lo")) / 2 - (lo + hi) / 2), "bucket").limit(most)
+
+
 def rows_by_number(spark: SparkSession, path: str, numbers: DataFrame, per: int = 100) -> DataFrame:
     """The rows of a layout with the numbers (n) asked for, from their blocks alone."""
     blocks = [r.b for r in numbers.select(F.floor(F.col("n") / per).alias("b")).distinct().limit(10_000).collect()]  # a page of hits
