@@ -6,11 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from almanack.llm.session import write
+from almanack.llm.session import drop, write
 from almanack.llm.textkit import LOWER, NOT_ITEM_WORD, SLICE_BYTES, U64, WordHasher, byte_set, row_starts, text_slices, word_bounds
 
 #: Labelled texts of each class, by the order of a hash of their ids, that the model is fitted on.
-#: They stay whole in the tasks; the driver holds their distinct entries and features.
+#: They stay whole in the tasks; the driver holds their features and the entries of the lexicon.
 ROWS_PER_CLASS = 4000
 #: Bytes of the word prefixes that may enter the lexicon; 0 is the whole word.
 PREFIXES = (0, 4, 5, 6)
@@ -44,27 +44,43 @@ def text_entries(data: np.ndarray, hasher: WordHasher) -> tuple[np.ndarray, np.n
     return found[found != 0], np.minimum(times[found != 0], 3)
 
 
-def learn_lexicon(entries: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, least: int = 3, odds: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and weights (log-odds of occurrence in toxic texts) of words and prefixes.
+def learn_lexicons(entries: DataFrame, rows: list[tuple[int, int, int]], least: int = 3, odds: float = 2.5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted hashes and weights (log-odds of occurrence in toxic texts) of words and prefixes, learned from all
+    texts but those of fold 0, from all but those of fold 1, and from all.
 
-    An entry's occurrences, up to three a text, must be unlikely to fall in toxic texts by chance
-    given the number of candidates, so that a small sample yields a small lexicon.
+    entries are (hash, fold, toxic, times), one for each text and entry; rows are (fold, toxic, texts). Counts
+    are summed in the tasks; only what enters a lexicon reaches the driver. An entry's occurrences, up to
+    three a text, must be unlikely to fall in toxic texts by chance given the number of candidates, so that
+    a small sample yields a small lexicon.
     """
-    seen = [(found, times, i) for i, (found, times) in enumerate(entries)]
-    if not seen:
-        return np.zeros(0, U64), np.zeros(0)
-    hashes, times = np.concatenate([s for s, _, _ in seen]), np.concatenate([x for _, x, _ in seen])
-    rows = np.repeat([i for _, _, i in seen], [len(s) for s, _, _ in seen])
-    known, at = np.unique(hashes, return_inverse=True)
-    a = np.bincount(at, toxic[rows], len(known))
-    b = np.bincount(at, 1 - toxic[rows], len(known))
-    n_a, n_b = toxic.sum(), len(toxic) - toxic.sum()
-    if not n_a or not n_b:
-        return np.zeros(0, U64), np.zeros(0)
-    evidence = np.bincount(at, toxic[rows] * times, len(known)) * np.log(len(toxic) / n_a) - 3 * np.bincount(at, (1 - toxic[rows]) * times, len(known))
-    weight = np.log((a + 0.5) / (n_a + 1)) - np.log((b + 0.5) / (n_b + 1))
-    keep = (a >= max(least, 0.004 * n_a)) & (weight >= odds) & (evidence >= 0.8 * np.log(len(known)))
-    return known[keep], weight[keep]
+    seen = {(f, y): n for f, y, n in rows}
+    sums = [
+        F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == y), F.lit(1) if v == "n" else F.col("times")).otherwise(0)).alias(f"{v}{f}{y}")
+        for v in "nt" for f in (0, 1) for y in (0, 1)
+    ]
+    counted = write(entries.groupBy("hash").agg(*sums))
+    subsets = [(1,), (0,), (0, 1)]
+    of = lambda v, y, folds: sum((F.col(f"{v}{f}{y}") for f in folds), F.lit(0))
+    known = counted.agg(*[F.count_if(of("n", 0, s) + of("n", 1, s) > 0).alias(f"k{i}") for i, s in enumerate(subsets)]).first()
+    weights = []
+    for i, s in enumerate(subsets):
+        n_a, n_b = (sum(seen.get((f, y), 0) for f in s) for y in (1, 0))
+        if not n_a or not n_b or not known[i]:
+            weights.append(F.lit(None).cast("double"))
+            continue
+        a, b = of("n", 1, s), of("n", 0, s)
+        evidence = of("t", 1, s) * float(np.log((n_a + n_b) / n_a)) - 3 * of("t", 0, s)
+        weight = F.log((a + 0.5) / (n_a + 1.0)) - F.log((b + 0.5) / (n_b + 1.0))
+        weights.append(F.when((a >= max(least, 0.004 * n_a)) & (weight >= odds) & (evidence >= 0.8 * float(np.log(known[i]))), weight))
+    kept = counted.select("hash", *(w.alias(f"w{i}") for i, w in enumerate(weights))).where("w0 IS NOT NULL OR w1 IS NOT NULL OR w2 IS NOT NULL").toPandas()
+    drop(counted)
+    out = []
+    for i in range(len(subsets)):
+        w = kept[f"w{i}"].to_numpy(float)
+        hashes = kept["hash"].to_numpy(np.int64).view(U64)[~np.isnan(w)]
+        order = np.argsort(hashes)
+        out.append((hashes[order], w[~np.isnan(w)][order]))
+    return out
 
 
 def features(data: np.ndarray, off: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray], hasher: WordHasher) -> np.ndarray:
@@ -192,24 +208,23 @@ def isotonic(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarra
 class ToxicityModel:
     """Lexicon, trees and calibration from labelled texts; `rate` is the share of label 1 in all labels.
 
-    entries has each text's text_entries; measure(lexicons) gives a texts x lexicons x FEATURES array.
+    lexicons are those of learn_lexicons; x is the texts x FEATURES array by the lexicon that has not seen a text's fold.
     """
 
-    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, folds: np.ndarray, rate: float, measure):
+    def __init__(self, lexicons, x: np.ndarray, toxic: np.ndarray, folds: np.ndarray, rate: float):
         self.rate, self.model = rate, None
-        if len(entries) < 10 or not 0 < toxic.mean() < 1:
+        if len(toxic) < 10 or not 0 < toxic.mean() < 1:
             return
         w = np.where(toxic == 1, rate / toxic.mean(), (1 - rate) / (1 - toxic.mean()))
-        raw = np.zeros(len(entries))
+        raw = np.zeros(len(toxic))
         # the lexicon that a row's features come from, and the trees that its calibration score
         # comes from, have not seen its label
-        lexicons = [learn_lexicon([e for e, f in zip(entries, folds) if f != fold], toxic[folds != fold]) for fold in (0, 1)]
-        x = measure(lexicons)[np.arange(len(entries)), folds]
         for fold in (0, 1):
-            m = BoostedTrees().fit(x[folds != fold], toxic[folds != fold], w[folds != fold])
-            raw[folds == fold] = m.raw(x[folds == fold])
+            m = BoostedTrees().fit(x[folds != fold], toxic[folds != fold], w[folds != fold]) if (folds != fold).any() else None
+            if m is not None and (folds == fold).any():
+                raw[folds == fold] = m.raw(x[folds == fold])
         self.knots = isotonic(raw, toxic, w)
-        self.lexicon = learn_lexicon(entries, toxic)
+        self.lexicon = lexicons[2]
         self.model = BoostedTrees().fit(x, toxic, w)
 
     def scores(self, data: np.ndarray, off: np.ndarray, hasher: WordHasher) -> np.ndarray:
@@ -228,32 +243,32 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", text.alias("text"))
     # whole texts, read twice by the tasks
-    sample = write(sample.withColumn("hash", F.xxhash64("text")))
-    kind, order = dict(sample.dtypes)["doc_id"], [("doc_id", "ascending"), ("hash", "ascending")]
-
-    def listed(values: list[np.ndarray], dtype) -> pa.ListArray:
-        return pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, values)]), pa.array(np.concatenate(values).astype(dtype))).cast(pa.list_(pa.from_numpy_dtype(dtype)))
+    sample = write(sample.withColumn("hash", F.xxhash64("text")).withColumn("fold", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(2)).cast("int")))
+    order = [("doc_id", "ascending"), ("hash", "ascending")]
 
     def count(batches):
         hasher = WordHasher()
         for batch, raw, off in text_slices(batches):
-            entries = [text_entries(raw[a:b], hasher) for a, b in zip(off[:-1], off[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), batch.column("toxic").cast(pa.int32()), listed([e.view(np.int64) for e, _ in entries], np.int64), listed([n for _, n in entries], np.int8)], ["doc_id", "hash", "toxic", "entries", "times"])
+            found = [text_entries(raw[a:b], hasher) for a, b in zip(off[:-1], off[1:])]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(e) for e, _ in found]))
+            flat = [np.concatenate(x) for x in zip(*found)]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), batch.column("fold").take(row), batch.column("toxic").cast(pa.int32()).take(row), pa.array(flat[1].astype(np.int8))], ["hash", "fold", "toxic", "times"])
 
-    def measure(lexicons) -> np.ndarray:
-        def run(batches):
-            hasher = WordHasher()
-            for batch, raw, off in text_slices(batches):
-                x = np.column_stack([features(raw, off, lexicon, hasher) for lexicon in lexicons])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), listed(list(x), np.float64)], ["doc_id", "hash", "x"])
+    rows = [tuple(r) for r in sample.groupBy("fold", F.col("toxic").cast("int")).agg(F.count("*")).collect()]
+    lexicons = learn_lexicons(sample.mapInArrow(count, "hash long, fold int, toxic int, times tinyint"), rows)
 
-        found = sample.mapInArrow(run, f"doc_id {kind}, hash long, x array<double>").toArrow().sort_by(order)
-        return np.array(found.column("x").combine_chunks().flatten()).reshape(found.num_rows, len(lexicons), FEATURES)
-
-    found = sample.mapInArrow(count, f"doc_id {kind}, hash long, toxic int, entries array<long>, times array<tinyint>").toArrow().sort_by(order)
-    lists = [[np.array(x.values) for x in found.column(c)] for c in ("entries", "times")]
-    entries = [(e.view(U64), n.astype(np.int64)) for e, n in zip(*lists)]
-    return ToxicityModel(entries, found.column("toxic").to_numpy().astype(float), np.arange(len(entries)) % 2, share.get(1, 0) / max(1, sum(share.values())), measure)
+    def measure(batches):
+        hasher = WordHasher()
+        for batch, raw, off in text_slices(batches):
+            fold = batch.column("fold").to_numpy()
+            x = np.where(fold[:, None] == 0, *(features(raw, off, lexicons[f], hasher) for f in (0, 1)))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), batch.column("fold"), batch.column("toxic").cast(pa.int32()), flat], ["doc_id", "hash", "fold", "toxic", "x"])
+
+    found = sample.mapInArrow(measure, f"doc_id {dict(sample.dtypes)['doc_id']}, hash long, fold int, toxic int, x array<double>").toArrow().sort_by(order)
+    x = np.array(found.column("x").combine_chunks().flatten()).reshape(found.num_rows, FEATURES)
+    drop(sample)
+    return ToxicityModel(lexicons, x, found.column("toxic").to_numpy().astype(float), found.column("fold").to_numpy(), share.get(1, 0) / max(1, sum(share.values())))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep_clean: bool = False) -> DataFrame:
