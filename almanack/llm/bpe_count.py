@@ -107,7 +107,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 1024, id
         if key not in state:
             state[key] = make_counter(path, pattern)
         count = state[key]
-        for batch, _, off in text_slices(batches):
+        for batch, _, off in text_slices(batches, keep=key):
             tokens = np.fromiter((count(t) if t else 0 for t in batch.column("text").to_pylist()), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.diff(off)), pa.array(tokens), pa.array(tokens > limit)],

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from struct import pack as pack_ints
 
 import numpy as np
 import pyarrow as pa
@@ -14,57 +17,77 @@ from tokenizers import Tokenizer
 
 from almanack.llm.textkit import text_slices, worker_state
 
-#: Distinct space-delimited strings whose ids a worker remembers at once.
-CACHE_ENTRIES = 1_500_000
+#: Distinct pieces of texts that a worker remembers, at the end of a block, before it lets go of those not met
+#: since; one block's are always held.
+CACHE_ENTRIES = 500_000
 #: Documents packed together at once; also bounds a task's memory beside one text.
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
+#: Texts of characters below this one (Latin, phonetic) are cut into pieces here. They hold no combining
+#: marks and no letters that are new or of unlike classes in other versions of the library's tables.
+LATIN_END = 0x250
 
 
-class ChunkEncoder:
-    """Ids of whole texts from remembered ids of space-delimited chunks.
+#: Control characters but for white space.
+_CONTROL = bytes([*range(9), *range(14, 32), 127])
 
-    Right for vocabularies that drop white space and never join across it. A chunk of ASCII letters
-    with one closing mark is looked up without it, so that "word" and "word." share an entry.
-    """
 
-    MARKS = b".,;:!?"
+def _latin_class(kind: str) -> str:
+    """A character class of all letters (L) or numbers (N) below LATIN_END."""
+    return "".join(re.escape(chr(c)) for c in range(LATIN_END) if unicodedata.category(chr(c))[0] == kind)
+
+
+class _Known(dict):
+    """Bytes of the ids of each piece; a new one is encoded when it is first asked for."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.encode, self.older = tokenizer.encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            ids = self.encode(piece, add_special_tokens=False).ids
+            found = pack_ints(f"<{len(ids)}I", *ids)
+        self[piece] = found
+        return found
+
+    def age(self) -> None:
+        if len(self) > CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+
+
+class PieceEncoder:
+    """Ids of whole texts, from the library's ids of remembered pieces.
+
+    Right for vocabularies that lower-case, drop white space and cut a text into the endings below, runs
+    of letters, single digits and runs of other characters, each encoded alone. Latin texts are cut here
+    and each distinct piece is encoded once. All others are cut at white space only, across which nothing
+    joins, and so are texts with control characters or with strings that may be special tokens.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _ids(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-
-    def learn(self, chunks: set[bytes]) -> None:
-        new = chunks - self.known.keys()
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known.clear()
-            self.cores.clear()
-            new = chunks
-        split: dict[bytes, tuple[str, str]] = {}
-        whole: dict[bytes, str] = {}
-        for chunk in new:
-            text = chunk.decode("utf-8", "replace")
-            core, mark = (text[:-1], text[-1]) if text[-1:] in ".,;:!?" else (text, "")
-            # ASCII letters only: one word whatever stands after it; the vocabulary's normaliser may
-            # turn other letters into some that end in a combining mark, which joins what follows
-            if core.isascii() and core.isalpha():
-                split[chunk] = (core.lower(), mark)
-            else:
-                whole[chunk] = text
-        wanted = list({x for pair in split.values() for x in pair if x} - self.cores.keys())
-        self.cores.update(zip(wanted, self._ids(wanted)))
-        self.cores[""] = b""
-        self.known.update((chunk, self.cores[core] + self.cores[mark]) for chunk, (core, mark) in split.items())
-        self.known.update(zip(whole, self._ids(list(whole.values()))))
+        self.known = _Known(Tokenizer.from_file(path))
+        letters, numbers = _latin_class("L"), _latin_class("N")
+        # the vocabulary file's own cut, for lower-case Latin text
+        self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+").findall
+        self.ascii_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
+        self.odd = re.compile(f"[\x00-\x08\x0e-\x1f\x7f-\x9f{chr(LATIN_END)}-\U0010ffff]|<\\|").search
+
+    def cut(self, raw: bytes) -> list[str]:
+        if raw.isascii():
+            if b"<|" not in raw and len(raw.translate(None, _CONTROL)) == len(raw):
+                return self.ascii_pieces(raw.decode("ascii").lower())
+        else:
+            low = raw.decode("utf-8", "replace").lower()
+            if not self.odd(low):
+                return self.pieces(low)
+        return [chunk.decode("utf-8", "replace") for chunk in raw.split()]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        chunks = [t.split() for t in texts]
-        self.learn(set().union(*chunks))
         get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        out = [b"".join(map(get, self.cut(t))) for t in texts]
+        self.known.age()
+        return out
 
 
 def plan(lengths: list[int], top: int, low: int) -> list[list[tuple[int, int, int]]]:
@@ -152,10 +175,10 @@ def pack(docs: DataFrame, path: str, top: int = 2048, low: int = 64, end_id: int
     def run(batches):
         state, key = worker_state(), ("packing", path)
         if key not in state:
-            state[key] = ChunkEncoder(path)
+            state[key] = PieceEncoder(path)
         encoder, base = state[key], TaskContext.get().partitionId() << 40
         end, n_sequences, n_groups = np.array([end_id], "<u4").tobytes(), 0, 0
-        for batch, raw, off in text_slices(batches, limit=PACK_BYTES):
+        for batch, raw, off in text_slices(batches, limit=PACK_BYTES, keep=key):
             whole = raw.tobytes()
             ids = [x + end for x in encoder.encode([whole[a:b] for a, b in zip(off[:-1], off[1:])])]
             lengths = [len(x) // 4 for x in ids]

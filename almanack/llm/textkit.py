@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once; a single longer text still goes in whole.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Odd multipliers of the rolling hashes.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -33,8 +33,13 @@ def release() -> None:
         trim(0)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES):
-    """Yield (batch slice, bytes as uint8, offsets from 0) of at most `limit` bytes or one row. Null: empty."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, keep: tuple | None = None):
+    """Yield (batch slice, bytes as uint8, offsets from 0) of at most `limit` bytes or one row. Null: empty.
+
+    keep: the key of worker_state that this work uses; caches of other work go, as workers serve many stages.
+    """
+    for key in worker_state().keys() - {keep}:
+        del worker_state()[key]
     for batch in batches:
         text = batch.column(column)
         if isinstance(text, pa.ChunkedArray):
