@@ -9,11 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from almanack.llm.session import drop, write
 from almanack.llm.textkit import LOWER, NOT_ITEM_WORD, U64, WordHasher, covered, row_starts, text_slices, word_bounds
 
 WINDOW = 13
-#: Bytes of benchmark text whose windows are sent to the tasks at once. More text goes in further passes.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text whose windows are sent to the tasks at once, some 100 MB as a table in a worker. More text goes
+#: in further passes, each written before the next.
+BLOCK_BYTES = 2 << 20
 
 
 def _windows_of(items: list[tuple[str | None, bytes]], window: int) -> dict[int, dict[int, list[tuple[bytes, tuple[str, ...]]]]]:
@@ -56,9 +58,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     """Find the words of documents (doc_id, text, others) inside windows of benchmark items.
 
     A window is `window` consecutive words of an item, or all of an item with fewer. The windows of
-    at most block_bytes of benchmark text are broadcast as a hash table; a larger benchmark is
-    read in blocks, each a further narrow pass, so what is broadcast stays bounded. Each hash hit
-    is compared word by word. Documents are not shuffled, so frequent passages make no hot task.
+    at most block_bytes of benchmark text, or of one longer item, are broadcast as a hash table; a
+    larger benchmark is read in blocks, each a further narrow pass whose hits are written before the
+    next block is read, so driver and workers hold one block at a time. Each hash hit is compared
+    word by word. Documents are not shuffled, so frequent passages make no hot task.
 
     Adds n_words, n_hit, n_items, items_sha256 and contaminated. With clean="spans" it instead
     returns docs with hit words cut out of contaminated rows' texts, with clean="documents" docs
@@ -75,9 +78,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     while scratch in columns:
         scratch += "_"
     df = docs.withColumn(scratch, F.lit(None).cast(hits_type))
-    for block in _blocks(benchmark, block_bytes):
-        df = df.mapInArrow(_pass(_windows_of(block, window), scratch), df.schema)
-    return df.mapInArrow(*_finish(df, scratch, columns, clean))
+    held = None
+    blocks = _blocks(benchmark, block_bytes)
+    block = next(blocks)
+    while (following := next(blocks, None)) is not None:
+        passed = write(df.mapInArrow(_pass(_windows_of(block, window), scratch), df.schema))
+        if held is not None:
+            drop(held)
+        df = held = passed
+        block = following
+    finish, schema = _finish(df, scratch, columns, clean)
+    hits = _pass(_windows_of(block, window), scratch)
+    return df.mapInArrow(lambda batches: finish(hits(batches)), schema)
 
 
 def _pass(tables: dict, scratch: str):
