@@ -81,5 +81,21 @@ def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+#: The rows of op4 by joined words. The others need a library's tokens, CRC-32, xxHash, fitted models or, as op1, op2 and op10,
+#: more memory than SQL of this kind has at any size; tests/llm holds them against brute force.
+ORACLES = {
+    "op4_decontamination": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+b AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS w FROM (SELECT item_id, ws, least(13, len(ws)) AS n, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS k FROM i WHERE len(ws) > 0)),
+s AS (SELECT DISTINCT n FROM b), p AS (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, s WHERE len(ws) >= n),
+h AS (SELECT p.r, p.k, p.n, b.item_id FROM p JOIN b ON b.n = p.n AND b.w = array_to_string(p.ws[p.k:p.k + p.n - 1], ' ')),
+hw AS (SELECT r, count(DISTINCT w) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS w FROM (SELECT DISTINCT r, k, n FROM h)) GROUP BY r),
+hi AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
