@@ -25,8 +25,8 @@ def date_page(rows: DataFrame, lo: int, hi: int, now: int) -> DataFrame:
     return rows.withColumn("section", F.explode(F.filter(sections, lambda x: x.isNotNull())))
 
 
-def interval_join(points: DataFrame, at: str, spans: DataFrame, lo: str, hi: str, width: int, long_buckets: int = 64) -> DataFrame:
-    """points with the spans that hold their year: equi-join on buckets of `width`, then an exact check.
+def interval_join(points: DataFrame, at: str, spans: DataFrame, lo: str, hi: str, width: int, long_buckets: int = 64, on: tuple[str, ...] = ()) -> DataFrame:
+    """points with the spans that hold their year, and have equal keys `on`: equi-join on buckets of `width`, then an exact check.
 
     A span over more than long_buckets buckets is entered in buckets long_buckets times as wide
     instead, and so on, up to four levels, so no span is copied more than that often and no side needs
@@ -40,7 +40,7 @@ def interval_join(points: DataFrame, at: str, spans: DataFrame, lo: str, hi: str
     dealt = dealt.withColumn("_b", F.explode(F.sequence(F.floor(F.col(lo) / size(F.col("_l"))), F.floor(F.col(hi) / size(F.col("_l"))))))
     keys = F.array(*[F.struct(F.lit(i).alias("_l"), F.floor(F.col(at) / w).alias("_b")) for i, w in enumerate(ladder)])
     probe = points.withColumn("_k", F.explode(keys)).select("*", "_k._l", "_k._b").drop("_k")
-    return probe.join(dealt, ["_l", "_b"]).where((F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi))).drop("_l", "_b")
+    return probe.join(dealt, ["_l", "_b", *on]).where((F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi))).drop("_l", "_b")
 
 
 def band_join(left: DataFrame, right: DataFrame, left_year: str, right_year: str, within: int, *keys: str) -> DataFrame:
@@ -74,11 +74,12 @@ def equal_buckets(counts: DataFrame, key: str, n: str, size: int) -> DataFrame:
     return counts.groupBy(F.lit(0).alias("_g")).applyInPandas(run, f"{key} {kind}, bucket long")
 
 
-def span_buckets(spans: DataFrame, buckets: DataFrame, lo: Column, hi: Column, most: int = 6) -> DataFrame:
-    """spans in every bucket (bucket, b_lo, b_hi; few rows) they meet; with more than `most`, once, in bucket -1."""
-    met = spans.join(F.broadcast(buckets), (lo <= F.col("b_hi")) & (hi >= F.col("b_lo")))
-    ids = met.groupBy("id").agg(F.collect_set("bucket").alias("bs"))
-    return ids.select("id", F.explode(F.when(F.size("bs") > most, F.array(F.lit(-1).cast("long"))).otherwise(F.col("bs"))).alias("bucket"))
+def overlap_join(left: DataFrame, right: DataFrame, start: str, end: str, other_start: str, other_end: str, width: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of spans that overlap, each once: the later begins in the earlier, so one start lies in the other span."""
+    first = interval_join(right, other_start, left, start, end, width, on=on)
+    later = right.withColumn("_after", F.col(other_start) + 1)
+    second = interval_join(left, start, later, "_after", other_end, width, on=on).drop("_after")
+    return first.unionByName(second)
 
 
 def era_fence(own: Column, q1: Column, q3: Column) -> Column:

@@ -257,8 +257,10 @@ def equal_time_buckets(t):
 @query(f"""WITH {ENTRIES}, b AS (SELECT range AS bucket, 1995 + range AS b_lo, 1995 + range AS b_hi FROM range(20)), m AS (SELECT e.id, b.bucket, count(*) OVER (PARTITION BY e.id) AS n FROM entries e JOIN b ON e.start <= b_hi AND coalesce(e."end", e.start) >= b_lo)
 SELECT DISTINCT id, CASE WHEN n > 3 THEN -1 ELSE bucket END AS bucket FROM m""")
 def span_replication(t):
-    buckets = t.spark.range(20).select(F.col("id").alias("bucket"), (F.col("id") + 1995).alias("b_lo"), (F.col("id") + 1995).alias("b_hi"))
-    return T.span_buckets(t.entries, buckets, F.col("start"), F.coalesce("end", "start"), 3)
+    from almanack.sources.store import deal_to_buckets
+
+    buckets = t.spark.range(20).select((F.col("id") + 1995).alias("lo"))
+    return deal_to_buckets(t.entries.select("id", "start", "end"), buckets, F.coalesce("end", "start"), 3).select("id", F.col("bucket").cast("long").alias("bucket"))
 
 
 @query(f"""WITH {ENTRIES} SELECT id, CASE WHEN person AND "end" IS NOT NULL THEN floor(start + ("end" - start) * 0.6 + 0.5) ELSE start END::BIGINT AS anchor, greatest(4, floor((2026 - start) * 0.035 + 0.5))::BIGINT AS around FROM entries""")
@@ -619,7 +621,7 @@ SELECT id, arg_max(other, (100 * shared + fame / 1e6, -other)) AS best FROM p GR
 def overlap_ranking(t):
     s = t.entries.where("kind = 'span'")
     a, b = s.select("id", "grp", "start", "end"), s.select(F.col("id").alias("other"), "grp", F.col("start").alias("s"), F.col("end").alias("e"), "fame")
-    p = a.join(b, "grp").where((F.col("id") != F.col("other")) & (F.col("start") <= F.col("e")) & (F.col("s") <= F.col("end")))
+    p = T.overlap_join(a, b, "start", "end", "s", "e", 2, ("grp",)).where("id <> other")
     score = 100 * (F.least("end", "e") - F.greatest("start", "s")) + F.col("fame") / 1e6
     return p.groupBy("id").agg(F.max_by("other", F.struct(score, -F.col("other"))).alias("best"))
 
