@@ -308,10 +308,10 @@ def context_sentences(t):
     return C.contexts(items, told)
 
 
-@query("""SELECT p_partkey AS id, round(2 * (1 - p_size / 50.0) - 0.25 * least(4, p_size % 7) + CASE WHEN p_partkey % 2 = 0 THEN 0.6 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 0.5 ELSE 0 END, 6)::DOUBLE AS score FROM part""")
+@query("""SELECT p_partkey AS id, round(2 * (1 - p_size / 50.0) - 0.25 * least(4, p_size % 7) + CASE WHEN p_partkey % 2 = 0 THEN 0.6 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 0.5 ELSE 0 END, 6)::DOUBLE + 0.0 AS score FROM part""")
 def sentence_scores(t):
     k = F.col("p_partkey")
-    return t.part.select(k.alias("id"), F.round(C.sentence_score(1 - F.col("p_size") / 50, F.col("p_size") % 7, k % 2 == 0, k % 3 == 0), 6).alias("score"))
+    return t.part.select(k.alias("id"), (F.round(C.sentence_score(1 - F.col("p_size") / 50, F.col("p_size") % 7, k % 2 == 0, k % 3 == 0), 6) + 0.0).alias("score"))
 
 
 @query("""WITH s AS (SELECT l_orderkey AS id, l_suppkey AS topic, l_linenumber AS seq, CASE WHEN l_returnflag = 'R' THEN 4 ELSE 0 END + l_discount * 3 + CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END - CASE WHEN l_suppkey % 4 = 0 THEN 2 ELSE 0 END + (l_suppkey % 3) * 0.6 + CASE WHEN l_orderkey % 10 = l_suppkey THEN 1.5 ELSE 0 END AS score FROM lineitem)
