@@ -90,3 +90,27 @@ def era_fence(own: Column, q1: Column, q3: Column) -> Column:
     lo = F.when(has, a - F.least(length, F.lit(1000)) - 200).otherwise(q1 - 1.5 * (q3 - q1))
     hi = F.when(has, b + F.least(0.25 * length, F.lit(200)) + 50).otherwise(q3 + 1.5 * (q3 - q1))
     return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+
+def topic_extent(items: DataFrame, share: float = 0.04) -> DataFrame:
+    """(topic, from, to) of the items (topic, start, end, person) that a topic shows, without the first and last `share` of them, to two
+    significant figures in deep time; people count from 0.6 of their life on, and nothing ends after `now`."""
+    from almanack.functions.dates import YEAR_NOW, anchor_year
+    from almanack.functions.when import two_figures
+    from almanack.operators.ranking import at_ranks
+
+    rows = items.select("topic", anchor_year(F.col("start"), F.col("end"), F.col("person")).alias("a"), F.least(F.lit(YEAR_NOW), F.coalesce("end", "start")).alias("z"))
+    cut = F.floor(F.col("n") * share)
+    lo, hi = at_ranks(rows, "topic", "a", lo=cut).drop("n"), at_ranks(rows, "topic", "z", hi=F.col("n") - 1 - cut).drop("n")
+    return lo.join(hi, "topic").select("topic", two_figures(F.col("lo"), -1).alias("from"), two_figures(F.col("hi"), 1).alias("to"))
+
+
+def office_of(rows: DataFrame, offices: DataFrame) -> DataFrame:
+    """(id, role): for rows (id, person, start, end) the office (person, role, seniority, start, end) of the most points: 100 if its years
+    overlap the row's, and its seniority; of equals the first by name."""
+    from almanack.functions.dates import overlaps
+
+    o = offices.select("person", "role", "seniority", F.col("start").alias("_s"), F.coalesce("end", "start").alias("_e"))
+    dated = F.coalesce(overlaps(F.col("start"), F.col("end"), F.col("_s"), F.col("_e")), F.lit(False))
+    score = F.when(dated, 100).otherwise(0) + F.col("seniority")
+    return rows.join(o, "person").groupBy("id").agg(F.min_by("role", F.struct(-score, F.col("role"))).alias("role"))

@@ -459,3 +459,42 @@ def typed_years(t):
     said = F.element_at(F.array(F.lit("1837-1901"), F.lit("44 BC"), F.lit("none")), (F.col("o_orderkey") % 3 + 1).cast("int"))
     y = F.when(F.col("o_custkey") % 2 == 0, F.lit(1900)).otherwise(3000 + F.col("o_custkey"))
     return t.orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("["), F.array_join(D.typed_years(said).cast("array<string>"), ", "), F.lit("]")).alias("years"), D.year_tolerance(y).alias("tolerance"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, o_orderkey % 6 AS k, o_custkey AS c FROM orders) SELECT id, CASE k WHEN 0 THEN (c + 100) || '' WHEN 1 THEN (c + 1) || ' BC' WHEN 2 THEN '12,' || lpad((c % 1000)::VARCHAR, 3, '0') || ' BC' WHEN 3 THEN (c % 900 + 100) || ' million years ago' WHEN 4 THEN (c % 90 + 10) || '.5 million years ago' ELSE (c % 800 + 100) || ' thousand years ago' END AS said,
+CASE k WHEN 0 THEN (c + 100) || '–' || (c + 105) WHEN 1 THEN (c + 11) || '–' || (c + 1) || ' BC' WHEN 3 THEN (c % 900 + 100) || '–' || (c % 900 + 99) || ' million years ago' ELSE 'x' END AS span FROM s""")
+def said_years(t):
+    k, c = F.col("o_orderkey") % 6, F.col("o_custkey")
+    y = F.when(k == 0, c + 100).when(k == 1, -c - 1).when(k == 2, -12_000 - c % 1000).when(k == 3, -(c % 900 + 100) * 1_000_000).when(k == 4, -(c % 90 + 10) * 1_000_000 - 500_000).otherwise(-(c % 800 + 100) * 1000).cast("long")
+    span = F.when(k == 0, W.range_said(y, y + 5)).when(k == 1, W.range_said(y - 10, y)).when(k == 3, W.range_said(y, y + 1_000_000)).otherwise("x")
+    return t.orders.select(F.col("o_orderkey").alias("id"), W.year_said(y).alias("said"), span.alias("span"))
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN '3000–1800 BC' WHEN 1 THEN 'c. 2500 BC' WHEN 2 THEN 'Early 1900s' WHEN 3 THEN '1558–1603' ELSE y || '–' || (y + 3) END AS label FROM (SELECT *, year(o_orderdate) AS y FROM orders)""")
+def tidy_years(t):
+    said = F.element_at(F.array(*map(F.lit, ["from 3000 to 1800 BC", "around 2500 BC", "early 1900s", "(1558-1603)", ""])), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    y = F.year("o_orderdate").cast("long")
+    return t.orders.select(F.col("o_orderkey").alias("id"), W.when_said(said, y, y + 3, F.lit("span"), F.lit(False)).alias("label"))
+
+
+@query(f"""WITH {ENTRIES}, r AS (SELECT topic, CASE WHEN person AND "end" IS NOT NULL THEN floor(start + ("end" - start) * 0.6 + 0.5) ELSE start END * CASE WHEN topic LIKE '5%' THEN -1000 ELSE 1 END AS a, least(2026, coalesce("end", start)) * CASE WHEN topic LIKE '5%' THEN -1000 ELSE 1 END AS z FROM entries),
+g AS (SELECT topic, list_sort(list(a)) AS xs, list_sort(list(z)) AS zs, count(*) AS n FROM r GROUP BY topic), e AS (SELECT topic, xs[floor(n * 0.04)::INT + 1] AS lo, zs[n - floor(n * 0.04)::INT] AS hi FROM g)
+SELECT topic, CASE WHEN topic LIKE '5%' THEN -ceil(-lo / 100000) * 100000 ELSE lo END::BIGINT AS "from", CASE WHEN topic LIKE '5%' THEN -floor(-hi / 100000) * 100000 ELSE hi END::BIGINT AS "to" FROM e""")
+def topic_extents(t):
+    from almanack.operators.temporal import topic_extent
+
+    e = t.entries
+    deep = F.when(F.startswith("topic", F.lit("5")), -1000).otherwise(1)
+    flat = e.select("topic", (D.anchor_year(F.col("start"), F.col("end"), F.col("person")) * deep).alias("start"), (F.coalesce("end", "start") * deep).alias("end"), F.lit(False).alias("person"))
+    return topic_extent(flat)
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN year(o_orderdate) >= 1998 THEN 'minister' ELSE 'president' END AS role FROM orders""")
+def office_ranks(t):
+    from almanack.operators.temporal import office_of
+
+    y = F.year("o_orderdate").cast("long")
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("person"), y.alias("start"), F.lit(None).cast("long").alias("end"))
+    people = t.orders.select(F.col("o_custkey").alias("person")).distinct()
+    held = F.array(F.struct(F.lit("president").alias("role"), F.lit(9).alias("seniority"), F.lit(1950).cast("long").alias("start"), F.lit(1960).cast("long").alias("end")), F.struct(F.lit("minister").alias("role"), F.lit(2).alias("seniority"), F.lit(1998).cast("long").alias("start"), F.lit(2010).cast("long").alias("end")))
+    return office_of(rows, people.select("person", F.explode(held).alias("o")).select("person", "o.*"))
