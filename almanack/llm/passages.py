@@ -4,7 +4,9 @@ A window is W consecutive symbols (words or bytes) of one text. Its anchor is th
 least hash in it, so equal windows have equal anchors. The windows of one anchor are adjacent; the
 stretch they cover, at most 2W - k symbols, is that anchor's context. Contexts whose anchor occurs
 once are dropped; equal contexts are merged before any text moves; the rest are dealt by anchor to
-shards, each of which is indexed and searched by the operator's own method.
+shards, each of which is indexed and searched by the operator's own method. An anchor with very many
+distinct contexts, such as that of a common line, would fill one shard: its windows are dealt one by
+one instead, each by a hash of all its symbols, and equal ones are summed before they meet.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from almanack.llm.textkit import BYTE_BASE, BYTE_VALUES, SPACES, U64, WORD_BASE,
 
 #: Bytes of contexts indexed together; a shard grows beyond it only to hold one anchor's contexts.
 SHARD_BYTES = 3 << 20
+#: Distinct contexts of an anchor that one shard takes; the windows of larger anchors are dealt one by one.
+HOT_CONTEXTS = 1_000
 _LAST = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -145,15 +149,55 @@ def occurrences(docs: DataFrame, window: int, k: int, words: bool, keep: bool) -
     return repeated
 
 
-def contexts(docs: DataFrame, found: DataFrame, window: int, words: bool) -> DataFrame:
+def distinct_contexts(found: DataFrame) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """(contexts of anchors that fit a shard, contexts of the others or None, tables to drop after use): ah, ch, n (occurrences),
+    d, t, pos (of the first), wins."""
+    merged = found.groupBy("ah", "ch").agg(F.min(F.struct("d", "pos", "t", "wins")).alias("x"), F.count("*").alias("n"))
+    distinct = write(merged.select("ah", "ch", "n", "x.d", "x.t", "x.pos", "x.wins"))
+    hot = write(distinct.groupBy("ah").agg(F.count("*").alias("m")).where(F.col("m") > HOT_CONTEXTS).select("ah"))
+    if not hot.limit(1).count():
+        return distinct, None, [distinct, hot]
+    return distinct.join(hot.hint("merge"), "ah", "left_anti"), distinct.join(hot.hint("merge"), "ah", "left_semi"), [distinct, hot]
+
+
+def _by_text(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """Documents that hold the first occurrence of a context, with the list cs of those."""
+    wanted = picked.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("ah", "ch", "n", "pos", "wins")).alias("cs"))
+    return keyed(docs.select("doc_id", "text")).select("_d", "_t", "text").join(wanted, ["_d", "_t"])
+
+
+def window_rows(docs: DataFrame, picked: DataFrame, window: int, words: bool) -> DataFrame:
+    """A row for each window of contexts: ah, ch, s (its place in the context), wh (a hash of it), d, start, n. Written."""
+
+    def run(batches):
+        finder = Anchors(window, 1, words)
+        for batch, data, off in text_slices(batches):
+            values, first = finder.symbols(data, off)
+            prefix = finder.rolling.prefix(values)
+            lists = batch.column("cs")
+            ah, ch, n, pos, wins = (lists.flatten().field(i) for i in range(5))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            wins = wins.to_numpy().astype(np.int64)
+            each = np.repeat(np.arange(len(wins)), wins)
+            s = np.arange(len(each)) - np.repeat(np.cumsum(wins) - wins, wins)
+            start = pos.to_numpy()[each] + s
+            at = first[row[each]] + start
+            wh = finder.rolling.ranges(prefix, at, at + window).view(np.int64)
+            take = pa.array(each)
+            yield pa.RecordBatch.from_arrays(
+                [ah.take(take), ch.take(take), pa.array(s.astype(np.int32)), pa.array(wh), batch.column("_d").take(pa.array(row[each])), pa.array(start.astype(np.int32)), n.take(take)],
+                ["ah", "ch", "s", "wh", "d", "start", "n"],
+            )
+
+    return write(_by_text(docs, picked).mapInArrow(run, "ah long, ch long, s int, wh long, d long, start int, n long"))
+
+
+def contexts(docs: DataFrame, picked: DataFrame, window: int, words: bool) -> DataFrame:
     """Distinct contexts with their text: ah, ch, n (occurrences), d, pos (of the first), wins, body.
 
     Words are joined by one space. The text of each comes from its first occurrence's document.
     """
-    distinct = found.groupBy("ah", "ch").agg(F.min(F.struct("d", "pos", "t", "wins")).alias("x"), F.count("*").alias("n"))
-    wanted = distinct.groupBy(F.col("x.d").alias("_d"), F.col("x.t").alias("_t")).agg(
-        F.collect_list(F.struct("ah", "ch", "n", F.col("x.pos").alias("pos"), F.col("x.wins").alias("wins"))).alias("cs")
-    )
+
     def run(batches):
         for batch, data, off in text_slices(batches):
             raw = data.tobytes()
@@ -174,7 +218,7 @@ def contexts(docs: DataFrame, found: DataFrame, window: int, words: bool) -> Dat
                     bodies.append(raw[off[r] + a : off[r] + b])
             yield pa.RecordBatch.from_arrays([ah, ch, n, batch.column("_d").take(pa.array(row)), pos, wins, pa.array(bodies, pa.binary())], ["ah", "ch", "n", "d", "pos", "wins", "body"])
 
-    return keyed(docs.select("doc_id", "text")).select("_d", "_t", "text").join(wanted, ["_d", "_t"]).mapInArrow(run, "ah long, ch long, n long, d long, pos int, wins int, body binary")
+    return _by_text(docs, picked).mapInArrow(run, "ah long, ch long, n long, d long, pos int, wins int, body binary")
 
 
 def unlike(shard: dict) -> np.ndarray:

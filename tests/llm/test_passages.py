@@ -143,3 +143,16 @@ def test_fm_index_counts():
                 low, high = index.extend(np.array([c]), low, high)
             found = {int(x) for x in index.suffixes[low[0] : high[0]]}
             assert found == {j for j in range(len(s)) if s[j : j + n] == pattern}
+
+
+@pytest.mark.parametrize("hot", [0, 2, 8])
+def test_windows_of_hot_anchors_are_dealt_one_by_one(spark, monkeypatch, hot):
+    from almanack.llm import passages
+    from almanack.llm.substrings import substring_dedup
+    from almanack.llm.suffix_array import suffix_dedup
+
+    monkeypatch.setattr(passages, "HOT_CONTEXTS", hot)
+    rows = list(enumerate(planted(7)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: tuple(r)[1:] for r in substring_dedup(docs).collect()} == brute_words(rows, 20)
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup(docs, window=60, k=20).collect()} == brute_bytes(rows, 60)
