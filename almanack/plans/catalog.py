@@ -646,7 +646,19 @@ def page_flags(t):
     return t.pages.select("page_id", (F.length("html") > 0).alias("has_html"), F.col("html").rlike("(?i)<script").alias("has_script"))
 
 
-@query()
+def _page_sql() -> str:
+    c = "html"
+    for tag in ("script", "style", "nav", "header", "footer", "noscript"):
+        c = f"regexp_replace({c}, '(?is)<{tag}\\b.*?</{tag}\\s*>', ' ', 'g')"
+    c = f"regexp_replace({c}, '(?i)</?(p|div|br|li|h[1-6]|tr|section|article|ul|ol|table)\\b[^>]*>', chr(10), 'g')"
+    c = f"regexp_replace({c}, '(?s)<[^>]*>', '', 'g')"
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        c = f"replace({c}, '{entity}', '{char}')"
+    c = f"regexp_replace(regexp_replace({c}, '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g')"
+    return f"SELECT page_id, url, regexp_replace({c}, '^\\s+|\\s+$', '', 'g') AS text FROM pages"
+
+
+@query(_page_sql())
 def page_text(t):
     from almanack.sources.text import clean_html
 

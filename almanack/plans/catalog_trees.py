@@ -35,6 +35,14 @@ def chosen_groups(t):
     return t.spark.createDataFrame([(T.choose_k(rows, 7, 5, probe=3),)], "k int")
 
 
+@query("""SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_partkey % 6) AS first_of_group FROM part WHERE p_partkey < 600""")
+def kmeans_groups(t):
+    from pyspark.sql import Window
+
+    found = V.spherical_kmeans(_spread(t), 6)
+    return found.select("id", F.min("id").over(Window.partitionBy("cluster")).alias("first_of_group"))
+
+
 @query("""SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_partkey % 6) AS first_of_group FROM part WHERE p_partkey < 600""")
 def tree_leaves(t):
     from pyspark.sql import Window

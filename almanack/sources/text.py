@@ -52,7 +52,7 @@ def read_job_list(spark: SparkSession, path: str) -> DataFrame:
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """(title, year_text, body) of blocks between blank lines; the first line is the title."""
     blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n\s*\n")).alias("b")).where(F.trim("b") != "")
-    lines = F.split(F.regexp_replace("b", r"^\s+|\s+$", ""), "\n")
+    lines = F.split(F.regexp_replace("b", r"^\s+|\s+\z", ""), "\n")
     year = F.regexp_extract("b", r"(?im)^year:\s*(.+)$", 1)
     body = F.array_join(F.filter(F.slice(lines, 2, 1_000_000), lambda x: ~x.rlike(r"(?i)^year:")), "\n")
     return blocks.select(F.trim(lines[0]).alias("title"), F.when(year != "", year).alias("year_text"), body.alias("body"))
@@ -65,4 +65,4 @@ def clean_html(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?s)<[^>]*>", "")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+\z", "")
