@@ -99,6 +99,16 @@ def ideas_by_name(t):
     return T.ideas_by_name(rows)
 
 
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey = 7 THEN 'new' ELSE c_name END AS title, 1 AS rewritten FROM customer""")
+def rewritten_chunks(t):
+    """Two versions of a store that differ in one row: one chunk of eight is written again."""
+    path = _folder(t)
+    rows = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
+    T.rewrite_changed(rows, path, 8)
+    again = T.rewrite_changed(rows.withColumn("title", F.when(F.col("id") == 7, "new").otherwise(F.col("title"))), path, 8)
+    return t.spark.read.parquet(path).select("id", "title", F.lit(len(again)).alias("rewritten"))
+
+
 @query("""SELECT n_nationkey AS id, true AS found FROM nation""")
 def whole_documents(t):
     path = _folder(t)

@@ -39,6 +39,18 @@ def date_page_sort(t):
     return E.page_order(date_page(rows, 1997, 1998, 2026).where("section IN ('happened', 'began', 'ongoing')")).select("id", "section", "place")
 
 
+@query("""SELECT p_partkey AS id, 'Tom & ' || p_name || ' – ' || p_size AS cell FROM part""")
+def cell_texts(t):
+    raw = F.concat(F.lit("<b>Tom &amp;</b><br/> "), "p_name", F.lit('<sup id="x">[1]</sup>[2] &ndash;&nbsp;<span>'), F.col("p_size").cast("string"), F.lit("</span>[note 3]"))
+    return t.part.select(F.col("p_partkey").alias("id"), X.cell_text(raw).alias("cell"))
+
+
+@query("""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(list_reduce(ps, lambda acc, x: CASE WHEN len(acc) > 0 AND length(acc[-1]) + length(x) + 1 <= 400 THEN list_append(acc[1:len(acc) - 1], acc[-1] || chr(10) || x) ELSE list_append(acc, x) END, []::VARCHAR[]))::INT AS n FROM p""".replace("list_reduce(ps,", "list_reduce(list_transform(ps, lambda x: [x]),").replace("length(x) + 1", "length(x[1]) + 1").replace("chr(10) || x)", "chr(10) || x[1])").replace("list_append(acc, x)", "list_append(acc, x[1])"))
+def text_chunks(t):
+    return t.documents.where("text IS NOT NULL").select("doc_id", F.size(X.chunks(F.col("text"), 400)).alias("n"))
+
+
 _HEADING = """CASE n_nationkey % 5 WHEN 0 THEN 'Age of kings (' || (1100 + n_nationkey * 20) || '–' || (1110 + n_nationkey * 20) || ')' WHEN 1 THEN 'The ' || (n_nationkey + 4) || 'th century'
 WHEN 2 THEN 'Realms, ' || (n_nationkey + 4) || 'th–' || (n_nationkey + 6) || 'th centuries BC' WHEN 3 THEN 'The eleventh century' ELSE 'Legacy ' || n_nationkey END"""
 

@@ -100,6 +100,29 @@ def replace_group(rows: DataFrame, live: str, column: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(live)
 
 
+def rewrite_changed(rows: DataFrame, path: str, chunks: int, key: str = "id") -> list[int]:
+    """Write rows as `chunks` folders by a hash of their key, but only those whose rows differ from what is there; the chunks written.
+
+    A chunk is told by the sum and the parity of its rows' hashes: two numbers a chunk reach the driver.
+    """
+    spark = rows.sparkSession
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int"))
+    names = sorted(rows.columns)
+
+    def marks(d: DataFrame) -> dict:
+        h = F.xxhash64(*[F.col(c) for c in names])
+        return {r.chunk: (r.n, r.x) for r in d.groupBy("chunk").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x")).collect()}
+
+    old = marks(spark.read.parquet(path)) if exists(spark, path) else {}
+    new = marks(dealt)
+    changed = sorted(c for c in new if old.get(c) != new[c])
+    if changed:
+        dealt.where(F.col("chunk").isin(changed)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
+    for gone in old.keys() - new.keys():
+        delete(spark, f"{path}/chunk={gone}")
+    return changed
+
+
 def ideas_by_name(ideas: DataFrame) -> DataFrame:
     """(key, id) of undated ideas (id, title, asked, missing): by title and by the name they were asked under."""
     live = ideas.where(~F.coalesce("missing", F.lit(False)))
