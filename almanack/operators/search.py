@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from almanack.session import keep
+
 
 def term_frequencies(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
     """(id, term, tf), summed before the shuffle."""
@@ -119,6 +121,7 @@ def inverted_index(weighted: DataFrame, shard: Column, postings: int | None = 40
     if "weight" not in weighted.columns:
         rows = weighted.groupBy("id", "term").agg(F.max("boost").alias("boost"), F.sum("tf").alias("tf"))
         rows = rows.select("id", "term", F.round(F.col("boost") * F.col("tf") / (F.col("tf") + 1.2), 3).alias("weight"))
+    rows = keep(rows)  # texts are cut into terms once, for weights and for frequencies
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
     if postings is not None:
         order = Window.partitionBy("term").orderBy(F.desc("weight"), "id")

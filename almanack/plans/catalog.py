@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from almanack.functions import dates as D, strings as S
 from almanack.operators import ranking as K, resolve as R, search as X, temporal as T, vectors as V
+from almanack.session import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -296,7 +297,7 @@ def vocabulary(t):
 x AS (SELECT lang, term, n / sum(n) OVER (PARTITION BY lang) * ln(1 + sum(n) OVER () / sum(n) OVER (PARTITION BY term)) AS score FROM g)
 SELECT lang, term, round(score, 6) AS score FROM x QUALIFY row_number() OVER (PARTITION BY lang ORDER BY round(score, 9) DESC, term) <= 20""")
 def class_tfidf(t):
-    g = t.documents.select("lang", F.explode(plain_tokens(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
+    g = keep(t.documents.select("lang", F.explode(plain_tokens(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n")))
     per_lang = g.groupBy("lang").agg(F.sum("n").alias("ln")).withColumn("total", F.sum("ln").over(Window.partitionBy()))  # a row for each language
     per_term = F.sum("n").over(Window.partitionBy("term"))
     x = g.withColumn("tn", per_term).join(F.broadcast(per_lang), "lang").withColumn("score", F.col("n") / F.col("ln") * F.log(1 + F.col("total") / F.col("tn")))
