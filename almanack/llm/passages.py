@@ -23,7 +23,7 @@ from almanack.llm.textkit import BYTE_BASE, BYTE_VALUES, SPACES, U64, WORD_BASE,
 #: Bytes of contexts indexed together; a shard grows beyond it only to hold one anchor's contexts.
 SHARD_BYTES = 3 << 20
 #: Distinct contexts of an anchor that one shard takes; the windows of larger anchors are dealt one by one.
-HOT_CONTEXTS = 1_000
+HOT_CONTEXTS = 5_000
 _LAST = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -149,76 +149,79 @@ def occurrences(docs: DataFrame, window: int, k: int, words: bool, keep: bool) -
     return repeated
 
 
-def distinct_contexts(found: DataFrame) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
-    """(contexts of anchors that fit a shard, contexts of the others or None, tables to drop after use): ah, ch, n (occurrences),
-    d, t, pos (of the first), wins."""
-    merged = found.groupBy("ah", "ch").agg(F.min(F.struct("d", "pos", "t", "wins")).alias("x"), F.count("*").alias("n"))
-    distinct = write(merged.select("ah", "ch", "n", "x.d", "x.t", "x.pos", "x.wins"))
-    hot = write(distinct.groupBy("ah").agg(F.count("*").alias("m")).where(F.col("m") > HOT_CONTEXTS).select("ah"))
-    if not hot.limit(1).count():
-        return distinct, None, [distinct, hot]
-    return distinct.join(hot.hint("merge"), "ah", "left_anti"), distinct.join(hot.hint("merge"), "ah", "left_semi"), [distinct, hot]
-
-
 def _by_text(docs: DataFrame, picked: DataFrame) -> DataFrame:
     """Documents that hold the first occurrence of a context, with the list cs of those."""
-    wanted = picked.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("ah", "ch", "n", "pos", "wins")).alias("cs"))
+    wanted = picked.groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("ah", "ch", "n", "pos", "wins", "hot")).alias("cs"))
     return keyed(docs.select("doc_id", "text")).select("_d", "_t", "text").join(wanted, ["_d", "_t"])
 
 
-def window_rows(docs: DataFrame, picked: DataFrame, window: int, words: bool) -> DataFrame:
-    """A row for each window of contexts: ah, ch, s (its place in the context), wh (a hash of it), d, start, n. Written."""
+def contexts(docs: DataFrame, found: DataFrame, window: int, words: bool) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """(distinct contexts with their text, windows of hot anchors or None, tables to drop after use).
 
-    def run(batches):
-        finder = Anchors(window, 1, words)
-        for batch, data, off in text_slices(batches):
-            values, first = finder.symbols(data, off)
-            prefix = finder.rolling.prefix(values)
-            lists = batch.column("cs")
-            ah, ch, n, pos, wins = (lists.flatten().field(i) for i in range(5))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            wins = wins.to_numpy().astype(np.int64)
-            each = np.repeat(np.arange(len(wins)), wins)
-            s = np.arange(len(each)) - np.repeat(np.cumsum(wins) - wins, wins)
-            start = pos.to_numpy()[each] + s
-            at = first[row[each]] + start
-            wh = finder.rolling.ranges(prefix, at, at + window).view(np.int64)
-            take = pa.array(each)
-            yield pa.RecordBatch.from_arrays(
-                [ah.take(take), ch.take(take), pa.array(s.astype(np.int32)), pa.array(wh), batch.column("_d").take(pa.array(row[each])), pa.array(start.astype(np.int32)), n.take(take)],
-                ["ah", "ch", "s", "wh", "d", "start", "n"],
-            )
-
-    return write(_by_text(docs, picked).mapInArrow(run, "ah long, ch long, s int, wh long, d long, start int, n long"))
-
-
-def contexts(docs: DataFrame, picked: DataFrame, window: int, words: bool) -> DataFrame:
-    """Distinct contexts with their text: ah, ch, n (occurrences), d, pos (of the first), wins, body.
-
-    Words are joined by one space. The text of each comes from its first occurrence's document.
+    Contexts are ah, ch, n (occurrences), d, pos (of the first), wins, body, with words joined by one space; the text of
+    each comes from its first occurrence's document. Windows are ah, ch, n, d, pos, s (the place in the context) and wh, a
+    hash of the window. Both come from one pass over the texts.
     """
+    merged = found.groupBy("ah", "ch").agg(F.min(F.struct("d", "pos", "t", "wins")).alias("x"), F.count("*").alias("n"))
+    distinct = write(merged.select("ah", "ch", "n", "x.d", "x.t", "x.pos", "x.wins"))
+    large = write(distinct.groupBy("ah").agg(F.count("*").alias("m")).where(F.col("m") > HOT_CONTEXTS).select("ah", F.lit(True).alias("hot")))
+    any_hot = large.limit(1).count() > 0
+    picked = distinct.join(large.hint("merge"), "ah", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if any_hot else distinct.withColumn("hot", F.lit(False))
+
+    def bodies(batch, data, off, flat, row):
+        raw = data.tobytes()
+        low = flat["pos"].to_numpy().astype(np.int64)
+        high = low + flat["wins"].to_numpy() + window - 1
+        out, last = [], -1
+        for r, a, b in zip(row, low, high):
+            if words:
+                if r != last:
+                    parts, last = raw[off[r] : off[r + 1]].split(), r
+                out.append(b" ".join(parts[a:b]))
+            else:
+                out.append(raw[off[r] + a : off[r] + b])
+        return {**{c: flat[c] for c in ("ah", "ch", "n", "pos", "wins")}, "d": batch.column("_d").take(pa.array(row)), "body": pa.array(out, pa.binary())}
+
+    def windows(batch, data, off, flat, row, finder):
+        values, first = finder.symbols(data, off)
+        prefix = finder.rolling.prefix(values)
+        wins = flat["wins"].to_numpy().astype(np.int64)
+        each = np.repeat(np.arange(len(wins)), wins)
+        s = np.arange(len(each)) - np.repeat(np.cumsum(wins) - wins, wins)
+        start = flat["pos"].to_numpy()[each] + s
+        at = first[row[each]] + start
+        wh = finder.rolling.ranges(prefix, at, at + window).view(np.int64)
+        take = pa.array(each)
+        return {
+            **{c: flat[c].take(take) for c in ("ah", "ch", "n")}, "pos": pa.array(start.astype(np.int32)), "s": pa.array(s.astype(np.int32)),
+            "wh": pa.array(wh), "d": batch.column("_d").take(pa.array(row[each])),
+        }
+
+    kinds = {"ah": pa.int64(), "ch": pa.int64(), "n": pa.int64(), "d": pa.int64(), "pos": pa.int32(), "wins": pa.int32(), "body": pa.binary()}
+    if any_hot:
+        kinds |= {"s": pa.int32(), "wh": pa.int64()}
 
     def run(batches):
+        finder = Anchors(window, 1, words)
         for batch, data, off in text_slices(batches):
-            raw = data.tobytes()
             lists = batch.column("cs")
-            flat = lists.flatten()
-            ah, ch, n, pos, wins = (flat.field(i) for i in range(5))
-            counts = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(batch.num_rows), counts)
-            low = pos.to_numpy().astype(np.int64)
-            high = low + wins.to_numpy() + window - 1
-            bodies, last = [], -1
-            for r, a, b in zip(row, low, high):
-                if words:
-                    if r != last:
-                        parts, last = raw[off[r] : off[r + 1]].split(), r
-                    bodies.append(b" ".join(parts[a:b]))
-                else:
-                    bodies.append(raw[off[r] + a : off[r] + b])
-            yield pa.RecordBatch.from_arrays([ah, ch, n, batch.column("_d").take(pa.array(row)), pos, wins, pa.array(bodies, pa.binary())], ["ah", "ch", "n", "d", "pos", "wins", "body"])
-
-    return _by_text(docs, picked).mapInArrow(run, "ah long, ch long, n long, d long, pos int, wins int, body binary")
+            flat = pa.RecordBatch.from_struct_array(lists.flatten())
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            hot = flat["hot"].to_numpy(zero_copy_only=False)
+            parts = []
+            if not hot.all():
+                parts.append(bodies(batch, data, off, flat.filter(pa.array(~hot)), row[~hot]))
+            if hot.any():
+                parts.append(windows(batch, data, off, flat.filter(pa.array(hot)), row[hot], finder))
+            for part in parts:
+                n = len(part["ah"])
+                yield pa.RecordBatch.from_arrays([part[c] if c in part else pa.nulls(n, kind) for c, kind in kinds.items()], list(kinds))
+
+    found_rows = _by_text(docs, picked).mapInArrow(run, "ah long, ch long, n long, d long, pos int, wins int, body binary" + (", s int, wh long" if any_hot else ""))
+    if not any_hot:
+        return found_rows, None, [distinct, large]
+    both = write(found_rows)
+    return both.where("wh IS NULL").drop("s", "wh"), both.where("wh IS NOT NULL").drop("body", "wins"), [distinct, large, both]
 
 
 def unlike(shard: dict) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from almanack.llm.fm_index import FMIndex
-from almanack.llm.passages import by_shard, contexts, distinct_contexts, keyed, occurrences, part, sealed, unlike, unsealed, window_rows
+from almanack.llm.passages import by_shard, contexts, keyed, occurrences, part, sealed, unlike, unsealed
 from almanack.llm.session import drop, write
 from almanack.llm.textkit import SPACES, covered, text_slices, word_bounds
 
@@ -69,14 +69,13 @@ def _search(shard: dict, window: int) -> tuple[np.ndarray, np.ndarray]:
 def repeated_starts(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """_d, _t and the starts (word numbers) of windows that also start earlier."""
     found = occurrences(docs, window, k, words=True, keep=False)
-    cold, hot, used = distinct_contexts(found)
-    first = by_shard(contexts(docs, cold, window, words=True), lambda shard: earliest(shard, window), "ah long, ch long, fd array<long>, fp array<int>")
+    cold, hot, used = contexts(docs, found, window, words=True)
+    first = by_shard(cold, lambda shard: earliest(shard, window), "ah long, ch long, fd array<long>, fp array<int>")
     if hot is not None:  # each window alone with its key: decided by its merged places
-        windows = window_rows(docs, hot, window, words=True)
-        least = write(windows.groupBy("wh").agg(F.min(F.struct("d", "start")).alias("f")))
-        lists = windows.select("ah", "ch", "s", "wh").join(least.hint("merge"), "wh").groupBy("ah", "ch").agg(F.sort_array(F.collect_list(F.struct("s", "f"))).alias("x"))
-        first = first.unionByName(lists.select("ah", "ch", F.transform("x", lambda x: x["f"]["d"]).alias("fd"), F.transform("x", lambda x: x["f"]["start"]).alias("fp")))
-        used += [windows, least]
+        least = write(hot.groupBy("wh").agg(F.min(F.struct("d", "pos")).alias("f")))
+        lists = hot.select("ah", "ch", "s", "wh").join(least.hint("merge"), "wh").groupBy("ah", "ch").agg(F.sort_array(F.collect_list(F.struct("s", "f"))).alias("x"))
+        first = first.unionByName(lists.select("ah", "ch", F.transform("x", lambda x: x["f"]["d"]).alias("fd"), F.transform("x", lambda x: x["f"]["pos"]).alias("fp")))
+        used.append(least)
     first = write(first)
     for table in used:
         drop(table)

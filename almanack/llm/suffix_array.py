@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from almanack.llm.passages import by_shard, contexts, distinct_contexts, keyed, occurrences, part, sealed, unlike, unsealed, window_rows
+from almanack.llm.passages import by_shard, contexts, keyed, occurrences, part, sealed, unlike, unsealed
 from almanack.llm.session import drop, write
 from almanack.llm.textkit import BYTE_BASE, BYTE_VALUES, Rolling, covered, text_slices
 
@@ -158,16 +158,15 @@ def _sorted_runs(shard: dict, window: int):
 def repeated_runs(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """_d, _t and the runs (first, last) of starts of windows that also start elsewhere."""
     found = occurrences(docs, window, k, words=False, keep=True)
-    cold, hot, used = distinct_contexts(found)
-    runs = by_shard(contexts(docs, cold, window, words=False), lambda shard: repeated_windows(shard, window), "ah long, ch long, lo array<int>, hi array<int>")
+    cold, hot, used = contexts(docs, found, window, words=False)
+    runs = by_shard(cold, lambda shard: repeated_windows(shard, window), "ah long, ch long, lo array<int>, hi array<int>")
     if hot is not None:  # each window alone with its key: it occurs as often as its equals together
-        windows = window_rows(docs, hot, window, words=False)
-        twice = write(windows.groupBy("wh").agg(F.sum("n").alias("c")).where("c > 1").select("wh"))
-        lists = windows.select("ah", "ch", "s", "wh").join(twice.hint("merge"), "wh").groupBy("ah", "ch").agg(F.sort_array(F.collect_list("s")).alias("ss"))
+        twice = write(hot.groupBy("wh").agg(F.sum("n").alias("c")).where("c > 1").select("wh"))
+        lists = hot.select("ah", "ch", "s", "wh").join(twice.hint("merge"), "wh").groupBy("ah", "ch").agg(F.sort_array(F.collect_list("s")).alias("ss"))
         begins = F.filter("ss", lambda x, i: (i == 0) | (F.get("ss", i - 1) != x - 1))
         ends = F.filter("ss", lambda x, i: (i == F.size("ss") - 1) | (F.get("ss", i + 1) != x + 1))
         runs = runs.unionByName(lists.select("ah", "ch", begins.alias("lo"), ends.alias("hi")))
-        used += [windows, twice]
+        used.append(twice)
     runs = write(runs)
     for table in used:
         drop(table)
