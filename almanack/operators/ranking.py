@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from almanack.session import keep
+
 # How much an entry's type counts.
 TYPE_WEIGHT = {"event": 1.0, "person": 0.9, "period": 0.6, "work": 0.75, "place": 0.5, "group": 0.5, "concept": 0.3}
 
@@ -90,10 +92,14 @@ def key_selection(rows: DataFrame, share: Column) -> DataFrame:
 
 
 def numbered(rows: DataFrame, *order: Column) -> DataFrame:
-    """rows with n, their place from 0 in an order that is total: ranges of it are numbered where they lie, and each
-    adds the rows of the ranges before it, of which there is one number a partition."""
-    dealt = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()  # read twice, by the same ranges
-    dealt = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
+    """rows with n, their place from 0 in an order that is total: ranges of it are sorted and numbered where they lie, and each
+    adds the rows of the ranges before it, of which there is one number a partition.
+
+    The numbered ranges are kept as a table, since ranges are drawn anew whenever a plan runs.
+    """
+    m = F.col("_m")
+    dealt = keep(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_p", F.shiftright(m, 33))  # partition and place, as Spark numbers rows
     totals = dealt.groupBy("_p").agg(F.count("*").alias("_c"))
     before = totals.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_b"))
-    return dealt.join(F.broadcast(before), "_p").withColumn("n", F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
+    return dealt.join(F.broadcast(before), "_p").withColumn("n", m.bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_b")).drop("_p", "_m", "_b")
