@@ -174,13 +174,21 @@ def meanwhile(it: DataFrame, rows: DataFrame, each: int = 3, groups: int = 6) ->
     from almanack.operators.temporal import interval_join
 
     spans = it.select(F.col("id").alias("it"), F.col("topic").alias("own"), "lo", "hi")
-    met = interval_join(rows, "anchor", spans, "lo", "hi", 4).where((F.col("topic") != F.col("own")) & (F.col("id") != F.col("it")))
-    middle = F.abs(F.col("anchor") - (F.col("lo") + F.col("hi")) / 2)
-    # of a topic only the first each * (topics before it + 1) rows can be shown
-    per = met.groupBy("it", "topic").agg(F.count("*").alias("n"), F.count_if("is_key").alias("keys"))
+    others = lambda d: interval_join(d, "anchor", spans, "lo", "hi", 4).where(F.col("topic") != F.col("own"))
+    # topics are ranked by counts a year, less the entry itself where it is in other topics too
+    cell = ["topic", "anchor", "is_key"]
+    whole = others(rows.groupBy(*cell).agg(F.count("*").alias("c"))).select("it", "topic", "is_key", "c")
+    itself = rows.join(spans, F.col("id") == F.col("it")).where(F.col("anchor").between(F.col("lo"), F.col("hi")) & (F.col("topic") != F.col("own")))
+    both = whole.unionByName(itself.select("it", "topic", "is_key", F.lit(-1).cast("long").alias("c")))
+    per = both.groupBy("it", "topic").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("is_key"), F.col("c")).otherwise(0)).alias("keys")).where("n > 0")
     per = per.withColumn("g", F.row_number().over(Window.partitionBy("it").orderBy(F.desc("keys"), F.desc("n"), "topic")))
+    # before the last topic that is shown at most each * (groups - 1) ids are taken, so each * groups rows of a topic are enough; those
+    # of a year and a rank differ by id alone
+    few = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy("id"))).where(F.col("_r") <= each * groups + 1).drop("_r")
+    met = others(few).where(F.col("id") != F.col("it"))
+    middle = F.abs(F.col("anchor") - (F.col("lo") + F.col("hi")) / 2)
     ranked = met.join(per, ["it", "topic"]).withColumn("r", F.row_number().over(Window.partitionBy("it", "topic").orderBy(F.desc("is_key"), middle, "id")))
-    short = ranked.where(F.col("r") <= each * F.col("g")).groupBy("it", "topic", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("ids"))
+    short = ranked.where(F.col("r") <= each * groups).groupBy("it", "topic", "g").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("ids"))
     pages = short.groupBy("it").agg(F.sort_array(F.collect_list(F.struct("g", "topic", "ids"))).alias("gs"))
     empty = F.array().cast(dict(rows.select(F.array("id").alias("x")).dtypes)["x"])
     state = F.struct(empty.alias("shown"), F.expr("filter(transform(gs, x -> struct(x.topic AS topic, x.ids AS ids)), x -> false)").alias("out"))
