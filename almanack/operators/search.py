@@ -83,7 +83,7 @@ def hybrid(keyword: DataFrame, semantic: DataFrame | None, scope: DataFrame | No
     With a scope (id) only its rows are searched, and once the best meaning match is good enough the next dozen
     may be less so.
     """
-    keyword = keyword.orderBy(F.desc("score"), "id").limit(keywords)
+    keyword = keep(keyword.orderBy(F.desc("score"), "id").limit(keywords))  # read several times below
     if scope is not None:
         keyword = keyword.join(scope.select("id"), "id", "left_semi")
     keyword = prune_to_best(keyword).orderBy(F.desc("score"), "id").limit(limit)
