@@ -74,13 +74,19 @@ def op11_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_prices(table(spark, sf_dir, "items"), table(spark, sf_dir, "sale_lines"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from almanack.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_substring_dedup, op2_suffix_array, op3_packing, op4_decontamination, op5_language_id, op6_token_counts, op7_byte_shards, op8_toxicity, op9_quality, op10_jaccard_join, op11_band_join, pipeline)
+QUERIES = (op1_substring_dedup, op2_suffix_array, op3_packing, op4_decontamination, op5_language_id, op6_token_counts, op7_byte_shards, op8_toxicity, op9_quality, op10_jaccard_join, op11_band_join, op12_prefix_trie, pipeline)
 
 
 def queries() -> dict:
