@@ -80,13 +80,19 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from almanack.llm.pii import pii_digests
+
+    return pii_digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_substring_dedup, op2_suffix_array, op3_packing, op4_decontamination, op5_language_id, op6_token_counts, op7_byte_shards, op8_toxicity, op9_quality, op10_jaccard_join, op11_band_join, op12_prefix_trie, pipeline)
+QUERIES = (op1_substring_dedup, op2_suffix_array, op3_packing, op4_decontamination, op5_language_id, op6_token_counts, op7_byte_shards, op8_toxicity, op9_quality, op10_jaccard_join, op11_band_join, op12_prefix_trie, op13_pii, pipeline)
 
 
 def queries() -> dict:
