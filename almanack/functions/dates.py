@@ -101,27 +101,37 @@ _PLAIN = r"\d{3,4}(?:\s*(?:BC|AD|BCE|CE))?"
 _SPAN = rf"{_PLAIN}(?:{_DASH}\d{{2,4}}(?:\s*(?:BC|AD|BCE|CE))?)?"
 
 
-def find_date_text(text: str | None, mode: str = "default") -> str | None:
-    """The date in a sentence, by trust: `default` needs a cue before it, `anchored` allows one at the
-    start, `loose` any plausible year. A number of things, a duration or a fraction is none."""
+_COUNTED = re.compile(rf"(?:[.,]\d|\s+{_UNITS}\b)")
+_IN_NUMBER = frozenset("0123456789.,")
+
+
+def find_date_span(text: str | None, mode: str = "default") -> tuple[int, int] | None:
+    """Where the date in a sentence begins and ends, by trust: `default` needs a cue before it, `anchored` allows one
+    at the start, `loose` any plausible year. A number of things, a duration or a fraction is none."""
     if not text:
         return None
     if (m := _DEEP.search(text)) and not re.search(rf"(?:over|for|approximately)\s+{_NUMBER}\s*(?:billion|million|thousand)?\s*years(?!\s+ago)", text):
-        return m[0]
-    ok = lambda m, g=0: not re.match(rf"(?:[.,]\d|\s+{_UNITS}\b)", text[m.end(g) :]) and not re.search(r"[\d.,]$", text[: m.start(g)])
-    if mode == "anchored" and (m := re.match(rf"(?:\d{{3,4}}s|{_SPAN})(?=[\s,:.–-])", text)) and ok(m):
-        return m[0]
+        return m.span()
+    ok = lambda m, g=0: not _COUNTED.match(text, m.end(g)) and text[m.start(g) - 1 : m.start(g)] not in _IN_NUMBER
+    if mode == "anchored" and (m := re.match(rf"(?:c\.\s*|ca\.\s*)?(?:\d{{3,4}}s|{_SPAN})(?=[\s,:.–-]|$)", text)) and ok(m):
+        return m.span()
     if (m := re.search(rf"\b{_CUE}\s+(?:the\s+)?({_PLAIN})\b(?![\d,]*\d)", text)) and ok(m, 1):
-        return m[1]
+        return m.span(1)
     if mode == "loose":
         if (m := re.search(rf"\bbetween\s+({_PLAIN}\s+and\s+{_PLAIN})", text)) and ok(m, 1):
-            return m[1]
+            return m.span(1)
         for m in re.finditer(r"\b(1\d{3}|20\d{2})(s?)\b", text):
             if ok(m):
-                return m[0]
+                return m.span()
     return None
 
 
+def find_date_text(text: str | None, mode: str = "default") -> str | None:
+    """The date that find_date_span finds."""
+    span = find_date_span(text, mode)
+    return text[span[0] : span[1]] if span else None
+
+
 def text_dates(text: str | None) -> list[tuple[str, int, int]] | None:
     """(date, start, end) of every sentence of a whole text that has a plausible date; null text: None."""
     if text is None:

@@ -101,4 +101,5 @@ def mine_tables(pages: DataFrame) -> DataFrame:
             rows = [(p, *e) for p, h in zip(pdf["page_id"], pdf["html"]) for e in table_events(h, 1 << 30)]
             yield pd.DataFrame(rows, columns=["page_id", "start", "end", "text"])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, start long, end long, text string")
+    kind = dict(pages.dtypes)["page_id"]
+    return pages.select("page_id", "html").mapInPandas(run, f"page_id {kind}, start long, end long, text string")
