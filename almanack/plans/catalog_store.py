@@ -374,17 +374,40 @@ _REVIEWS = """e AS (SELECT user_id AS "user", event_type AS entry, epoch_ms(date
 
 @query(f"""WITH {_REVIEWS} SELECT "user", entry, sum(ok)::BIGINT AS right_n, (count(*) - sum(ok))::BIGINT AS wrong_n, list_reduce(list(ok ORDER BY "at", event_id), lambda b, x: CASE WHEN x = 1 THEN least(6, b + 1) ELSE 0 END, 0)::INT AS box FROM e GROUP BY ALL""")
 def streamed_reviews(t):
-    """The states after a stream of three files, a batch each."""
+    """The states after a stream of three batches over which the reviews are dealt by a hash, so that most come late."""
     path = _folder(t)
-    e = t.events.select(F.col("user_id").alias("user"), F.col("event_type").alias("entry"), F.unix_millis(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("at"), "event_id", (F.col("value") > 20).alias("right"))
-    third = e.agg(F.expr("approx_percentile(at, array(0.33, 0.66), 10000)").alias("c")).first().c
-    parts = (e.where(F.col("at") < third[0]), e.where((F.col("at") >= third[0]) & (F.col("at") < third[1])), e.where(F.col("at") >= third[1]))
-    for i, part in enumerate(parts):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    e = _reviews(t)
+    for i in range(3):
+        e.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i).write.mode("append").parquet(f"{path}/in")
         stream = t.spark.readStream.schema(e.schema).parquet(f"{path}/in")
         P.stream_reviews(stream, f"{path}/states", f"{path}/progress").awaitTermination()
     last = max(i for i in range(10) if T.exists(t.spark, f"{path}/states/{i}"))
-    return t.spark.read.parquet(f"{path}/states/{last}").select("user", "entry", "right_n", "wrong_n", "box")
+    return P.boxes(t.spark.read.parquet(f"{path}/states/{last}")).select("user", "entry", "right_n", "wrong_n", "box")
+
+
+def _reviews(t):
+    return t.events.select(F.col("user_id").alias("user"), F.col("event_type").alias("entry"), F.unix_millis(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("at"), "event_id", (F.col("value") > 20).alias("right"))
+
+
+@query(f"""WITH {_REVIEWS}, s AS (SELECT "user", entry, max("at") AS "at", sum(ok)::BIGINT AS right_n, list_reduce(list(ok ORDER BY "at", event_id), lambda b, x: CASE WHEN x = 1 THEN least(6, b + 1) ELSE 0 END, 0)::INT AS box FROM e GROUP BY ALL),
+d AS (SELECT *, "at" + CASE box WHEN 0 THEN 600000 ELSE 86400000::BIGINT * [1, 3, 7, 16, 35, 90][box] END AS due FROM s) SELECT "user", entry, right_n, box, due::BIGINT AS due FROM d WHERE due <= (SELECT max("at") FROM e) + 40 * 86400000::BIGINT""")
+def due_notices(t):
+    """What event-time timers have fired by 40 days after the last review, of reviews that come in no order: a due time that a later or a late
+    answer has moved fires once, at its new time."""
+    path = _folder(t)
+    e = _reviews(t).withColumn("ts", F.timestamp_millis("at"))
+    beat = e.agg(F.max("at").alias("m")).select(F.lit(-1).cast(dict(e.dtypes)["user"]).alias("user"), F.lit("clock").alias("entry"), F.col("m").alias("at"), F.lit(-1).cast("long").alias("event_id"), F.lit(True).alias("right"), F.timestamp_millis(F.col("m") + 100 * 86_400_000).alias("ts"))
+    spark, setting = t.spark, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in (*(e.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i) for i in range(3)), beat):
+            part.write.mode("append").parquet(f"{path}/in")
+            notices = P.review_notices(spark.readStream.schema(e.schema).parquet(f"{path}/in"))
+            notices.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+    return spark.read.parquet(f"{path}/out").where("what = 'due' AND user >= 0").select("user", "entry", "right_n", "box", "due")
 
 
 @query("""WITH a AS (SELECT c_custkey AS id, c_nationkey AS "at", ['a'] AS x FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT CASE WHEN c_custkey % 9 = 1 THEN c_custkey + 1 ELSE c_custkey END AS id, max(c_custkey % 25) AS "at" FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Fixed list: the wait in each box, in milliseconds: 10 minutes, then 1, 3, 7, 16, 35 and 90 days.
 WAITS = [600_000, *(d * 86_400_000 for d in (1, 3, 7, 16, 35, 90))]
@@ -32,36 +35,58 @@ def merge_latest(local: DataFrame, remote: DataFrame) -> DataFrame:
     return both.select("key", F.when(wins, F.col("_r")).otherwise(F.col("_l")).alias("at"), F.when(wins, "remote").otherwise("local").alias("side"))
 
 
-def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
-    """States (user, entry, right_n, wrong_n, box, at, ...) after the reviews of `new`, folded by themselves, that came after those of `old`.
+#: Rights after the last wrong answer beyond this many change nothing: the last box is the sixth.
+TOP = len(WAITS) - 1
+
+
+def review_states(reviews: DataFrame) -> DataFrame:
+    """Mergeable states (user, entry, right_n, wrong_n, wrong, rights, at) of reviews (user, entry, at, event_id, right).
 
-    A state is two counts, a box and a time: a batch without a wrong answer adds its right ones to the box, one with a wrong
-    answer brings its own.
+    wrong is the last wrong answer, rights the six latest right ones, each as (at, event_id). That is all a box
+    depends on, in whatever order reviews come to be known: a right answer older than six others can't count,
+    and one that a late wrong answer cancels is still there to be compared. Top-k windows are cut in each task.
     """
-    key = ["user", "entry"]
-    o = old.select(*key, *[F.col(c).alias(f"_{c}") for c in ("right_n", "wrong_n", "box", "at")])
-    both = new.join(o, key, "full")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    box = F.when(zero("wrong_n") > 0, F.col("box")).otherwise(F.least(F.lit(6), zero("_box") + zero("right_n"))).cast("int")
-    at = F.greatest("at", "_at")
-    due = at + F.element_at(F.array(*[F.lit(w) for w in WAITS]), box + 1)
-    return both.select(*key, (zero("right_n") + zero("_right_n")).alias("right_n"), (zero("wrong_n") + zero("_wrong_n")).alias("wrong_n"), box.alias("box"), at.alias("at"), due.alias("due"))
+    key, order = ["user", "entry"], F.struct("at", "event_id")
+    latest = Window.partitionBy(*key).orderBy(F.desc("at"), F.desc("event_id"))
+    rights = reviews.where("right").withColumn("_r", F.row_number().over(latest)).where(F.col("_r") <= TOP).groupBy(*key).agg(F.collect_list(order).alias("rights"))
+    sums = reviews.groupBy(*key).agg(F.count_if("right").alias("right_n"), F.count_if(~F.col("right")).alias("wrong_n"), F.max(F.when(~F.col("right"), order)).alias("wrong"), F.max("at").alias("at"))
+    none = F.array().cast(dict(rights.dtypes)["rights"])
+    return sums.join(rights, key, "left").select(*key, "right_n", "wrong_n", "wrong", F.coalesce("rights", none).alias("rights"), "at")
+
+
+def merge_review_states(*states: DataFrame) -> DataFrame:
+    """The states of all reviews that went into any of states, each review into one of them; order and number don't matter."""
+    both = states[0]
+    for s in states[1:]:
+        both = both.unionByName(s)
+    return both.groupBy("user", "entry").agg(
+        F.sum("right_n").alias("right_n"), F.sum("wrong_n").alias("wrong_n"), F.max("wrong").alias("wrong"),
+        F.slice(F.sort_array(F.flatten(F.collect_list("rights")), False), 1, TOP).alias("rights"), F.max("at").alias("at"),
+    )
+
+
+def boxes(states: DataFrame) -> DataFrame:
+    """(user, entry, right_n, wrong_n, box, at, due) of mergeable states: as many boxes up as rights came after the last wrong answer."""
+    since = F.when(F.col("wrong").isNull(), F.size("rights")).otherwise(F.size(F.filter("rights", lambda r: r > F.col("wrong"))))
+    out = states.withColumn("box", since.cast("int"))
+    return out.select("user", "entry", "right_n", "wrong_n", "box", "at", (F.col("at") + F.element_at(F.array(*map(F.lit, WAITS)), F.col("box") + 1)).alias("due"))
 
 
 def stream_reviews(reviews: DataFrame, path: str, checkpoint: str):
-    """Start a stream that folds review batches (user, entry, at, event_id, right), in order of time, into states under path/<batch>.
+    """Start a stream that folds review batches (user, entry, at, event_id, right) into mergeable states under path/<batch>.
 
-    Each batch is folded by itself and merged with the states of the batch before, so its cost is that of the states and of
-    its own reviews, however many there were. A batch that is run again reads the same states and writes its folder
-    again, with the same result. Two states before the last are deleted.
+    Reviews may come in any order and however late: see review_states. Each batch is folded by itself and merged with the
+    states of the batch before, so its cost is that of the states and of its own reviews, however many there were. A batch
+    that is run again reads the same states and writes its folder again, with the same result. Two states before the last
+    are deleted.
     """
     from almanack.sources.store import delete, exists
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        state = fold_reviews(batch)
+        state = review_states(batch)
         if number and exists(spark, f"{path}/{number - 1}"):
-            state = merge_states(spark.read.parquet(f"{path}/{number - 1}"), state)
+            state = merge_review_states(spark.read.parquet(f"{path}/{number - 1}"), state)
         state.write.mode("overwrite").parquet(f"{path}/{number}")
         if number > 1:
             delete(spark, f"{path}/{number - 2}")
@@ -69,6 +94,57 @@ def stream_reviews(reviews: DataFrame, path: str, checkpoint: str):
     return reviews.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class _Reviewer(StatefulProcessor):
+    """Keyed state of one (user, entry): counts, the last wrong answer, the six latest rights; a timer at `due`."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "right_n long, wrong_n long, wrong_at long, wrong_id long, rights array<struct<at: long, id: long>>, at long, due long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        right_n, wrong_n, wrong, rights, at, due = 0, 0, (-1, -1), [], -1, None
+        if self.state.exists():
+            right_n, wrong_n, a, i, kept, at, due = self.state.get()
+            wrong, rights = (a, i), [(r[0], r[1]) for r in kept]
+        for pdf in rows:
+            times = list(zip(pdf["at"].tolist(), pdf["event_id"].tolist()))
+            ok = pdf["right"].tolist()
+            right_n, wrong_n = right_n + sum(ok), wrong_n + len(ok) - sum(ok)
+            wrong = max([wrong, *(t for t, r in zip(times, ok) if not r)])
+            rights = heapq.nlargest(TOP, [*rights, *(t for t, r in zip(times, ok) if r)])
+            at = max([at, *(t for t, _ in times)])
+        box = sum(r > wrong for r in rights)
+        if due is not None:
+            self.handle.deleteTimer(due)
+        due = at + WAITS[box]
+        self.handle.registerTimer(due)
+        self.state.update((right_n, wrong_n, *wrong, [tuple(r) for r in sorted(rights)], at, due))
+        yield self._row(key, "answered", right_n, wrong_n, box, at, due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        right_n, wrong_n, a, i, rights, at, due = self.state.get()
+        if due == expiredTimerInfo.getExpiryTimeInMs():
+            yield self._row(key, "due", right_n, wrong_n, sum((r[0], r[1]) > (a, i) for r in rights), at, due)
+
+    def _row(self, key, what, *values):
+        return pd.DataFrame([(*key, what, *map(int, values))], columns=["user", "entry", "what", "right_n", "wrong_n", "box", "at", "due"])
+
+    def close(self) -> None:
+        pass
+
+
+def review_notices(reviews: DataFrame, late: str = "60 days") -> DataFrame:
+    """A stream of notices (user, entry, what, right_n, wrong_n, box, at, due) of a stream of reviews (user, entry, at, event_id, right, ts).
+
+    `answered`: the state after what a batch brought for a key, in any order of arrival up to `late` behind the latest ts.
+    `due`: event time has passed the key's due time, and nothing has moved it meanwhile; sent once for that time. State is
+    bounded for each key. Needs the RocksDB state store.
+    """
+    kinds = dict(reviews.dtypes)
+    schema = f"user {kinds['user']}, entry {kinds['entry']}, what string, right_n long, wrong_n long, box int, at long, due long"
+    return reviews.withWatermark("ts", late).groupBy("user", "entry").transformWithStateInPandas(_Reviewer(), schema, "Append", "eventTime")
+
+
 def merge_records(local: DataFrame, remote: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(merged, to push) of records (id, at, topics) of two sides: the later of each id wins, a tie stays local, topics are those of
     both, in order of the winner's first; ids move along aliases (src, dst). To push: what the other side hasn't, or has older."""
