@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from almanack.operators.search import cosine
 from almanack.operators.vectors import spherical_kmeans, unit
+from almanack.session import keep
 
 #: Rows of a node that one task splits to its leaves.
 LOCAL_ROWS = 20_000
@@ -150,35 +151,144 @@ def choose_k(rows: DataFrame, most: int, least: int = 2, seed: int = 1, probe: i
     return -max(scores)[1]
 
 
+#: Rows that a task holds of a node at once, and rows of a node among which its first centres are drawn.
+BLOCK_ROWS, SEED_ROWS = 4096, 512
+
+
+def _node_blocks(frame: DataFrame) -> DataFrame:
+    """(path, ids, m) of frame (id, vector, path): rows of a node in blocks of about BLOCK_ROWS, vectors of length 1 one after the other."""
+    sizes = frame.groupBy("path").agg(F.count("*").alias("n"))
+    dealt = frame.join(sizes, "path").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK_ROWS)))
+    size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    scaled = F.transform("vector", lambda x: x.cast("double") / F.greatest(size, F.lit(1e-12)))
+    both = F.sort_array(F.collect_list(F.struct("id", scaled.alias("v"))))
+    packed = dealt.groupBy("path", "block").agg(both.alias("r"), F.max("n").alias("n"))
+    return packed.select("path", "n", F.col("r.id").alias("ids"), F.flatten("r.v").alias("m"))
+
+
+def _first_centres(frame: DataFrame, sizes: DataFrame, branch: int, leaf: int, seed: int) -> DataFrame:
+    """(path, k, c, v): k-means++ choices for every k that a node may be split into, drawn among SEED_ROWS of its rows
+    by the order of a hash. The choices for k are the first k of those for the largest."""
+    drawn = Window.partitionBy("path").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    some = frame.join(sizes, "path").withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= SEED_ROWS).select("path", "n", "id", "vector")
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        most = max(2, min(branch, int(pdf["n"].iloc[0]) // leaf))
+        v = _seeds(unit(np.stack(pdf["vector"].to_numpy()).astype(np.float64)), most, np.random.default_rng(seed))
+        rows = [(pdf["path"].iloc[0], k, c, v[c].tolist()) for k in range(2, len(v) + 1) for c in range(k)]
+        return pd.DataFrame(rows, columns=["path", "k", "c", "v"])
+
+    return some.groupBy("path").applyInPandas(choose, "path string, k int, c int, v array<double>")
+
+
+def _with_centres(blocks: DataFrame, centres: DataFrame, each, schema: str) -> DataFrame:
+    """each(ids, rows, k, centres) of every block with the centres of its node, one call for each k; rows of schema after path and k.
+
+    A node's centres are one row, so a block meets them by its path, in a join that Spark may split.
+    """
+    packed = centres.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("k", "c", "v"))).alias("centres"))
+
+    def run(batches):
+        for pdf in batches:
+            for path, ids, m, cs in zip(pdf["path"], pdf["ids"], pdf["m"], pdf["centres"]):
+                rows = np.asarray(m, np.float64).reshape(len(ids), -1)
+                ks = np.array([x["k"] for x in cs])
+                v = np.stack([x["v"] for x in cs])
+                for k in np.unique(ks):
+                    out = each(ids, rows, v[ks == k])
+                    out.insert(0, "path", path)
+                    out.insert(1, "k", int(k))
+                    yield out
+
+    return blocks.join(packed, "path").select("path", "ids", "m", "centres").mapInPandas(run, f"path string, k int, {schema}")
+
+
+def _moved(blocks: DataFrame, centres: DataFrame) -> DataFrame:
+    """Centres after one round: sums by nearest centre where the rows lie, then added up; those without rows go."""
+
+    def sums(ids, rows, v):
+        near = (rows @ v.T).argmax(1)
+        total = np.zeros_like(v)
+        np.add.at(total, near, rows)
+        some = np.flatnonzero(np.bincount(near, minlength=len(v)))
+        return pd.DataFrame({"c": some.astype("int32"), "v": list(total[some])})
+
+    parts = _with_centres(blocks, centres, sums, "c int, v array<double>").select("path", "k", "c", F.posexplode("v").alias("d", "x"))
+    added = parts.groupBy("path", "k", "c", "d").agg(F.sum("x").alias("x")).groupBy("path", "k", "c").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v"))
+    added = added.withColumn("size", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["x"] * x["x"]))).where("size > 0")
+    ranked = added.withColumn("c", (F.row_number().over(Window.partitionBy("path", "k").orderBy("c")) - 1).cast("int"))
+    return ranked.select("path", "k", "c", F.transform("v", lambda x: x["x"] / F.col("size")).alias("v"))
+
+
+def split_level(frame: DataFrame, leaf: int, branch: int, seed: int, probe: int = 8, rounds: int = 25) -> DataFrame:
+    """(id, path, c) of all rows of frame (id, vector, path), every node split at once into 2 to `branch` groups.
+
+    A node's number of groups is that of best mean silhouette after `probe` rounds for each number; then its rounds go
+    on until no centre moves. One pass over the rows does a round for all nodes and all numbers; centres, keyed (node,
+    number, group), stay in tables, and the driver only learns how many have moved. A node of one group comes back as c = 0.
+    """
+    blocks = keep(_node_blocks(frame))
+    sizes = frame.groupBy("path").agg(F.count("*").alias("n"))
+    centres = keep(_first_centres(frame, sizes, branch, leaf, seed))
+    for _ in range(probe):
+        centres = keep(_moved(blocks, centres))
+
+    def fit(ids, rows, v):
+        if len(v) < 2:
+            return pd.DataFrame({"s": [0.0], "n": [0]})
+        far = np.sort(1 - rows @ v.T, axis=1)
+        return pd.DataFrame({"s": [float(silhouette(far[:, 0], far[:, 1]).sum())], "n": [len(rows)]})
+
+    quality = _with_centres(blocks, centres, fit, "s double, n long").groupBy("path", "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    best = quality.groupBy("path").agg(F.max_by("k", F.struct(F.coalesce(F.round(F.try_divide("s", "n"), 9), F.lit(-1.0)), -F.col("k"))).alias("k"))
+    centres = keep(centres.join(best, ["path", "k"]))
+    for _ in range(rounds - probe):
+        new = keep(_moved(blocks, centres))
+        old = centres.select("path", "k", "c", F.col("v").alias("_v"))
+        same = F.aggregate(F.zip_with("v", "_v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) >= 0.999999
+        still = new.join(old, ["path", "k", "c"]).where(~same).limit(1).count() == 0
+        centres = new
+        if still:
+            break
+
+    def assign(ids, rows, v):
+        return pd.DataFrame({"id": ids, "c": (rows @ v.T).argmax(1).astype("int32")})
+
+    found = _with_centres(blocks, centres, assign, f"id {dict(frame.dtypes)['id']}, c int")
+    return found.select("id", "path", "c")
+
+
 def cluster_tree(rows: DataFrame, leaf: int = 12, branch: int = 10, depth: int = 6, seed: int = 1, known: Column | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(id, path) of rows (id, vector): paths like r/0/2 from the root to a leaf.
 
-    known: the first levels as a path expression, such as of a taxonomy; the tree grows below them. A node of more than
-    local_rows rows is split by passes over all its rows; the others are each finished by one task.
+    known: the first levels as a path expression, such as of a taxonomy; the tree grows below them. All nodes of more
+    than local_rows rows are split level by level, by passes over all their rows that do every node of a level at once;
+    the others are each finished by one task. A node is a leaf at the last depth, with at most 1.6 times `leaf` rows,
+    or if its rows can't be told apart. Ids are whole and unique; vectors are not null. An empty table gives an empty tree.
     """
     kind = dict(rows.dtypes)["id"]
-    frame = rows.select("id", "vector", (F.lit("r") if known is None else known).alias("path"))
-    done: list[DataFrame] = []
-    while True:
-        sizes = frame.groupBy("path").agg(F.count("*").alias("n")).where((F.col("n") > local_rows) & (F.size(F.split("path", "/")) <= depth)).orderBy("path").collect()  # few: each holds local_rows rows
-        if not sizes:
+    deep = F.size(F.split("path", "/")) - 1
+    frame = keep(rows.select("id", "vector", (F.lit("r") if known is None else known).alias("path"), F.lit(False).alias("whole")))
+    for _ in range(depth):
+        sizes = frame.where(~F.col("whole")).groupBy("path").agg(F.count("*").alias("n"))
+        large = sizes.where((F.col("n") > local_rows) & (F.col("n") > 1.6 * leaf) & (deep < depth)).select("path")
+        todo = keep(frame.join(large, "path", "left_semi"))
+        if todo.isEmpty():
             break
-        for s in sizes:
-            node = frame.where(F.col("path") == s.path)
-            k = choose_k(node, max(2, min(branch, s.n // leaf)), seed=seed)
-            done.append(spherical_kmeans(node, k, seed=seed).select("id", F.concat(F.lit(f"{s.path}/"), F.col("cluster").cast("string")).alias("_p")))
-        new = done[0]
-        for d in done[1:]:
-            new = new.unionByName(d)
-        done = []
-        frame = frame.join(new, "id", "left").withColumn("path", F.coalesce("_p", "path")).drop("_p").checkpoint()
+        split = keep(split_level(todo.select("id", "vector", "path"), leaf, branch, seed))
+        groups = split.groupBy("path").agg(F.max("c").alias("top"))
+        split = split.join(groups, "path").select("id", F.when(F.col("top") > 0, F.concat_ws("/", "path", "c")).otherwise(F.col("path")).alias("_p"), (F.col("top") == 0).alias("_w"))
+        frame = keep(frame.join(split, "id", "left").select("id", "vector", F.coalesce("_p", "path").alias("path"), F.coalesce("_w", "whole").alias("whole")))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         v = unit(np.stack(pdf["vector"].to_numpy()).astype(np.float64))
         return pd.DataFrame({"id": pdf["id"], "path": local_tree(v, pdf["path"].iloc[0], leaf, branch, depth, seed)})
 
-    return frame.groupBy("path").applyInPandas(grow, f"id {kind}, path string")
+    small = frame.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") <= local_rows).select("path")
+    local = frame.where(~F.col("whole")).join(small, "path", "left_semi").select("id", "vector", "path").groupBy("path").applyInPandas(grow, f"id {kind}, path string")
+    return local.unionByName(frame.where("whole").unionByName(frame.where(~F.col("whole")).join(small, "path", "left_anti")).select("id", "path"))
 
 
 def recluster(rows: DataFrame, ids: DataFrame, most: int = 2000, **how) -> DataFrame:

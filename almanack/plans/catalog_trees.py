@@ -52,6 +52,22 @@ def tree_leaves(t):
     return tree.select("id", F.min("id").over(Window.partitionBy("path")).alias("first_of_group"))
 
 
+@query("""WITH s AS (SELECT vec_id AS id, label, label % 3 AS a FROM embeddings), n AS (SELECT label, count(*) AS n FROM s GROUP BY label)
+SELECT id, min(id) OVER (PARTITION BY a) AS top, min(id) OVER (PARTITION BY label) AS mid, true AS leaf_ok, n > 32 AS deeper FROM s JOIN n USING (label)""")
+def level_tree(t):
+    """All embeddings, each moved towards its label % 3 and, less, towards its label, so that the first two levels of the tree are known."""
+    from pyspark.sql import Window
+
+    axis = lambda n, size, w: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == n, w).otherwise(0.0))
+    v = F.concat(axis(F.col("label") % 3, 3, 4.0), axis(F.col("label"), 10, 1.0), F.transform("embedding", lambda x: 0.3 * x.cast("double")))
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), V.normalise(v).alias("vector"))
+    tree = T.cluster_tree(rows, leaf=20, branch=6, depth=4, local_rows=40)
+    parts = F.split("path", "/")
+    level = lambda n: F.min("id").over(Window.partitionBy(F.slice(parts, 1, n + 1)))
+    size = F.count("*").over(Window.partitionBy("path"))
+    return tree.select("id", level(1).alias("top"), level(2).alias("mid"), ((size <= 32) | (F.size(parts) == 5)).alias("leaf_ok"), (F.size(parts) > 3).alias("deeper"))
+
+
 @query("""SELECT p_partkey AS id, p_partkey % 3 AS top, min(p_partkey) OVER (PARTITION BY p_partkey % 6) AS first_of_group FROM part WHERE p_partkey < 600""")
 def taxonomy_tree(t):
     from pyspark.sql import Window
