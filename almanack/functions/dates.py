@@ -94,14 +94,20 @@ def parse_years(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"start": pd.array([a for a, _ in found], "Int64"), "end": pd.array([b for _, b in found], "Int64")})
 
 
-_UNITS = r"(?:members|states|people|copies|metres|meters|units|feet|miles|km|men|soldiers|tons|pages)"
+# Units of measure and durations; a number before one is no year.
+UNITS = (
+    r"k?m|mi|ft|yd|nmi|ha|kg|lb|t|%|°|km2|m2|km²|m²|kilometres?|kilometers?|metres?|meters?|miles?|feet|foot|yards?|inches|"
+    r"acres?|hectares?|square|cubic|tonnes?|tons?|pounds?|kilograms?|degrees?|percent|per\s+cent|people|inhabitants|residents|households|species|"
+    r"members|seats|votes|pages|words|lines|units|copies|episodes|million|billion|trillion|thousand|hundred|"
+    r"years?|months?|weeks?|days?|hours?|minutes?|seconds?|decades?|centuries|century"
+)
 _DEEP = re.compile(rf"({_NUMBER}\s*(?:(?:billion|million|thousand)\s+years ago|Ga\b|Ma\b|ka\b)|{_NUMBER}\s+years ago)")
 _CUE = r"(?:in|since|by|from|until|till|during|circa|c\.|about|around|of)"
-_PLAIN = r"\d{3,4}(?:\s*(?:BC|AD|BCE|CE))?"
-_SPAN = rf"{_PLAIN}(?:{_DASH}\d{{2,4}}(?:\s*(?:BC|AD|BCE|CE))?)?"
+_PLAIN = r"(?:\d{1,4}\s*(?:BCE|BC|AD|CE)\b|\d{3,4})"
+_SPAN = rf"{_PLAIN}(?:{_DASH}\d{{1,4}}\s*(?:BCE|BC|AD|CE)\b|{_DASH}\d{{2,4}})?"
 
 
-_COUNTED = re.compile(rf"(?:[.,]\d|\s+{_UNITS}\b)")
+_COUNTED = re.compile(rf"(?:[.,]\d|\s*(?:(?:{UNITS})\b|[%°]))", re.I)
 _IN_NUMBER = frozenset("0123456789.,")
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import re
 from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from almanack.functions.when import season_year
+from almanack.session import keep
 
 # Sections that are no content, and classes of boxes beside the text.
 APPENDICES = "see also,references,notes,citations,sources,further reading,external links,bibliography,footnotes,gallery".split(",")
@@ -214,32 +216,70 @@ def paragraph_score(years: Column, year: Column, weight: Column, uses: Column, t
     return 1 / (1 + away / 6) + F.when(holds, 0.25).otherwise(0.0) + F.least(F.lit(0.15), 0.03 * F.size(years)) + weight - F.least(F.lit(cap), penalty * uses)
 
 
-def assign_paragraphs(entries: DataFrame, paragraphs: DataFrame, penalty: float = 0.12, cap: float = 0.35, tight: int = 25) -> DataFrame:
-    """(id, paragraph): for entries (page, id, year) in order of year the best paragraph (page, paragraph, years, weight) of their page, each use
-    of a paragraph lessening its score for the next. A page's entries are few; they are dealt with in one fold."""
-    ps = paragraphs.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("paragraph", "years", "weight"))).alias("ps"))
-    es = entries.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("year", "id"))).alias("es"))
-    none = F.expr("filter(transform(es, x -> struct(x.id AS id, ps[0].paragraph AS paragraph)), x -> false)")
+def deferred_acceptance(options: DataFrame) -> DataFrame:
+    """(group, id, slot) of options (group, id, seq, pref, slot, capacity): in order of (seq, id) each id has the option of
+    least pref whose slot fewer than `capacity` ids before it hold; an id whose slots are all held has none.
 
-    def step(out, e):
-        def score(p):
-            used = F.size(F.filter(out, lambda o: o["paragraph"] == p["paragraph"]))
-            return F.struct(F.round(paragraph_score(p["years"], e["year"], p["weight"], used, tight, penalty, cap), 9).alias("s"), (-p["paragraph"]).alias("p"))
+    Rounds over all groups at once, no fold over a group: every id asks for its first option that isn't out of reach, every
+    slot keeps the first `capacity` that ask, and what is after its last one is out of reach for good. As all slots
+    prefer the same order, that is the same as serving ids one by one. The first of a slot are cut in each task, so
+    a slot that a third of all ids ask for is no hot task; the joins may be split. Ends when no slot is asked for too often.
+    """
+    options = keep(options.select("group", "id", "pref", "slot", "capacity", F.struct("seq", "id").alias("at")))
+    slot = ["group", "slot"]
+    cuts = None
+    while True:
+        open_ = options if cuts is None else options.join(cuts, slot, "left").where(F.col("cut").isNull() | (F.col("at") <= F.col("cut")))
+        asked = keep(open_.groupBy("group", "id").agg(F.min_by(F.struct("slot", "capacity", "at"), "pref").alias("o")).select("group", "id", "o.slot", "o.capacity", "o.at"))
+        over = asked.groupBy(*slot).agg(F.count("*").alias("n"), F.max("capacity").alias("capacity")).where("n > capacity").select(*slot)
+        first = Window.partitionBy(*slot).orderBy("at")
+        held = asked.join(over, slot, "left_semi").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= F.col("capacity"))
+        new = keep(held.groupBy(*slot).agg(F.max("at").alias("cut")))
+        if new.isEmpty():
+            return asked.select("group", "id", "slot")
+        cuts = new if cuts is None else keep(cuts.unionByName(new).groupBy(*slot).agg(F.min("cut").alias("cut")))
 
-        best = F.array_max(F.transform("ps", score))
-        return F.concat(out, F.array(F.struct(e["id"].alias("id"), (-best["p"]).alias("paragraph"))))
 
-    return es.join(ps, "page").select(F.explode(F.aggregate("es", none, step)).alias("o")).select("o.id", "o.paragraph")
+def assign_paragraphs(entries: DataFrame, paragraphs: DataFrame, penalty: float = 0.12, cap: float = 0.35, tight: int = 25) -> DataFrame:
+    """(id, paragraph): for entries (page, id, year) in order of year the best paragraph (page, paragraph, years, weight) of their page, each use
+    of a paragraph lessening its score for the next, up to a cap.
+
+    A use is a slot of its own price: as many single ones as there are prices under the cap, and one without a limit at the cap. Scores are made
+    once for each distinct year of a page and paragraph; those that the capped use of the best one beats can't be chosen and go.
+    Equal scores: the smaller paragraph.
+    """
+    steps = math.ceil(cap / penalty)
+    years = entries.select("page", "year").distinct()
+    scored = years.join(paragraphs, "page").select("page", "year", "paragraph", paragraph_score(F.col("years"), F.col("year"), F.col("weight"), F.lit(0), tight, penalty, cap).alias("s"))
+    best = scored.groupBy("page", "year").agg(F.max("s").alias("best"))
+    near = scored.join(best, ["page", "year"]).where(F.col("s") >= F.col("best") - cap - 1e-9)
+    uses = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(min(cap, penalty * n)).alias("price")) for n in range(steps + 1)]))
+    slots = near.withColumn("u", uses).withColumn("worth", F.round(F.col("s") - F.col("u.price"), 9)).where(F.col("worth") >= F.round(F.col("best") - cap, 9))
+    ranked = slots.select(
+        "page", "year", F.struct("paragraph", F.col("u.n").alias("n")).alias("slot"), F.when(F.col("u.n") < steps, 1).otherwise(1 << 62).cast("long").alias("capacity"),
+        F.struct((-F.col("worth")).alias("w"), "paragraph", F.col("u.n").alias("n")).alias("pref"),
+    )
+    options = entries.join(ranked, ["page", "year"]).select(F.col("page").alias("group"), "id", F.col("year").alias("seq"), "pref", "slot", "capacity")
+    return deferred_acceptance(options).select("id", "slot.paragraph")
 
 
 def capped_choice(wants: DataFrame, most: int = 3) -> DataFrame:
     """(id, page): every id (group, id, seq) gets the first of its candidate pages (an array, in order of preference) that fewer than `most` ids
-    before it, by seq, took; none if all are taken. A group is one run of a page's entries."""
-    rows = wants.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("seq", "id", "pages"))).alias("xs"))
-    none = F.expr("filter(transform(xs, x -> struct(x.id AS id, x.pages[0] AS page)), x -> false)")
+    before it, by seq, took; none if all are taken. Any size of group."""
+    options = wants.select("group", "id", "seq", F.posexplode("pages").alias("pref", "slot"), F.lit(most).cast("long").alias("capacity"))
+    return deferred_acceptance(options).select("id", F.col("slot").alias("page"))
 
-    def step(out, x):
-        free = F.get(F.filter(x["pages"], lambda p: F.size(F.filter(out, lambda o: o["page"] == p)) < most), F.lit(0))
-        return F.when(free.isNull(), out).otherwise(F.concat(out, F.array(F.struct(x["id"].alias("id"), free.alias("page")))))
 
-    return rows.select(F.explode(F.aggregate("xs", none, step)).alias("o")).select("o.id", "o.page")
+def thickened(drafts: DataFrame, pages: DataFrame, thin: int = 300, lead: int = 120, most: int = 3, context: int = 600) -> DataFrame:
+    """drafts (group, id, seq, excerpt, pages) as (id, excerpt, context): an excerpt of fewer than `thin` characters takes the lead (the
+    first `context` characters) of the first of its candidate pages whose lead has `lead` characters or more and that fewer than `most` drafts before it in its group took.
+
+    Shared text makes shared vectors, so a page is spent after `most` uses; a draft without a page left stays as it is, context null.
+    """
+    excerpt = F.trim(F.coalesce("excerpt", F.lit("")))
+    asking = drafts.where(F.length(excerpt) < thin)
+    told = pages.select(F.col("page").alias("slot"), F.left("text", F.lit(context)).alias("text")).where(F.length("text") >= lead)
+    options = asking.select("group", "id", "seq", F.posexplode("pages").alias("pref", "slot"), F.lit(most).cast("long").alias("capacity")).join(told.select("slot"), "slot", "left_semi")
+    chosen = deferred_acceptance(options).join(told, "slot").select("id", F.col("slot").alias("context"), "text")
+    both = F.trim(F.concat(excerpt, F.lit("\n\n"), F.col("text")))
+    return drafts.join(chosen, "id", "left").select("id", F.when(F.col("context").isNull(), F.col("excerpt")).otherwise(both).alias("excerpt"), "context")

@@ -77,15 +77,16 @@ def semantic_scan(vectors: DataFrame, id_col: str, vector_col: str, query: list[
     return vectors.select(F.col(id_col).alias("id"), cosine(F.col(vector_col), q).alias("sim"))
 
 
-def hybrid(keyword: DataFrame, semantic: DataFrame | None, scope: DataFrame | None = None, limit: int = 200, keywords: int = 2000) -> DataFrame:
+def hybrid(keyword: DataFrame, semantic: DataFrame | None, scope: DataFrame | None = None, limit: int = 200, keywords: int = 2000, scope_first: bool = False) -> DataFrame:
     """The best `limit` of pruned keyword hits and cut semantic hits, vetoed and fused; keyword hits alone without vectors.
 
     With a scope (id) only its rows are searched, and once the best meaning match is good enough the next dozen
-    may be less so.
+    may be less so. The scope applies to the best `keywords` hits of all, which may leave a small scope few of them;
+    with scope_first it applies before, so that a scope has all its hits whatever is found outside.
     """
-    keyword = keep(keyword.orderBy(F.desc("score"), "id").limit(keywords))  # read several times below
-    if scope is not None:
-        keyword = keyword.join(scope.select("id"), "id", "left_semi")
+    inside = lambda df: df if scope is None else df.join(scope.select("id"), "id", "left_semi")
+    best = lambda df: df.orderBy(F.desc("score"), "id").limit(keywords)
+    keyword = keep(best(inside(keyword)) if scope_first else inside(best(keyword)))  # read several times below
     keyword = prune_to_best(keyword).orderBy(F.desc("score"), "id").limit(limit)
     if semantic is None:
         return keyword

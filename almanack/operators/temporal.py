@@ -6,21 +6,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def date_page(rows: DataFrame, lo: int, hi: int, now: int) -> DataFrame:
-    """rows (start, end, kind, person, open_ended) with a column section for each section a row is in:
-    happened, born, died, began, ended, ongoing."""
-    s, last = F.col("start"), F.when(F.col("open_ended"), F.lit(now)).otherwise(F.coalesce("end", "start"))
-    inside = lambda y: (y >= lo) & (y <= hi)
-    span, person = F.col("kind") == "span", F.col("person")
-    alive = (hi - s >= 15) & (last - s <= 110)
-    ongoing = span & (s < lo) & (last > hi) & F.when(person, alive).otherwise((last - s) < 2000 + 0.5 * abs(lo))
+def date_page(rows: DataFrame, lo: int, hi: int) -> DataFrame:
+    """rows (start, end, kind, person, open_ended) with a column section for each section a row is in: happened, born, died,
+    began, ended, ongoing.
+
+    What isn't a span, or has no end or the same end, is a point: it happened, whatever it is of. The end of an
+    open-ended span isn't known, so such a span can begin but neither end nor be under way. A person is under way if
+    alive and grown: 15 years or more before hi, and no older than 110; another span if shorter than 2,000 years
+    and half the page's age.
+    """
+    s, point = F.col("start"), (F.col("kind") != "span") | F.col("end").isNull() | (F.col("end") == F.col("start"))
+    end = F.when(~F.coalesce("open_ended", F.lit(False)), F.col("end"))
+    starts, ends = s.between(lo, hi), F.coalesce(end.between(lo, hi), F.lit(False))
+    across = ~point & (s < lo) & (end > hi)
+    brief = F.when(F.col("person"), (hi - s >= 15) & (end - s <= 110)).otherwise((end - s) < 2000 + 0.5 * abs(lo))
     sections = F.array(
-        F.when(~span & ~person & inside(s), "happened"),
-        F.when(person & inside(s), "born"),
-        F.when(person & span & ~F.col("open_ended") & inside(last), "died"),
-        F.when(span & ~person & inside(s), "began"),
-        F.when(span & ~person & ~F.col("open_ended") & inside(last), "ended"),
-        F.when(ongoing, "ongoing"),
+        F.when(point & starts, "happened"),
+        F.when(~point & starts, F.when(F.col("person"), "born").otherwise("began")),
+        F.when(~point & ends, F.when(F.col("person"), "died").otherwise("ended")),
+        F.when(across & brief, "ongoing"),
     )
     return rows.withColumn("section", F.explode(F.filter(sections, lambda x: x.isNotNull())))
 

@@ -110,18 +110,18 @@ def rank_fusion(t):
     return X.fuse(_keyword(t).select("id", F.round("score", 9).alias("score")), sem).select("id", F.round("score", 9).alias("score"))
 
 
-_HYBRID = """kw AS (SELECT id, score FROM (SELECT * FROM bm {scope} ORDER BY round(score, 9) DESC, id LIMIT 2000) WHERE score >= 0.3 * (SELECT max(score) FROM bm {scope}) ORDER BY round(score, 9) DESC, id LIMIT 200),
+_HYBRID = """bk AS (SELECT * FROM (SELECT * FROM bm ORDER BY round(score, 9) DESC, id LIMIT 2000) {scope}), kw AS (SELECT id, score FROM bk WHERE round(score, 9) >= 0.3 * (SELECT max(round(score, 9)) FROM bk) ORDER BY round(score, 9) DESC, id LIMIT 200),
 ss AS (SELECT * FROM sem {scope}), kv AS (SELECT kw.id, row_number() OVER (ORDER BY round(score, 9) DESC, kw.id) - 1 AS r FROM kw LEFT JOIN ss USING (id) WHERE coalesce(sim, 1) >= 0.26),
 sc AS (SELECT id, row_number() OVER (ORDER BY round(sim, 9) DESC, id) - 1 AS r FROM ss WHERE (SELECT max(sim) FROM ss) >= 0.4 AND sim >= greatest({least}, (SELECT max(sim) FROM ss) - {window}) QUALIFY r < {limit})
 SELECT id, round(coalesce(0.9 / (60 + kv.r), 0) + coalesce(1.0 / (60 + sc.r), 0), 9) AS score FROM kv FULL JOIN sc USING (id) ORDER BY score DESC, id LIMIT 200"""
 _NEAR = """q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 3), sem AS (SELECT vec_id AS id, list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), q) / sqrt((SELECT list_sum(list_transform(q, lambda x: x * x)) FROM q)) AS sim FROM embeddings, q)"""
 
 
-def _hybrid(t: Tables, scope: DataFrame | None) -> DataFrame:
+def _hybrid(t: Tables, scope: DataFrame | None, **how) -> DataFrame:
     query = [float(x) for x in t.embeddings.where("vec_id = 3").first().embedding]
     keyword = _keyword(t).select("id", F.round("score", 9).alias("score"))
     sem = X.semantic_scan(t.embeddings, "vec_id", "embedding", query).select("id", F.round("sim", 9).alias("sim"))
-    return X.hybrid(keyword, sem, scope).select("id", F.round("score", 9).alias("score"))
+    return X.hybrid(keyword, sem, scope, **how).select("id", F.round("score", 9).alias("score"))
 
 
 @query(_BM25 + f", {_NEAR}, " + _HYBRID.format(scope="", least=0.4, window=0.16, limit=200))
@@ -131,9 +131,16 @@ def hybrid_search(t):
 
 @query(_BM25 + f", {_NEAR}, " + _HYBRID.format(scope="WHERE id % 3 = 0", least=0.3, window=0.2, limit=12))
 def scoped_search(t):
+    """The scope applies to the best 2,000 keyword hits of all."""
     return _hybrid(t, t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id")))
 
 
+@query(_BM25 + f", {_NEAR}, " + _HYBRID.format(scope="", least=0.3, window=0.2, limit=12).replace("SELECT * FROM bm ORDER", "SELECT * FROM bm WHERE id % 3 = 0 ORDER").replace("ss AS (SELECT * FROM sem )", "ss AS (SELECT * FROM sem WHERE id % 3 = 0)"))
+def scope_first_search(t):
+    """Only the scope's rows are hits, however many better ones there are outside."""
+    return _hybrid(t, t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id")), scope_first=True)
+
+
 _INDEX = f"""WITH {TOKENS}, t AS (SELECT id, w AS term, count(*) AS tf FROM words WHERE length(w) > 1 GROUP BY ALL),
 x AS (SELECT id, term, round(tf / (tf + 1.2), 3) AS weight FROM t), d AS (SELECT term, count(*) AS df FROM x GROUP BY term)"""
 
@@ -211,14 +218,16 @@ def adjacent_cosine(t):
 
 # time -------------------------------------------------------------------------------------------
 
-@query(f"""WITH {ENTRIES}, x AS (SELECT *, CASE WHEN open_ended THEN 2026 ELSE coalesce("end", start) END AS l FROM entries),
-s AS (SELECT id, unnest([CASE WHEN kind = 'point' AND NOT person AND start BETWEEN 1997 AND 1998 THEN 'happened' END, CASE WHEN person AND start BETWEEN 1997 AND 1998 THEN 'born' END,
-CASE WHEN person AND kind = 'span' AND NOT open_ended AND l BETWEEN 1997 AND 1998 THEN 'died' END, CASE WHEN kind = 'span' AND NOT person AND start BETWEEN 1997 AND 1998 THEN 'began' END,
-CASE WHEN kind = 'span' AND NOT person AND NOT open_ended AND l BETWEEN 1997 AND 1998 THEN 'ended' END,
-CASE WHEN kind = 'span' AND start < 1997 AND l > 1998 AND (CASE WHEN person THEN 1998 - start >= 15 AND l - start <= 110 ELSE l - start < 2000 + 0.5 * 1997 END) THEN 'ongoing' END]) AS section FROM x)
-SELECT id, section FROM s WHERE section IS NOT NULL""")
+#: Points, and ends that are known, of the sections of the page of 1997 and 1998.
+SECTIONS = """x AS (SELECT *, kind <> 'span' OR "end" IS NULL OR "end" = start AS pt, CASE WHEN NOT open_ended THEN "end" END AS l FROM entries),
+s AS (SELECT *, unnest([CASE WHEN pt AND start BETWEEN 1997 AND 1998 THEN 'happened' END, CASE WHEN NOT pt AND start BETWEEN 1997 AND 1998 THEN CASE WHEN person THEN 'born' ELSE 'began' END END,
+CASE WHEN NOT pt AND l BETWEEN 1997 AND 1998 THEN CASE WHEN person THEN 'died' ELSE 'ended' END END,
+CASE WHEN NOT pt AND start < 1997 AND l > 1998 AND (CASE WHEN person THEN 1998 - start >= 15 AND l - start <= 110 ELSE l - start < 2000 + 0.5 * 1997 END) THEN 'ongoing' END]) AS section FROM x)"""
+
+
+@query(f"""WITH {ENTRIES}, {SECTIONS} SELECT id, section FROM s WHERE section IS NOT NULL""")
 def date_page(t):
-    return T.date_page(t.entries, 1997, 1998, 2026).select("id", "section")
+    return T.date_page(t.entries, 1997, 1998).select("id", "section")
 
 
 @query(f"""WITH {ENTRIES} SELECT id FROM entries WHERE start <= 1999 AND CASE WHEN open_ended THEN 2026 ELSE coalesce("end", start) END >= 1998""")

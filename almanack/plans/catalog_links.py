@@ -284,9 +284,12 @@ def chapter_assignment(t):
     return C.assign_chapters(items, ranges).select("topic", "id", "chapter")
 
 
-@query("""SELECT p_partkey AS id, round(least(0.75, (0.3 + CASE p_partkey % 3 WHEN 0 THEN 0.16 ELSE 0 END) * CASE WHEN p_partkey % 3 = 1 THEN 0.4 ELSE 1 END + CASE WHEN p_partkey % 2 = 0 THEN 0.25 * least(1, (p_size / 50.0) * 3 + 0.25) ELSE 0 END), 6)::DOUBLE AS base FROM part""")
+_MINED = ['Battle of X', 'Birth of Y', 'Quiet day', 'Black Death plague', 'Statute with a charter', 'Laws are made', 'Reforming the coinage', 'Somebody is born in a war', 'Becomes queen of hearts', 'Acts of nobody']
+
+
+@query("""WITH s AS (SELECT p_partkey, p_size, p_partkey % 10 + 1 AS k FROM part) SELECT p_partkey AS id, round(least(0.75, (0.3 + 0.16 * [1, 0, 0, 1, 1, 0, 1, 1, 1, 0][k]) * CASE WHEN [0, 1, 0, 0, 0, 0, 0, 1, 0, 0][k] = 1 THEN 0.4 ELSE 1 END + CASE WHEN p_partkey % 2 = 0 THEN 0.25 * least(1, (p_size / 50.0) * 3 + 0.25) ELSE 0 END), 6)::DOUBLE AS base FROM s""")
 def mined_scores(t):
-    title = F.element_at(F.array(*map(F.lit, ["Battle of X", "Birth of Y", "Quiet day"])), (F.col("p_partkey") % 3 + 1).cast("int"))
+    title = F.element_at(F.array(*map(F.lit, _MINED)), (F.col("p_partkey") % 10 + 1).cast("int"))
     weight = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size"))
     return t.part.select(F.col("p_partkey").alias("id"), F.round(C.mined_base(title, F.lit("x"), weight, F.lit(50.0), F.lit(0.5)), 6).alias("base"))
 

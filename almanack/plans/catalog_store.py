@@ -354,19 +354,49 @@ def paragraph_scores(t):
     return t.part.select(F.col("p_partkey").alias("id"), F.round(score, 6).alias("score"))
 
 
-@query("""SELECT id::BIGINT AS id, paragraph FROM (VALUES (1, 1), (2, 1), (3, 2)) v(id, paragraph)""")
+_PARAGRAPHS = """p AS (SELECT p_partkey % 300 AS page, p_partkey AS paragraph, [1993 + p_size % 12, 1993 + p_size % 12 + p_partkey % 4] AS years, (p_partkey % 9) / 40 AS weight FROM part),
+e AS (SELECT o_custkey % 300 AS page, o_orderkey AS id, year(o_orderdate) AS y FROM orders)"""
+
+
+@query(f"""WITH {_PARAGRAPHS}, ps AS (SELECT page, list({{p: paragraph, lo: years[1], hi: years[2], w: weight::DOUBLE}} ORDER BY paragraph) AS ps FROM p GROUP BY page),
+es AS (SELECT page, list(id ORDER BY y, id) AS ids, list([y] ORDER BY y, id) AS ys FROM e GROUP BY page),
+f AS (SELECT ids, list_reduce(ys, lambda acc, x: list_append(acc, -list_max(list_transform(ps, lambda q: struct_pack(s := round(1 / (1 + least(abs(q.lo - x[1]), abs(q.hi - x[1])) / 6)
++ CASE WHEN q.hi > q.lo AND x[1] BETWEEN q.lo AND q.hi THEN 0.25 ELSE 0 END + 0.06 + q.w - least(0.35, 0.12 * len(list_filter(acc, lambda o: o = q.p))), 9), m := -q.p))).m), []::BIGINT[]) AS got FROM es JOIN ps USING (page))
+SELECT unnest(ids) AS id, unnest(got) AS paragraph FROM f""")
 def assigned_paragraphs(t):
-    entries = t.spark.createDataFrame([(1, 0, 1900), (2, 0, 1901), (3, 0, 1902)], "id long, page int, year int")
-    paras = t.spark.createDataFrame([(0, 1, [1900], 0.2), (0, 2, [1902], 0.05), (0, 3, [1950], 0.0)], "page int, paragraph int, years array<int>, weight double")
+    entries = t.orders.select((F.col("o_custkey") % 300).alias("page"), F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"))
+    first = 1993 + F.col("p_size") % 12
+    paras = t.part.select((F.col("p_partkey") % 300).alias("page"), F.col("p_partkey").alias("paragraph"), F.array(first, (first + F.col("p_partkey") % 4).cast("int")).alias("years"), ((F.col("p_partkey") % 9) / 40).alias("weight"))
     return X.assign_paragraphs(entries, paras)
 
 
-@query("""WITH r AS (SELECT o_orderkey AS id, o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) SELECT id, CASE WHEN r <= 3 THEN 1 ELSE 2 END AS page FROM r WHERE r <= 6""")
+# Each order may take one of three pages of its customer's nation; few pages, so that many find theirs spent.
+_WANTS = """w AS (SELECT o_orderkey AS id, o_custkey % 25 AS g, [o_orderkey % 40, (o_orderkey * 7 + 1) % 90, o_orderkey % 11 + 100] AS pages FROM orders)"""
+
+
+@query(f"""WITH {_WANTS}, l AS (SELECT list(id ORDER BY id) AS ids, list(pages ORDER BY id) AS xs FROM w GROUP BY g),
+f AS (SELECT ids, list_reduce(xs, lambda acc, x: list_append(acc, coalesce(list_filter(x, lambda p: len(list_filter(acc, lambda o: o = p)) < 3)[1], -1)), []::BIGINT[]) AS got FROM l)
+SELECT * FROM (SELECT unnest(ids) AS id, unnest(got) AS page FROM f) WHERE page >= 0""")
 def reuse_capped(t):
-    rows = t.orders.select(F.col("o_custkey").alias("group"), F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("seq"), F.array(F.lit(1), F.lit(2)).alias("pages"))
+    k = F.col("o_orderkey")
+    rows = t.orders.select((F.col("o_custkey") % 25).alias("group"), k.alias("id"), k.alias("seq"), F.array(k % 40, (k * 7 + 1) % 90, k % 11 + 100).alias("pages"))
     return X.capped_choice(rows)
 
 
+@query("""WITH d AS (SELECT doc_id AS id, lang, trim(text) AS excerpt, length(trim(text)) < 300 AS thin, [doc_id % 40, doc_id % 23, doc_id % 17 + 50] AS pages FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id AS page, left(text, 600) AS text FROM documents WHERE length(left(text, 600)) >= 120), ok AS (SELECT list(page) AS ok FROM g),
+l AS (SELECT lang, list(id ORDER BY id) AS ids, list(list_filter(pages, lambda p: list_contains(ok, p)) ORDER BY id) AS xs FROM d, ok WHERE thin GROUP BY lang),
+f AS (SELECT ids, list_reduce(xs, lambda acc, x: list_append(acc, coalesce(list_filter(x, lambda p: len(list_filter(acc, lambda o: o = p)) < 3)[1], -1)), []::BIGINT[]) AS got FROM l),
+c AS (SELECT * FROM (SELECT unnest(ids) AS id, unnest(got) AS context FROM f) WHERE context >= 0)
+SELECT d.id, context, md5(CASE WHEN context IS NULL THEN d.excerpt ELSE trim(d.excerpt || chr(10) || chr(10) || g.text) END) AS excerpt FROM d LEFT JOIN c USING (id) LEFT JOIN g ON g.page = context""")
+def thickened_excerpts(t):
+    """Short documents take the beginning of one of three others, each of which may be taken three times in a language."""
+    k = F.col("doc_id")
+    docs = t.documents.where("text IS NOT NULL")
+    drafts = docs.select(F.col("lang").alias("group"), k.alias("id"), k.alias("seq"), F.trim("text").alias("excerpt"), F.array(k % 40, k % 23, k % 17 + 50).alias("pages"))
+    return X.thickened(drafts, docs.select(k.alias("page"), "text")).select("id", "context", F.md5(F.col("excerpt").cast("binary")).alias("excerpt"))
+
+
 # state ---------------------------------------------------------------------------------------------------
 
 _REVIEWS = """e AS (SELECT user_id AS "user", event_type AS entry, epoch_ms(date_trunc('second', ts)) AS "at", event_id, CASE WHEN value > 20 THEN 1 ELSE 0 END AS ok FROM events)"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from almanack.functions import dates as D, strings as S, text as X, when as W
 from almanack.operators import entries as E, filters
-from almanack.plans.catalog import ENTRIES, query
+from almanack.plans.catalog import ENTRIES, SECTIONS, query
 
 # years said in words -------------------------------------------------------------------------------
 
@@ -24,10 +24,8 @@ def parse_when(t):
     return w.select("id", "w.lo", "w.hi", F.regexp_replace("w.rest", r"\s+", " ").alias("rest"))
 
 
-@query(f"""WITH {ENTRIES}, x AS (SELECT *, CASE WHEN open_ended THEN 2026 ELSE coalesce("end", start) END AS l FROM entries),
-s AS (SELECT *, unnest([CASE WHEN kind = 'point' AND NOT person AND start BETWEEN 1997 AND 1998 THEN 'happened' END, CASE WHEN kind = 'span' AND NOT person AND start BETWEEN 1997 AND 1998 THEN 'began' END,
-CASE WHEN kind = 'span' AND start < 1997 AND l > 1998 AND (CASE WHEN person THEN 1998 - start >= 15 AND l - start <= 110 ELSE l - start < 2000 + 0.5 * 1997 END) THEN 'ongoing' END]) AS section FROM x),
-p AS (SELECT *, CASE WHEN topic LIKE '1%' OR topic LIKE '2%' THEN 20 ELSE 0 END + CASE status WHEN 'F' THEN 3 WHEN 'O' THEN -3 ELSE 0 END + 2 * (fame / 1e6) + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END - CASE WHEN section = 'ongoing' THEN 3 * log10(greatest(1, l - start)) ELSE 0 END AS score FROM s WHERE section IS NOT NULL)
+@query(f"""WITH {ENTRIES}, {SECTIONS},
+p AS (SELECT *, CASE WHEN topic LIKE '1%' OR topic LIKE '2%' THEN 20 ELSE 0 END + CASE status WHEN 'F' THEN 3 WHEN 'O' THEN -3 ELSE 0 END + 2 * (fame / 1e6) + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END - CASE WHEN section = 'ongoing' THEN 3 * log10(greatest(1, l - start)) ELSE 0 END AS score FROM s WHERE section IN ('happened', 'began', 'ongoing'))
 SELECT id, section, row_number() OVER (PARTITION BY section ORDER BY round(score, 9) DESC, CASE WHEN section <> 'ongoing' THEN start END NULLS FIRST, id)::INT AS place FROM p""")
 def date_page_sort(t):
     from almanack.operators.temporal import date_page
@@ -36,7 +34,7 @@ def date_page_sort(t):
         "topic": F.when(F.col("topic").rlike("^[12]"), F.col("topic")), "type": F.when(F.col("status") == "F", "event").when(F.col("status") == "O", "place").otherwise("work"),
         "fame": F.col("fame") / 1e6, "has_image": F.col("id") % 2 == 0,
     })
-    return E.page_order(date_page(rows, 1997, 1998, 2026).where("section IN ('happened', 'began', 'ongoing')")).select("id", "section", "place")
+    return E.page_order(date_page(rows, 1997, 1998).where("section IN ('happened', 'began', 'ongoing')")).select("id", "section", "place")
 
 
 @query("""SELECT p_partkey AS id, 'Tom & ' || p_name || ' – ' || p_size AS cell FROM part""")
@@ -252,11 +250,24 @@ def picture_addresses(t):
     return p.select("p_partkey", X.picture_width(F.col("p_size")).alias("width"), X.picture_at_width(F.col("url"), F.col("p_size"), "up.example.org").alias("url"))
 
 
-@query("""SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'refusal' WHEN 1 THEN 'markup' END AS reason, o_orderkey % 5 = 2 AS boilerplate, o_orderkey % 5 = 3 AS apparatus, o_orderkey % 5 = 4 AS general FROM orders""")
+@query("""SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS boilerplate, o_orderkey % 3 = 1 AS apparatus, o_orderkey % 3 = 2 AS general FROM orders""")
 def text_detectors(t):
-    said = "CASE o_orderkey % 5 WHEN 0 THEN 'Sure, here it is' WHEN 1 THEN 'A **bold** man' WHEN 2 THEN 'Welcome to this website' WHEN 3 THEN 'He ( ty-BEER-ee ) was' ELSE 'Physics (field)' END"
+    said = "CASE o_orderkey % 3 WHEN 0 THEN 'Welcome to this website' WHEN 1 THEN 'He ( ty-BEER-ee ) was' ELSE 'Physics (field)' END"
     x = F.col("x")
-    return t.orders.selectExpr("o_orderkey AS id", f"{said} AS x").select("id", X.style_reason(x).alias("reason"), X.is_boilerplate(x).alias("boilerplate"), X.has_apparatus(x).alias("apparatus"), X.is_general_title(x, F.lit("concept")).alias("general"))
+    return t.orders.selectExpr("o_orderkey AS id", f"{said} AS x").select("id", X.is_boilerplate(x).alias("boilerplate"), X.has_apparatus(x).alias("apparatus"), X.is_general_title(x, F.lit("concept")).alias("general"))
+
+
+_RESTYLED = """CASE doc_id % 7 WHEN 0 THEN 'Sure, ' || text WHEN 1 THEN text || ' **so** it was' WHEN 2 THEN repeat('It was. ', 12) ELSE text END"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_replace({_RESTYLED}, '^\\s+|\\s+$', '', 'g') AS s, n_chars // (1 + doc_id % 4) AS src FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN length(s) < 80 THEN 'too short' WHEN length(s) > 1200 THEN 'too long' WHEN src > 0 AND length(s) > src * 2.2 THEN 'grew' WHEN s LIKE 'Sure,%' THEN 'refusal'
+WHEN contains(s, '**') OR contains(s, '[[') OR contains(s, '{{{{') OR regexp_matches(s, '^#{{1,6}}\\s|^[-*]\\s|<think>') THEN 'markup'
+WHEN len(list_filter(string_split(regexp_replace(s, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) >= 4 AND length(s) / len(list_filter(string_split(regexp_replace(s, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) < 25 THEN 'fragmented' END AS reason FROM d""")
+def style_reasons(t):
+    """Whole documents as rewritten texts, some of which answer, are marked up or are all fragments."""
+    d = t.documents.where("text IS NOT NULL").select("doc_id", F.expr(_RESTYLED).alias("s"), F.expr("n_chars div (1 + doc_id % 4)").alias("src"))
+    return d.select("doc_id", X.style_reason(F.col("s"), F.col("src")).alias("reason"))
 
 
 @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'Physics' || c_custkey ELSE 'Plain title ' || c_custkey END AS stripped FROM customer""")
@@ -414,14 +425,47 @@ def topic_orders(t):
     return s.select(F.col("title").alias("slug"), *[F.row_number().over(Window.orderBy(*E.topic_order(how))).alias(f"by_{how}") for how in ("size", "progress")])
 
 
-@query("""SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN 'person' WHEN 1 THEN 'work' WHEN 2 THEN 'event' WHEN 3 THEN 'place' WHEN 4 THEN 'period' WHEN 5 THEN 'group' WHEN 6 THEN 'concept' ELSE 'event' END AS type FROM orders""")
+# Golden cases of types: title, description, data set, how it was dated, text, what it is an instance of, its id elsewhere, type.
+_KINDS_OF = [
+    ('Thing', '', 'x', 'P569+P570', '', '', 'Q1', 'person'),
+    ('Thing', '', 'art', '', '', '', 'Q1', 'work'),
+    ('Thing', 'decisive battle in a war', 'x', '', '', '', 'Q1', 'event'),
+    ('Thing', 'large city in the kingdom', 'x', '', '', '', 'Q1', 'place'),
+    ('Thing', 'age of a former dynasty', 'x', '', '', '', 'Q1', 'period'),
+    ('Thing', 'Celtic tribe of the Iron Age', 'x', '', '', '', 'Q1', 'group'),
+    ('Thing', 'ancient system of law', 'x', '', '', '', 'Q1', 'concept'),
+    ('Siege of Rome', '', 'x', '', '', '', 'Q1', 'event'),
+    ('Thing', 'language of the Celtic peoples', 'x', '', '', '', 'Q1', 'concept'),
+    ('Thing', 'sword used in a war', 'x', '', '', '', 'Q1', 'work'),
+    ('Thing', 'ruins of a medieval castle destroyed in the revolt', 'x', '', '', '', 'Q1', 'place'),
+    ('Thing', 'August 1968 unrest', 'x', '', '', '', 'Q1', 'event'),
+    ('Thing', '1931 king who left', 'x', '', '', '', 'Q1', 'person'),
+    ('Thing', 'ships meant to attack in 1588', 'x', '', '', '', 'Q1', 'event'),
+    ('Thing', 'mendicant order', 'x', '', '', '', 'Q1', 'group'),
+    ('Thing', 'country in western Europe', 'x', '', '', '', 'Q1', 'place'),
+    ('Thing', 'short-lived empire, once of a former nation', 'x', '', '', '', 'Q1', 'period'),
+    ('Thing', 'Keir Starmer', 'x', '', '', '', 'Q1', 'concept'),
+    ('Edmund II', '', 'x', '', '', '', 'Q1', 'person'),
+    ('Arthur', '', 'x', '', 'Arthur (1486–1502) was the son of somebody.', '', 'Q1', 'person'),
+    ('Joan', '', 'x', '', 'She was a French peasant and heroine of the war.', '', 'Q1', 'person'),
+    ('Thing', '', 'x', 'P580+P582', '', '', 'Q1', 'event'),
+    ('Thing', '', 'x', '', '1986: it was signed.', '', None, 'event'),
+    ('History of England', 'battle', 'x', '', '', '', 'Q1', 'concept'),
+    ('Khanate', '', 'x', '', '', '', 'Q1', 'concept'),
+    ('Emirate of Cordoba', '', 'x', '', '', '', 'Q1', 'period'),
+    ('Thing', 'film by somebody', 'x', '', '', 'human settlement', 'Q1', 'person'),
+    ('Act 1701', '', 'x', '', '', '', 'Q1', 'event'),
+]
+_QUOTED = lambda xs: ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in xs)
+
+
+@query(f"""SELECT o_orderkey AS id, [{_QUOTED([g[7] for g in _KINDS_OF])}][o_orderkey % {len(_KINDS_OF)} + 1] AS type FROM orders""")
 def entry_types(t):
-    k = F.col("o_orderkey") % 8
-    sub = F.element_at(F.array(*map(F.lit, ["", "", "decisive battle in a war", "large city in the kingdom", "age of a former dynasty", "Celtic tribe of the Iron Age", "ancient system of law", ""])), (k + 1).cast("int"))
-    title = F.when(k == 7, "Siege of Rome").otherwise("Thing")
+    at = (F.col("o_orderkey") % len(_KINDS_OF) + 1).cast("int")
+    of = lambda i: F.element_at(F.array(*[F.lit(g[i]) for g in _KINDS_OF]), at)
     rows = t.orders.select(
-        F.col("o_orderkey").alias("id"), title.alias("title"), sub.alias("subtitle"), F.when(k == 1, "art").otherwise("x").alias("dataset"), F.when(k == 0, "P569+P570").alias("date_source"),
-        F.create_map(F.lit("none"), F.array(F.lit(""))).alias("facets"), F.lit(False).alias("manual"), F.lit("Q1").alias("qid"),
+        F.col("o_orderkey").alias("id"), of(0).alias("title"), of(1).alias("subtitle"), of(2).alias("dataset"), of(3).alias("date_source"), of(4).alias("excerpt"),
+        F.create_map(F.lit("instanceOf"), F.array(of(5))).alias("facets"), F.lit(False).alias("manual"), of(6).alias("qid"),
     )
     return rows.select("id", E.entry_type().alias("type"))
 
