@@ -83,13 +83,13 @@ def year_values(t):
 @query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN y WHEN 2 THEN 560 END::BIGINT AS year FROM (SELECT *, year(o_orderdate) AS y FROM orders)""")
 def years_in_leads(t):
     said = "CASE o_orderkey % 4 WHEN 0 THEN 'It is about 560 km long and was built in ' || year(o_orderdate) WHEN 1 THEN 'It has 640 species' WHEN 2 THEN 'It was founded in 560 by monks' ELSE 'A plain 300 or 7' END"
-    return t.orders.selectExpr("o_orderkey AS id", f"{said} AS said").select("id", W.year_in_lead("said").alias("year"))
+    return t.orders.selectExpr("o_orderkey AS id", f"{said} AS said").select("id", W.year_in_lead(F.col("said")).alias("year"))
 
 
 @query("""SELECT o_orderkey AS id, o_orderkey % 5 IN (0, 1, 3) AS is_date FROM orders""")
 def date_readings(t):
     text = """CASE o_orderkey % 5 WHEN 0 THEN 'It fell in 1066 to others' WHEN 1 THEN '1066: it fell' WHEN 2 THEN 'They were 1066 strong' WHEN 3 THEN 'He died (1066) there' ELSE 'With about 1066 ships' END"""
-    return t.orders.selectExpr("o_orderkey AS id", "'1066' AS y", f"{text} AS x").select("id", W.reads_as_date("y", "x").alias("is_date"))
+    return t.orders.selectExpr("o_orderkey AS id", "'1066' AS y", f"{text} AS x").select("id", W.reads_as_date(F.col("y"), F.col("x")).alias("is_date"))
 
 
 @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 1900 + c_custkey % 50 WHEN c_custkey % 4 = 1 THEN floor((1800 + 1800 + c_custkey % 90) / 2 + 0.5) WHEN c_custkey % 4 = 2 THEN 1700 END::BIGINT AS start,
@@ -216,7 +216,7 @@ def sentence_counts(t):
 @query("""SELECT o_orderkey AS id, 'King ' || o_custkey || CASE WHEN o_orderkey % 3 = 1 THEN ' (of the hill)' ELSE '' END || ' ruled, and died' AS clean FROM orders""")
 def stripped_apparatus(t):
     said = "CASE o_orderkey % 3 WHEN 0 THEN ' ( born Ann; 16 November 42 BC )' WHEN 1 THEN ' (of the hill)' ELSE ' (1485 – 1509)' END"
-    return t.orders.selectExpr("o_orderkey AS id", f"'King ' || o_custkey || {said} || '[2] ruled , and died' AS x").select("id", X.strip_apparatus("x").alias("clean"))
+    return t.orders.selectExpr("o_orderkey AS id", f"'King ' || o_custkey || {said} || '[2] ruled , and died' AS x").select("id", X.strip_apparatus(F.col("x")).alias("clean"))
 
 
 @query("""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Founding of a town' WHEN 1 THEN 'The treaty of ' || o_custkey || ' is signed' ELSE 'A long' END AS title FROM orders""")

@@ -133,7 +133,7 @@ def ideas_by_name(ideas: DataFrame) -> DataFrame:
 def lite_rows(entries: DataFrame, members: DataFrame, prefix: str) -> DataFrame:
     """What a browser needs of dated entries, nulls where there is nothing: short descriptions and pictures, a first sentence
     that doesn't repeat the title, fame from 0 to 9, and the topics (members: id, topics) an entry is in."""
-    said = first_sentence(strip_apparatus("excerpt"), 160)
+    said = first_sentence(strip_apparatus(F.col("excerpt")), 160)
     repeats = F.startswith(F.lower(said), F.left(F.lower(F.regexp_replace("title", r"…\z", "")), F.lit(30)))
     return entries.where("start IS NOT NULL").join(members, "id", "left").select(
         "id", "title", "start", F.when(F.col("end") != F.col("start"), F.col("end")).alias("end"), F.when(F.col("kind") == "span", 1).alias("span"),

@@ -40,19 +40,37 @@ def test_titles_and_sentences():
     assert [s["text"] for s in found] == ["J. R. Tolkien wrote.", "Mary I.", "The end of c. 1200 it was."]
     text = "J. R. Tolkien wrote. Mary I. The end of c. 1200 it was."
     assert all(text[s["at"] : s["to"]].strip() == s["text"] for s in found)
-    assert X.strip_apparatus_text("Tiberius ( ty-BEER; 16 November 42 BC) was (a real one) king, (Latin: x) yes") == "Tiberius was (a real one) king, yes"
-    assert X.strip_apparatus_text("open (never closed") == "open never closed" and X.strip_apparatus_text(None) is None
-    assert X.mask_text("Newton laws say Newtonian law", "Newton's laws") == "▁▁▁ laws say ▁▁▁ law"
 
 
+def column(spark, f, *rows):
+    """f of the columns a, b of rows."""
+    from pyspark.sql import functions as F
+
+    n = len(rows[0])
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"{c} string" for c in "ab"[:n]))
+    return [r.x for r in df.select("i", f(*map(F.col, "ab"[:n])).alias("x")).orderBy("i").collect()]
+
+
+def test_brackets_and_blanks(spark):
+    said = [("Tiberius ( ty-BEER; 16 November 42 BC) was (a real one) king, (Latin: x) yes",), ("open (never closed",), (None,), ("a (b (1900–1910) c) d",), ("x (y (z) w",), ("stray ) here [1] ( )",)]
+    assert column(spark, X.strip_apparatus, *said) == ["Tiberius was (a real one) king, yes", "open never closed", None, "a d", "x y (z) w", "stray ) here"]
+    pairs = [("Newton laws say Newtonian law", "Newton's laws"), ("a (b) C++ c", "C++ (language)"), ("kept", None), ("kept", ""), (None, "x")]
+    assert column(spark, X.mask, *pairs) == ["▁▁▁ laws say ▁▁▁ law", "a (b) ▁▁▁ c", "kept", "kept", None]
+
 def test_dates_in_text():
-    assert W.year_in_lead_text("It is about 560 kilometres long, built in 1200.") == 1200 and W.year_in_lead_text("500 species live here") is None
-    assert W.year_in_lead_text("founded in 753 BC") == -753 and W.year_in_lead_text("in 612") == 612 and W.year_in_lead_text("a 612 count") is None
-    assert W.reads_as_date_text("1066", "He fell in 1066.") and not W.reads_as_date_text("1066", "They had 1066 ships") and W.reads_as_date_text("c. 1066", "x")
     assert W.cell_date_text("1485–1603") == (1485, 1603) and W.cell_date_text("the winner") is None and W.cell_date_text("44 BC") == (-44, -44)
     assert [W.year_value_text(t) for t in ("66 Ma", "1900-1910", "none")] == [-66e6, 1905, 0]
 
 
+def test_dates_in_sentences(spark):
+    leads = ["It is about 560 kilometres long, built in 1200.", "500 species live here", "founded in 753 BC", "in 612", "a 612 count", None, "AD 612 it was", "In 44 BC", "700 BC and 1900", "up 50% of 1300% by 1400"]
+    assert column(spark, W.year_in_lead, *[(x,) for x in leads]) == [1200, None, -753, 612, None, None, 612, None, -700, 1400]
+    readings = [("1066", "He fell in 1066."), ("1066", "They had 1066 ships"), ("c. 1066", "x"), ("1066", "1066 ships"), ("1066", "no year"), ("1066", "about 1066 ships"), ("1066", "about 1066 and"), ("1066", "(1066)"), ("1066", "end of 1066"), (None, "x"), ("1066", None)]
+    assert column(spark, W.reads_as_date, *readings) == [True, False, True, True, True, False, True, True, True, False, True]
+    labels = ["from 3000 to 1800 BC", "around 2500 BC", "early 1900s", "(1558-1603)", "between 1900 and 1910", "in 1900", "44 BC to 14 AD", "1900", "", None, "c. 1200"]
+    assert column(spark, W.tidy_year, *[(x,) for x in labels]) == ["3000–1800 BC", "c. 2500 BC", "Early 1900s", "1558–1603", "1900–1910", "1900", "44 BC–14 AD", "1900", "", None, "c. 1200"]
+
+
 def test_sections_keep_links_in_place():
     html = '<p>Lead about   <a href="/wiki/Rome">Rome</a> and more words here.</p><h2>See also</h2><p>Gone words that are long enough.</p><h2>War</h2><p>The <a href="/wiki/War_of_X">war</a> was long and it was hard &amp; cold.</p>'
     lead, war = E.sections_text(html)
