@@ -150,19 +150,11 @@ def unescape_excerpt(c: Column) -> Column:
     return F.replace(c, F.lit("\\n"), F.lit("\n"))
 
 
-@F.pandas_udf(T.LongType())
-def fnv1a(texts: pd.Series) -> pd.Series:
-    """FNV-1a of 32 bits over UTF-16 code units."""
-
-    def one(text):
-        if text is None:
-            return None
-        h, raw = 0x811C9DC5, text.encode("utf-16-le", "surrogatepass")
-        for i in range(0, len(raw), 2):
-            h = ((h ^ (raw[i] | raw[i + 1] << 8)) * 0x01000193) & 0xFFFFFFFF
-        return h
-
-    return texts.map(one, na_action="ignore").astype("Int64")
+def fnv1a(c: Column) -> Column:
+    """FNV-1a of 32 bits over UTF-16 code units, as an unsigned number; null for null."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("(.{4})"), F.lit(1)), lambda u: F.conv(u, 16, 10).cast("long"))
+    return F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, u: (h.bitwiseXOR(u) * 0x01000193) % (1 << 32))
+
 
 
 def answer_matches(guess: Column, answer: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from almanack.session import keep
+
 
 def first_fit(cards: list[tuple[float, float]], rows: int, gap: float = 0.0) -> list[int | None]:
     """The first row in which each card (left, width) meets no earlier card; none if all rows are taken."""
@@ -44,12 +46,68 @@ def next_fit(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def axis(points: DataFrame, group: str, at: str, gap: float, break_px: float = 24.0, px: float = 1.0) -> DataFrame:
-    """points with x: years scaled by px, every gap over `gap` years drawn as a break of break_px."""
-    w = Window.partitionBy(group).orderBy(at)
-    step = F.col(at) - F.lag(at).over(w)
-    width = F.when(step.isNull(), 0.0).when(step > gap, break_px).otherwise(step * px)
-    return points.withColumn("_w", width).withColumn("x", F.sum("_w").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_w")
+# Pixels of a card, of a break and of the stretch that is cut out, and left of the first card.
+CARD, BREAK, CUT, LEFT = 168.0, 46.0, 520.0, 90.0
+PAD = CARD / 2 + 10
+
+
+def axis_segments(points: DataFrame, group: str, at: str, px: float) -> DataFrame:
+    """(group, segments) of points (group, year): stretches of years without a gap that is wider than a card and CUT pixels at px a year, as
+    a sorted array of (y0, y1, px0, px1), laid end to end with half a card at either side and a break between.
+
+    Years are summed up first, so a hot group is its distinct years.
+    """
+    years = points.where(F.col(at).isNotNull()).select(group, F.col(at).cast("double").alias("y")).distinct()
+    w = Window.partitionBy(group).orderBy("y")
+    new = F.coalesce((F.col("y") - F.lag("y").over(w) > (CUT + CARD) / px).cast("int"), F.lit(0))
+    runs = years.withColumn("_n", new).withColumn("_s", F.sum("_n").over(w)).groupBy(group, "_s").agg(F.min("y").alias("y0"), F.max("y").alias("y1"))
+    before = Window.partitionBy(group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    x = LEFT + PAD + F.coalesce(F.sum((F.col("y1") - F.col("y0")) * px + 2 * PAD + BREAK).over(before), F.lit(0.0))
+    placed = runs.withColumn("px0", x).withColumn("px1", F.col("px0") + (F.col("y1") - F.col("y0")) * px)
+    return placed.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("y0", "y1", "px0", "px1"))).alias("segments"))
+
+
+def _last_from(segments: Column, field: str, value: Column) -> Column:
+    """The place of the last segment whose field is at most value, -1 without one, by binary search."""
+
+    powers = F.array(*[F.lit(1 << k) for k in range(24)])
+
+    def step(at, k):
+        ahead = at + F.element_at(powers, k + 1)
+        return F.when((ahead < F.size(segments)) & (F.get(segments, ahead)[field] <= value), ahead).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(k) for k in reversed(range(24))]), F.lit(-1), step)
+
+
+def _segment(segments: Column, field: str, value: Column, read) -> Column:
+    """read(segment, whether value is before the first, whether it is the last), with the segment found once."""
+    found = F.array(_last_from(segments, field, value))
+    return F.transform(found, lambda i: read(F.get(segments, F.greatest(i, F.lit(0))), i < 0, i == F.size(segments) - 1))[0]
+
+
+def axis_x(segments: Column, year: Column, px: float) -> Column:
+    """The pixel of a year: in proportion within a segment and beyond the ends, in the break's middle for years that are cut out."""
+    def read(s, early, last):
+        return F.when(early | last | (year <= s["y1"]), s["px0"] + (year - s["y0"]) * px).otherwise(s["px1"] + PAD / 2)
+
+    return F.when(F.size(segments) > 0, _segment(segments, "y0", year, read))
+
+
+def axis_year(segments: Column, x: Column, px: float) -> Column:
+    """The year of a pixel; what is no year of a segment is the end of the one before it."""
+    def read(s, early, last):
+        return F.when(early | last | (x <= s["px1"]), s["y0"] + (x - s["px0"]) / px).otherwise(s["y1"])
+
+    return F.when(F.size(segments) > 0, _segment(segments, "px0", x, read))
+
+
+def axis_stops(axes: DataFrame, group: str, step: float, px: float) -> DataFrame:
+    """(group, year, x, edge) of the stops of axes (group, segments): multiples of step up to half a step, and a year, beyond a segment's end, or its
+    beginning if it has none."""
+    s = axes.select(group, F.explode("segments").alias("s"))
+    lo, hi = F.ceil(F.col("s.y0") / step), F.floor(F.least(F.col("s.y1") + step * 0.5, F.col("s.y1") + 1) / step)
+    years = F.when(hi >= lo, F.transform(F.sequence(lo, hi), lambda k: F.struct((k * step).alias("year"), F.lit(False).alias("edge")))).otherwise(F.array(F.struct(F.col("s.y0").alias("year"), F.lit(True).alias("edge"))))
+    return s.withColumn("t", F.explode(years)).select(group, F.col("t.year").alias("year"), (F.col("s.px0") + (F.col("t.year") - F.col("s.y0")) * px).alias("x"), F.col("t.edge").alias("edge"))
 
 
 def pack_cards(cards: list[dict], rows: int | None = None, optional: list[dict] = (), pad: float = 4.0) -> dict:
@@ -127,6 +185,74 @@ def lane_rows(marks: DataFrame, caps: dict[str, int], cell: float = 4.0) -> Data
     return marks.groupBy("lane", "kind").applyInPandas(run, f"lane {k['lane']}, kind string, id {k['id']}, row int")
 
 
+def lane_caps(z: int) -> dict[str, int]:
+    """Rows of each kind, z doublings in from the whole range."""
+    return {"spans": min(6, 2 + z // 2), "events": min(12, 2 + z), "people": min(8, 1 + int(z * 0.7)), "more": min(4, 1 + z // 3)}
+
+
+def _one_tile(caps: dict[str, int], z: int):
+    """Places one tile's marks: those of the coarser zoom in their rows, then by priority where bitmaps are free."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(new=pdf["row"].isna()).sort_values(["new", "priority", "id"], ascending=[True, False, True])
+        used = [0] * caps[pdf["kind"].iloc[0]]  # a bit a cell
+        rows, first = [], []
+        for i, j, row, since in zip(pdf["i"], pdf["j"], pdf["row"], pdf["first"]):
+            mask = ((1 << (int(j) - int(i) + 1)) - 1) << int(i)
+            at = next((r for r, bits in enumerate(used) if not bits & mask), None) if pd.isna(row) else int(row)
+            if at is not None:
+                used[at] |= mask
+            rows.append(at)
+            first.append(z if pd.isna(since) else int(since))
+        kept = pdf[["lane", "kind", "tile", "id"]].assign(row=pd.array(rows, "Int32"), first=pd.array(first, "Int32"))
+        return kept[kept["row"].notna()]
+
+    return run
+
+
+def zoomed_lanes(marks: DataFrame, origin: float, px: float, levels: int, screen: int = 1024, cell: int = 4) -> DataFrame:
+    """(z, lane, kind, tile, id, row, first): marks (lane, kind, id, start, end, label, priority) laid out at each of so many zooms.
+
+    px are the pixels a unit of time of zoom 0, doubled with each zoom; a tile is one screen of a zoom. By priority a mark takes the first of its kind's
+    rows whose cells are free in the tile, and what finds none waits for more zoom: each zoom begins with the marks that the one before placed in the
+    tile's parent, in their rows, which there can't collide. first is the zoom at which a mark came in. A span over
+    all of a tile that is longer than two is context and left out there. Of marks with the very same cells only as many as there are
+    rows can ever be placed; the others are dropped in a top-k before a tile is gathered, so a tile holds at most rows times pairs of cells.
+    """
+    kinds = dict(marks.dtypes)
+    schema = f"lane {kinds['lane']}, kind string, tile long, id {kinds['id']}, row int, first int"
+    out, placed = [], None
+    for z in range(levels):
+        caps, scale = lane_caps(z), px * 2**z
+        a = (F.col("start") - origin) * scale
+        b = F.greatest((F.coalesce("end", "start") - origin) * scale, a)
+        span = F.col("kind") == "spans"
+        left = F.when(span, a - 3).when(b - a >= 8, a - 5).otherwise(a - 10)
+        right = F.when(span, F.greatest(b, a + 6) + 3).when(b - a >= 8, F.greatest(b, a + 2 + F.col("label")) + 5).otherwise(a + 14 + F.col("label"))
+        m = marks.select("lane", "kind", "id", "priority", left.alias("l"), right.alias("r"), span.alias("s")).where(F.col("r") >= 0)
+        lo, hi = F.greatest(F.lit(0), F.floor(F.col("l") / screen)), F.floor(F.col("r") / screen)
+        context = F.col("s") & (F.col("r") - F.col("l") > 2 * screen)
+        tiles = F.when(context, F.array_distinct(F.array(lo, hi))).otherwise(F.sequence(lo, hi))
+        m = m.withColumn("tile", F.explode(tiles))
+        at = lambda c: F.greatest(F.lit(0), F.least(F.lit(screen // cell - 1), F.floor((F.col(c) - F.col("tile") * screen) / cell))).cast("int")
+        m = m.select("lane", "kind", "tile", "id", "priority", at("l").alias("i"), at("r").alias("j"))
+        if placed is None:
+            m = m.withColumns({"row": F.lit(None).cast("int"), "first": F.lit(None).cast("int")})
+        else:
+            parents = placed.select("lane", "kind", F.col("tile").alias("_up"), "id", "row", "first")
+            m = m.withColumn("_up", F.shiftright("tile", 1)).join(parents, ["lane", "kind", "_up", "id"], "left").drop("_up")
+        cap = F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("kind"))
+        same = Window.partitionBy("lane", "kind", "tile", "i", "j").orderBy(F.col("row").isNull(), F.desc("priority"), "id")
+        m = m.withColumn("_r", F.row_number().over(same)).where((F.col("_r") <= max(caps.values())) & (F.col("_r") <= cap)).drop("_r")
+
+        placed = keep(m.groupBy("lane", "kind", "tile").applyInPandas(_one_tile(caps, z), schema))
+        out.append(placed.select(F.lit(z).alias("z"), "*"))
+    both = out[0]
+    for o in out[1:]:
+        both = both.unionByName(o)
+    return both
+
+
 def stack_lanes(lanes: DataFrame, section: float = 22.0, label: float = 14.0, row: float = 18.0, gap: float = 6.0) -> DataFrame:
     """lanes (section, seq, rows, folded) with y, the top of each below all before it: a header a section, then a label, rows and a gap a lane."""
     order = Window.orderBy("section", "seq")

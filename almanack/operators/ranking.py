@@ -103,3 +103,44 @@ def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     totals = dealt.groupBy("_p").agg(F.count("*").alias("_c"))
     before = totals.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_b"))
     return dealt.join(F.broadcast(before), "_p").withColumn("n", m.bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_b")).drop("_p", "_m", "_b")
+
+
+def running_totals(rows: DataFrame, value: str, *order: Column) -> DataFrame:
+    """rows with n, their place from 0, and before, the sum of value over the rows before them, in an order that is total.
+
+    Ranges of the order are summed where they lie; what came before a range is a sum of one row a partition.
+    """
+    m = F.col("_m")
+    dealt = keep(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())).withColumn("_p", F.shiftright(m, 33))
+    upto = Window.orderBy("_p")
+    totals = dealt.groupBy("_p").agg(F.count("*").alias("_c"), F.sum(value).alias("_v"))
+    start = totals.select("_p", (F.sum("_c").over(upto) - F.col("_c")).alias("_b"), (F.sum("_v").over(upto) - F.col("_v")).alias("_w"))
+    inside = F.sum(value).over(Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1))
+    both = dealt.withColumn("_i", F.coalesce(inside, F.lit(0))).join(F.broadcast(start), "_p")
+    return both.withColumns({"n": m.bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_b"), "before": F.col("_w") + F.col("_i")}).drop("_p", "_m", "_b", "_w", "_i")
+
+
+# Fixed value: the step of the generator.
+STEP = 0x6D2B79F5
+_WORD = 1 << 32
+
+
+def imul(a: Column, b: Column) -> Column:
+    """The product of two unsigned numbers of 32 bits, modulo 2^32, without a product of more than 48 bits."""
+    high = F.shiftleft((a * F.shiftright(b, 16)).bitwiseAND(F.lit(0xFFFF)), 16)
+    return (a * b.bitwiseAND(F.lit(0xFFFF)) + high) % _WORD
+
+
+def draw(seed: Column, n: Column) -> Column:
+    """The n-th number (from 1) in [0, 1) of the seeded 32-bit generator, as any machine draws it: no state, so rows may come in any order."""
+    a = F.pmod(F.pmod(seed.cast("long"), F.lit(_WORD)) + F.pmod(n.cast("long") * STEP, F.lit(_WORD)), F.lit(_WORD))
+    xor = lambda x, bits: x.bitwiseXOR(F.shiftright(x, bits))
+    steps = (
+        lambda x: imul(xor(x, 15), x.bitwiseOR(F.lit(1))),
+        lambda t: t.bitwiseXOR((t + imul(xor(t, 7), t.bitwiseOR(F.lit(61)))) % _WORD),
+        lambda t: xor(t, 14),
+    )
+    out = F.array(a)
+    for step in steps:  # one lambda a step: each is computed once
+        out = F.transform(out, step)
+    return out[0] / float(_WORD)

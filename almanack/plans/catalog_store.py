@@ -161,11 +161,6 @@ def buckets_to_load(t):
     return T.buckets_to_load(bounds, bounds.where("bucket IN (10, 11)"), 500, 2000).select("bucket")
 
 
-@query("""WITH r AS (SELECT p_partkey AS id, p_type AS leaf, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS r FROM part), p AS (SELECT leaf, r // 30 AS part, count(*) AS c FROM r GROUP BY ALL), f AS (SELECT leaf, part, ((sum(c) OVER (ORDER BY leaf, part) - c) // 100)::BIGINT AS file FROM p) SELECT id, r.leaf, part, file FROM r JOIN f ON f.leaf = r.leaf AND f.part = r.r // 30""")
-def detail_groups(t):
-    return T.detail_groups(t.part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("leaf"), F.col("p_partkey").alias("seq")), 30, 100)
-
-
 @query("""SELECT o_orderkey AS id, (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS page FROM orders""")
 def upsert_pages(t):
     return T.pages_of(t.orders.select(F.col("o_orderkey").alias("id")), "id")

@@ -406,17 +406,6 @@ def row_importance(t):
     return top.select("id", F.row_number().over(Window.orderBy(*E.row_order())).alias("place"))
 
 
-@query(f"""WITH {ENTRIES} SELECT id, round(CASE WHEN id % 50 = 0 THEN 400 ELSE 0 END + CASE WHEN id % 2 = 0 THEN 60 ELSE 0 END + CASE WHEN kind = 'span' THEN 20 ELSE 0 END + least(30, length('Entry ' || id) / 2) + 250 * fame / 1e6 + (id % 1000) / 1000, 8) AS priority FROM entries""")
-def point_priorities(t):
-    rows = t.entries.withColumns({"title": F.concat(F.lit("Entry "), F.col("id").cast("string")), "has_image": F.col("id") % 2 == 0, "fame": F.col("fame") / 1e6})
-    return rows.select("id", F.round(E.point_priority(F.col("id") % 50 == 0, F.col("id")), 8).alias("priority"))
-
-
-@query("""WITH h(id, h) AS (VALUES (0, 2166136261), (1, 3826002220), (2, 440920331)) SELECT id::BIGINT AS id, h::BIGINT AS h FROM h""")
-def fnv_hashes(t):
-    return t.spark.range(3).select("id", S.fnv1a(F.element_at(F.array(F.lit(""), F.lit("a"), F.lit("abc")), (F.col("id") + 1).cast("int"))).alias("h"))
-
-
 @query("""WITH s AS (SELECT c_mktsegment AS slug, min(c_custkey) AS shelf, count(*) AS total, count(*) FILTER (c_acctbal > 5000) AS known FROM customer GROUP BY ALL) SELECT slug, row_number() OVER (ORDER BY total DESC, lower(slug))::INT AS by_size, row_number() OVER (ORDER BY known / total::DOUBLE DESC, lower(slug))::INT AS by_progress FROM s""")
 def topic_orders(t):
     from pyspark.sql import Window

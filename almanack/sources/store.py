@@ -14,6 +14,7 @@ from almanack.functions.strings import first_sentence, index_tokens, shard_of
 from almanack.functions.text import short_picture, strip_apparatus
 from almanack.operators.ranking import numbered
 from almanack.operators.vectors import quantise
+from almanack.session import keep
 
 # files --------------------------------------------------------------------------------------------------
 
@@ -271,15 +272,41 @@ def find_rows(spark: SparkSession, path: str, words: str, limit: int = 200, most
     return rank_index(postings.join(F.broadcast(df), "term").withColumnRenamed("n", "id"), total, one.ts).withColumnRenamed("id", "n").orderBy(F.desc(F.round("score", 9)), "n").limit(limit)
 
 
-def detail_groups(rows: DataFrame, part: int = 200, size: int = 200) -> DataFrame:
-    """(id, leaf, part, file) of rows (id, leaf, seq): a leaf's rows in parts of 200 in order, and parts in files of about 200 rows.
+def next_fit(items: DataFrame, capacity: int, *order) -> DataFrame:
+    """items (size, ...) with bin: in order each goes into the bin at hand, or opens the next one if that would hold more than capacity.
 
-    Parts are packed by the rows before them, so that no pass over all of them is needed.
+    No task sees all items. Prefix sums tell, for each item as the first of a bin, which one the next bin would open with: an equi-join on
+    cells of one capacity, each cell holding the few items that cross it. Which items do open bins is found by pointer
+    doubling: jumps of 1, 2, 4, ... bins, each the join of the one before with itself, and then the reached set doubled from
+    the largest jump down. Sizes are whole and at least 1; one larger than capacity has a bin of its own.
     """
-    r = rows.withColumn("_r", F.row_number().over(Window.partitionBy("leaf").orderBy("seq")) - 1).withColumn("part", F.floor(F.col("_r") / part))
-    parts = r.groupBy("leaf", "part").agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.orderBy("leaf", "part")) - F.col("c")
-    files = parts.select("leaf", "part", F.floor(before / size).alias("file"))
+    from almanack.operators.ranking import running_totals
+
+    r = keep(running_totals(items, "size", *order))
+    at = r.select(F.col("n").alias("i"), "before", (F.col("before") + F.col("size")).alias("after"))
+    want = at.select("i", (F.col("before") + capacity).alias("full")).withColumn("cell", F.floor(F.col("full") / capacity))
+    cells = at.select(F.col("i").alias("j"), F.col("before").alias("lo"), F.col("after").alias("hi"), F.explode(F.sequence(F.floor(F.col("before") / capacity), F.floor(F.col("after") / capacity))).alias("cell"))
+    opens = want.join(cells, "cell").where("full >= lo AND full < hi").select("i", F.greatest("j", F.col("i") + 1).alias("j"))
+    jump = keep(at.select("i").join(opens, "i", "left"))  # null: no bin after it
+    jumps = []
+    while not jump.where("j IS NOT NULL").isEmpty():
+        jumps.append(jump)
+        jump = keep(jump.join(jump.select(F.col("i").alias("j"), F.col("j").alias("k")), "j", "left").select("i", F.col("k").alias("j")))
+    reached = at.where("i = 0").select("i", F.lit(0).cast("long").alias("bin"))
+    for k in reversed(range(len(jumps))):
+        ahead = reached.join(jumps[k], "i").where("j IS NOT NULL").select(F.col("j").alias("i"), (F.col("bin") + (1 << k)).alias("bin"))
+        reached = keep(reached.unionByName(ahead))
+    top = at.agg(F.max("i")).first()[0]
+    ends = reached.join(jumps[0] if jumps else jump, "i").select("i", "bin", F.coalesce(F.col("j") - 1, F.lit(top).cast("long")).alias("last"))
+    of = ends.select("bin", F.explode(F.sequence("i", "last")).alias("n"))
+    return r.join(of, "n").drop("n", "before")
+
+
+def detail_groups(rows: DataFrame, part: int = 200, size: int = 200) -> DataFrame:
+    """(id, leaf, part, file) of rows (id, leaf, seq): a leaf's rows in parts of 200 in order, and parts in files of 200 rows at most, next fit."""
+    r = keep(rows.withColumn("_r", F.row_number().over(Window.partitionBy("leaf").orderBy("seq")) - 1).withColumn("part", F.floor(F.col("_r") / part)))
+    parts = r.groupBy("leaf", "part").agg(F.count("*").alias("size"))
+    files = next_fit(parts, size, F.asc("leaf"), F.asc("part")).select("leaf", "part", F.col("bin").alias("file"))
     return r.join(files, ["leaf", "part"]).select("id", "leaf", "part", "file")
 
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from almanack.plans import catalog, catalog_links, catalog_mining, catalog_store, catalog_text, catalog_trees  # noqa: F401
+from almanack.plans import catalog, catalog_layout, catalog_links, catalog_mining, catalog_store, catalog_text, catalog_trees  # noqa: F401
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
