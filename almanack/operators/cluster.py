@@ -125,6 +125,19 @@ def shortest_order(v: np.ndarray, left: np.ndarray | None = None, right: np.ndar
     return order
 
 
+def order_siblings(nodes: DataFrame, left: list[float] | None = None, right: list[float] | None = None) -> DataFrame:
+    """(parent, place, node) of nodes (parent, node, vector): the few children of each parent by the shortest way through them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node").reset_index(drop=True)
+        v = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+        order = shortest_order(v, *(None if x is None else np.array(x, np.float64) for x in (left, right)))
+        return pd.DataFrame({"parent": pdf["parent"].iloc[0], "place": pd.array(range(len(order)), "Int32"), "node": pdf["node"].iloc[order].to_numpy()})
+
+    kinds = dict(nodes.dtypes)
+    return nodes.groupBy("parent").applyInPandas(run, f"parent {kinds['parent']}, place int, node {kinds['node']}")
+
+
 # over whole tables --------------------------------------------------------------------------------------
 
 
@@ -145,6 +158,30 @@ def silhouette_score(rows: DataFrame, centres: np.ndarray) -> float:
     return found.s / found.n if found.n else -1.0
 
 
+def group_silhouettes(rows: DataFrame) -> DataFrame:
+    """(group, silhouette): the mean silhouette of each group of rows (id, group, vector), by distances to the centres, of which there is one vector
+    a group. Centres are summed where rows lie, and rows are judged in one pass."""
+    from almanack.operators.vectors import centroids
+
+    parts = centroids(rows, "group", "vector").groupBy("group").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("v")).orderBy("group").collect()  # one row a group
+    names, centres = [r["group"] for r in parts], np.array([r["v"] for r in parts], np.float64)
+    place = {g: i for i, g in enumerate(names)}
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            far = 1 - np.stack(pdf["vector"].to_numpy()).astype(np.float64) @ centres.T
+            at = pdf["group"].map(place).to_numpy()
+            own = far[np.arange(len(at)), at].copy()
+            far[np.arange(len(at)), at] = np.inf
+            s = silhouette(own, far.min(1)) if len(names) > 1 else np.full(len(at), -1.0)
+            yield pd.DataFrame({"group": pdf["group"], "s": s}).groupby("group")["s"].agg(["sum", "count"]).reset_index().set_axis(["group", "s", "n"], axis=1)
+
+    found = rows.where("group IS NOT NULL").select("group", "vector").mapInPandas(run, f"group {dict(rows.dtypes)['group']}, s double, n long")
+    return found.groupBy("group").agg((F.sum("s") / F.sum("n")).alias("silhouette"))
+
+
 def choose_k(rows: DataFrame, most: int, least: int = 2, seed: int = 1, probe: int = 8) -> int:
     """The number of groups of best silhouette, by short runs over all rows; of equals the least."""
     scores = [(silhouette_score(rows, spherical_kmeans(rows, k, probe, seed, centres_only=True)), -k) for k in range(least, most + 1)]

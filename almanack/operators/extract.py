@@ -139,6 +139,18 @@ def prose_text(html: str | None) -> dict:
     return {"text": paras[0]["text"], "links": paras[0]["links"]} if paras else {"text": "", "links": []}
 
 
+def prose(html: Column) -> Column:
+    """struct (text, links) of paragraphs, as prose_text reads them, batch by batch."""
+    link = T.ArrayType(T.StructType([T.StructField("target", T.StringType()), T.StructField("at", T.IntegerType())]))
+
+    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("links", link)]))
+    def read(c: pd.Series) -> pd.DataFrame:
+        found = [prose_text(h) for h in c]
+        return pd.DataFrame({"text": [p["text"] for p in found], "links": [[{k: x[k] for k in ("target", "at")} for x in p["links"]] for p in found]})
+
+    return read(html)
+
+
 def tables_text(html: str | None) -> list[tuple[str, str]]:
     """(heading, table) of the outermost tables of class wikitable, each under the last heading before it."""
     html, out, at = html or "", [], 0
@@ -158,6 +170,29 @@ def tables_text(html: str | None) -> list[tuple[str, str]]:
     return out
 
 
+def headed_table_events(pages: DataFrame) -> DataFrame:
+    """(page_id, heading, start, end, text) of the events in the tables of class wikitable of pages (page_id, html)."""
+    from almanack.operators.tables import table_events
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(p, heading, *e) for p, h in zip(pdf["page_id"], pdf["html"]) for heading, table in tables_text(h) for e in table_events(table, 1 << 30)]
+            yield pd.DataFrame(rows, columns=["page_id", "heading", "start", "end", "text"])
+
+    return pages.select("page_id", "html").mapInPandas(run, f"page_id {dict(pages.dtypes)['page_id']}, heading string, start long, end long, text string")
+
+
+def box_members(pages: DataFrame) -> DataFrame:
+    """(page_id, heading, target) of the links of each page's first box, by its own headings."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(p, *m) for p, h in zip(pdf["page_id"], pdf["html"]) for m in box_members_text(h)]
+            yield pd.DataFrame(rows, columns=["page_id", "heading", "target"])
+
+    return pages.select("page_id", "html").mapInPandas(run, f"page_id {dict(pages.dtypes)['page_id']}, heading string, target string")
+
+
 def box_members_text(html: str | None) -> list[tuple[str, str]]:
     """(heading, target) of the links of the first sidebar or navigation box, by its own headings, each target once."""
     m = re.search(r"""<(table|div)\b[^>]*class="(?:[^"]*\s)?(?:sidebar|navbox)(?:\s[^"]*)?"[^>]*>""", html or "")

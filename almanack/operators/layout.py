@@ -143,6 +143,18 @@ def pack_cards(cards: list[dict], rows: int | None = None, optional: list[dict]
     return out
 
 
+def packed_cards(cards: DataFrame, group: str) -> DataFrame:
+    """(group, id, row) of cards (group, id, left, right, height, importance), each group, a page that is drawn, the most important first."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["importance", "id"], ascending=[False, True])
+        found = pack_cards([{"id": i, "left": a, "right": b, "height": int(h), "line": None} for i, a, b, h in zip(pdf["id"], pdf["left"], pdf["right"], pdf["height"])])
+        return pd.DataFrame({group: pdf[group], "id": pdf["id"], "row": pd.array([found[i] for i in pdf["id"]], "Int32")})
+
+    kinds = dict(cards.dtypes)
+    return cards.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, id {kinds['id']}, row int")
+
+
 def pack_bars(bars: DataFrame, group: str, lo: str, hi: str, view: tuple[float, float], rows: int = 3, width: float = 1000.0, gap: float = 3.0, least: float = 6.0) -> DataFrame:
     """(group, id, row, x0, x1, clipped) of spans (id, lo, hi, is_key, importance) drawn in a view: key ones and the important first; spans over more
     than twice the view, all of it, are context and left out, as are stubs and what finds no row. A group is one page that is drawn."""

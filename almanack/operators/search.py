@@ -145,3 +145,20 @@ def suggest(neighbours: DataFrame, known: DataFrame, most: int) -> DataFrame:
     will be of no use."""
     fresh = neighbours.join(known.select("title"), "title", "left_anti")
     return fresh.groupBy("title").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "title").limit(2 * most)
+
+
+def type_radar(neighbours: DataFrame, known: DataFrame, types: DataFrame, covered: list[str], most: int = 30, least: int = 3, shown: int = 40, examples: int = 6) -> DataFrame:
+    """(type, n, examples): kinds of things that are often met around what is known but that no data set covers.
+
+    neighbours (dataset, seed, title) are what lies near the seeds of each data set; known (dataset, title) is rejected, the rest is counted by
+    seeds, and of each data set the 2 * most titles of most support are candidates, whose types (title, type) are tallied over all
+    data sets. Counts come before the ranks, so a title or type near a third of all seeds is one sum; the first examples are cut by a top-k.
+    """
+    fresh = neighbours.groupBy("dataset", "title").agg(F.count("*").alias("n")).join(known.select("dataset", "title").distinct(), ["dataset", "title"], "left_anti")
+    best = Window.partitionBy("dataset").orderBy(F.desc("n"), "title")
+    candidates = fresh.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= 2 * most).drop("_r")
+    met = candidates.join(types.select("title", F.lower("type").alias("type")), "title").where(~F.col("type").isin(covered))
+    tally = met.groupBy("type").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    first = Window.partitionBy("type").orderBy("title")
+    some = met.select("type", "title").distinct().withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= examples).groupBy("type").agg(F.sort_array(F.collect_list("title")).alias("examples"))
+    return tally.join(some, "type").orderBy(F.desc("n"), "type").limit(shown)

@@ -8,7 +8,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from almanack.functions.dates import find_date_text, parse_years_text
+from almanack.functions.dates import parse_years_text
+from almanack.functions.when import cell_date_text
 
 
 class _Tables(HTMLParser):
@@ -88,7 +89,7 @@ def table_events(html: str, limit: int = 500) -> list[tuple[int, int, str]]:
         words = [-1 if j == when else sum(len(c.split()) for c in column(j)) for j in range(width)]
         what = words.index(max(words))
         for r in grid:
-            if len(r) > max(when, what) and (span := parse_years_text(find_date_text(r[when], "loose") or r[when])) and r[what]:
+            if len(r) > max(when, what) and (span := cell_date_text(r[when])) and r[what]:
                 events.append((*span, r[what]))
     return events[:limit]
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from almanack.functions import dates as D, strings as S
+from almanack.functions.text import per_text
 from almanack.operators import ranking as K, resolve as R, search as X, temporal as T, vectors as V
 from almanack.session import keep
 
@@ -677,7 +678,7 @@ def page_text(t):
 
 @query()
 def found_dates(t):
-    spans = F.udf(D.text_dates, "array<struct<found: string, start: bigint, end: bigint>>")
+    spans = per_text(D.text_dates, "array<struct<found: string, start: bigint, end: bigint>>")
     found = t.documents.select("doc_id", spans("text").alias("spans"))
     return found.select("doc_id", F.size("spans").alias("n"), F.array_min(F.transform("spans", lambda x: x["start"])).alias("first_year"), "spans")
 

@@ -137,11 +137,14 @@ def meanwhile(t):
     return L.meanwhile(it, e.select("id", "topic", F.col("start").alias("anchor"), (F.col("id") % 3 == 0).alias("is_key")))
 
 
-@query("""WITH l(g, topic, r, id) AS (VALUES (0, 'a', 0, 1), (0, 'a', 1, 2), (0, 'a', 2, 3), (1, 'b', 0, 1), (1, 'b', 1, 4), (1, 'b', 2, 5), (1, 'b', 3, 6), (1, 'b', 4, 7)) SELECT topic, id::BIGINT AS id FROM l WHERE g = 0 UNION ALL SELECT topic, id::BIGINT FROM l WHERE g = 1 AND id IN (4, 5, 6)""")
+@query("""SELECT c_custkey AS it, topic, c_custkey * 10 + d AS id FROM customer, (VALUES ('a', 1), ('a', 2), ('a', 3), ('b', 4), ('b', 5), ('b', 6)) v(topic, d)""")
 def each_thing_once(t):
-    rows = t.spark.createDataFrame([("a", i, True) for i in (1, 2, 3)] + [("b", i, False) for i in (1, 4, 5, 6, 7)], "topic string, id long, is_key boolean").withColumn("anchor", F.lit(10).cast("long"))
-    it = t.spark.createDataFrame([(99, "x", 8, 12)], "id long, topic string, lo long, hi long")
-    return L.meanwhile(it, rows).select("topic", "id")
+    """At each customer's time a topic of three key entries, and one of five, the first of which the other has shown."""
+    k = F.col("c_custkey")
+    met = F.array(*[F.struct(F.lit(topic).alias("topic"), F.lit(d).alias("d"), F.lit(topic == "a").alias("is_key")) for topic, ds in (("a", (1, 2, 3)), ("b", (1, 4, 5, 6, 7))) for d in ds])
+    rows = t.customer.select(k, F.explode(met).alias("x")).select("x.topic", (k * 10 + F.col("x.d")).alias("id"), "x.is_key", (k * 10 + 2).alias("anchor"))
+    it = t.customer.select(k.alias("id"), F.lit("x").alias("topic"), (k * 10).alias("lo"), (k * 10 + 4).alias("hi"))
+    return L.meanwhile(it, rows).select("it", "topic", "id")
 
 
 # duplicates ----------------------------------------------------------------------------------------------
@@ -284,6 +287,33 @@ def chapter_assignment(t):
     return C.assign_chapters(items, ranges).select("topic", "id", "chapter")
 
 
+_ITEMS = """i AS (SELECT n_regionkey AS topic, c_custkey AS id, c_custkey * 7 % 600 AS y, c_custkey % 5 AS mentioned, c_custkey % 4 = 0 AS mined, (c_custkey % 37)::DOUBLE AS weight, (c_custkey % 11) / 11.0 AS fame, c_custkey % 13 = 0 AS hat, c_custkey % 17 = 0 AS lead,
+['event', 'person', 'period', 'work', 'place', 'group', 'concept'][c_custkey % 7 + 1] AS type, CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 7 % 600 + c_custkey % 400 END AS e, CASE WHEN c_custkey % 2 = 0 THEN 'a former kingdom' ELSE 'a thing' END AS sub,
+CASE WHEN c_custkey % 8 = 0 THEN c_custkey - 1 END AS about, CASE c_custkey % 9 WHEN 1 THEN 'context' WHEN 2 THEN 'off' END AS rel, CASE WHEN c_custkey % 12 = 0 THEN 'Battle of ' ELSE 'Day of ' END || c_custkey AS title FROM customer JOIN nation ON n_nationkey = c_nationkey % 25),
+a AS (SELECT i.*, coalesce(CASE WHEN own.chapter IS NOT NULL THEN i.mentioned END, (SELECT min(chapter) FROM rr WHERE rr.topic = i.topic AND y BETWEEN "from" AND "to"), (SELECT arg_min(chapter, (greatest("from" - y, y - "to", 0), chapter)) FROM rr WHERE rr.topic = i.topic), i.mentioned)::INT AS chapter
+FROM i LEFT JOIN rr own ON own.topic = i.topic AND own.chapter = i.mentioned AND y BETWEEN own."from" - 5 AND own."to" + 5), mx AS (SELECT topic, max(weight) AS most FROM i GROUP BY topic),
+wb AS (SELECT a.*, CASE WHEN a.mined THEN least(0.75, 0.3 + CASE WHEN a.id % 12 = 0 THEN 0.16 ELSE 0 END + CASE WHEN o.id IS NULL THEN 0 ELSE 0.25 * least(1, o.weight / greatest(1, most) * 3 + o.fame * 0.5) END)
+ELSE 0.5 * (ln(1 + a.weight) / ln(1 + greatest(most, 1)) + CASE WHEN a.hat THEN 0.25 ELSE 0 END + CASE WHEN a.lead THEN 0.15 ELSE 0 END) + 0.35 * a.fame END AS base, rr."from" AS f, rr."to" AS t
+FROM a JOIN mx USING (topic) LEFT JOIN a o ON o.topic = a.topic AND o.id = a.about LEFT JOIN rr ON rr.topic = a.topic AND rr.chapter = a.chapter)"""
+
+
+@query(f"""WITH {_RANGES}, {_ITEMS} SELECT topic, id, chapter, round(round(base * (0.55 + 0.45 * CASE type WHEN 'event' THEN 1.0 WHEN 'person' THEN 0.9 WHEN 'period' THEN 0.6 WHEN 'work' THEN 0.75 WHEN 'concept' THEN 0.3 ELSE 0.5 END)
+* CASE WHEN f IS NOT NULL AND type <> 'person' AND abs(e - y) > 1.5 * greatest(20, t - f) THEN 0.55 ELSE 1 END * CASE WHEN type = 'period' AND e IS NULL AND NOT hat AND sub LIKE '%kingdom%' THEN 0.55 ELSE 1 END
+* CASE WHEN mined THEN 1 WHEN rel = 'context' THEN 0.8 WHEN rel = 'off' THEN 0.5 ELSE 1 END, 9)::DECIMAL(18, 9), 4)::DOUBLE AS importance FROM wb""")
+def whole_importance(t):
+    """Ranges of chapters, what belongs to them, and how much it counts there, in one plan."""
+    k = F.col("c_custkey")
+    ranges = C.chapter_ranges(*_chapters(t), now=2026)
+    items = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey") % 25).select(
+        F.col("n_regionkey").alias("topic"), k.alias("id"), (k * 7 % 600).alias("anchor"), (k % 5).cast("int").alias("mentioned"), F.when(k % 4 == 0, "events").otherwise("links").alias("via"),
+        F.concat(F.when(k % 12 == 0, "Battle of ").otherwise("Day of "), k.cast("string")).alias("title"), F.when(k % 2 == 0, "a former kingdom").otherwise("a thing").alias("subtitle"), F.lit("x").alias("excerpt"),
+        (k % 37).cast("double").alias("weight"), ((k % 11) / 11.0).alias("fame"), (k % 13 == 0).alias("hat"), (k % 17 == 0).alias("lead"),
+        F.element_at(F.array(*map(F.lit, ["event", "person", "period", "work", "place", "group", "concept"])), (k % 7 + 1).cast("int")).alias("type"),
+        (k * 7 % 600).alias("start"), F.when(k % 3 == 0, k * 7 % 600 + k % 400).alias("end"), F.when(k % 8 == 0, k - 1).alias("about"), F.when(k % 9 == 1, "context").when(k % 9 == 2, "off").alias("relevance"),
+    )
+    return C.whole_importance(C.assign_chapters(items, ranges), ranges).select("topic", "id", "chapter", "importance")
+
+
 _MINED = ['Battle of X', 'Birth of Y', 'Quiet day', 'Black Death plague', 'Statute with a charter', 'Laws are made', 'Reforming the coinage', 'Somebody is born in a war', 'Becomes queen of hearts', 'Acts of nobody']
 
 
@@ -304,11 +334,16 @@ def key_ideas(t):
     return C.key_ideas(t.part.select(k.alias("id"), (F.col("p_size") % 5).alias("chapter"), score.cast("long").alias("score"), F.col("p_retailprice").alias("importance"))).select("id", "chapter", "score")
 
 
-@query("""SELECT id::BIGINT AS id, text FROM (VALUES (1, 's1'), (2, 's2'), (3, 's3'), (5, 's1')) v(id, text)""")
+@query("""SELECT c_custkey * 10 + d AS id, s || c_custkey AS text FROM customer, (VALUES (1, 's1-'), (2, 's2-'), (3, 's3-'), (5, 's1-')) v(d, s)""")
 def context_sentences(t):
-    items = t.spark.createDataFrame([(1, 0, 0.9), (2, 0, 0.8), (3, 0, 0.7), (4, 0, 0.6), (5, 1, 0.5)], "id long, chapter int, importance double")
-    told = t.spark.createDataFrame([(1, "s1", 2.0, True), (1, "s2", 1.0, True), (2, "s1", 2.0, True), (2, "s2", 1.5, True), (3, "s2", 3.0, True), (3, "s1", 2.5, True), (3, "s3", 9.0, False), (4, "s1", 1.0, True), (5, "s1", 1.0, False)], "id long, text string, score double, in_chapter boolean")
-    return C.contexts(items, told)
+    """Five items of two chapters a customer, of whose sentences the more important take the best."""
+    k = F.col("c_custkey")
+    items = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(c).alias("c"), F.lit(w).alias("w")) for d, c, w in ((1, 0, 0.9), (2, 0, 0.8), (3, 0, 0.7), (4, 0, 0.6), (5, 1, 0.5))])
+    said = [(1, "s1-", 2.0, True), (1, "s2-", 1.0, True), (2, "s1-", 2.0, True), (2, "s2-", 1.5, True), (3, "s2-", 3.0, True), (3, "s1-", 2.5, True), (3, "s3-", 9.0, False), (4, "s1-", 1.0, True), (5, "s1-", 1.0, False)]
+    told = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(s).alias("s"), F.lit(w).alias("w"), F.lit(i).alias("i")) for d, s, w, i in said])
+    rows = t.customer.select(k, F.explode(items).alias("x")).select((k * 10 + F.col("x.d")).alias("id"), (k * 2 + F.col("x.c")).alias("chapter"), F.col("x.w").alias("importance"))
+    sentences = t.customer.select(k, F.explode(told).alias("x")).select((k * 10 + F.col("x.d")).alias("id"), F.concat("x.s", k.cast("string")).alias("text"), F.col("x.w").alias("score"), F.col("x.i").alias("in_chapter"))
+    return C.contexts(rows, sentences)
 
 
 @query("""SELECT p_partkey AS id, round(2 * (1 - p_size / 50.0) - 0.25 * least(4, p_size % 7) + CASE WHEN p_partkey % 2 = 0 THEN 0.6 ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN 0.5 ELSE 0 END, 6)::DOUBLE + 0.0 AS score FROM part""")
@@ -359,7 +394,9 @@ def stride_sample(t):
     return stride_sample(t.entries.select("id", "grp", "start"), "grp", ["start", "id"], 5).select("id", "grp")
 
 
-@query("""WITH t(title, other) AS (VALUES ('Mongol invasions of Japan', 'First Mongol invasion repelled'), ('Battle of Hastings', 'Norman Conquest')) SELECT title, CASE WHEN title LIKE 'M%' THEN 0.5 ELSE 0.0 END::DOUBLE AS jaccard, CASE WHEN title LIKE 'M%' THEN 1 ELSE 0 END::INT AS names FROM t""")
+@query(f"""WITH {_EVENTS} SELECT a.id, round(len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))::DOUBLE, 6) AS jaccard FROM w a JOIN w b ON b.id = a.id + 1""")
 def title_likeness(t):
-    rows = t.spark.createDataFrame([("Mongol invasions of Japan", "First Mongol invasion repelled"), ("Battle of Hastings", "Norman Conquest")], "title string, other string")
-    return rows.select("title", F.round(S.jaccard(S.content_words(F.col("title")), S.content_words(F.col("other"))), 6).alias("jaccard"), F.size(F.array_intersect(S.proper_names(F.col("title")), S.proper_names(F.col("other")))).alias("names"))
+    """How alike the title of each part is to the next one's."""
+    e = _events(t)
+    both = e.join(e.select((F.col("id") - 1).alias("id"), F.col("title").alias("other")), "id")
+    return both.select("id", F.round(S.jaccard(S.content_words(F.col("title")), S.content_words(F.col("other"))), 6).alias("jaccard"))
\ No newline at end of file

@@ -33,22 +33,6 @@ def stored_vectors(t):
     return T.read_vectors(t.spark, path).select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + F.abs(x)), 4).alias("weight"))
 
 
-@query("""SELECT id, (id * 10 + 1)::DOUBLE AS second FROM (SELECT p_partkey AS id FROM part WHERE p_partkey < 40) WHERE id % 3 <> 0""")
-def imported_matrix(t):
-    import numpy as np
-
-    path = _folder(t)
-    rows = t.spark.range(40).select(F.col("id").alias("row"))
-    raw = rows.groupBy(F.floor(F.col("row") / 16).alias("f")).agg(F.sort_array(F.collect_list("row")).alias("rs"))
-    fs, _ = T._fs(t.spark, path)
-    for r in raw.orderBy("f").collect():  # three small files
-        out = fs.create(T._fs(t.spark, f"{path}/m-{r.f:03d}.f32")[1])
-        out.write(bytearray(np.array([[x * 10, x * 10 + 1, 0] for x in r.rs], "<f4").tobytes()))
-        out.close()
-    ids = rows.where("row % 3 <> 0").select("row", F.col("row").alias("id"))
-    return T.import_matrix(t.spark, path, ids, 3).select("id", F.get("vector", F.lit(1)).alias("second"))
-
-
 @query("""SELECT c_mktsegment AS grp, count(*) AS n, sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END)::BIGINT AS version_sum FROM customer GROUP BY ALL""")
 def replaced_groups(t):
     path = _folder(t)
@@ -223,42 +207,34 @@ def patient_fetch(t):
     return B.fetch_all(urls, "url", fetch, B.Patience(sleep=lambda s: None)).select("id", "body")
 
 
-@query("""SELECT unnest(range(0, 95))::INT AS item""")
-def paged_service(t):
-    def fetch(url: str):
-        at = int(url.split("=")[1])
-        return 200, {"items": list(range(at, min(at + 10, 95)))} | ({"continue": at + 10} if at + 10 < 95 else {})
-
-    pages = B.paged(fetch, lambda token: f"?at={token or 0}", B.Patience(sleep=lambda s: None))
-    return t.spark.createDataFrame([(x,) for p in pages for x in p["items"]], "item int")
-
-
-@query("""SELECT unnest(['decade 1990', 'decade 2000']) AS item""")
-def typed_items(t):
-    found = B.typed_items(lambda q: (500, None), "Q3305213", 1995, 2004, 10, B.Patience(sleep=lambda s: None), lambda d: [f"decade {d}"])
-    return t.spark.createDataFrame([(x,) for x in found], "item string")
-
-
-@query("""SELECT * FROM (VALUES ('category:Wars', 'history', 3, 200), ('Q5', '', 2, 500)) v(source, domain, depth, "limit")""")
+@query("""SELECT 'Category ' || p_partkey AS source, CASE WHEN p_partkey % 4 = 1 THEN p_type ELSE '' END AS domain, CASE WHEN p_partkey % 4 = 1 THEN p_size ELSE 2 END::INT AS depth, CASE WHEN p_partkey % 4 = 1 THEN 200 ELSE 500 END::INT AS "limit" FROM part WHERE p_partkey % 4 IN (1, 2) AND p_partkey % 7 <> 0""")
 def crawl_list(t):
-    path = _folder(t)
-    t.spark.createDataFrame([("# jobs",), ("category:Wars | history | 3 | 200",), ("",), ("Q5  # people",), ("done | x",)], "value string").coalesce(1).write.text(path)
-    return B.read_crawl_list(t.spark, path, t.spark.createDataFrame([("done",)], "source string"))
+    """A line for each part: a comment, a whole one, a name with a remark, nothing; a seventh of the sources is done."""
+    path, k = _folder(t), F.col("p_partkey")
+    name = F.concat(F.lit("Category "), k.cast("string"))
+    line = F.when(k % 4 == 0, F.concat(F.lit("# "), name)).when(k % 4 == 1, F.concat_ws(" | ", name, "p_type", F.col("p_size").cast("string"), F.lit("200"))).when(k % 4 == 2, F.concat(name, F.lit("  # people"))).otherwise("")
+    t.part.select(line.alias("value")).write.text(path)
+    return B.read_crawl_list(t.spark, path, t.part.where("p_partkey % 7 = 0").select(name.alias("source")))
 
 
-@query("""SELECT * FROM (VALUES ('Timeline of Rome', '{events: [1888 in film, 1889 in film]}'), ('1 in x', '{}'), ('2 in x', '{}')) v(name, options)""")
+@query("""SELECT unnest(CASE p_partkey % 3 WHEN 1 THEN ['Timeline of ' || p_name] WHEN 2 THEN [p_size || ' in ' || p_name, (p_size + 1) || ' in ' || p_name] ELSE [] END) AS name, CASE p_partkey % 3 WHEN 1 THEN '{events: [' || p_size || ' in film, ' || p_type || ']}' ELSE '{}' END AS options FROM part""")
 def job_list(t):
-    path = _folder(t)
-    t.spark.createDataFrame([("# jobs",), ("Timeline of Rome | events=1888 in film; 1889 in film",), ("1..2 in x",)], "value string").coalesce(1).write.text(path)
+    """A line for each part: a comment, a page with options, a range of years."""
+    path, k, n = _folder(t), F.col("p_partkey"), F.col("p_size")
+    line = F.when(k % 3 == 0, F.concat(F.lit("# "), "p_name")).when(k % 3 == 1, F.concat(F.lit("Timeline of "), "p_name", F.lit(" | events="), n.cast("string"), F.lit(" in film; "), "p_brand"))
+    t.part.select(F.coalesce(line, F.concat(n.cast("string"), F.lit(".."), (n + 1).cast("string"), F.lit(" in "), "p_name")).alias("value")).write.text(path)
     jobs = TX.read_job_list(t.spark, path)
     said = F.transform(F.map_entries("options"), lambda e: F.concat(e["key"], F.lit(": ["), F.array_join(e["value"], ", "), F.lit("]")))
     return jobs.select("name", F.concat(F.lit("{"), F.array_join(F.filter(said, lambda x: ~x.rlike("^:")), ", "), F.lit("}")).alias("options"))
 
 
-@query("""SELECT * FROM (VALUES ('Fall of Rome', '476', 'It fell.'), ('Another', NULL, 'No year here')) v(title, year_text, body)""")
+@query("""SELECT 'Fall of ' || p_name || ' ' || p_partkey AS title, CASE WHEN p_partkey % 2 = 0 THEN (400 + p_size)::VARCHAR END AS year_text, 'It fell.' || chr(10) || 'Size ' || p_size AS body FROM part""")
 def text_blocks(t):
-    path = _folder(t)
-    t.spark.createDataFrame([("Fall of Rome\nyear: 476\nIt fell.\n\nAnother\nNo year here",)], "value string").coalesce(1).write.text(path)
+    """A block for each part, every other one with its year."""
+    path, k = _folder(t), F.col("p_partkey")
+    year = F.when(k % 2 == 0, F.concat(F.lit("year: "), (400 + F.col("p_size")).cast("string")))
+    block = F.concat(F.concat_ws("\n", F.concat(F.lit("Fall of "), "p_name", F.lit(" "), k.cast("string")), year, F.lit("It fell."), F.concat(F.lit("Size "), F.col("p_size").cast("string"))), F.lit("\n"))
+    t.part.select(block.alias("value")).write.text(path)
     return TX.read_blocks(t.spark, path)
 
 
@@ -271,11 +247,13 @@ def discovered_topics(t):
     return B.discover(titles, pages, listed, "History of {}", "land", 40_000, 6)
 
 
-@query("""SELECT * FROM (VALUES ('http://s/a/index.html', 0), ('http://s/a/1.html', 1), ('http://s/a/2.html', 1), ('http://s/a/3.html', 2)) v(url, level)""")
+@query("""SELECT 'http://s/a/' || c_custkey || '.html' AS url, floor(log2(c_custkey + 1))::INT AS level FROM customer WHERE c_custkey >= 0 AND c_custkey < 127""")
 def site_pages(t):
-    html = {"index.html": '<a href="1.html">1</a> <a href="./2.html#x">2</a> <a href="http://other/">o</a>', "1.html": '<a href="index.html">up</a><a href="3.html">3</a>', "2.html": "<p>no links</p>", "3.html": '<a href="4.html">4</a>', "4.html": ""}
-    pages = t.spark.createDataFrame([(f"http://s/a/{k}", v) for k, v in html.items()], "url string, html string")
-    return B.read_site(pages, "http://s/a/index.html")
+    """Each customer's page links the two below it, the one above it and another site; six levels from the first."""
+    k = F.col("c_custkey")
+    link = lambda x, place="": F.concat(F.lit('<a href="'), F.lit(place), x.cast("string"), F.lit('.html#top">x</a>'))
+    html = F.concat(link(2 * k + 1), link(2 * k + 2, "./"), link(F.floor((k - 1) / 2)), F.lit('<a href="http://other/">o</a>'))
+    return B.read_site(t.customer.select(F.concat(F.lit("http://s/a/"), k.cast("string"), F.lit(".html")).alias("url"), html.alias("html")), "http://s/a/0.html", 6)
 
 
 @query("""SELECT n_nationkey AS id, (n_nationkey * n_nationkey)::VARCHAR AS result FROM nation""")
@@ -297,22 +275,25 @@ def article_sections(t):
     return rows.select("id", "s.level", "s.title", links.alias("links"), F.size("s.paras").alias("paras"))
 
 
-@query("""SELECT * FROM (VALUES ('In the year 500 Odoacer ruled all of it.', 'Odoacer', 16)) v(text, target, place)""")
+@query("""SELECT p_partkey AS id, 'In the year ' || (p_partkey + 100) || ' ' || p_name || ' & ' || p_type || ' ruled all.' AS text, target, CASE WHEN target = p_name THEN 13 + length((p_partkey + 100)::VARCHAR) ELSE 16 + length((p_partkey + 100)::VARCHAR) + length(p_name) END::INT AS place FROM (SELECT *, unnest([p_name, p_type]) AS target FROM part)""")
 def prose_links(t):
-    read = F.udf(X.prose_text, "struct<text: string, links: array<struct<target: string, at: int>>>")
-    p = t.spark.createDataFrame([('In   the year 500 <a href="/wiki/Odoacer">Odoacer</a> ruled all of it.',)], "html string").select(read("html").alias("p"))
-    return p.select("p.text", F.explode("p.links").alias("l")).select("text", "l.target", F.col("l.at").alias("place"))
+    k = F.col("p_partkey").cast("string")
+    link = lambda c: F.concat(F.lit('<a href="/wiki/'), F.replace(c, F.lit(" "), F.lit("_")), F.lit('">'), c, F.lit("</a>"))
+    html = F.concat(F.lit("In   the year "), (F.col("p_partkey") + 100).cast("string"), F.lit(" "), link(F.col("p_name")), F.lit(" &amp; "), link(F.col("p_type")), F.lit('<sup class="reference"><a href="/wiki/N">1</a></sup> ruled\nall.'))
+    p = t.part.select(F.col("p_partkey").alias("id"), X.prose(html).alias("p"))
+    return p.select("id", "p.text", F.explode("p.links").alias("l")).select("id", "text", "l.target", F.col("l.at").alias("place"))
 
 
-_TABLE = "<h2>Kings [edit]</h2><table class=\"wikitable\"><tr><th>Year</th><th>Event</th></tr><tr><td rowspan=2>1066</td><td>The battle took place here</td></tr><tr><td>The crown was taken there</td></tr></table><table><tr><td>plain</td></tr></table>"
-
-
-@query("""SELECT * FROM (VALUES ('Kings', 1066, 1066, 'The battle took place here'), ('Kings', 1066, 1066, 'The crown was taken there')) v(heading, start, "end", text)""")
+@query("""SELECT p_partkey AS page_id, 'Kings of ' || p_name AS heading, start, start + p_partkey % 3 AS "end", text FROM (SELECT *, 1000 + p_partkey % 800 AS start, unnest(['The battle of ' || p_type || ' took place', 'The crown of ' || p_type || ' was taken there', 'One more thing over two cells there']) AS text FROM part)""")
 def table_events(t):
-    from almanack.operators.tables import table_events as mine
-
-    found = [(heading, *e) for heading, table in X.tables_text(_TABLE) for e in mine(table)]
-    return t.spark.createDataFrame(found, "heading string, start int, end int, text string")
+    """A table under a heading on each part's page, a date over three rows and a text over two columns; a table without a class is none."""
+    y = 1000 + F.col("p_partkey") % 800
+    when = F.when(F.col("p_partkey") % 3 == 0, y.cast("string")).otherwise(F.concat(y.cast("string"), F.lit("–"), (y + F.col("p_partkey") % 3).cast("string")))
+    html = F.concat(
+        F.lit("<h2>Kings of "), "p_name", F.lit(' [edit]</h2><table class="wikitable"><tr><th>Year</th><th>Event</th><th>x</th></tr><tr><td rowspan=3>'), when, F.lit("</td><td>The battle of "), "p_type",
+        F.lit(" took place</td><td>1</td></tr><tr><td>The crown of "), "p_type", F.lit(" was taken there</td><td>2</td></tr><tr><td colspan=2>One more thing over two cells there</td></tr></table><table><tr><td>1066</td><td>plain</td></tr></table>"),
+    )
+    return X.headed_table_events(t.part.select(F.col("p_partkey").alias("page_id"), html.alias("html")))
 
 
 @query("""SELECT p_partkey AS page_id, 1000 + p_partkey % 800 AS start, 'The battle of ' || p_name AS text FROM part""")
@@ -323,10 +304,15 @@ def mined_tables(t):
     return mine_tables(t.part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))).select("page_id", "start", "text")
 
 
-@query("""SELECT * FROM (VALUES ('', 'Rome'), ('Kings', 'Romulus'), ('Kings', 'Numa Pompilius'), ('Wars', 'Punic Wars')) v(heading, target)""")
+@query("""SELECT p_partkey AS page_id, heading, target FROM (SELECT p_partkey, unnest(['', 'Kings', 'Kings', 'Wars']) AS heading, unnest([p_name, 'Romulus ' || p_partkey, 'Numa', p_type]) AS target FROM part)""")
 def box_members(t):
-    html = '<div class="x"></div><table class="sidebar"><tr><th class="sidebar-title"><a href="/wiki/Rome">Rome</a></th></tr><tr><th class="sidebar-heading">Kings</th></tr><tr><td><a href="/wiki/Romulus">R</a> <a href="/wiki/Numa_Pompilius">N</a><table><tr><td><a href="/wiki/Rome">again</a></td></tr></table></td></tr><tr><th class="sidebar-heading">Wars</th></tr><tr><td><a href="/wiki/Punic_Wars">P</a></td></tr></table><a href="/wiki/Outside">o</a>'
-    return t.spark.createDataFrame(X.box_members_text(html), "heading string, target string")
+    """A box on each part's page: a title, two headings with their links, one of them again in a table within."""
+    name, brand = (F.replace(c, F.lit(" "), F.lit("_")) for c in ("p_name", "p_type"))
+    html = F.concat(
+        F.lit('<div class="x"></div><table class="sidebar"><tr><th class="sidebar-title"><a href="/wiki/'), name, F.lit('">T</a></th></tr><tr><th class="sidebar-heading">Kings</th></tr><tr><td><a href="/wiki/Romulus_'), F.col("p_partkey").cast("string"),
+        F.lit('">R</a> <a href="/wiki/Numa">N</a><table><tr><td><a href="/wiki/'), name, F.lit('">again</a></td></tr></table></td></tr><tr><th class="sidebar-heading">Wars</th></tr><tr><td><a href="/wiki/'), brand, F.lit('">P</a></td></tr></table><a href="/wiki/Outside">o</a>'),
+    )
+    return X.box_members(t.part.select(F.col("p_partkey").alias("page_id"), html.alias("html")))
 
 
 @query("""SELECT o_orderkey AS id, year(o_orderdate)::BIGINT AS year, year(o_orderdate) || ' – Team ' || o_custkey || ' win the cup' || CASE WHEN o_orderkey % 2 = 0 THEN ', beating Team 0 ' || (o_orderkey % 9) || '–0' ELSE '' END || '.' AS sentence FROM orders WHERE o_orderkey % 5 <> 0""")
@@ -529,10 +515,22 @@ def entry_rules(t):
     return Q.broken(Q.entry_rules(e, 2000))
 
 
-@query("""SELECT rule, violations FROM (VALUES ('y in range', 1), ('fame in range', 1), ('point is on a leaf', 1), ('point is in its band', 2), ('point is in its node''s years', 1), ('no self among neighbours', 1), ('no neighbour twice', 1), ('bands lie in their parents', 0), ('years lie in their parents', 1), ('siblings do not overlap', 0), ('leaves leave no gap', 0)) v(rule, violations)""")
+@query("""WITH p AS (SELECT c_custkey AS k, c_nationkey AS leaf FROM customer)
+SELECT rule, violations::BIGINT AS violations FROM (SELECT 'y in range' AS rule, count(*) FILTER (k % 11 = 0) AS violations FROM p UNION ALL SELECT 'fame in range', count(*) FILTER (k % 13 = 0) FROM p UNION ALL SELECT 'point is on a leaf', count(*) FILTER (k % 17 = 0) FROM p
+UNION ALL SELECT 'point is in its band', count(*) FILTER (CASE WHEN k % 17 = 0 THEN k % 11 = 0 ELSE k % 11 = 0 OR k % 19 = 0 END) FROM p UNION ALL SELECT 'point is in its node''s years', count(*) FILTER (k % 23 = 0) FROM p UNION ALL SELECT 'no self among neighbours', count(*) FILTER (k % 29 = 0) FROM p
+UNION ALL SELECT 'no neighbour twice', count(*) FILTER (k % 31 = 0) FROM p UNION ALL SELECT 'bands lie in their parents', 0 UNION ALL SELECT 'years lie in their parents', count(*) FROM nation WHERE n_nationkey % 5 = 4 UNION ALL SELECT 'siblings do not overlap', 0 UNION ALL SELECT 'leaves leave no gap', 0)""")
 def point_rules(t):
-    bands = t.spark.createDataFrame([(0, None, False, 0.0, 1.0, 100, 900, 6), (1, 0, True, 0.0, 0.5, 100, 500, 3), (2, 0, True, 0.5, 1.0, 400, 950, 3)], "node int, parent int, is_leaf boolean, y0 double, y1 double, x0 int, x1 int, n int")
-    points = t.spark.createDataFrame([(1, 1, 200, 300, 0.2, 0.5, [2, 3]), (2, 1, 50, 60, 0.3, 0.5, [1]), (3, 1, 200, 200, 0.7, 0.5, [3]), (4, 2, 500, 500, 1.5, 1.2, [1, 1]), (5, 0, 500, 500, 0.6, 0.1, [1])], "id int, leaf int, x0 int, x1 int, y double, fame double, neighbours array<int>")
+    """Customers on the leaves of a tree of nations, some of them in each way where they don't belong."""
+    n = F.col("n_nationkey")
+    leaves = t.nation.select(n.alias("node"), F.lit(-1).alias("parent"), F.lit(True).alias("is_leaf"), (n / 25).alias("y0"), ((n + 1) / 25).alias("y1"), F.lit(100).alias("x0"), F.when(n % 5 == 4, 950).otherwise(900).alias("x1"), F.lit(1).alias("n"))
+    bands = leaves.unionByName(t.region.limit(1).selectExpr("-1 AS node", "CAST(NULL AS INT) AS parent", "false AS is_leaf", "0D AS y0", "1D AS y1", "100 AS x0", "900 AS x1", "25 AS n"))
+    k = F.col("c_custkey")
+    leaf = F.when(k % 17 == 0, -1).otherwise(F.col("c_nationkey"))
+    inside = F.when(k % 17 == 0, 0.5).otherwise((F.col("c_nationkey") + F.when(k % 19 == 0, F.when(F.col("c_nationkey") == 24, -1.5).otherwise(1.5)).otherwise(0.5)) / 25)
+    points = t.customer.select(
+        k.alias("id"), leaf.alias("leaf"), F.when(k % 23 == 0, 50).otherwise(200).alias("x0"), F.lit(300).alias("x1"), F.when(k % 11 == 0, 1.5).otherwise(inside).alias("y"), F.when(k % 13 == 0, 1.2).otherwise(0.4).alias("fame"),
+        F.array(F.when(k % 29 == 0, k).otherwise(k + 1), F.when(k % 31 == 0, F.when(k % 29 == 0, k).otherwise(k + 1)).otherwise(k + 2)).alias("neighbours"),
+    )
     return Q.broken(Q.point_rules(points, bands))
 
 
@@ -579,11 +577,16 @@ def topic_findings(t):
 # drawing -------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT * FROM (VALUES ('a', 0), ('b', 0), ('c', 1), ('d', 3), ('e', 0)) v(id, "row")""")
+@query("""WITH c AS (SELECT c_custkey % 60 AS page, c_custkey AS id, c_custkey * 37 % 400 AS a, c_custkey * 37 % 400 + 30 + c_custkey % 50 AS b, 1 + c_custkey % 2 AS h, c_acctbal AS i FROM customer),
+g AS (SELECT page, list([struct_pack(id := id, a := a, b := b, r := NULL::BIGINT, h := h)] ORDER BY i DESC, id) AS xs FROM c GROUP BY page),
+f AS (SELECT page, list_reduce(xs, lambda acc, x: list_append(acc, struct_pack(id := x[1].id, a := x[1].a, b := x[1].b, r := list_filter(range(0, 2000), lambda r: len(list_filter(acc, lambda o: o.a < x[1].b AND o.b > x[1].a AND o.r < r + x[1].h AND o.r + o.h > r)) = 0)[1], h := x[1].h)), []::STRUCT(id BIGINT, a BIGINT, b BIGINT, r BIGINT, h BIGINT)[]) AS got FROM g)
+SELECT page, u.id AS id, u.r::INT AS "row" FROM (SELECT page, unnest(got) AS u FROM f)""")
 def packed_cards(t):
-    card = lambda i, a, b, h=1, line=None: {"id": i, "left": a, "right": b, "height": h, "line": line}
-    found = L.pack_cards([card("a", 0, 10), card("b", 20, 30), card("c", 5, 25, 2), card("d", 5, 25)], 1, [card("e", 40, 50), card("f", 0, 5)])
-    return t.spark.createDataFrame(list(found.items()), "id string, row int")
+    """All customers as cards of one or two rows on sixty pages, the richest first."""
+    k = F.col("c_custkey")
+    left = (k * 37 % 400).cast("double")
+    cards = t.customer.select((k % 60).alias("page"), k.alias("id"), left.alias("left"), (left + 30 + k % 50).alias("right"), (1 + k % 2).cast("int").alias("height"), F.col("c_acctbal").alias("importance"))
+    return L.packed_cards(cards, "page")
 
 
 @query("""WITH s AS (SELECT p_partkey AS id, p_size % 5 AS g, 10 + p_partkey % 3 * 30 AS a, 30 + p_partkey % 3 * 30 AS b, p_retailprice AS i FROM part) SELECT g, id, row_number() OVER (PARTITION BY g, a ORDER BY i DESC, id)::INT - 1 AS "row" FROM s QUALIFY "row" < 3""")

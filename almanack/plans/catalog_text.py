@@ -69,14 +69,14 @@ def season_years(t):
 @query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN y WHEN 1 THEN -(o_custkey % 300 + 1) WHEN 2 THEN y END::BIGINT AS start, CASE o_orderkey % 4 WHEN 0 THEN y WHEN 1 THEN -(o_custkey % 300 + 1) WHEN 2 THEN y + 3 END::BIGINT AS "end" FROM (SELECT *, year(o_orderdate) AS y FROM orders)""")
 def cell_dates(t):
     said = "CASE o_orderkey % 4 WHEN 0 THEN 'c. ' || year(o_orderdate) WHEN 1 THEN (o_custkey % 300 + 1) || ' BC' WHEN 2 THEN year(o_orderdate) || '–' || (year(o_orderdate) + 3) ELSE 'the winner' END"
-    read = F.udf(W.cell_date_text, "struct<start: bigint, end: bigint>")
+    read = X.per_text(W.cell_date_text, "struct<start: bigint, end: bigint>")
     return t.orders.selectExpr("o_orderkey AS id", f"{said} AS said").select("id", read("said").alias("d")).select("id", "d.start", "d.end")
 
 
 @query("""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN y + 2.5 WHEN 1 THEN -1000000.0 * (o_custkey % 60 + 1) ELSE 0 END::DOUBLE AS value FROM (SELECT *, year(o_orderdate) AS y FROM orders)""")
 def year_values(t):
     said = "CASE o_orderkey % 3 WHEN 0 THEN year(o_orderdate) || '–' || (year(o_orderdate) + 5) WHEN 1 THEN (o_custkey % 60 + 1) || ' Ma' ELSE 'unknown' END"
-    value = F.udf(W.year_value_text, "double")
+    value = X.per_text(W.year_value_text, "double")
     return t.orders.selectExpr("o_orderkey AS id", f"{said} AS said").select("id", value("said").alias("value"))
 
 
@@ -282,10 +282,20 @@ def leading_names(t):
     return t.orders.selectExpr("o_orderkey AS id", f"{said} AS x").select("id", X.leading_name(F.col("x")).alias("name"))
 
 
-@query("""SELECT id, hex FROM (VALUES (0, '#000000'), (1, '#ffffff'), (2, '#808080')) v(id, hex)""")
+@query("""WITH s AS (SELECT p_partkey AS id, p_size / 50.0::DOUBLE AS l FROM part), v AS (SELECT id, CASE WHEN l ** 3 <= 0.0031308 THEN 12.92 * l ** 3 ELSE 1.055 * (l ** 3) ** (1 / 2.4) - 0.055 END AS v FROM s)
+SELECT id, '#' || repeat(lower(lpad(printf('%x', greatest(0, least(255, floor(v * 255 + 0.5)))::INT), 2, '0')), 3) AS hex FROM v""")
 def colours(t):
-    rows = t.spark.range(3).select(F.col("id").cast("int").alias("id"), F.element_at(F.array(F.lit(0.0), F.lit(1.0), F.lit(0.599871)), (F.col("id") + 1).cast("int")).alias("l"))
-    return rows.select("id", X.oklch_hex(F.col("l"), F.lit(0.0), F.lit(0.0)).alias("hex"))
+    """A grey for each part's size: without chroma the three parts of a colour are one."""
+    return t.part.select(F.col("p_partkey").alias("id"), X.oklch_hex(F.col("p_size") / 50, F.lit(0.0), F.lit(0.0)).alias("hex"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS id, p_size % 6 AS depth, (p_partkey % 100) / 100.0::DOUBLE AS place FROM part), c AS (SELECT id, 0.58 + 0.025 * least(depth, 4) AS l, (0.148 - 0.008 * least(depth, 4)) AS c, radians((258 + place * 320) % 360) AS h FROM s),
+k AS (SELECT id, (l + 0.3963377774 * c * cos(h) + 0.2158037573 * c * sin(h)) ** 3 AS x, (l - 0.1055613458 * c * cos(h) - 0.0638541728 * c * sin(h)) ** 3 AS y, (l - 0.0894841775 * c * cos(h) - 1.2914855480 * c * sin(h)) ** 3 AS z FROM c),
+r AS (SELECT id, unnest([1, 2, 3]) AS i, unnest([4.0767416621 * x - 3.3077115913 * y + 0.2309699292 * z, -1.2684380046 * x + 2.6097574011 * y - 0.3413193965 * z, -0.0041960863 * x - 0.7034186147 * y + 1.7076147010 * z]) AS v FROM k)
+SELECT id, '#' || string_agg(lower(lpad(printf('%x', greatest(0, least(255, floor(CASE WHEN v <= 0.0031308 THEN 12.92 * v ELSE 1.055 * greatest(v, 0) ** (1 / 2.4) - 0.055 END * 255 + 0.5)))::INT), 2, '0')), '' ORDER BY i) AS hex FROM r GROUP BY id""")
+def node_colours(t):
+    """The colour of a node for each part: hue by place, paler with depth."""
+    return t.part.select(F.col("p_partkey").alias("id"), X.node_colour((F.col("p_partkey") % 100) / 100, F.col("p_size") % 6).alias("hex"))
 
 
 @query("""SELECT c_custkey AS id, c_name AS title, '' AS subtitle, CASE WHEN c_custkey % 3 = 0 THEN 'span' ELSE 'point' END AS kind, c_custkey % 4 = 0 AS circa, c_custkey % 5 = 0 AS open_ended, CASE WHEN c_custkey % 5 = 0 THEN '1990-present' ELSE '' END AS year_text FROM customer""")
@@ -489,7 +499,7 @@ def parsed_years(t):
 @query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'in ' WHEN 1 THEN NULL END IS NOT NULL AS dated, CASE WHEN o_orderkey % 4 = 0 THEN year(o_orderdate)::VARCHAR END AS found FROM orders""")
 def sentence_dates(t):
     said = "CASE o_orderkey % 4 WHEN 0 THEN 'The town fell in ' || year(o_orderdate) || '.' WHEN 1 THEN 'It has ' || year(o_orderdate) || ' members' WHEN 2 THEN 'No date' ELSE 'For 1,200 years it stood' END"
-    find = F.udf(D.find_date_text, "string")
+    find = X.per_text(D.find_date_text, "string")
     return t.orders.selectExpr("o_orderkey AS id", f"{said} AS said").select("id", find("said").alias("found")).select("id", F.col("found").isNotNull().alias("dated"), "found")
 
 

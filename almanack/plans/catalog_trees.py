@@ -21,6 +21,19 @@ def incremental_knn(t):
     return V.update_neighbours(cached, now, 5).select("id", "neighbour", F.round("sim", 6).alias("sim"), "rank")
 
 
+@query("""WITH e AS (SELECT vec_id AS id, label % 3 AS ds, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT a.ds, b.id AS title, list_dot_product(a.v, b.v) AS sim, a.id FROM e a JOIN e b ON a.id <> b.id),
+k AS (SELECT ds, title FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(sim, 9) DESC, title) <= 8), f AS (SELECT ds, title, count(*) AS n FROM k WHERE title % 4 <> 0 OR title % 3 <> ds GROUP BY ALL),
+c AS (SELECT *, 'kind ' || title % 17 AS type FROM f QUALIFY row_number() OVER (PARTITION BY ds ORDER BY n DESC, title) <= 60), t AS (SELECT type, count(*) AS n, list_sort(list_distinct(list(title)))[1:6] AS examples FROM c WHERE type NOT IN ('kind 3', 'kind 5') GROUP BY type HAVING count(*) >= 3)
+SELECT type, n, array_to_string(examples, ',') AS examples FROM t ORDER BY n DESC, type LIMIT 40""")
+def type_radar(t):
+    """Kinds met around the vectors of three data sets, of what those don't hold."""
+    e = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    near = V.knn(e, e, 8).join(t.embeddings.select(F.col("vec_id").alias("id"), (F.col("label") % 3).alias("dataset")), "id").select("dataset", F.col("id").alias("seed"), F.col("neighbour").alias("title"))
+    known = t.embeddings.where("vec_id % 4 = 0").select((F.col("vec_id") % 3).cast("int").alias("dataset"), F.col("vec_id").alias("title"))
+    types = t.embeddings.select(F.col("vec_id").alias("title"), F.concat(F.lit("Kind "), (F.col("vec_id") % 17).cast("string")).alias("type"))
+    return X.type_radar(near, known, types, ["kind 3", "kind 5"]).select("type", "n", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
+
+
 def _spread(t: Tables):
     """Vectors of six well-parted groups: an axis for part % 3, another for part % 2, and a little of their own."""
     k = F.col("p_partkey")
@@ -83,12 +96,14 @@ def reclustered_subset(t):
     return T.recluster(rows.select("id", "vector"), rows.where("id % 2 = 0").select("id"), most=100, leaf=10, branch=4, depth=2).select("id")
 
 
-@query("""SELECT round(avg((CASE WHEN n = 1 THEN 1 ELSE 0 END)), 3) AS parted FROM (SELECT 1 AS n)""")
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM e), m AS (SELECT label, d, avg(x) AS x FROM u GROUP BY label, d),
+c AS (SELECT label, list(x ORDER BY d) AS c FROM m GROUP BY label), n AS (SELECT label, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS c FROM c),
+f AS (SELECT vec_id, e.label, min(1 - list_dot_product(v, c)) FILTER (n.label = e.label) AS own, min(1 - list_dot_product(v, c)) FILTER (n.label <> e.label) AS other FROM e, n GROUP BY vec_id, e.label)
+SELECT label, round(avg((other - own) / greatest(own, other)), 6) AS silhouette FROM f GROUP BY label""")
 def silhouettes(t):
-    """Groups that lie apart have a mean silhouette near 1."""
-    rows = _spread(t)
-    centres = V.unit(np.array([np.mean([r.vector for r in rows.where(f"id % 6 = {g}").collect()], axis=0) for g in range(6)]))
-    return t.spark.createDataFrame([(float(round(T.silhouette_score(rows, centres))),)], "parted double")
+    """The mean silhouette of each label's embeddings, by distances to centres."""
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("group"), F.col("embedding").alias("vector"))
+    return T.group_silhouettes(rows).select(F.col("group").alias("label"), F.round("silhouette", 6).alias("silhouette"))
 
 
 @query("""WITH s AS (SELECT p_partkey AS id, p_size % 4 AS g, (p_partkey % 50)::DOUBLE AS x FROM part) SELECT id, g, round(x - avg(x) OVER (PARTITION BY g), 6) AS projection FROM s""")
@@ -98,13 +113,13 @@ def principal_axes(t):
     return T.principal_axis(rows, "g").select("id", "g", F.round("projection", 6).alias("projection"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT 0 AS i, 4 AS n UNION ALL SELECT i + 1, n FROM p WHERE i < n) SELECT i AS place, i AS item FROM p""")
+@query("""SELECT c_custkey // 5 AS parent, row_number() OVER (PARTITION BY c_custkey // 5 ORDER BY c_custkey * 3 % 5)::INT - 1 AS place, c_custkey AS node FROM customer""")
 def sibling_order(t):
-    angles = np.array([0.1, 0.5, 0.9, 1.3, 1.5])
-    mixed = [3, 0, 4, 1, 2]
-    v = np.column_stack([np.cos(angles), np.sin(angles)])[mixed]
-    order = T.shortest_order(v, left=np.array([1.0, 0.0]))
-    return t.spark.createDataFrame([(i, mixed[j]) for i, j in enumerate(order)], "place int, item int")
+    """Five siblings a parent on a quarter of a circle, mixed up; the shortest way from its beginning takes them as they lie."""
+    k = F.col("c_custkey")
+    angle = (k * 3 % 5) * 0.3 + 0.1
+    nodes = t.customer.select(F.floor(k / 5).alias("parent"), k.alias("node"), F.array(F.cos(angle), F.sin(angle)).alias("vector"))
+    return T.order_siblings(nodes, left=[1.0, 0.0])
 
 
 _BANDS = """l AS (SELECT p_type AS leaf, count(*) AS n FROM part GROUP BY p_type), w AS (SELECT *, row_number() OVER (ORDER BY leaf) AS seq, pow(n, 0.75) + 0.6 AS w FROM l),
@@ -189,18 +204,22 @@ def exemplars(t):
     return T.exemplars(rows, lists)
 
 
-@query("""SELECT * FROM (VALUES (1, 'war'), (2, 'art'), (3, 'war')) v(node, lead)""")
+@query("""SELECT c_custkey * 10 + d AS node, lead FROM customer, (VALUES (1, 'war'), (2, 'art'), (3, 'war')) v(d, lead)""")
 def sibling_leads(t):
     """Of two siblings that want a term the better fit has it; nodes of another parent may use it again."""
-    nodes = t.spark.createDataFrame([(1, 0, 10, [1.0, 0.0]), (2, 0, 10, [0.9, 0.4]), (3, 9, 10, [1.0, 0.0])], "node int, parent int, n int, centroid array<double>")
-    terms = t.spark.createDataFrame([("war", 10, [1.0, 0.0]), ("art", 10, [0.0, 1.0])], "term string, df int, vector array<double>")
-    inside = t.spark.createDataFrame([(1, "war", 9), (1, "art", 1), (2, "war", 8), (2, "art", 7), (3, "war", 5)], "node int, term string, n int")
+    k = F.col("c_custkey")
+    of = lambda rows, names: F.explode(F.array(*[F.struct(*[F.array(*map(F.lit, v)).alias(n) if isinstance(v, list) else F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows]))
+    nodes = t.customer.select(k, of([(1, 0, 10, [1.0, 0.0]), (2, 0, 10, [0.9, 0.4]), (3, 1, 10, [1.0, 0.0])], ("d", "p", "n", "centroid")).alias("x")).select((k * 10 + F.col("x.d")).alias("node"), (k * 2 + F.col("x.p")).alias("parent"), "x.n", "x.centroid")
+    inside = t.customer.select(k, of([(1, "war", 9), (1, "art", 1), (2, "war", 8), (2, "art", 7), (3, "war", 5)], ("d", "term", "n")).alias("x")).select((k * 10 + F.col("x.d")).alias("node"), "x.term", "x.n")
+    terms = t.region.limit(1).select(of([("war", 10, [1.0, 0.0]), ("art", 10, [0.0, 1.0])], ("term", "df", "vector")).alias("x")).select("x.*")
     return T.semantic_terms(nodes, terms, inside, 100)
 
 
-@query("""SELECT * FROM (VALUES (1, 'Art · Cubism'), (2, 'Art · Fresco'), (3, 'War')) v(node, label)""")
+@query("""SELECT c_custkey * 10 + d AS node, label FROM customer, (VALUES (1, 'Art · Cubism'), (2, 'Art · Fresco'), (3, 'War')) v(d, label)""")
 def distinct_labels(t):
-    nodes = t.spark.createDataFrame([(1, 0, "Art", ["art", "cubism"]), (2, 0, "Art", ["war", "fresco"]), (3, 0, "War", ["war"])], "node int, parent int, label string, terms array<string>")
+    k = F.col("c_custkey")
+    three = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(label).alias("label"), F.array(*map(F.lit, terms)).alias("terms")) for d, label, terms in ((1, "Art", ["art", "cubism"]), (2, "Art", ["war", "fresco"]), (3, "War", ["war"]))])
+    nodes = t.customer.select(k, F.explode(three).alias("x")).select((k * 10 + F.col("x.d")).alias("node"), k.alias("parent"), "x.label", "x.terms")
     return T.distinct_labels(nodes).select("node", "label")
 
 
