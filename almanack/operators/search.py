@@ -15,13 +15,15 @@ def term_frequencies(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
 def bm25(docs: DataFrame, id_col: str, tokens: Column, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of documents with enough of the query's distinct terms: all of two, else 60 %, rounded up.
 
-    One narrow pass sums lengths and document frequencies of the query's terms to one row; a second scores
-    each document where it lies. Nothing but that row is shuffled or broadcast.
+    One narrow pass over the texts leaves a row of small numbers for each document, its length and how often it has each
+    term; lengths and document frequencies are summed from those, and each document is scored where it lies. Nothing but
+    one row is shuffled or broadcast.
     """
     terms = list(dict.fromkeys(query))
     need = len(terms) if len(terms) <= 2 else -(-6 * len(terms) // 10)
     counts = [(F.size("t") - F.size(F.array_remove("t", q))).alias(f"tf{i}") for i, q in enumerate(terms)]
-    sized = docs.select(F.col(id_col).alias("id"), tokens.alias("t")).select("id", F.size("t").alias("dl"), *counts)
+    # kept, so that texts are cut once: a filter on the counts would be pushed below them and cut the text again for each
+    sized = keep(docs.select(F.col(id_col).alias("id"), tokens.alias("t")).select("id", F.size("t").alias("dl"), *counts))
     tf = [F.col(f"tf{i}") for i in range(len(terms))]
     stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.array(*[F.count_if(c > 0) for c in tf]).alias("df"))
     have = sum((F.when(c > 0, 1).otherwise(0) for c in tf), F.lit(0))

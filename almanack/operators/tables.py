@@ -13,15 +13,17 @@ from almanack.functions.when import cell_date_text
 
 
 class _Tables(HTMLParser):
-    """Tables as lists of rows of (text, rowspan, colspan); a nested table's cells are its own."""
+    """Tables as lists of rows of [parts, rowspan, colspan, header, bold]; a nested table's cells are its own, footnotes are left out."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.done, self.open = [], []
+        self.done, self.open, self.notes = [], [], 0
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
-        if tag == "table":
+        if tag in ("sup", "style", "script"):
+            self.notes += 1
+        elif tag == "table":
             self.open.append([])
         elif self.open and tag == "tr":
             self.open[-1].append([])
@@ -29,53 +31,62 @@ class _Tables(HTMLParser):
             if not self.open[-1]:
                 self.open[-1].append([])
             span = lambda k: max(1, min(1000, int(attrs[k]))) if str(attrs.get(k, "")).isdigit() else 1
-            self.open[-1][-1].append([[], span("rowspan"), span("colspan")])
+            self.open[-1][-1].append([[], span("rowspan"), span("colspan"), tag == "th", False])
+        elif tag in ("b", "strong") and self.open and self.open[-1] and self.open[-1][-1]:
+            self.open[-1][-1][-1][4] = True
 
     def handle_endtag(self, tag):
-        if tag == "table" and self.open:
+        if tag in ("sup", "style", "script"):
+            self.notes = max(0, self.notes - 1)
+        elif tag == "table" and self.open:
             self.done.append(self.open.pop())
 
     def handle_data(self, data):
-        if self.open and self.open[-1] and self.open[-1][-1]:
+        if not self.notes and self.open and self.open[-1] and self.open[-1][-1]:
             self.open[-1][-1][-1][0].append(data)
 
 
-def grids(html: str) -> list[list[list[str]]]:
-    """Every table as a grid; a cell that spans rows or columns fills each place."""
+def marked_grids(html: str) -> list[list[list[tuple[str, bool, bool]]]]:
+    """Every table as a grid of (text, header, bold); a cell that spans rows or columns fills each place."""
     parser = _Tables()
     parser.feed(html or "")
     parser.close()
     out = []
     for table in parser.done + parser.open[::-1]:
-        held: dict[int, tuple[str, int]] = {}
+        held: dict[int, tuple[tuple, int]] = {}
         grid = []
         for row in table:
-            line: list[str] = []
+            line: list[tuple] = []
 
             def carry():
                 while len(line) in held:
-                    text, left = held[len(line)]
+                    cell, left = held[len(line)]
                     if left > 1:
-                        held[len(line)] = (text, left - 1)
+                        held[len(line)] = (cell, left - 1)
                     else:
                         del held[len(line)]
-                    line.append(text)
+                    line.append(cell)
 
             carry()
-            for parts, down, across in row:
-                text = " ".join(unescape("".join(parts)).split())
+            for parts, down, across, header, bold in row:
+                cell = (" ".join(unescape("".join(parts)).split()), header, bold)
                 for _ in range(across):
                     if down > 1:
-                        held[len(line)] = (text, down)
+                        held[len(line)] = (cell, down)
                         carry()
                     else:
-                        line.append(text)
+                        line.append(cell)
                 carry()
             grid.append(line)
         out.append(grid)
     return out
 
 
+def grids(html: str) -> list[list[list[str]]]:
+    """The texts of marked_grids."""
+    return [[[cell[0] for cell in row] for row in grid] for grid in marked_grids(html)]
+
+
 def table_events(html: str, limit: int = 500) -> list[tuple[int, int, str]]:
     """(start, end, text) of table rows: the column that reads as dates most, and the wordiest other."""
     events = []
@@ -104,3 +115,24 @@ def mine_tables(pages: DataFrame) -> DataFrame:
 
     kind = dict(pages.dtypes)["page_id"]
     return pages.select("page_id", "html").mapInPandas(run, f"page_id {kind}, start long, end long, text string")
+
+
+def table_rows(pages: DataFrame) -> DataFrame:
+    """(page, table, row, head, cells) of the tables with a header row of pages (page, html): cells are structs (text, bold), head the header's texts.
+
+    The header is the first row of two cells or more that are all header cells but one at most.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for page, html in zip(pdf["page"], pdf["html"]):
+                for t, grid in enumerate(marked_grids(html)):
+                    at = next((i for i, r in enumerate(grid) if len(r) > 1 and sum(c[1] for c in r) >= len(r) - 1), None)
+                    if at is not None:
+                        head = [c[0] for c in grid[at]]
+                        rows += [(page, t, i, head, [{"text": c[0], "bold": c[2]} for c in r]) for i, r in enumerate(grid[at + 1 :])]
+            yield pd.DataFrame(rows, columns=["page", "table", "row", "head", "cells"])
+
+    kind = dict(pages.dtypes)["page"]
+    return pages.select("page", "html").mapInPandas(run, f"page {kind}, table int, row int, head array<string>, cells array<struct<text: string, bold: boolean>>")

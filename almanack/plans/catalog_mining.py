@@ -67,3 +67,48 @@ def mined_events(t):
     texts = t.documents.select(F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("page"), F.lit("").alias("title"), F.col("text").alias("body"))
     events, _ = M.mine_events(pages.drop("html").unionByName(texts), tables=M.table_rows(pages))
     return M.told_once(events)
+
+
+# Results: a page for each of 120 groups of customers, a table in one of six shapes with two rows an order that share its year.
+_RECIPES = [
+    ("Cup 0", "the cup", None, None, None, None, None, None, None, None, None, None), ("Cup 1", "the league", "(?i)^champions", None, None, None, None, None, None, None, None, True),
+    ("Cup 2", "the finals", None, None, None, None, ["(?i)^western champion", "(?i)^eastern champion"], None, None, None, None, None),
+    ("Cup 3", None, None, None, None, None, None, [("(?i)^alpha open$", "the Alpha Open"), ("(?i)^beta open", "the Beta Open")], True, None, None, None),
+    ("Cup 4", "the title", "(?i)^driver$", None, "(?i)^constructor$", "driving for", None, None, True, None, None, None), ("Cup 5", "Bowl {game}", None, "(?i)^game$", None, None, None, None, None, None, True, None),
+]
+_HEADS = ["<th>Year</th><th>Winners</th><th>Score</th><th>Runners-up</th>", "<th>Season</th><th>Champions (titles)</th><th>Runners-up</th>", "<th>x</th><th>Western champion</th><th>Result</th><th>Eastern champion</th>",
+    "<th>Year</th><th>Alpha Open</th><th>Beta Open</th>", "<th>Season</th><th>Driver</th><th>Constructor</th>", "<th>Date</th><th>Game</th><th>Winning team</th><th>Score</th><th>Losing team</th><th>Score</th>"]
+
+
+@query("""WITH o AS (SELECT o_custkey % 120 AS page, o_custkey % 6 AS f, o_orderkey AS k, year(o_orderdate)::BIGINT AS y, o_orderkey % 5 = 0 AS void FROM orders),
+r AS (SELECT *, unnest([1, 2]) AS h FROM o), t AS (SELECT *, 'Team ' || k || '-' || h AS w, 'Side ' || k AS l FROM r),
+e AS (SELECT page, y, w || ' win the cup' AS title, y || ' – ' || w || ' win the cup, beating ' || l || ' 3–' || h || '.' AS sentence FROM t WHERE f = 0 AND NOT (void AND h = 2)
+UNION ALL SELECT page, y + 1, w || ' win the league', (y + 1) || ' – ' || w || ' win the league.' FROM t WHERE f = 1
+UNION ALL SELECT page, y, CASE h WHEN 1 THEN w ELSE l END || ' win the finals', y || ' – ' || CASE h WHEN 1 THEN w || ' win the finals, beating ' || l || ' 4–1' ELSE l || ' win the finals, beating ' || w || ' 1–4' END || '.' FROM t WHERE f = 2
+UNION ALL SELECT page, y, w || ' wins the Alpha Open', y || ' – ' || w || ' wins the Alpha Open.' FROM t WHERE f = 3 UNION ALL SELECT page, y, l || ' wins the Beta Open', y || ' – ' || l || ' wins the Beta Open.' FROM t WHERE f = 3 AND NOT void
+UNION ALL SELECT page, y, w || ' wins the title', y || ' – ' || w || ' wins the title, driving for ' || l || '.' FROM t WHERE f = 4
+UNION ALL SELECT page, y, w || ' win Bowl ' || k || h, y || ' – ' || w || ' win Bowl ' || k || h || ', beating ' || l || ' 20–' || h || '.' FROM t WHERE f = 5)
+SELECT page, y AS year, title, min(sentence) AS sentence FROM e GROUP BY ALL""")
+def recipe_results(t):
+    """Tables of all orders in six shapes, with years over two rows, seasons, tallies, notes, bold winners and rows that weren't held."""
+    from almanack.operators import results as R
+
+    k, f, y, void = F.col("o_orderkey").cast("string"), F.col("o_custkey") % 6, F.year("o_orderdate"), F.col("o_orderkey") % 5 == 0
+    td = lambda *xs: F.concat(F.lit("<td>"), *[x if not isinstance(x, str) else F.lit(x) for x in xs], F.lit("</td>"))
+    season = F.concat(y.cast("string"), F.lit("–"), F.lpad(((y + 1) % 100).cast("string"), 2, "0"))
+    when = F.concat(F.lit("<td rowspan=2>"), F.when(f == 1, season).otherwise(y.cast("string")), F.lit("<sup>[1]</sup></td>"))
+
+    def row(h):
+        w, l, n = F.concat(F.lit("Team "), k, F.lit(f"-{h}")), F.concat(F.lit("Side "), k), str(h)
+        west, east = (td("<b>", w, "</b>"), td(l)) if h == 1 else (td(w), td("<b>", l, "</b>"))
+        shapes = [
+            F.concat(td(F.when(void & F.lit(h == 2), F.lit("Not held")).otherwise(w), " (2)"), td("3–" + n), td(l, "†")), F.concat(td(w, " (1, 3–2) [note]"), td(l)), F.concat(west, td("4–1"), east),
+            F.concat(td(w), td(F.when(void, F.lit("—")).otherwise(l))), F.concat(td(w, " *"), td(l)), F.concat(td(k, n), td(w), td("20"), td(l), td(n)),
+        ]
+        return F.concat(F.lit("<tr>"), when if h == 1 else F.lit(""), F.element_at(F.array(*shapes), (f + 1).cast("int")), F.lit("</tr>"))
+
+    rows = t.orders.select((F.col("o_custkey") % 120).alias("page"), f.alias("f"), "o_orderkey", F.concat(row(1), row(2)).alias("r"))
+    told = rows.groupBy("page", "f").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "r"))), lambda x: x["r"]), "").alias("r"))
+    head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("f") + 1).cast("int"))
+    pages = told.select("page", F.concat(F.lit("Cup "), F.col("f").cast("string")).alias("title"), F.concat(F.lit("<table><tr><th>Year</th><th>Winners</th></tr></table><table class='wikitable'><tr>"), head, F.lit("</tr>"), "r", F.lit("</table>")).alias("html"))
+    return R.mine_results(pages, t.spark.createDataFrame(_RECIPES, R.RECIPE), 2026)
