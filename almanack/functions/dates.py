@@ -109,23 +109,33 @@ _SPAN = rf"{_PLAIN}(?:{_DASH}\d{{1,4}}\s*(?:BCE|BC|AD|CE)\b|{_DASH}\d{{2,4}})?"
 
 _COUNTED = re.compile(rf"(?:[.,]\d|\s*(?:(?:{UNITS})\b|[%°]))", re.I)
 _IN_NUMBER = frozenset("0123456789.,")
+_ANCHORED = re.compile(rf"\s*({_DEEP.pattern}|(?:c\.\s*|ca\.\s*)?(?:\d{{3,4}}s|{_SPAN})(?=[\s,:.–-]|$))")
+
+
+def _forward(text: str, at: int, to: int) -> tuple[int, int]:
+    """A range that runs backwards is a misread: its first year alone is the date."""
+    span = parse_years_text(text[at:to])
+    if span and span[1] < span[0] and (m := re.search(_DASH, text[at:to])):
+        return at, at + len(text[at : at + m.start()].rstrip())
+    return at, to
 
 
 def find_date_span(text: str | None, mode: str = "default") -> tuple[int, int] | None:
-    """Where the date in a sentence begins and ends, by trust: `default` needs a cue before it, `anchored` allows one
-    at the start, `loose` any plausible year. A number of things, a duration or a fraction is none."""
+    """Where the date in a sentence begins and ends, by trust: `anchored` at its very start, `default` with a cue before it,
+    `loose` any plausible year. A number of things, a duration or a fraction is none."""
     if not text:
         return None
-    if (m := _DEEP.search(text)) and not re.search(rf"(?:over|for|approximately)\s+{_NUMBER}\s*(?:billion|million|thousand)?\s*years(?!\s+ago)", text):
-        return m.span()
     ok = lambda m, g=0: not _COUNTED.match(text, m.end(g)) and text[m.start(g) - 1 : m.start(g)] not in _IN_NUMBER
-    if mode == "anchored" and (m := re.match(rf"(?:c\.\s*|ca\.\s*)?(?:\d{{3,4}}s|{_SPAN})(?=[\s,:.–-]|$)", text)) and ok(m):
+    if mode == "anchored":
+        m = _ANCHORED.match(text)
+        return _forward(text, *m.span(1)) if m and (_DEEP.fullmatch(m[1]) or ok(m, 1)) else None
+    if (m := _DEEP.search(text)) and not re.search(rf"(?:over|for|approximately)\s+{_NUMBER}\s*(?:billion|million|thousand)?\s*years(?!\s+ago)", text):
         return m.span()
     if (m := re.search(rf"\b{_CUE}\s+(?:the\s+)?({_PLAIN})\b(?![\d,]*\d)", text)) and ok(m, 1):
         return m.span(1)
     if mode == "loose":
         if (m := re.search(rf"\bbetween\s+({_PLAIN}\s+and\s+{_PLAIN})", text)) and ok(m, 1):
-            return m.span(1)
+            return _forward(text, *m.span(1))
         for m in re.finditer(r"\b(1\d{3}|20\d{2})(s?)\b", text):
             if ok(m):
                 return m.span()

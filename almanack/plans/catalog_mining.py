@@ -17,7 +17,7 @@ _FORMS = {
     3: "'== The first millennium BC ==\n' || (100 + o_custkey % 800) || ' – order ' || o_orderkey || ' of priority ' || o_orderpriority || '\n== Later ==' ",
     4: "'== References ==\n' || year(o_orderdate) || ' – order ' || o_orderkey || ' of priority ' || o_orderpriority || '\n== Later ==' ",
     5: "year(o_orderdate) || ' – the end of the year\n' || year(o_orderdate) || ' – The end of the year\n' || year(o_orderdate) || ' – brief'",
-    6: "year(o_orderdate) || '–' || (year(o_orderdate) - 7) || ' – order ' || o_orderkey || ' told backwards'",
+    6: "'== The first millennium BC ==\n' || (100 + o_custkey % 800) || '–' || (110 + o_custkey % 800) || ' – order ' || o_orderkey || ' told backwards\n== Later =='",
     7: "'2.070 Ma – order ' || o_orderkey || ' of an unclear age'",
     8: "year(o_orderdate) || '–' || (year(o_orderdate) + 3) || ': order ' || o_orderkey || ' of priority ' || o_orderpriority || ': it was large'",
 }
@@ -54,7 +54,7 @@ def chronicle_events_once(t):
 
 
 @query("""SELECT o_custkey AS page, 'Order ' || o_orderkey || CASE o_orderkey % 9 WHEN 6 THEN ' told backwards' ELSE ' of an unclear age' END AS name,
-CASE o_orderkey % 9 WHEN 6 THEN year(o_orderdate) || '–' || (year(o_orderdate) - 7) ELSE '2.070 Ma' END AS year_text, CASE o_orderkey % 9 WHEN 6 THEN 'backwards span' ELSE 'ambiguous separator' END AS reason FROM orders WHERE o_orderkey % 9 IN (6, 7)""")
+CASE o_orderkey % 9 WHEN 6 THEN (100 + o_custkey % 800) || '–' || (110 + o_custkey % 800) || ' BC' ELSE '2.070 Ma' END AS year_text, CASE o_orderkey % 9 WHEN 6 THEN 'backwards span' ELSE 'ambiguous separator' END AS reason FROM orders WHERE o_orderkey % 9 IN (6, 7)""")
 def refused_events(t):
     _, refused = M.mine_events(chronicles(t))
     return refused.select("page", "name", "year_text", "reason")

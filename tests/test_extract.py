@@ -56,9 +56,9 @@ def test_heading_context(spark):
 
 def test_tiers_budgets_and_refusals(spark):
     prose = "It was long said that in 1905 Einstein published the paper on light quanta."
-    body = f"{prose} Later it stood still.\n1905 – Einstein publishes his paper\n1905 – einstein publishes his paper\n1910–1890 – a span told backwards\n2.070 Ma – an unclear separator\n66.038 Ma – the great extinction\n1906 – x\n1920 – the second event\n1921 – the third event"
+    body = f"{prose} Later it stood still.\n1905 – Einstein publishes his paper\n1905 – einstein publishes his paper\n2.070 Ma – an unclear separator\n66.038 Ma – the great extinction\n1906 – x\n1920 – the second event\n1921 – the third event\n1910–1890: a span cut short\n== In BC ==\n480–490 – a span told backwards"
     found, refused = events(spark, ("p", body))
-    assert [(f[1], f[2]) for f in found] == [("mined-line", -66038000), ("mined-line", 1905), ("mined-line", 1920), ("mined-line", 1921), ("mined-prose", 1905)]
+    assert [(f[1], f[2]) for f in found] == [("mined-line", -66038000), ("mined-line", 1905), ("mined-line", 1910), ("mined-line", 1920), ("mined-line", 1921), ("mined-prose", 1905)]
     assert refused == [(0, "ambiguous separator"), (0, "backwards span")]
     found, _ = events(spark, ("p", body), limit=2)
     assert [(f[1], f[2]) for f in found] == [("mined-line", -66038000), ("mined-line", 1905), ("mined-prose", 1905)]  # each tier has its own budget
