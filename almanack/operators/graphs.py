@@ -69,4 +69,6 @@ def display_order(paths: DataFrame, place: DataFrame) -> DataFrame:
     """paths (id, path) with n, depth-first in the order of place (id, at): parents before children."""
     steps = paths.select("id", F.posexplode("path").alias("i", "step")).join(place.select(F.col("id").alias("step"), "at"), "step")
     keys = steps.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "at", "step"))), lambda x: F.struct(x["at"], x["step"])).alias("k"))
-    return keys.select("id", F.row_number().over(Window.orderBy("k")).alias("n"))
+    from almanack.operators.ranking import numbered
+
+    return numbered(keys, F.asc("k")).select("id", (F.col("n") + 1).alias("n"))

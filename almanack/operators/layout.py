@@ -267,11 +267,12 @@ def zoomed_lanes(marks: DataFrame, origin: float, px: float, levels: int, screen
 
 def stack_lanes(lanes: DataFrame, section: float = 22.0, label: float = 14.0, row: float = 18.0, gap: float = 6.0) -> DataFrame:
     """lanes (section, seq, rows, folded) with y, the top of each below all before it: a header a section, then a label, rows and a gap a lane."""
-    order = Window.orderBy("section", "seq")
+    from almanack.operators.ranking import running_totals
+
     first = F.row_number().over(Window.partitionBy("section").orderBy("seq")) == 1
     height = F.when(F.col("folded"), 0.0).otherwise(label + row * F.col("rows") + gap)
-    l = lanes.withColumns({"_h": height, "_s": F.when(first, section).otherwise(0.0)})
-    return l.withColumn("y", F.sum(F.col("_h") + F.col("_s")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_h")).drop("_h", "_s")
+    l = lanes.withColumns({"_h": height, "_s": F.when(first, section).otherwise(0.0)}).withColumn("_t", F.col("_h") + F.col("_s"))
+    return running_totals(l, "_t", F.asc("section"), F.asc("seq")).withColumn("y", F.col("before") + F.col("_s")).drop("_h", "_s", "_t", "n", "before")
 
 
 def grid_cells(rows: DataFrame, x0: float, x1: float, size: int = 128) -> DataFrame:

@@ -477,9 +477,10 @@ def id_collisions(t):
     return R.number_collisions(rows, "text_id", "doc_id")
 
 
-@query("""WITH RECURSIVE c AS (SELECT n_nationkey AS src, n_nationkey // 2 AS dst FROM nation WHERE n_nationkey > 0), r AS (SELECT src, dst FROM c UNION ALL SELECT r.src, c.dst FROM r JOIN c ON r.dst = c.src) SELECT src, min(dst) AS dst FROM r GROUP BY src""")
+@query("""WITH RECURSIVE c AS (SELECT c_custkey AS src, c_custkey // 2 AS dst FROM customer WHERE c_custkey % 10 > 0), r AS (SELECT src, dst FROM c UNION ALL SELECT r.src, c.dst FROM r JOIN c ON r.dst = c.src) SELECT src, min(dst) AS dst FROM r GROUP BY src""")
 def alias_chains(t):
-    return R.resolve_aliases(t.nation.where("n_nationkey > 0").select(F.col("n_nationkey").alias("src"), F.expr("n_nationkey div 2").cast("int").alias("dst")))
+    """Each customer but every tenth is another name of the one of half its number, along chains of up to as many links as it has bits."""
+    return R.resolve_aliases(t.customer.where("c_custkey % 10 > 0").select(F.col("c_custkey").alias("src"), F.expr("c_custkey div 2").alias("dst")))
 
 
 @query("""WITH g AS (SELECT doc_id, text, CASE WHEN length(text) < 200 THEN 'short' WHEN lang = 'es' THEN 'language' END AS r FROM documents) SELECT CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY r IS NULL, text ORDER BY doc_id) > 1 THEN 'repeated' ELSE coalesce(r, 'kept') END AS reason, count(*) AS n FROM g GROUP BY ALL""".replace("WITH g", "WITH g0 AS (SELECT 1), g").replace("SELECT CASE WHEN r IS NULL AND row_number", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN r IS NULL AND row_number").replace("AS reason, count(*) AS n FROM g GROUP BY ALL", "AS reason FROM g) GROUP BY reason"))
@@ -488,20 +489,37 @@ def ingest_gates(t):
     return gated.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE n AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey > 0 THEN (n_nationkey - 1) // 3 END AS parent FROM nation), p AS (SELECT id, id AS root, 0 AS depth, id::VARCHAR AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.id, p.root, p.depth + 1, p.path || '/' || n.id FROM n JOIN p ON n.parent = p.id) SELECT * FROM p""")
+#: A forest of all customers: five roots, three below each node.
+FOREST = """n AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 4 THEN (c_custkey - 5) // 3 END AS parent FROM customer)"""
+
+
+def forest(t: Tables) -> DataFrame:
+    return t.customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") > 4, F.expr("(c_custkey - 5) div 3")).alias("parent"))
+
+
+@query(f"""WITH RECURSIVE {FOREST}, p AS (SELECT id, id AS root, 0 AS depth, id::VARCHAR AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.id, p.root, p.depth + 1, p.path || '/' || n.id FROM n JOIN p ON n.parent = p.id) SELECT * FROM p""")
 def tree_paths(t):
-    nodes = t.nation.select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") > 0, F.expr("(n_nationkey - 1) div 3").cast("int")).alias("parent"))
-    return R.tree_paths(nodes).select("id", "root", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+    return R.tree_paths(forest(t)).select("id", "root", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 
-@query("""WITH RECURSIVE n AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey > 0 THEN (n_nationkey - 1) // 3 END AS parent FROM nation), p AS (SELECT id, id AS top FROM n UNION ALL SELECT n.id, p.top FROM n JOIN p ON n.parent = p.id), c AS (SELECT c_nationkey AS id, count(*) AS n FROM customer GROUP BY ALL) SELECT top AS id, sum(c.n)::BIGINT AS members FROM p JOIN c USING (id) GROUP BY top""")
+@query(f"""WITH RECURSIVE {FOREST}, p AS (SELECT id, id AS top FROM n UNION ALL SELECT n.id, p.top FROM n JOIN p ON n.parent = p.id), c AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY ALL) SELECT top AS id, sum(c.n)::BIGINT AS members FROM p JOIN c USING (id) GROUP BY top""")
 def member_rollup(t):
-    nodes = t.nation.select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") > 0, F.expr("(n_nationkey - 1) div 3").cast("int")).alias("parent"))
-    closure = R.tree_paths(nodes).select("id", F.explode("path").alias("top"))
-    c = t.customer.groupBy(F.col("c_nationkey").alias("id")).agg(F.count("*").alias("n"))
+    """The orders at or below each node of the forest."""
+    closure = R.tree_paths(forest(t)).select("id", F.explode("path").alias("top"))
+    c = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
     return closure.join(c, "id").groupBy(F.col("top").alias("id")).agg(F.sum("n").alias("members"))
 
 
+@query(f"""WITH RECURSIVE {FOREST}, p AS (SELECT id, id AS top FROM n UNION ALL SELECT n.id, p.top FROM n JOIN p ON n.parent = p.id), c AS (SELECT o_custkey AS id, year(o_orderdate)::BIGINT AS a, year(o_orderdate)::BIGINT + o_orderkey % 5 AS z FROM orders)
+SELECT top AS id, min(a) AS lo, max(z) AS hi, count(*) AS n FROM p JOIN c USING (id) GROUP BY top""")
+def tree_extents(t):
+    """The first and last years of all orders at or below each node of the forest, summed for each node before they go up."""
+    y = F.year("o_orderdate").cast("long")
+    own = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.min(y).alias("lo"), F.max(y + F.col("o_orderkey") % 5).alias("hi"), F.count("*").alias("n"))
+    closure = R.tree_paths(forest(t)).select("id", F.explode("path").alias("top"))
+    return closure.join(own, "id").groupBy(F.col("top").alias("id")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+
+
 # text ----------------------------------------------------------------------------------------------
 
 @query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w, source FROM documents), f AS (SELECT source, arg_min(w, doc_id) AS f FROM w GROUP BY source)

@@ -6,7 +6,8 @@ from pyspark.sql import Window, functions as F
 
 from almanack.functions import strings as S
 from almanack.operators import chapters as C, graphs as G, lookup as L, resolve as R
-from almanack.plans.catalog import ENTRIES, query
+from almanack.plans.catalog import ENTRIES, FOREST, forest, query
+from almanack.session import keep
 
 _TYPED = """CASE id % 7 WHEN 0 THEN 'event' WHEN 1 THEN 'person' WHEN 2 THEN 'place' WHEN 3 THEN 'concept' WHEN 4 THEN 'work' WHEN 5 THEN 'period' ELSE 'group' END"""
 
@@ -235,22 +236,28 @@ def related_entries(t):
     return G.related(G.co_mentions(_links(t), 6), t.supplier.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("id")))
 
 
-@query("""SELECT n_name AS name, row_number() OVER (ORDER BY n_nationkey % 3 <> 0, (n_nationkey + 1) * ln(1 + n_regionkey) DESC, n_name)::INT AS place FROM nation""")
+@query("""SELECT p_partkey AS name, row_number() OVER (ORDER BY p_partkey % 3 <> 0, round((p_size + 1) * ln(1 + p_partkey % 5), 9) DESC, p_partkey) AS place FROM part""")
 def series_ranks(t):
-    rows = t.nation.select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 3 == 0, "main").otherwise("side").alias("role"), (F.col("n_nationkey") + 1).alias("size"), F.col("n_regionkey").alias("on"))
-    return rows.select("name", F.row_number().over(Window.orderBy(*G.series_order())).alias("place"))
+    from almanack.operators.ranking import numbered
+
+    rows = t.part.select(F.col("p_partkey").alias("name"), F.when(F.col("p_partkey") % 3 == 0, "main").otherwise("side").alias("role"), (F.col("p_size") + 1).alias("size"), (F.col("p_partkey") % 5).alias("on"))
+    return numbered(rows, *G.series_order()).select("name", (F.col("n") + 1).alias("place"))
 
 
-@query("""SELECT id::INT AS id FROM (VALUES (1), (2), (3)) v(id)""")
+@query("""WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey < 3 THEN NULL WHEN c_custkey % 50 = 7 THEN c_custkey + 1 WHEN c_custkey % 50 = 8 THEN c_custkey - 1 WHEN c_custkey % 50 = 9 THEN -5 ELSE (c_custkey - 3) // 3 END AS parent FROM customer),
+p AS (SELECT id FROM n WHERE parent IS NULL UNION ALL SELECT n.id FROM n JOIN p ON n.parent = p.id) SELECT id FROM n WHERE id NOT IN (SELECT id FROM p)""")
 def tree_cycles(t):
-    nodes = t.nation.selectExpr("n_nationkey AS id", "CASE n_nationkey WHEN 0 THEN NULL WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 99 ELSE 0 END AS parent")
-    return G.tree_cycles(nodes)
+    """A forest of all customers with loops of two and parents that aren't there: what no root leads to."""
+    k = F.col("c_custkey")
+    up = F.when(k % 50 == 7, k + 1).when(k % 50 == 8, k - 1).when(k % 50 == 9, -5).otherwise(F.expr("(c_custkey - 3) div 3"))
+    parent = F.when(k >= 3, up)
+    return G.tree_cycles(keep(t.customer.select(k.alias("id"), parent.alias("parent"))))
 
 
-@query("""WITH RECURSIVE n AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey > 0 THEN (n_nationkey - 1) // 3 END AS parent, 100 - n_nationkey AS pl FROM nation), p AS (SELECT id, [100 + pl] AS k FROM n WHERE parent IS NULL UNION ALL SELECT n.id, list_append(p.k, 100 + n.pl) FROM n JOIN p ON n.parent = p.id) SELECT id, row_number() OVER (ORDER BY k)::INT AS n FROM p""")
+@query(f"""WITH RECURSIVE {FOREST}, p AS (SELECT id, [[1000000 - id, id]] AS k FROM n WHERE parent IS NULL UNION ALL SELECT n.id, list_append(p.k, [1000000 - n.id, n.id]) FROM n JOIN p ON n.parent = p.id) SELECT id, row_number() OVER (ORDER BY k) AS n FROM p""")
 def depth_first_order(t):
-    nodes = t.nation.select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") > 0, F.expr("(n_nationkey - 1) div 3").cast("int")).alias("parent"))
-    return G.display_order(R.tree_paths(nodes), t.nation.select(F.col("n_nationkey").alias("id"), (100 - F.col("n_nationkey")).alias("at")))
+    nodes = forest(t)
+    return G.display_order(R.tree_paths(nodes), nodes.select("id", (1_000_000 - F.col("id")).alias("at")))
 
 
 # chapters ------------------------------------------------------------------------------------------------

@@ -62,10 +62,11 @@ def refused_events(t):
 
 @query()
 def mined_events(t):
-    """Of every whole page and document, each event once."""
+    """Of every whole page, document and chronicle, each event once."""
     pages = t.pages.select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("page"), F.col("url").alias("title"), M.page_body(F.col("html")).alias("body"), "html")
     texts = t.documents.select(F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("page"), F.lit("").alias("title"), F.col("text").alias("body"))
-    events, _ = M.mine_events(pages.drop("html").unionByName(texts), tables=M.table_rows(pages))
+    told = chronicles(t).withColumn("page", F.concat(F.lit("customer "), F.col("page").cast("string")))
+    events, _ = M.mine_events(pages.drop("html").unionByName(texts).unionByName(told), tables=M.table_rows(pages))
     return M.told_once(events)
 
 

@@ -62,19 +62,19 @@ def appended_entries(t):
     return TX.read_entries(t.spark, path).select(F.col("id").cast("long").alias("id"), "title", F.col("circa").alias("appended"))
 
 
-@query("""SELECT n_nationkey AS id, n_name || ', "the ' || n_regionkey || '"' AS title, CASE WHEN n_nationkey % 2 = 0 THEN '1990' END AS year_text FROM nation WHERE n_nationkey % 2 = 0""")
+@query("""SELECT p_partkey AS id, p_name || ', "the ' || p_size || '"' AS title, '1990' AS year_text FROM part WHERE p_partkey % 2 = 0""")
 def mapped_csv(t):
-    path = _folder(t)
-    rows = t.nation.select(F.col("n_nationkey").cast("string").alias("key"), F.concat("n_name", F.lit(', "the '), "n_regionkey", F.lit('"')).alias("name"), F.when(F.col("n_nationkey") % 2 == 0, "1990").alias("years"))
+    path, k = _folder(t), F.col("p_partkey")
+    rows = t.part.select(k.cast("string").alias("key"), F.concat("p_name", F.lit(', "the '), F.col("p_size").cast("string"), F.lit('"')).alias("name"), F.when(k % 2 == 0, "1990").alias("years"))
     T.write_csv(rows, path)
     T.write_csv(rows, path)  # the first version stays beside it
     read = TX.map_columns(TX.read_csv(t.spark, path), {"id": "key", "title": "name", "yearText": "years"})
-    return read.select(F.col("id").cast("int").alias("id"), "title", F.col("yearText").alias("year_text"))
+    return read.select(F.col("id").cast("long").alias("id"), "title", F.col("yearText").alias("year_text"))
 
 
-@query('''SELECT n_nationkey AS id, n_nationkey || ',"' || n_name || ', x","say ""hi"""' AS line FROM nation''')
+@query('''SELECT p_partkey AS id, p_partkey || ',"' || p_name || ', x","say ""hi"""' AS line FROM part''')
 def csv_lines(t):
-    return t.nation.select(F.col("n_nationkey").alias("id"), T.csv_line(F.array(F.col("n_nationkey").cast("string"), F.concat("n_name", F.lit(", x")), F.lit('say "hi"'))).alias("line"))
+    return t.part.select(F.col("p_partkey").alias("id"), T.csv_line(F.array(F.col("p_partkey").cast("string"), F.concat("p_name", F.lit(", x")), F.lit('say "hi"'))).alias("line"))
 
 
 @query("""SELECT key, min(id) AS id FROM (SELECT lower(c_name) AS key, c_custkey AS id FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT 'alias ' || c_custkey % 100, c_custkey FROM customer WHERE c_custkey % 7 <> 0) GROUP BY key""")
@@ -93,12 +93,13 @@ def rewritten_chunks(t):
     return t.spark.read.parquet(path).select("id", "title", F.lit(len(again)).alias("rewritten"))
 
 
-@query("""SELECT n_nationkey AS id, true AS found FROM nation""")
+@query("""SELECT s_suppkey AS id, s_name AS name, true AS found FROM supplier""")
 def whole_documents(t):
+    """One document of all suppliers, written whole; what isn't there yet is read as the empty one."""
     path = _folder(t)
-    missing = T.read_document(t.spark, path, t.nation.limit(0)).count()
-    T.write_document(t.nation.select(F.col("n_nationkey").alias("id")), path)
-    return t.spark.read.json(path).select(F.col("id").cast("int").alias("id"), F.lit(missing == 0).alias("found"))
+    missing = T.read_document(t.spark, path, t.supplier.limit(0)).count()
+    T.write_document(t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), path)
+    return t.spark.read.json(path).select("id", "name", F.lit(missing == 0).alias("found"))
 
 
 @query(f"""WITH {ENTRIES} SELECT id, start, CASE WHEN "end" <> start THEN "end" END AS "end", CASE WHEN kind = 'span' THEN 1 END AS span, CASE WHEN id % 2 = 0 THEN '~a/' || id ELSE NULL END AS image, CASE WHEN id % 3 = 0 THEN 'It was long.' END AS sentence, CASE WHEN id % 50 > 0 THEN least(9, floor(ln(1 + id % 50) + 0.5))::BIGINT END AS fame FROM entries""")
@@ -221,7 +222,7 @@ def crawl_list(t):
 def job_list(t):
     """A line for each part: a comment, a page with options, a range of years."""
     path, k, n = _folder(t), F.col("p_partkey"), F.col("p_size")
-    line = F.when(k % 3 == 0, F.concat(F.lit("# "), "p_name")).when(k % 3 == 1, F.concat(F.lit("Timeline of "), "p_name", F.lit(" | events="), n.cast("string"), F.lit(" in film; "), "p_brand"))
+    line = F.when(k % 3 == 0, F.concat(F.lit("# "), "p_name")).when(k % 3 == 1, F.concat(F.lit("Timeline of "), "p_name", F.lit(" | events="), n.cast("string"), F.lit(" in film; "), "p_type"))
     t.part.select(F.coalesce(line, F.concat(n.cast("string"), F.lit(".."), (n + 1).cast("string"), F.lit(" in "), "p_name")).alias("value")).write.text(path)
     jobs = TX.read_job_list(t.spark, path)
     said = F.transform(F.map_entries("options"), lambda e: F.concat(e["key"], F.lit(": ["), F.array_join(e["value"], ", "), F.lit("]")))
@@ -323,9 +324,9 @@ def result_sentences(t):
     return X.results(rows, "the cup").select("id", "year", "sentence")
 
 
-@query("""SELECT (1900 + n_nationkey)::BIGINT AS year, unnest([n_name || ' wins the open', 'R' || n_regionkey || ' wins the masters']) AS title FROM nation WHERE n_nationkey > 0""")
+@query("""SELECT (1700 + p_partkey % 320)::BIGINT AS year, unnest([p_name || ' ' || p_partkey || ' wins the open', 'R' || p_partkey || ' wins the masters']) AS title FROM part WHERE p_partkey % 9 <> 0""")
 def column_winners(t):
-    rows = t.nation.selectExpr("CAST(1900 + n_nationkey AS STRING) AS y", "CASE WHEN n_nationkey = 0 THEN 'Cancelled' ELSE n_name || ' (2/3)' END AS a", "CASE WHEN n_nationkey = 0 THEN 'None' ELSE 'R' || n_regionkey END AS b")
+    rows = t.part.selectExpr("CAST(1700 + p_partkey % 320 AS STRING) AS y", "CASE WHEN p_partkey % 9 = 0 THEN 'Cancelled' ELSE p_name || ' ' || p_partkey || ' (2/3)' END AS a", "CASE WHEN p_partkey % 9 = 0 THEN 'None' ELSE 'R' || p_partkey END AS b")
     return X.column_winners(rows, "y", {"a": "the open", "b": "the masters"}, one=True)
 
 
@@ -604,10 +605,11 @@ def lane_rows(t):
     return L.lane_rows(marks, {"events": 2}).select("lane", "id", "row")
 
 
-@query("""WITH l AS (SELECT n_regionkey AS section, n_nationkey AS seq, n_nationkey % 4 AS r, n_regionkey = 2 AS folded, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1 AS f FROM nation), h AS (SELECT *, CASE WHEN folded THEN 0 ELSE 14 + 18 * r + 6 END AS h, CASE WHEN f THEN 22 ELSE 0 END AS s FROM l)
+@query("""WITH l AS (SELECT p_size AS section, p_partkey AS seq, p_partkey % 4 AS r, p_size = 2 AS folded, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) = 1 AS f FROM part), h AS (SELECT *, CASE WHEN folded THEN 0 ELSE 14 + 18 * r + 6 END AS h, CASE WHEN f THEN 22 ELSE 0 END AS s FROM l)
 SELECT seq, (sum(h + s) OVER (ORDER BY section, seq) - h)::DOUBLE AS y FROM h""")
 def stacked_lanes(t):
-    return L.stack_lanes(t.nation.select(F.col("n_regionkey").alias("section"), F.col("n_nationkey").alias("seq"), (F.col("n_nationkey") % 4).alias("rows"), (F.col("n_regionkey") == 2).alias("folded"))).select("seq", "y")
+    k = F.col("p_partkey")
+    return L.stack_lanes(t.part.select(F.col("p_size").alias("section"), k.alias("seq"), (k % 4).alias("rows"), (F.col("p_size") == 2).alias("folded"))).select("seq", "y")
 
 
 @query(f"""WITH {ENTRIES} SELECT id FROM entries WHERE start <= 1998.5 AND coalesce("end", start) >= 1997.5 AND (id % 100) / 100.0 BETWEEN 0.25 AND 0.5""")
