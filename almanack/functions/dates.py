@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 YEAR_NOW = 2026
+#: Ages from here on fit no long and are no dates.
+LARGEST = 2.0**62
 _SCALE = {"ga": 10**9, "ma": 10**6, "ka": 10**3, "kya": 10**3, "mya": 10**6, "gya": 10**9, "billion": 10**9, "million": 10**6, "thousand": 10**3, "": 1}
 _NUMBER = r"\d[\d,]*(?:\.\d+)?"
 _AGO = re.compile(rf"({_NUMBER})\s*(?:(Ga|Ma|ka|kya|mya|gya)\b|(billion|million|thousand)?\s*(years ago|BP\b)?)", re.I)
@@ -26,8 +28,8 @@ def is_circa(c: Column) -> Column:
     return c.rlike(r"(?i)(^|\W)(c|ca|circa|fl)(\.|\s|$)|[~?]")
 
 
-def _ago(text: str) -> tuple[int, int] | None:
-    """Spans told as time before now: units on either side; one without a unit takes the other's."""
+def _ago(text: str) -> tuple[int | None, int | None] | None:
+    """Spans told as time before now: units on either side; one without a unit takes the other's. Of an age that no long holds, two nulls."""
     if not re.search(r"\b(Ga|Ma|ka|kya|mya|gya|BP)\b|years ago", text, re.I) or re.search(r"\b(BC|BCE|AD|CE)\b", text):
         return None
     text = re.sub(rf"±\s*{_NUMBER}(?:\s*(?:Ga|Ma|ka))?", lambda m: re.sub(r"[\d.,±\s]+", " ", m[0]), text)
@@ -50,6 +52,8 @@ def _ago(text: str) -> tuple[int, int] | None:
             f[1], f[2], f[3] = last[1], last[2], last[3]
     years = []
     for value, unit, _, bp in found[:2]:
+        if not value * _SCALE[unit or ""] < LARGEST:
+            return None, None
         age = round(value * _SCALE[unit or ""])
         years.append(1950 - age if bp and age < 100_000 else -age)
     return years[0], years[-1]
@@ -60,7 +64,7 @@ def parse_years_text(text: str | None, now: int = YEAR_NOW) -> tuple[int, int] |
     if not text:
         return None
     if (span := _ago(text)) is not None:
-        return span
+        return None if span[0] is None else span
     text = re.sub(r"(?<=\d),(?=\d{3})", "", text)
     bc = lambda s: bool(re.search(r"\bB\.?C", s, re.I))
     ad = lambda s: bool(re.search(r"\bA\.?D|\bC\.?E", s, re.I)) and not bc(s)
