@@ -428,11 +428,13 @@ def place_in_tree(rows: DataFrame, nodes: DataFrame, start: Column | None = None
 
 def fill_gaps(rows: DataFrame) -> DataFrame:
     """(id, y) of rows (id, leaf, projection, y or null, inner0, inner1): newcomers of a leaf are spread evenly between the known
-    places before and after them along its axis."""
+    places before and after them along its axis. The one after is the one before in the reverse order: a frame up to the
+    end of a leaf would be read anew for each of its rows."""
     w = Window.partitionBy("leaf").orderBy("projection", "id")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    so_far = lambda order: order.rowsBetween(Window.unboundedPreceding, 0)
+    back, ahead = so_far(w), so_far(Window.partitionBy("leaf").orderBy(F.desc("projection"), F.desc("id")))
     r = rows.withColumns({
-        "lo": F.coalesce(F.last("y", True).over(back), F.col("inner0")), "hi": F.coalesce(F.first("y", True).over(ahead), F.col("inner1")),
+        "lo": F.coalesce(F.last("y", True).over(back), F.col("inner0")), "hi": F.coalesce(F.last("y", True).over(ahead), F.col("inner1")),
         "run": F.count("y").over(back), "new": F.col("y").isNull(),
     })
     inside = Window.partitionBy("leaf", "run", "new")
