@@ -12,23 +12,32 @@ DEEP_TIME = 100_000
 
 def order_questions(pool: DataFrame, seeds: DataFrame, n: int = 4, apart: int = 2, near: int = 1, seed: int = 0) -> DataFrame:
     """(seed, items): for each seed (id) four entries of the pool (id, chapter, anchor) from its chapter or the next ones to put in order, any two
-    at least two years apart; seeds without four make none."""
+    at least two years apart; seeds without four make none.
+
+    The draw goes over years, of which a score is enough: a year's number is the least of as many as it has entries, and of those
+    one is drawn by its place. So seeds meet the years around their chapter, not its entries.
+    """
+    around = pool.select("id", "anchor", F.explode(F.sequence(F.col("chapter") - near, F.col("chapter") + near)).alias("c"))
+    placed = around.withColumn("place", F.row_number().over(Window.partitionBy("c", "anchor").orderBy("id")) - 1)
+    years = around.groupBy("c", "anchor").agg(F.count("*").alias("of"))
     s = pool.join(seeds.select("id"), "id", "left_semi").select(F.col("id").alias("seed"), F.col("chapter").alias("c"), F.col("anchor").alias("y"))
-    s = s.withColumn("chapter", F.explode(F.sequence(F.col("c") - near, F.col("c") + near)))
-    # one entry a year is enough, and a score of years: the draw goes over years
-    drawn = uniform(F.col("seed"), F.col("id"), seed=seed)
-    met = s.join(pool, "chapter").where((F.col("id") != F.col("seed")) & (F.abs(F.col("anchor") - F.col("y")) >= apart))
-    year = met.groupBy("seed", "y", "anchor").agg(F.min_by(F.struct("id"), drawn).alias("x"), F.min(drawn).alias("u"))
-    few = year.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("u", "anchor"))).where("r <= 40")
-    lists = few.groupBy("seed", "y").agg(F.sort_array(F.collect_list(F.struct("u", "anchor", F.col("x.id").alias("id")))).alias("xs"))
-    first = F.array(F.struct(F.col("y").alias("anchor"), F.col("seed").alias("id")))
+    met = s.join(years, "c").where(F.abs(F.col("anchor") - F.col("y")) >= F.greatest(F.lit(apart), F.lit(1)))
+    drawn = met.withColumn("u", 1 - F.pow(1 - uniform(F.col("seed"), F.col("anchor"), seed=seed), 1 / F.col("of")))
+    few = drawn.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("u", "anchor"))).where("r <= 40")
+    lists = few.groupBy("seed", "c", "y").agg(F.sort_array(F.collect_list(F.struct("u", "anchor", "of"))).alias("xs"))
+    first = F.array(F.struct(F.col("y").alias("anchor"), F.lit(0).cast("long").alias("of")))
 
     def step(out, x):
         clash = F.exists(out, lambda o: F.abs(o["anchor"] - x["anchor"]) < apart)
-        return F.when((F.size(out) >= n) | clash, out).otherwise(F.concat(out, F.array(F.struct(x["anchor"].alias("anchor"), x["id"].alias("id")))))
-
-    items = F.aggregate("xs", first, step)
-    return lists.select("seed", items.alias("items")).where(F.size("items") == n)
+        return F.when((F.size(out) >= n) | clash, out).otherwise(F.concat(out, F.array(F.struct(x["anchor"].alias("anchor"), x["of"].alias("of")))))
+
+    chosen = lists.select("seed", "c", F.aggregate("xs", first, step).alias("items")).where(F.size("items") == n).select("seed", "c", F.posexplode("items").alias("at", "x"))
+    place = F.floor(uniform(F.col("seed"), F.col("x.anchor"), seed=seed + 1) * F.col("x.of"))
+    wanted = chosen.select("seed", "c", "at", F.col("x.anchor").alias("anchor"), place.cast("int").alias("place"))
+    drawn = wanted.where("at > 0").join(placed, ["c", "anchor", "place"]).select("seed", "at", "anchor", "id")
+    both = drawn.unionByName(wanted.where("at = 0").select("seed", "at", "anchor", F.col("seed").alias("id")))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("at", "anchor", "id"))), lambda x: F.struct(x["anchor"].alias("anchor"), x["id"].alias("id")))
+    return both.groupBy("seed").agg(items.alias("items"))
 
 
 def choice_questions(pool: DataFrame, group: str, n: int = 4, seed: int = 0) -> DataFrame:
