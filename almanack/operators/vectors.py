@@ -37,16 +37,28 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int):
-    """(query, neighbour, sim) of the k nearest of a block, by parts of at most 16 MB of similarities."""
-    step = max(1, (2 << 20) // max(1, len(ids)))
+    """(query, neighbour, sim) of the k nearest of a block, by parts of at most 16 MB of similarities.
+
+    Rows are not sorted: the k-th greatest of the maxima of parts of a row is no more than its k-th similarity, and only what reaches it is ordered.
+    """
+    step, part = max(1, (2 << 20) // max(1, len(ids))), 32
     for lo in range(0, len(q), step):
         some = q_ids[lo : lo + step]
         sims = q[lo : lo + step] @ matrix.T
         sims[some[:, None] == ids[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(ids, sims.shape), -np.round(sims, 9)), axis=1)[:, :k]
-        found = np.take_along_axis(sims, order, 1)
-        row, col = np.nonzero(np.isfinite(found))
-        yield some[row], ids[order[row, col]], found[row, col]
+        whole = len(ids) // part * part
+        if whole >= part * k:
+            tops = np.nan_to_num(np.fmax.reduce(sims[:, :whole].reshape(len(sims), -1, part), axis=2), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            row, col = np.nonzero(sims >= np.partition(tops, -k, axis=1)[:, -k, None] - 2e-9)
+        else:
+            row, col = np.nonzero(~np.isnan(sims))
+        order = np.lexsort((ids[col], -np.round(sims[row, col], 9), row))
+        row, col = row[order], col[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col = row[first], col[first]
+        found = sims[row, col]
+        held = np.isfinite(found)
+        yield some[row[held]], ids[col[held]], found[held]
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
