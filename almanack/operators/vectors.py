@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from almanack.session import keep
+
 #: Rows of either side of the neighbour search that meet in one task.
 BLOCK_ROWS = 8192
 
@@ -91,6 +93,7 @@ def update_neighbours(cached: DataFrame, rows: DataFrame, k: int, block_rows: in
     Rows that are new, or that lost a neighbour, are compared with all; the others keep their lists and are compared with
     the new rows only. The result is that of knn over all rows.
     """
+    cached = keep(cached.select("id", "neighbour", "sim"))  # read six times, and maybe the result of a search
     live = rows.select("id")
     gone = cached.join(live.select(F.col("id").alias("neighbour")), "neighbour", "left_anti").select("id").distinct()
     kept = cached.join(live, "id", "left_semi").join(gone, "id", "left_anti")
