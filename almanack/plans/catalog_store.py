@@ -12,7 +12,7 @@ from pyspark.sql import Window, functions as F
 from almanack.functions import strings as S, when as W
 from almanack.operators import extract as X, layout as L, quality as Q, quiz as Z, search as R
 from almanack.plans.catalog import ENTRIES, query
-from almanack.session import checkpoint_folder
+from almanack.session import checkpoint_folder, spread
 from almanack.sources import store as T, text as TX, web as B
 from almanack.streaming import progress as P
 
@@ -271,7 +271,7 @@ _HTML = """<p>Lead text about <a href="/wiki/Rome">Rome</a> that is long enough
 
 @query("""SELECT p_partkey AS id, level, title, links, paras FROM part, (VALUES (1, '(lead)', 'Rome:1', 1), (2, 'History', 'Ancient Rome:4 Odoacer:1', 1), (3, 'Kings', '', 0), (2, 'Legacy', '', 1)) v(level, title, links, paras)""")
 def article_sections(t):
-    rows = t.part.select(F.col("p_partkey").alias("id"), F.explode(X.sections(F.concat(F.lit(_HTML), F.lit("<!--"), F.col("p_partkey").cast("string"), F.lit("-->")))).alias("s"))
+    rows = spread(t.part).select(F.col("p_partkey").alias("id"), F.explode(X.sections(F.concat(F.lit(_HTML), F.lit("<!--"), F.col("p_partkey").cast("string"), F.lit("-->")))).alias("s"))
     links = F.array_join(F.transform("s.links", lambda x: F.concat(x["target"], F.lit(":"), x["weight"].cast("string"))), " ")
     return rows.select("id", "s.level", "s.title", links.alias("links"), F.size("s.paras").alias("paras"))
 
@@ -281,7 +281,7 @@ def prose_links(t):
     k = F.col("p_partkey").cast("string")
     link = lambda c: F.concat(F.lit('<a href="/wiki/'), F.replace(c, F.lit(" "), F.lit("_")), F.lit('">'), c, F.lit("</a>"))
     html = F.concat(F.lit("In   the year "), (F.col("p_partkey") + 100).cast("string"), F.lit(" "), link(F.col("p_name")), F.lit(" &amp; "), link(F.col("p_type")), F.lit('<sup class="reference"><a href="/wiki/N">1</a></sup> ruled\nall.'))
-    p = t.part.select(F.col("p_partkey").alias("id"), X.prose(html).alias("p"))
+    p = spread(t.part).select(F.col("p_partkey").alias("id"), X.prose(html).alias("p"))
     return p.select("id", "p.text", F.explode("p.links").alias("l")).select("id", "text", "l.target", F.col("l.at").alias("place"))
 
 
@@ -294,7 +294,7 @@ def table_events(t):
         F.lit("<h2>Kings of "), "p_name", F.lit(' [edit]</h2><table class="wikitable"><tr><th>Year</th><th>Event</th><th>x</th></tr><tr><td rowspan=3>'), when, F.lit("</td><td>The battle of "), "p_type",
         F.lit(" took place</td><td>1</td></tr><tr><td>The crown of "), "p_type", F.lit(" was taken there</td><td>2</td></tr><tr><td colspan=2>One more thing over two cells there</td></tr></table><table><tr><td>1066</td><td>plain</td></tr></table>"),
     )
-    return X.headed_table_events(t.part.select(F.col("p_partkey").alias("page_id"), html.alias("html")))
+    return X.headed_table_events(spread(t.part).select(F.col("p_partkey").alias("page_id"), html.alias("html")))
 
 
 @query("""SELECT p_partkey AS page_id, 1000 + p_partkey % 800 AS start, 'The battle of ' || p_name AS text FROM part""")
@@ -302,7 +302,7 @@ def mined_tables(t):
     from almanack.operators.tables import mine_tables
 
     html = F.concat(F.lit("<table><tr><th>Year</th><th>Event</th></tr><tr><td>"), (1000 + F.col("p_partkey") % 800).cast("string"), F.lit("</td><td>The battle of "), "p_name", F.lit("</td></tr></table>"))
-    return mine_tables(t.part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))).select("page_id", "start", "text")
+    return mine_tables(spread(t.part).select(F.col("p_partkey").alias("page_id"), html.alias("html"))).select("page_id", "start", "text")
 
 
 @query("""SELECT p_partkey AS page_id, heading, target FROM (SELECT p_partkey, unnest(['', 'Kings', 'Kings', 'Wars']) AS heading, unnest([p_name, 'Romulus ' || p_partkey, 'Numa', p_type]) AS target FROM part)""")
@@ -313,7 +313,7 @@ def box_members(t):
         F.lit('<div class="x"></div><table class="sidebar"><tr><th class="sidebar-title"><a href="/wiki/'), name, F.lit('">T</a></th></tr><tr><th class="sidebar-heading">Kings</th></tr><tr><td><a href="/wiki/Romulus_'), F.col("p_partkey").cast("string"),
         F.lit('">R</a> <a href="/wiki/Numa">N</a><table><tr><td><a href="/wiki/'), name, F.lit('">again</a></td></tr></table></td></tr><tr><th class="sidebar-heading">Wars</th></tr><tr><td><a href="/wiki/'), brand, F.lit('">P</a></td></tr></table><a href="/wiki/Outside">o</a>'),
     )
-    return X.box_members(t.part.select(F.col("p_partkey").alias("page_id"), html.alias("html")))
+    return X.box_members(spread(t.part).select(F.col("p_partkey").alias("page_id"), html.alias("html")))
 
 
 @query("""SELECT o_orderkey AS id, year(o_orderdate)::BIGINT AS year, year(o_orderdate) || ' – Team ' || o_custkey || ' win the cup' || CASE WHEN o_orderkey % 2 = 0 THEN ', beating Team 0 ' || (o_orderkey % 9) || '–0' ELSE '' END || '.' AS sentence FROM orders WHERE o_orderkey % 5 <> 0""")
