@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from almanack.functions.when import season_year
 from almanack.operators.extract import NOT_HELD
 from almanack.operators.tables import table_rows
+from almanack.session import keep, spread
 
 # Headers of columns.
 YEAR = r"(?i)^(year|season|date)"
@@ -55,11 +56,13 @@ def mine_results(pages: DataFrame, recipes: DataFrame, now: int) -> DataFrame:
     another competition. Recipes are few and stay a table; pages without one go before their tables are read.
     """
     held = pages.join(recipes.select("title"), "title", "left_semi")
-    rows = table_rows(held).join(pages.select("page", "title"), "page").join(recipes, "title")
-    rows = rows.join(body_columns(rows), ["page", "table"], "left")
+    # a page may be long: pages are dealt over tasks, and parsed once; columns are found once a table
+    rows = keep(table_rows(spread(held, "page")))
+    per = rows.groupBy("page", "table").agg(F.first("head").alias("head"), F.count("*").alias("n"))
+    per = per.join(pages.select("page", "title"), "page").join(recipes, "title").join(body_columns(rows), ["page", "table"], "left")
     pattern = lambda c, usual: F.coalesce(F.col(c), F.lit(usual))
     head = lambda usual: _place(F.lit(usual))
-    rows = rows.withColumns({
+    per = per.withColumns({
         "y": F.coalesce(head(YEAR), F.col("season_at")), "w": _place(pattern("win", WIN)), "l": F.when(F.coalesce("no_loser", F.lit(False)), None).otherwise(head(LOSE)), "s": F.coalesce(head(SCORE), F.col("score_at")),
         "g": _place(F.col("game")), "x": _place(F.col("extra")), "a": _place(F.get("between", F.lit(0))), "b": _place(F.get("between", F.lit(1))),
     })
@@ -68,18 +71,19 @@ def mine_results(pages: DataFrame, recipes: DataFrame, now: int) -> DataFrame:
     verb = F.when(one, "wins").otherwise("win")
     year = season_year(at(F.col("y")))
     of_columns = F.filter(F.transform("columns", lambda c: F.struct(F.array_position(F.transform("head", lambda h: F.regexp_like(h, c["header"])), True).alias("i"), c["name"].alias("name"))), lambda c: c["i"] > 0)
-    rows = rows.withColumn("many", of_columns)
+    scores = F.filter(F.transform("head", lambda h, i: F.when(F.regexp_like(h, F.lit("(?i)^score$")), i).otherwise(-1)), lambda i: i >= 0)
+    per = per.withColumns({"many": of_columns, "scores": scores})
     usable = F.col("y").isNotNull() & F.when(F.col("columns").isNotNull(), F.size("many") >= 2).when(two, F.col("a").isNotNull() & F.col("b").isNotNull()).otherwise(F.col("w").isNotNull())
-    rows = rows.where(usable).withColumn("n", F.count("*").over(Window.partitionBy("page", "table")))
-    best = rows.groupBy("page").agg(F.max(F.struct("n", (-F.col("table")).alias("t"))).alias("m"))
-    rows = rows.join(best, "page").where(F.coalesce("every", F.lit(False)) | (F.col("table") == -F.col("m.t")))
+    per = keep(per.where(usable).drop("head"))
+    best = per.groupBy("page").agg(F.max(F.struct("n", (-F.col("table")).alias("t"))).alias("m"))
+    per = per.join(best, "page").where(F.coalesce("every", F.lit(False)) | (F.col("table") == -F.col("m.t")))
+    rows = per.join(spread(rows.drop("head")).hint("merge"), ["page", "table"])
 
     bold = lambda i: F.coalesce(F.get("cells", i)["bold"], F.lit(False))
     flip = two & ~bold(F.col("a"))
     winner = F.when(two, F.when(bold(F.col("a")) == bold(F.col("b")), "").when(flip, at(F.col("b"))).otherwise(at(F.col("a")))).otherwise(at(F.col("w")))
     loser = F.when(two, F.when(flip, at(F.col("a"))).otherwise(at(F.col("b")))).when(F.col("l").isNotNull(), at(F.col("l"))).otherwise("")
-    scores = F.filter(F.transform("head", lambda h, i: F.when(F.regexp_like(h, F.lit("(?i)^score$")), i).otherwise(-1)), lambda i: i >= 0)
-    score = F.when(F.coalesce("two_scores", F.lit(False)) & (F.size(scores) >= 2), F.concat_ws("–", at(F.get(scores, F.lit(0))), at(F.get(scores, F.lit(1))))).when(F.col("s").isNotNull(), at(F.col("s"))).otherwise("")
+    score = F.when(F.coalesce("two_scores", F.lit(False)) & (F.size("scores") >= 2), F.concat_ws("–", at(F.get("scores", F.lit(0))), at(F.get("scores", F.lit(1))))).when(F.col("s").isNotNull(), at(F.col("s"))).otherwise("")
     score = F.when(flip, F.array_join(F.reverse(F.split(score, "[–-]")), "–")).otherwise(score)
     comp = F.trim(F.replace(F.coalesce("comp", F.lit("")), F.lit("{game}"), F.when(F.col("g").isNotNull(), at(F.col("g"))).otherwise("")))
     extra = F.when(F.col("x").isNotNull(), at(F.col("x"))).otherwise("")
