@@ -110,31 +110,76 @@ def axis_stops(axes: DataFrame, group: str, step: float, px: float) -> DataFrame
     return s.withColumn("t", F.explode(years)).select(group, F.col("t.year").alias("year"), (F.col("s.px0") + (F.col("t.year") - F.col("s.y0")) * px).alias("x"), F.col("t.edge").alias("edge"))
 
 
+class _Taken:
+    """Which rows hold something over a stretch, a bit a row, in a tree over all ends of stretches: what is put in or asked for takes steps by the
+    logarithm of their number. Stretches that only touch don't meet; one without width meets those that it lies inside."""
+
+    def __init__(self, ends):
+        self.at = {x: 2 * i for i, x in enumerate(sorted(set(ends)))}  # even places are ends, odd ones lie between
+        self.n = max(1, 2 * len(self.at))
+        self.wide, self.points = ([0] * (2 * self.n), [0] * (2 * self.n)), ([0] * (2 * self.n), [0] * (2 * self.n))
+
+    def _nodes(self, a, b):
+        i, j = self.at[a], self.at[b]
+        lo, hi = (i + self.n, j + self.n + 1) if i == j else (i + 1 + self.n, j + self.n)
+        while lo < hi:
+            if lo & 1:
+                yield lo
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                yield hi
+            lo, hi = lo >> 1, hi >> 1
+
+    def put(self, a, b, rows: int) -> None:
+        whole, some = self.points if a == b else self.wide
+        for v in self._nodes(a, b):
+            whole[v] |= rows
+            while v:
+                some[v] |= rows
+                v >>= 1
+
+    def met(self, a, b) -> int:
+        out = 0
+        for whole, some in (self.wide,) if a == b else (self.wide, self.points):
+            for v in self._nodes(a, b):
+                out |= some[v]
+                while v := v >> 1:
+                    out |= whole[v]
+        return out
+
+
 def pack_cards(cards: list[dict], rows: int | None = None, optional: list[dict] = (), pad: float = 4.0) -> dict:
     """{id: row} of cards (id, left, right, height in rows, line: a stretch above it or None), in the order given: each in the first row
     where all its rows are free and its line crosses neither another line nor the inside of a taller card. Optional cards come
     last, within `rows` rows, or not at all."""
-    taken: dict[int, list[tuple[float, float]]] = {}
-    lines: dict[int, list[tuple[float, float]]] = {}
+    every = [*cards, *optional]
+    lined = [(c["line"][0] - pad, *c["line"], c["line"][1] + pad) for c in every if c.get("line")]
+    taken, lines = _Taken(x for c in every for x in (c["left"], c["right"])), _Taken(x for xs in ([(c["left"], c["right"]) for c in every] + lined if lined else ()) for x in xs)
     out: dict = {}
 
-    def free(held, row, a, b):
-        return all(b <= x or y <= a for x, y in held.get(row, ()))
-
     def place(c, last):
-        row, (a, b), line = 0, (c["left"], c["right"]), c.get("line")
-        while last is None or row + c["height"] <= last:
-            inner = range(row + 1, row + c["height"])
-            if all(free(taken, r, a, b) for r in range(row, row + c["height"])) and all(free(lines, r, a, b) for r in inner) and (not line or free(lines, row, line[0] - pad, line[1] + pad)):
-                for r in range(row, row + c["height"]):
-                    taken.setdefault(r, []).append((a, b))
-                for r in inner:
-                    lines.setdefault(r, []).append((a, b))
-                if line:
-                    lines.setdefault(row, []).append(tuple(line))
-                out[c["id"]] = row
-                return
-            row += 1
+        (a, b), h, line = (c["left"], c["right"]), c["height"], c.get("line")
+        held = taken.met(a, b)
+        blocked = 0
+        for k in range(h):
+            blocked |= held >> k
+        if lined:
+            over = lines.met(a, b)
+            for k in range(1, h):
+                blocked |= over >> k
+            if line:
+                blocked |= lines.met(line[0] - pad, line[1] + pad)
+        row = (~blocked & (blocked + 1)).bit_length() - 1  # the first bit that isn't set
+        if last is not None and row + h > last:
+            return
+        taken.put(a, b, ((1 << h) - 1) << row)
+        if lined:
+            if h > 1:
+                lines.put(a, b, ((1 << (h - 1)) - 1) << (row + 1))
+            if line:
+                lines.put(*line, 1 << row)
+        out[c["id"]] = row
 
     for c in cards:
         place(c, None)
