@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from almanack.functions import text as X
 from almanack.functions.dates import find_date_span, is_circa, parse_years_text
 from almanack.operators.tables import mine_tables
+from almanack.session import keep
 
 # Sections that are no content; the age of the Earth in years; words of a date told as time before now.
 SKIP_SECTION = r"(?i)^(?:see also|references?|further reading|external links?|notes?|bibliography|sources?|footnotes?|citations?|gallery)$"
@@ -20,25 +21,25 @@ TIERS = ("mined-table", "mined-line", "mined-prose")
 #: Letters that an event needs if its date governs its text, and if it stands within a sentence.
 DATED_LEAST, PROSE_LEAST, MOST, HEADING_SPAN = 12, 40, 700, 25
 
-_DATE = T.StructType([T.StructField("text", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_DATE = T.StructType([T.StructField("text", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("nth", T.IntegerType())])
 
 
-def dates_in(c: Column, mode: str) -> Column:
-    """struct (text, at, start, end) of the date in each text, all null without one; texts without a digit are passed over."""
+def dates_in(c: Column, mode: str, *more: Column) -> Column:
+    """struct (text, at, start, end, nth) of the date in the first of each row's texts that has one, all null without one; texts without a digit
+    are passed over."""
 
-    def one(t: str | None) -> tuple:
-        if not t or not any(map(str.isdigit, t)) or (found := find_date_span(t, mode)) is None:
-            return None, None, None, None
-        said = t[found[0] : found[1]]
-        span = parse_years_text(said)
-        return (said, found[0], *span) if span else (None, None, None, None)
+    def one(*said: str | None) -> tuple:
+        for i, t in enumerate(said):
+            if t and any(map(str.isdigit, t)) and (found := find_date_span(t, mode)) is not None and (span := parse_years_text(t[found[0] : found[1]])):
+                return t[found[0] : found[1]], found[0], *span, i
+        return (None,) * 5
 
     @F.pandas_udf(_DATE)
-    def dates(texts: pd.Series) -> pd.DataFrame:
-        a, b, c, d = zip(*map(one, texts)) if len(texts) else ((),) * 4
-        return pd.DataFrame({"text": pd.array(a, "string"), "at": pd.array(b, "Int32"), "start": pd.array(c, "Int64"), "end": pd.array(d, "Int64")})
+    def dates(*texts: pd.Series) -> pd.DataFrame:
+        text, at, start, end, nth = zip(*map(one, *texts)) if len(texts[0]) else ((),) * 5
+        return pd.DataFrame({"text": pd.array(text, "string"), "at": pd.array(at, "Int32"), "start": pd.array(start, "Int64"), "end": pd.array(end, "Int64"), "nth": pd.array(nth, "Int32")})
 
-    return dates(c)
+    return dates(c, *more)
 
 
 def tidy_line(c: Column) -> Column:
@@ -89,15 +90,15 @@ def candidates(lines: DataFrame) -> DataFrame:
     (page, title, section, n, m, tier, date, chunk, body): m is the sentence of its line; body is the chunk
     without a leading date.
     """
-    own = lines.withColumn("a", dates_in(F.col("line"), "anchored"))
-    lent = F.when(F.col("a.text").isNull() & F.col("carried").isNotNull(), F.concat_ws(" – ", "carried", "line"))
-    own = own.withColumn("lent", lent).withColumn("b", dates_in(F.col("lent"), "anchored"))
-    by_line = F.coalesce(F.when(F.col("a.text").isNotNull(), F.col("a")), F.when(F.col("b.text").isNotNull(), F.col("b")))
-    own = own.withColumn("date", by_line).withColumn("chunk", F.when(F.col("a.text").isNull() & F.col("lent").isNotNull(), F.col("lent")).otherwise(F.col("line")))
-    strict = own.where("date IS NOT NULL").select("page", "title", "section", "n", F.lit(0).alias("m"), F.lit(1).alias("tier"), "date", "chunk")
-    said = own.where("date IS NULL").select("page", "title", "section", "n", F.posexplode(X.timeline_sentences("line")).alias("m", "chunk"))
-    loose = said.withColumn("date", dates_in(F.col("chunk"), "loose")).where("date.text IS NOT NULL").select("page", "title", "section", "n", "m", F.lit(2).alias("tier"), "date", "chunk")
-    both = strict.unionByName(loose)
+    lent = F.when(F.col("carried").isNotNull(), F.concat_ws(" – ", "carried", "line"))
+    own = lines.withColumn("lent", lent).withColumn("own", dates_in(F.col("line"), "anchored", F.col("lent")))
+    strict = F.col("own.text").isNotNull()
+    # one pass: what has a date of its own is one chunk, the rest is cut into sentences, and only those are asked again
+    chunk = F.when(strict, F.array(F.when(F.col("own.nth") == 1, F.col("lent")).otherwise(F.col("line")))).otherwise(X.timeline_sentences(F.when(~strict, F.col("line"))))
+    said = own.select("page", "title", "section", "n", "own", F.posexplode(chunk).alias("m", "chunk"))
+    said = said.withColumn("loose", dates_in(F.when(~strict, F.col("chunk")), "loose"))
+    date = F.when(strict, F.col("own")).otherwise(F.col("loose"))  # unnested, as a filter would ask for dates twice
+    both = said.select("page", "title", "section", "n", "m", F.when(strict, 1).otherwise(2).alias("tier"), F.explode(F.filter(F.array(date), lambda d: d["text"].isNotNull())).alias("date"), "chunk")
     before, after = F.expr("left(chunk, date.at)"), F.expr("substring(chunk, date.at + length(date.text) + 1)")
     leads = tidy_line(before) == ""
     return both.withColumn("body", tidy_line(F.when(leads, F.concat(before, after)).otherwise(F.col("chunk")))).withColumn("least", F.when(leads, DATED_LEAST).otherwise(PROSE_LEAST))
@@ -127,7 +128,7 @@ def mine_events(pages: DataFrame, limit: int = 400, tables: DataFrame | None = N
         rows = rows.unionByName(tables.select("page", F.lit(0).alias("tier"), F.lit(0).alias("n"), F.lit(0).alias("m"), F.lit("").alias("section"), text.alias("excerpt"), text.alias("body"), F.lit(DATED_LEAST).alias("least"), F.lit("").alias("year_text"), "start", "end"))
     rows = rows.withColumn("name", X.title_from(F.col("body"))).where((F.length("name") >= 3) & (F.length(F.regexp_replace("body", X.DANGLING, "")) >= F.col("least")) & (F.length("excerpt") <= MOST))
     reason = F.when(ambiguous_separator(F.col("year_text")), "ambiguous separator").when(F.col("end") < F.col("start"), "backwards span")
-    rows = rows.withColumn("reason", reason)
+    rows = keep(rows.withColumn("reason", reason))  # texts are read once, for both tiers and what is refused
     refused = rows.where("reason IS NOT NULL").select("page", "name", "year_text", "reason")
     kept = rows.where("reason IS NULL").withColumn("key", F.lower("name"))
 
