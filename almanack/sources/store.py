@@ -194,6 +194,10 @@ def import_matrix(spark: SparkSession, path: str, ids: DataFrame, dim: int) -> D
 # layouts that are served ----------------------------------------------------------------------------------
 
 
+#: Blocks of row numbers that lie in one folder, sorted, so that a file's statistics tell which of its parts to read.
+FOLDER = 1_000
+
+
 def buckets_of(counts: DataFrame, key: str, n: str, size: int) -> DataFrame:
     """(bucket, lo, hi) of consecutive keys in buckets of about `size` rows: by the rows before a key, so that keys stay whole
     and every key is dealt where it lies. hi is the key before the next bucket, null in the last."""
@@ -216,7 +220,8 @@ def deal_to_buckets(rows: DataFrame, buckets: DataFrame, last: Column, most: int
 
 def write_layout(rows: DataFrame, path: str, size: int, now: int, words: Column | None = None, most: int = 6, block: int = 100) -> None:
     """A served copy of rows (id, start, end, open_ended, topic, fame, has_image, ...): time/ by bucket, with a table of their bounds,
-    rows/ by block of row numbers, and words/ by the first two letters, if words are given. All folders are swapped in as one."""
+    rows/ by block of row numbers, a folder for FOLDER blocks in their order, and words/ by the first two letters, if words are given. All folders
+    are swapped in as one."""
     spark, staged = rows.sparkSession, f"{path}-new-{uuid.uuid4().hex}"
     last = F.when(F.coalesce("open_ended", F.lit(False)), F.lit(now)).otherwise(F.coalesce("end", "start"))
     counts = rows.where("start IS NOT NULL").groupBy("start").agg(F.count("*").alias("n"))
@@ -227,8 +232,8 @@ def write_layout(rows: DataFrame, path: str, size: int, now: int, words: Column
     order = [F.col("topic").isNull(), F.desc("fame"), F.desc("has_image"), F.asc("id")]
     flat = rows.select("*", F.col("topic").isNull().alias("_o"))
     order[0] = F.asc("_o")
-    placed = numbered(flat, *order).drop("_o").withColumn("block", F.floor(F.col("n") / block))
-    placed.repartition("block").write.partitionBy("block").parquet(f"{staged}/rows")
+    placed = numbered(flat, *order).drop("_o").withColumn("block", F.floor(F.col("n") / block)).withColumn("blocks", F.floor(F.col("block") / FOLDER))
+    placed.repartition("blocks").sortWithinPartitions("blocks", "n").write.partitionBy("blocks").parquet(f"{staged}/rows")
     if words is not None:
         numbers = spark.read.parquet(f"{staged}/rows").select("id", "n")
         terms = rows.select("id", F.explode(words).alias("term")).groupBy("id", "term").agg(F.count("*").alias("f"))
@@ -257,7 +262,8 @@ def buckets_to_load(bounds: DataFrame, loaded: DataFrame, lo: int, hi: int, most
 def rows_by_number(spark: SparkSession, path: str, numbers: DataFrame, per: int = 100) -> DataFrame:
     """The rows of a layout with the numbers (n) asked for, from their blocks alone."""
     blocks = [r.b for r in numbers.select(F.floor(F.col("n") / per).alias("b")).distinct().limit(10_000).collect()]  # a page of hits
-    return spark.read.parquet(f"{path}/rows").where(F.col("block").isin(blocks)).join(numbers, "n")
+    folders = sorted({b // FOLDER for b in blocks})
+    return spark.read.parquet(f"{path}/rows").where(F.col("blocks").isin(folders) & F.col("block").isin(blocks)).drop("blocks").join(numbers, "n")
 
 
 def find_rows(spark: SparkSession, path: str, words: str, limit: int = 200, most: int = 6) -> DataFrame:
