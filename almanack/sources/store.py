@@ -293,17 +293,17 @@ def next_fit(items: DataFrame, capacity: int, *order) -> DataFrame:
     want = at.select("i", (F.col("before") + capacity).alias("full")).withColumn("cell", F.floor(F.col("full") / capacity))
     cells = at.select(F.col("i").alias("j"), F.col("before").alias("lo"), F.col("after").alias("hi"), F.explode(F.sequence(F.floor(F.col("before") / capacity), F.floor(F.col("after") / capacity))).alias("cell"))
     opens = want.join(cells, "cell").where("full >= lo AND full < hi").select("i", F.greatest("j", F.col("i") + 1).alias("j"))
-    jump = keep(at.select("i").join(opens, "i", "left"))  # null: no bin after it
+    jump = keep(opens)  # no row: no bin after it; a null would meet all others in one task
     jumps = []
-    while not jump.where("j IS NOT NULL").isEmpty():
+    while not jump.isEmpty():
         jumps.append(jump)
-        jump = keep(jump.join(jump.select(F.col("i").alias("j"), F.col("j").alias("k")), "j", "left").select("i", F.col("k").alias("j")))
+        jump = keep(jump.join(jump.select(F.col("i").alias("j"), F.col("j").alias("k")), "j").select("i", F.col("k").alias("j")))
     reached = at.where("i = 0").select("i", F.lit(0).cast("long").alias("bin"))
     for k in reversed(range(len(jumps))):
-        ahead = reached.join(jumps[k], "i").where("j IS NOT NULL").select(F.col("j").alias("i"), (F.col("bin") + (1 << k)).alias("bin"))
+        ahead = reached.join(jumps[k], "i").select(F.col("j").alias("i"), (F.col("bin") + (1 << k)).alias("bin"))
         reached = keep(reached.unionByName(ahead))
     top = at.agg(F.max("i")).first()[0]
-    ends = reached.join(jumps[0] if jumps else jump, "i").select("i", "bin", F.coalesce(F.col("j") - 1, F.lit(top).cast("long")).alias("last"))
+    ends = reached.join(jumps[0] if jumps else jump, "i", "left").select("i", "bin", F.coalesce(F.col("j") - 1, F.lit(top).cast("long")).alias("last"))
     of = ends.select("bin", F.explode(F.sequence("i", "last")).alias("n"))
     return r.join(of, "n").drop("n", "before")
 
