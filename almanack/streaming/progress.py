@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Row, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Fixed list: the wait in each box, in milliseconds: 10 minutes, then 1, 3, 7, 16, 35 and 90 days.
@@ -94,40 +94,76 @@ def stream_reviews(reviews: DataFrame, path: str, checkpoint: str):
     return reviews.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+_NOTICE = Row("user", "entry", "what", "right_n", "wrong_n", "box", "at", "due")
+
+
+def _box(line: list) -> int:
+    return sum(r > line[2] for r in line[3])
+
+
+def _notice(key: tuple, entry, what: str, line: list) -> Row:
+    return _NOTICE(*key, entry, what, line[0], line[1], _box(line), line[4], line[5])
+
+
 class _Reviewer(StatefulProcessor):
-    """Keyed state of one (user, entry): counts, the last wrong answer, the six latest rights; a timer at `due`."""
+    """Keyed state of one user, with a line for each entry: counts, the last wrong answer, the six latest rights, when it is due and for which time
+    a notice was sent; one timer, at the first due time without a notice. Each call to the state store costs as much as folding
+    many reviews, so all that a batch brings for a user is one read and one write."""
+
+    def __init__(self, entry: str) -> None:
+        self.schema = f"entries array<struct<entry: {entry}, right_n: long, wrong_n: long, wrong_at: long, wrong_id: long, rights: array<struct<at: long, id: long>>, at: long, due: long, sent: long>>, timer long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "right_n long, wrong_n long, wrong_at long, wrong_id long, rights array<struct<at: long, id: long>>, at long, due long")
+        self.state = handle.getValueState("state", self.schema)
 
     def handleInputRows(self, key, rows, timerValues):
-        right_n, wrong_n, wrong, rights, at, due = 0, 0, (-1, -1), [], -1, None
-        if self.state.exists():
-            right_n, wrong_n, a, i, kept, at, due = self.state.get()
-            wrong, rights = (a, i), [(r[0], r[1]) for r in kept]
-        for pdf in rows:
-            times = list(zip(pdf["at"].tolist(), pdf["event_id"].tolist()))
-            ok = pdf["right"].tolist()
-            right_n, wrong_n = right_n + sum(ok), wrong_n + len(ok) - sum(ok)
-            wrong = max([wrong, *(t for t, r in zip(times, ok) if not r)])
-            rights = heapq.nlargest(TOP, [*rights, *(t for t, r in zip(times, ok) if r)])
-            at = max([at, *(t for t, _ in times)])
-        box = sum(r > wrong for r in rights)
-        if due is not None:
-            self.handle.deleteTimer(due)
-        due = at + WAITS[box]
-        self.handle.registerTimer(due)
-        self.state.update((right_n, wrong_n, *wrong, [tuple(r) for r in sorted(rights)], at, due))
-        yield self._row(key, "answered", right_n, wrong_n, box, at, due)
+        lines, timer = self._read()
+        met = {}
+        for r in rows:
+            line = met.get(r.entry)
+            if line is None:
+                line = met[r.entry] = lines.setdefault(r.entry, [0, 0, (-1, -1), [], -1, -1, -1])
+            time = (r.at, r.event_id)
+            line[4] = max(line[4], r.at)
+            if not r.right:
+                line[1], line[2] = line[1] + 1, max(line[2], time)
+                continue
+            line[0] += 1
+            line[3].append(time)
+            if len(line[3]) > 4 * TOP:
+                line[3] = heapq.nlargest(TOP, line[3])
+        for line in met.values():
+            line[3] = heapq.nlargest(TOP, line[3])
+            line[5] = line[4] + WAITS[_box(line)]
+        self._write(lines, timer)
+        for entry, line in met.items():
+            yield _notice(key, entry, "answered", line)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        right_n, wrong_n, a, i, rights, at, due = self.state.get()
-        if due == expiredTimerInfo.getExpiryTimeInMs():
-            yield self._row(key, "due", right_n, wrong_n, sum((r[0], r[1]) > (a, i) for r in rights), at, due)
-
-    def _row(self, key, what, *values):
-        return pd.DataFrame([(*key, what, *map(int, values))], columns=["user", "entry", "what", "right_n", "wrong_n", "box", "at", "due"])
+        lines, timer = self._read()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        passed = {entry: line for entry, line in lines.items() if line[6] != line[5] <= now}
+        for line in passed.values():
+            line[6] = line[5]
+        self._write(lines, None)  # the timer at hand goes by itself
+        for entry, line in passed.items():
+            yield _notice(key, entry, "due", line)
+
+    def _read(self):
+        kept = self.state.get()
+        if not kept:
+            return {}, None
+        return {e: [right_n, wrong_n, (a, i), [tuple(r) for r in rights], at, due, sent] for e, right_n, wrong_n, a, i, rights, at, due, sent in kept[0]}, kept[1]
+
+    def _write(self, lines, timer) -> None:
+        first = min((line[5] for line in lines.values() if line[5] != line[6]), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        self.state.update(([(e, right_n, wrong_n, *wrong, rights, at, due, sent) for e, (right_n, wrong_n, wrong, rights, at, due, sent) in lines.items()], first))
 
     def close(self) -> None:
         pass
@@ -138,11 +174,11 @@ def review_notices(reviews: DataFrame, late: str = "60 days") -> DataFrame:
 
     `answered`: the state after what a batch brought for a key, in any order of arrival up to `late` behind the latest ts.
     `due`: event time has passed the key's due time, and nothing has moved it meanwhile; sent once for that time. State is
-    bounded for each key. Needs the RocksDB state store.
+    bounded for each user and entry. Needs the RocksDB state store.
     """
     kinds = dict(reviews.dtypes)
     schema = f"user {kinds['user']}, entry {kinds['entry']}, what string, right_n long, wrong_n long, box int, at long, due long"
-    return reviews.withWatermark("ts", late).groupBy("user", "entry").transformWithStateInPandas(_Reviewer(), schema, "Append", "eventTime")
+    return reviews.withWatermark("ts", late).groupBy("user").transformWithState(_Reviewer(kinds["entry"]), schema, "Append", "eventTime")
 
 
 def merge_records(local: DataFrame, remote: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
