@@ -1,4 +1,4 @@
-"""Dated events out of pages: lines with what their headings carry, trusted tiers before loose ones, budgets, one telling each."""
+"""Dated events out of pages: lines with what their headings carry, trusted tiers before loose ones, one telling each."""
 
 from __future__ import annotations
 
@@ -104,12 +104,12 @@ def candidates(lines: DataFrame) -> DataFrame:
     return both.withColumn("body", tidy_line(F.when(leads, F.concat(before, after)).otherwise(F.col("chunk")))).withColumn("least", F.when(leads, DATED_LEAST).otherwise(PROSE_LEAST))
 
 
-def mine_events(pages: DataFrame, limit: int = 400, tables: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def mine_events(pages: DataFrame, limit: int | None = None, tables: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Events of pages (page, title, body), and what was refused with its reason.
 
     tables (page, start, end, text), rows of dated tables, come before lines, and lines before sentences: per
-    page an event (start, title in any case) is told once, by the first tier that has it, and each tier has a
-    budget of `limit` events of its own, so that loose ones never crowd out trusted ones. A bare year
+    page an event (start, title in any case) is told once, by the first tier that has it. All events come out; a
+    caller that wants only the first of each page gives a `limit`, which each tier has for itself, so that loose ones never crowd out trusted ones. A bare year
     under a heading, or on a page, of the years before the era is one of them. A span that runs backwards and
     a number whose point may be one of thousands are refused. Events: page, tier, start, end, year_text, kind,
     circa, name, excerpt, section. Null bodies have none; an empty table gives none.
@@ -134,11 +134,14 @@ def mine_events(pages: DataFrame, limit: int = 400, tables: DataFrame | None = N
 
     order = ["n", "m", "excerpt", "end"]
     once = lambda df: df.withColumn("_r", F.row_number().over(Window.partitionBy("page", "start", "key").orderBy("tier", *order))).where("_r = 1").drop("_r")
-    budget = lambda df: df.withColumn("_r", F.row_number().over(Window.partitionBy("page").orderBy("tier", *order))).where(F.col("_r") <= limit).drop("_r")
-    strict = budget(once(kept.where("tier < 2")))
-    loose = budget(once(kept.where("tier = 2")).join(strict.select("page", "start", "key"), ["page", "start", "key"], "left_anti"))
+    first = lambda df: df.withColumn("_r", F.row_number().over(Window.partitionBy("page").orderBy("tier", *order))).where(F.col("_r") <= limit).drop("_r")
+    if limit is None:
+        told = once(kept)
+    else:
+        strict = first(once(kept.where("tier < 2")))
+        told = strict.unionByName(first(once(kept.where("tier = 2")).join(strict.select("page", "start", "key"), ["page", "start", "key"], "left_anti")))
     tier = F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1)
-    events = strict.unionByName(loose).select(
+    events = told.select(
         "page", tier.alias("tier"), "start", "end", "year_text", F.when(F.col("end") != F.col("start"), "span").otherwise("point").alias("kind"),
         (is_circa(F.col("year_text")) | F.col("year_text").rlike(TOLD_AGO)).alias("circa"), "name", "excerpt", "section",
     )

@@ -49,7 +49,7 @@ def chronicle_events(t):
 
 @query(f"""WITH {_TOLD}, a AS (SELECT *, row_number() OVER (PARTITION BY start, lower(name) ORDER BY CASE tier WHEN 'mined-line' THEN 1 ELSE 2 END, page) AS one FROM b) SELECT page, tier, start, name FROM a WHERE one = 1""")
 def chronicle_events_once(t):
-    events, _ = M.mine_events(chronicles(t), limit=400)
+    events, _ = M.mine_events(chronicles(t))
     return M.told_once(events).select("page", "tier", "start", "name")
 
 
