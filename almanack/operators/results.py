@@ -14,6 +14,8 @@ YEAR = r"(?i)^(year|season|date)"
 WIN = r"(?i)^(winn(er|ing team|ers)|champions?\b|champion \(|horse$)"
 LOSE = r"(?i)^(los(er|ing team)|runners?-?up)"
 SCORE = r"(?i)^(score|final score|series|games|result|winning margin|margin)$"
+#: Shares in which the rows of a table are dealt.
+SHARES = 16
 #: A recipe: the page's title, what is won ({game} is a cell), patterns of headers where they aren't the usual ones, and what is wanted.
 RECIPE = (
     "title string, comp string, win string, game string, extra string, extra_label string, between array<string>, columns array<struct<header: string, name: string>>, "
@@ -48,18 +50,20 @@ def body_columns(rows: DataFrame, least: float = 0.6) -> DataFrame:
 
 
 def mine_results(pages: DataFrame, recipes: DataFrame, now: int) -> DataFrame:
-    """(page, year, title, sentence) of pages (page, title, html) for whose title there is a recipe: each winner of each row, once.
+    """(page, year, title, sentence) of pages (page, title, html) for whose title there is a recipe: each winner of each row, once. A page may come in
+    parts, rows with a column `part` that says their order, so none is ever whole in memory.
 
     Columns are found by their headers, the year and the score else by their cells. Of several tables with a year and a winner the one of most
     rows is read, or every one. A season counts in the year it ended in; rows without a winner, not held, or after `now` are left out. between: two
     columns of which the bold one won, and a score that is turned round if that is the second. columns: each names the winner of
     another competition. Recipes are few and stay a table; pages without one go before their tables are read.
     """
-    held = pages.join(recipes.select("title"), "title", "left_semi")
-    # a page may be long: pages are dealt over tasks, and parsed once; columns are found once a table
-    rows = keep(table_rows(spread(held, "page")))
-    per = rows.groupBy("page", "table").agg(F.first("head").alias("head"), F.count("*").alias("n"))
-    per = per.join(pages.select("page", "title"), "page").join(recipes, "title").join(body_columns(rows), ["page", "table"], "left")
+    asked = keep(pages.select("page", "title").distinct().join(recipes, "title"))
+    # pages are dealt over tasks, and parsed once; their tables are told of in one row each
+    read = keep(table_rows(spread(pages, "page").join(asked.select("page").distinct().hint("shuffle_hash"), "page")))
+    rows = read.where("row IS NOT NULL").select("page", "table", "row", "cells")
+    per = read.where("row IS NULL").select("page", "table", "head", "n", "place")
+    per = per.join(asked, "page").join(body_columns(rows), ["page", "table"], "left")
     pattern = lambda c, usual: F.coalesce(F.col(c), F.lit(usual))
     head = lambda usual: _place(F.lit(usual))
     per = per.withColumns({
@@ -75,9 +79,11 @@ def mine_results(pages: DataFrame, recipes: DataFrame, now: int) -> DataFrame:
     per = per.withColumns({"many": of_columns, "scores": scores})
     usable = F.col("y").isNotNull() & F.when(F.col("columns").isNotNull(), F.size("many") >= 2).when(two, F.col("a").isNotNull() & F.col("b").isNotNull()).otherwise(F.col("w").isNotNull())
     per = keep(per.where(usable).drop("head"))
-    best = per.groupBy("page").agg(F.max(F.struct("n", (-F.col("table")).alias("t"))).alias("m"))
-    per = per.join(best, "page").where(F.coalesce("every", F.lit(False)) | (F.col("table") == -F.col("m.t")))
-    rows = per.join(spread(rows.drop("head")).hint("merge"), ["page", "table"])
+    best = per.groupBy("page").agg(F.max(F.struct("n", (-F.col("place")).alias("t"))).alias("m"))
+    per = per.join(best, "page").where(F.coalesce("every", F.lit(False)) | (F.col("place") == -F.col("m.t")))
+    # rows of a long table are dealt over many tasks, and stream past what is known of their tables
+    dealt = spread(rows.withColumn("share", F.col("row") % SHARES).drop("row"), "page", "table", "share")
+    rows = dealt.join(per.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).hint("shuffle_hash"), ["page", "table", "share"])
 
     bold = lambda i: F.coalesce(F.get("cells", i)["bold"], F.lit(False))
     flip = two & ~bold(F.col("a"))
@@ -97,4 +103,5 @@ def mine_results(pages: DataFrame, recipes: DataFrame, now: int) -> DataFrame:
     more = F.when(F.col("extra") == "", "").when(F.col("extra_label").isNotNull(), F.concat_ws(" ", F.lit(","), "extra_label", "extra")).otherwise(F.concat(F.lit(" ("), "extra", F.lit(")")))
     more = F.regexp_replace(more, "^ ,|^, ", ", ")
     said = won.select("page", "year", title.alias("title"), F.concat(F.col("year").cast("string"), F.lit(" – "), title, beat, more, F.lit(".")).alias("sentence"))
-    return said.groupBy("page", "year", "title").agg(F.min("sentence").alias("sentence"))
+    # hardly a title comes twice in a task, so rows aren't sorted to be summed before they are dealt
+    return spread(said, "page", "year", "title").groupBy("page", "year", "title").agg(F.min("sentence").alias("sentence"))

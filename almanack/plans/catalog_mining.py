@@ -108,8 +108,12 @@ def recipe_results(t):
         ]
         return F.concat(F.lit("<tr>"), when if h == 1 else F.lit(""), F.element_at(F.array(*shapes), (f + 1).cast("int")), F.lit("</tr>"))
 
-    rows = t.orders.select((F.col("o_custkey") % 120).alias("page"), f.alias("f"), "o_orderkey", F.concat(row(1), row(2)).alias("r"))
-    told = rows.groupBy("page", "f").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "r"))), lambda x: x["r"]), "").alias("r"))
+    # a page in parts, in order: its opening, the rows of each order, its end
+    part = lambda n, k: F.struct(F.lit(n).alias("n"), k.cast("long").alias("k")).alias("part")
+    told = t.orders.select((F.col("o_custkey") % 120).alias("page"), f.alias("f"), part(1, F.col("o_orderkey")), F.concat(row(1), row(2)).alias("html"))
     head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("f") + 1).cast("int"))
-    pages = told.select("page", F.concat(F.lit("Cup "), F.col("f").cast("string")).alias("title"), F.concat(F.lit("<table><tr><th>Year</th><th>Winners</th></tr></table><table class='wikitable'><tr>"), head, F.lit("</tr>"), "r", F.lit("</table>")).alias("html"))
+    opening = F.concat(F.lit("<table><tr><th>Year</th><th>Winners</th></tr></table><table class='wikitable'><tr>"), head, F.lit("</tr>"))
+    ends = F.array(F.struct(part(0, F.lit(None)), opening.alias("html")), F.struct(part(2, F.lit(None)), F.lit("</table>").alias("html")))
+    parts = told.unionByName(told.select("page", "f").distinct().select("page", "f", F.inline(ends)))
+    pages = parts.select("page", F.concat(F.lit("Cup "), F.col("f").cast("string")).alias("title"), "part", "html")
     return R.mine_results(pages, t.spark.createDataFrame(_RECIPES, R.RECIPE), 2026)
